@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op3_embeddings
 from .mixing import op2_mixing
 from .sharding import op10_sharding
 from .url_filter import op6_urls
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_embeddings": op3_embeddings,
     "op6_urls": op6_urls,
     "op10_sharding": op10_sharding,
 }
