@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontamination
+from .decontamination import op4_decontamination
 from .embedding_dedup import op3_embeddings
 from .mixing import op2_mixing
 from .sharding import op10_sharding
@@ -10,7 +12,8 @@ from .url_filter import op6_urls
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_embeddings": op3_embeddings,
+    "op4_decontamination": op4_decontamination,
     "op6_urls": op6_urls,
     "op10_sharding": op10_sharding,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_decontamination": decontamination.ORACLE}
