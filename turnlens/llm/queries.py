@@ -6,6 +6,7 @@ from . import decontamination
 from .decontamination import op4_decontamination
 from .embedding_dedup import op3_embeddings
 from .mixing import op2_mixing
+from .secrets import op9_secrets
 from .sharding import op10_sharding
 from .url_filter import op6_urls
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_embeddings": op3_embeddings,
     "op4_decontamination": op4_decontamination,
     "op6_urls": op6_urls,
+    "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
 ORACLE: dict[str, str] = {"op4_decontamination": decontamination.ORACLE}
