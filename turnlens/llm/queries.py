@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontamination
 from .decontamination import op4_decontamination
 from .embedding_dedup import op3_embeddings
+from .minhash_dedup import op5_minhash
 from .mixing import op2_mixing
 from .secrets import op9_secrets
 from .sharding import op10_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_embeddings": op3_embeddings,
     "op4_decontamination": op4_decontamination,
+    "op5_minhash": op5_minhash,
     "op6_urls": op6_urls,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
