@@ -9,6 +9,7 @@ from .minhash_dedup import op5_minhash
 from .mixing import op2_mixing
 from .secrets import op9_secrets
 from .sharding import op10_sharding
+from .toxicity import op7_toxicity
 from .url_filter import op6_urls
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_minhash": op5_minhash,
     "op6_urls": op6_urls,
+    "op7_toxicity": op7_toxicity,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
