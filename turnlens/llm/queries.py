@@ -6,19 +6,23 @@ from . import decontamination
 from .decontamination import op4_decontamination
 from .embedding_dedup import op3_embeddings
 from .minhash_dedup import op5_minhash
+from .lm_scoring import op1_lm
 from .mixing import op2_mixing
+from .quality import op8_quality
 from .secrets import op9_secrets
 from .sharding import op10_sharding
 from .toxicity import op7_toxicity
 from .url_filter import op6_urls
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_mixing": op2_mixing,
     "op3_embeddings": op3_embeddings,
     "op4_decontamination": op4_decontamination,
     "op5_minhash": op5_minhash,
     "op6_urls": op6_urls,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
