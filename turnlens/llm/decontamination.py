@@ -51,26 +51,26 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 
 
 def occurrences(docs: DataFrame, tokens: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """One pass over the texts: rid, doc_id, n_words, pos, sid for each benchmark token in a document, and a row with
+    """One pass over the texts: rid, doc_id, text_hash, n_words, pos, sid for each benchmark token in a document, and a row with
     null sid for each document."""
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], words(docs["text"]).alias("w"))
-    spots = base.select("rid", "doc_id", "w", F.size("w").alias("n_words"), F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), words(docs["text"]).alias("w"))
+    spots = base.select("rid", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
     if sizes == [SHINGLE]:
         keyed = spots.select("*", F.lit(SHINGLE).alias("k"), F.when(F.col("pos") + SHINGLE <= F.col("n_words"), F.xxhash64(*_token(F.col("w"), F.col("pos"), SHINGLE))).alias("h"))
     else:
         each = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col("pos") + k <= F.col("n_words"), F.xxhash64(*_token(F.col("w"), F.col("pos"), k))).alias("h")) for k in sizes or [SHINGLE]])
-        keyed = spots.select("*", F.explode(each).alias("e")).select("rid", "doc_id", "w", "n_words", "pos", "e.k", "e.h")
+        keyed = spots.select("*", F.explode(each).alias("e")).select("rid", "doc_id", "text_hash", "w", "n_words", "pos", "e.k", "e.h")
     if not small:
-        keyed = keyed.select("rid", "doc_id", "n_words", "pos", "k", "h", F.slice("w", F.col("pos") + 1, F.col("k")).alias("t"))
+        keyed = keyed.select("rid", "doc_id", "text_hash", "n_words", "pos", "k", "h", F.slice("w", F.col("pos") + 1, F.col("k")).alias("t"))
         found = keyed.join(tokens, ["k", "h"], "left").where((F.col("t") == F.col("token")) | (F.col("pos") == F.col("n_words")))
     else:
         found = keyed.join(F.broadcast(tokens), ["k", "h"], "left").where((F.slice("w", F.col("pos") + 1, F.col("k")) == F.col("token")) | (F.col("pos") == F.col("n_words")))
     marks = F.when(F.col("pos") < F.col("n_words"), F.col("sid"))
-    return found.select("rid", "doc_id", "n_words", "pos", marks.alias("sid"))
+    return found.select("rid", "doc_id", "text_hash", "n_words", "pos", marks.alias("sid"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: rid, doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated."""
     scratch = Scratch(docs.sparkSession, "decontamination")
     every = scratch.keep(windows(items, window), "windows")
     own = every.select(F.explode("tokens").alias("x")).select(F.col("x.k").alias("k"), F.col("x.t").alias("token")).distinct()
@@ -104,16 +104,16 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     hits = spans.select("rid", fresh.alias("fresh")).groupBy("rid").agg(F.sum("fresh").alias("n_hit"))
     item_of = every.select(F.xxhash64("content").alias("cid"), "item_id").distinct()
     lists = proven.select("rid", "cid").distinct().join(hint(item_of), "cid").groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = seen.where("sid is null").select("rid", "doc_id", "n_words").distinct().join(hits, "rid", "left").join(lists, "rid", "left")
+    out = seen.where("sid is null").select("rid", "doc_id", "text_hash", "n_words").distinct().join(hits, "rid", "left").join(lists, "rid", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "rid", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
+        "rid", "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid", "text_hash")
 
 
 ORACLE = r"""

@@ -96,8 +96,8 @@ def _edges(rows: DataFrame, need: dict[int, int], bits: int) -> tuple[pd.DataFra
     return blocks, edge
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOST_PASSES, shards: int = 64, seed: int = 17, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken and ``draws``, and the columns of ``carry``.
+def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOST_PASSES, shards: int = 64, seed: int = 17, whole: bool = False, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, ``draws``, and with ``carry`` the row itself.
 
     ``draws`` is an array of (words, shard, place): how many words of the document a draw takes (all of them but at one
     document of each source, where the draw is its first words, so that the source meets its target exactly), the output
@@ -106,8 +106,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOS
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"]), 1)
-    rows = docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), h.alias("h"), *[docs[c].alias(f"_{c}") for c in carry])
-    kept = scratch.keep(rows.drop(*[f"_{c}" for c in carry]), "rows")
+    rows = docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), h.alias("h"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
+    kept = scratch.keep(rows.drop("row"), "rows")
     found = kept.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOS
     of_block = spark.createDataFrame([(int(s), int(b), [int(x) for x in v]) for s, b, v in zip(dealt["s"], dealt["block"], dealt["shard"])], "s int, block long, dealt array<int>")
     of_pass = spark.createDataFrame([(i, p) for i, p in enumerate(passes)], "s int, passes int")
 
-    all_rows = kept if not carry else rows
+    all_rows = rows if carry else kept
     placed = (
         all_rows.join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("name").join(F.broadcast(of_pass), "s")
         .withColumn("block", F.shiftright("h", HASH_BITS - bits)).join(F.broadcast(of_block), ["s", "block"], "left").join(F.broadcast(edges), "s", "left")
@@ -159,7 +159,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOS
     lists = F.transform(F.coalesce("dealt", F.array().cast("array<int>")), lambda shard, i: F.struct(F.when(i < F.col("passes"), F.col("size")).otherwise(F.col("in_part")).cast("long").alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 2), shard, i, F.col("doc_id")).alias("place")))
     draws_of = F.filter(lists, lambda d: d["words"] > 0)
     out = placed.withColumn("in_part", in_part).withColumn("draws", draws_of)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"), "draws", *[F.col(f"_{c}").alias(c) for c in carry if c not in ("doc_id", "source")])
+    return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"), "draws", *["row"] * carry)
 
 
 def shuffled(mixed: DataFrame, shards: int = 64) -> DataFrame:

@@ -233,13 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return model, Curve.fit(np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: tuple[Model, Curve] | float, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, score and predicted of every document."""
+def score(docs: DataFrame, model: tuple[Model, Curve] | float, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of ``keep``, score and predicted (under ``names``) of every document."""
     spark = docs.sparkSession
     own = docs.select(*[docs[c] for c in dict.fromkeys([*keep, "text"])])
     kinds = dict(own.dtypes)
     if isinstance(model, float):
-        return own.select(*keep, F.lit(model).alias("score"), F.lit(int(model >= threshold)).cast("int").alias("predicted"))
+        return own.select(*keep, F.lit(model).alias(names[0]), F.lit(int(model >= threshold)).cast("int").alias(names[1]))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -247,9 +247,9 @@ def score(docs: DataFrame, model: tuple[Model, Curve] | float, threshold: float
             for part in slices(batch, "text"):
                 kn, curve = sent.value
                 p = curve.score(features(kn, part.column("text")))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, *names])
 
-    return own.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "score double, predicted int"]))
+    return own.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"{names[0]} double, {names[1]} int"]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
