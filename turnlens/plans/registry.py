@@ -691,10 +691,11 @@ def parse_goal(spark, d):
     return c.select("conv_id", "turn", F.array_join(goals, ",").alias("goals"), F.array_join(outcomes, ",").alias("outcomes")).where("goals is not null")
 
 
-@query("parse_admin", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN CAST(turn AS INTEGER) END AS goal FROM conversations")
+@query("parse_admin", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN CAST(turn AS INTEGER) ELSE -1 END AS goal FROM conversations")
 def parse_admin(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    return c.select("conv_id", "turn", X.parse_admin(F.concat(F.lit("is <goal> "), F.when(F.col("role") == "user", F.col("turn").cast("string")).otherwise("none"), F.lit(" </goal>"))).alias("goal"))
+    shown = F.when(F.col("role") == "user", F.col("turn").cast("string")).otherwise("none")
+    return c.select("conv_id", "turn", F.coalesce(X.parse_admin(F.concat(F.lit("is <goal> "), shown, F.lit(" </goal>"))), F.lit(-1)).alias("goal"))
 
 
 @query("parse_utterance", "SELECT conv_id, turn, CASE WHEN regexp_matches(trim(replace(text, chr(10), ' ')), '^[!-~áéíóúàèüöäñçÁÉÍÓÚÀÈÜÖÄÑÇ—€£ãõâêîôûÂÊÎÔÛ ]*$') THEN 'user: ' || trim(replace(text, chr(10), ' ')) END AS line FROM conversations WHERE NOT contains(text, '‘') AND NOT contains(text, '’')")
