@@ -54,6 +54,18 @@ class Scratch:
         self._fs(f"{self.root}/{name}".rstrip("/"), lambda fs, path: fs.delete(path, True))
 
 
+def most_frequent(kept: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of a written table whose count reaches the least bound that leaves ``most`` rows at most. The bound comes from
+    how many rows have each count, so no task and no driver sorts the table."""
+    held, least = 0, None
+    for row in kept.groupBy(n).agg(F.count("*").alias("_rows")).orderBy(F.desc(n)).toLocalIterator():
+        held += row["_rows"]
+        if held > most:
+            break
+        least = row[n]
+    return kept.where(F.col(n) >= least) if least is not None else kept.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

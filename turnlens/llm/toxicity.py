@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, held_out, slices, table, words_of
+from .common import Scratch, byte_table, held_out, most_frequent, slices, table, words_of
 
 #: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, and rows of each class in the sample.
 ORDER, DISCOUNT, MOST_ROWS = 8, 0.75, 20_000
 #: Observations of both classes together that each class's distribution after a context is mixed with.
 SHARED = 30.0
-#: Grams of the longest order that the model keeps, the most frequent first; bounds what is sent to executors.
-MOST_GRAMS = 1 << 19
+#: Grams of the longest order that the model keeps, the most frequent; bounds what the driver gets and sends.
+MOST_GRAMS = 1 << 18
 #: Evidence of a word beyond which it counts by itself.
 CLEAR = 2.0
 BEGIN, END = 1, 2
@@ -212,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     counted = rows.where("fit").mapInArrow(count, "key long, size int, toxic long, plain long")
     grams = counted.groupBy("key", "size").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    grams = grams.orderBy(F.desc(F.col("toxic") + F.col("plain")), "key", "size").limit(MOST_GRAMS).toPandas()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    grams = most_frequent(scratch.keep(grams.withColumn("n", F.col("toxic") + F.col("plain")), "grams"), "n", MOST_GRAMS).drop("n").toPandas()
+    scratch.drop()
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         rows.unpersist()
