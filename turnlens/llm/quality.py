@@ -177,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 
     def look(batches):
         for few, x in pooled_parts(batches, sent.value):
-            yield pa.RecordBatch.from_arrays([few.column("y"), few.column("fit"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "fit", "x"])
+            yield pa.RecordBatch.from_arrays([few.column("y"), few.column("fold"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "fold", "x"])
 
-    seen = sample(docs, labels, label, modulus, most).mapInArrow(look, "y int, fit boolean, x array<double>").toPandas()
+    seen = sample(docs, labels, label, modulus, most).mapInArrow(look, "y int, fold int, x array<double>").toPandas()
+    seen["fit"] = seen["fold"] > 0
     if seen["y"].nunique() < 2 or seen.loc[seen["fit"], "y"].nunique() < 2:
         return float(seen["y"].mean()) if len(seen) else 0.0
     order = np.lexsort(np.stack(seen["x"].to_numpy()).T)  # rows arrive in any order

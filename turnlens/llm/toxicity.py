@@ -6,7 +6,8 @@ once. Higher levels use counts of their class, lower levels continuation counts
 gram), and every level mixes a few observations of both classes together into each, so that rare expressions lean on what
 the classes share. A document's evidence is the difference of its two log-likelihoods, normalised by its length in words: over all
 words, over those with clear evidence, and for the strongest word, as an insult in a long text is as toxic as in a short
-one. A logistic curve, fitted on labelled documents that the counts leave out, turns evidence into a probability.
+one. A logistic curve turns evidence into a probability; it is fitted on evidence that each labelled document gets from
+counts without its own fold.
 
 Labels are learned from a bounded sample: of the allowed rows, the ``most`` with the smallest hashed text of each class.
 Texts are read whole, in training and scoring alike.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_table, held_out, most_frequent, slices, table, words_of
 
-#: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, and rows of each class in the sample.
-ORDER, DISCOUNT, MOST_ROWS = 8, 0.75, 20_000
+#: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, rows of each class in the sample, and folds.
+ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 20_000, 4
 #: Observations of both classes together that each class's distribution after a context is mixed with.
 SHARED = 30.0
 #: Grams of the longest order that the model keeps, the most frequent; bounds what the driver gets and sends.
@@ -176,7 +177,7 @@ class Curve:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most: int) -> DataFrame:
-    """text and label (0 or 1) of the bounded sample: distinct texts, at most ``most`` of each class."""
+    """text, label y (0 or 1) and fold of the bounded sample: distinct texts, about ``most`` of each class at most."""
     agreed = labels.where(labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("y")).where("low = y").select("doc_id", "y")
     chosen = docs.select(docs["doc_id"], docs["text"]).where(docs["text"].isNotNull() & ~held_out(docs["doc_id"], modulus))
     rows = chosen.select("doc_id", F.xxhash64("text").alias("h")).join(agreed, "doc_id")
@@ -188,8 +189,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most: i
         own = firsts.where((F.col("y") == y) & (F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20)))) if share < 1 else firsts.where(F.col("y") == y)
         wanted = own if wanted is None else wanted.unionByName(own)
     if wanted is None:
-        return chosen.select("text", F.lit(0).alias("y"), F.lit(False).alias("fit")).limit(0)
-    return chosen.join(wanted.select("doc_id", F.col("y").cast("int").alias("y"), (F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(4)) < 3).alias("fit")), "doc_id").dropDuplicates(["doc_id"]).select("text", "y", "fit")
+        return chosen.select("text", F.lit(0).alias("y"), F.lit(0).alias("fold")).limit(0)
+    return chosen.join(wanted.select("doc_id", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(FOLDS)).cast("int").alias("fold")), "doc_id").dropDuplicates(["doc_id"]).select("text", "y", "fold")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, most: int = MOST_ROWS) -> tuple[Model, Curve] | float:
@@ -201,38 +202,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 types, index, at = word_types(part.column("text"))
                 doc = np.repeat(np.arange(part.num_rows), np.diff(at))
                 once = np.unique(doc * len(types) + index) if len(index) else index
-                y = np.asarray(part.column("y"))[once // max(1, len(types))]
-                times = [np.bincount((once % max(1, len(types)))[y == v], minlength=len(types)) for v in (1, 0)]
+                y, fold = np.asarray(part.column("y")), np.asarray(part.column("fold"))
+                kind = (2 * fold + 1 - y)[once // max(1, len(types))]
                 word, key, size = windows(types)
-                code, at_ = np.unique(key, return_inverse=True)
+                code, where = np.unique(key, return_inverse=True)
                 width = np.zeros(len(code), np.int32)
-                width[at_] = size
-                sums = [np.bincount(at_, weights=t[word], minlength=len(code)).astype(np.int64) for t in times]
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(width), pa.array(sums[0]), pa.array(sums[1])], ["key", "size", "toxic", "plain"])
-
-    counted = rows.where("fit").mapInArrow(count, "key long, size int, toxic long, plain long")
-    grams = counted.groupBy("key", "size").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+                width[where] = size
+                times = [np.bincount((once % max(1, len(types)))[kind == v], minlength=len(types)) for v in range(2 * FOLDS)]
+                sums = [np.bincount(where, weights=t[word], minlength=len(code)).astype(np.int64) for t in times]
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(width), *map(pa.array, sums)], ["key", "size", *names])
+
+    names = [f"{c}{f}" for f in range(FOLDS) for c in ("toxic", "plain")]
+    counted = rows.mapInArrow(count, "key long, size int, " + ", ".join(f"{c} long" for c in names))
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    grams = counted.groupBy("key", "size").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", total)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    grams = most_frequent(scratch.keep(grams.withColumn("n", F.col("toxic") + F.col("plain")), "grams"), "n", MOST_GRAMS).drop("n").toPandas()
+    grams = most_frequent(scratch.keep(grams, "grams"), "n", MOST_GRAMS).drop("n").toPandas()
     scratch.drop()
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         rows.unpersist()
         return float(next(iter(kinds), 0))
-    model = fit(grams["key"].to_numpy(np.int64).view(np.uint64), grams["size"].to_numpy(), grams["toxic"].to_numpy(), grams["plain"].to_numpy())
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    key, size, by_fold = grams["key"].to_numpy(np.int64).view(np.uint64), grams["size"].to_numpy(), grams[names].to_numpy(float)
+    toxic, plain = by_fold[:, ::2], by_fold[:, 1::2]
+    without = [fit(key[own], size[own], t[own], p[own]) for f in range(FOLDS) for t, p in [(toxic.sum(axis=1) - toxic[:, f], plain.sum(axis=1) - plain[:, f])] for own in [t + p > 0]]
+    sent = rows.sparkSession.sparkContext.broadcast(without)
 
     def look(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                x = features(sent.value, part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "x"])
+                fold = np.asarray(part.column("fold"))
+                for f in np.unique(fold):
+                    own = part.filter(pa.array(fold == f))
+                    x = features(sent.value[f], own.column("text"))
+                    yield pa.RecordBatch.from_arrays([own.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "x"])
 
-    seen = rows.where("not fit").mapInArrow(look, "y int, x array<double>").toPandas()
+    seen = rows.mapInArrow(look, "y int, x array<double>").toPandas()
     rows.unpersist()
-    if seen["y"].nunique() < 2:
-        return float(kinds.get(1, 0) / sum(kinds.values()))
-    return model, Curve.fit(np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float))
+    x = np.stack(seen["x"].to_numpy())
+    order = np.lexsort(x.T)  # rows arrive in any order
+    return fit(key, size, toxic.sum(axis=1), plain.sum(axis=1)), Curve.fit(x[order], seen["y"].to_numpy(float)[order])
 
 
 def score(docs: DataFrame, model: tuple[Model, Curve] | float, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
