@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination
 from .decontamination import op4_decontamination
 from .embedding_dedup import op3_embeddings
-from .minhash_dedup import op5_minhash
 from .lm_scoring import op1_lm
+from .minhash_dedup import op5_minhash
 from .mixing import op2_mixing
+from .oracle import ORACLE
 from .quality import op8_quality
 from .secrets import op9_secrets
 from .sharding import op10_sharding
 from .toxicity import op7_toxicity
 from .url_filter import op6_urls
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_mixing": op2_mixing,
@@ -26,4 +28,3 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
 }
-ORACLE: dict[str, str] = {"op4_decontamination": decontamination.ORACLE}
