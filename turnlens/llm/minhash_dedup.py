@@ -12,8 +12,8 @@ edges that no task holds together) give components. Then only buckets whose memb
 outside the pivot's component meet the other members in blocks of bounded size, by exact set sizes, and a block reports
 which components it joins. So every pair that shares a bucket is compared or is already connected.
 
-Banding misses a pair at exactly the threshold t with probability (1 - t^ROWS)^bands; the number of bands is the least
-that keeps this below ``MISS``: 28 for 0.85, 41 for 0.8.
+Banding misses a pair at exactly the threshold t with probability (1 - t^rows)^bands; the number of bands is the least
+that keeps this below ``MISS``: 28 of five rows for 0.85, 41 for 0.8.
 
 Defined cases: documents without words (or a null text) have an empty set and link with nothing, not even each other;
 with fewer words than a shingle the whole sequence is the one shingle; repeated rows are members of one class; rows that
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, byte_table, mix64, slices, table, word_hashes, words_of
 from .components import components
 
-ROWS, MISS, MOST_SLOTS = 5, 1e-7, 255
+MOST_ROWS, MISS, MOST_SLOTS = 5, 1e-7, 255
 #: Elements that take a rank together; bounds the permutation table to this times the slots.
 TOGETHER = 1 << 17
 #: A pivot's set travels once for this many of its partners.
@@ -65,8 +65,13 @@ def shingles(flat: pa.Array, at: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return (np.concatenate(out) if out else h[:0]), np.array(ends, np.int64)
 
 
-def bands_for(percent: int) -> int:
-    return min(MOST_SLOTS // ROWS, math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)))
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of each: the most rows that keep the promised recall within the slots."""
+    for rows in range(MOST_ROWS, 0, -1):
+        count = math.ceil(math.log(MISS) / math.log1p(-min(1 - 1e-12, (percent / 100) ** rows)))
+        if count * rows <= MOST_SLOTS:
+            return count, rows
+    raise ValueError(f"no banding finds pairs at {percent} %")
 
 
 def signatures(elements: np.ndarray, ends: np.ndarray, slots: int) -> np.ndarray:
@@ -98,7 +103,7 @@ def signatures(elements: np.ndarray, ends: np.ndarray, slots: int) -> np.ndarray
     return best
 
 
-def bands(signature: np.ndarray, count: int, rows: int = ROWS) -> np.ndarray:
+def bands(signature: np.ndarray, count: int, rows: int) -> np.ndarray:
     """A 64-bit hash of each band of each signature."""
     out = np.empty((len(signature), count), np.uint64)
     with np.errstate(over="ignore"):
@@ -120,7 +125,7 @@ def _fingerprint(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _signed(docs: DataFrame, shingle: int, count: int) -> DataFrame:
+def _signed(docs: DataFrame, shingle: int, count: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2, bands of every document, in one pass over the texts."""
     blank = byte_table()
 
@@ -128,7 +133,7 @@ def _signed(docs: DataFrame, shingle: int, count: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 sets, ends = shingles(*words_of(part.column("text"), blank), shingle)
-                marks, f = bands(signatures(sets, ends, count * ROWS), count), _fingerprint(sets, ends)
+                marks, f = bands(signatures(sets, ends, count * rows), count, rows), _fingerprint(sets, ends)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(marks) + 1) * count, count), pa.int32()), pa.array(marks.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
 
@@ -217,7 +222,7 @@ def _meet(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    signed = scratch.keep(_signed(docs, shingle, bands_for(percent)), "signed")
+    signed = scratch.keep(_signed(docs, shingle, *banding(percent)), "signed")
     of_set = ["f1", "f2", "n_shingles"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
