@@ -1,4 +1,5 @@
 import json
+import time
 
 import duckdb
 import pandas as pd
@@ -69,8 +70,11 @@ def test_sessions_stream_like_the_batch_twin(spark, sf, tmp_path):
     for i in (0, 1):
         rows.where(F.col("seq") >= 2 if i else F.col("seq") < 2).withColumn("reset", F.lit(False)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id long, seq long, text string, reset boolean").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    q = api.session(stream, Config(utt_k=3), S.LexiconScorer()).writeStream.format("memory").queryName("sessions").outputMode("append").start()
-    q.processAllAvailable()
+    q = api.session(stream, Config(utt_k=3), S.LexiconScorer(), idle_ms=None).writeStream.format("memory").queryName("sessions").outputMode("append").start()
+    deadline = time.time() + 90
+    while time.time() < deadline and spark.table("sessions").count() < rows.count():
+        assert q.exception() is None
+        time.sleep(1)
     q.stop()
     pick = lambda df: sorted((r["session_id"], r["turn_no"], round(r["turn_prob"], 6), round(r["dia_prob"], 6), r["n_turns"], r["history"]) for r in df.collect())
     assert pick(spark.table("sessions")) == pick(session.detect_batch(rows, 3))

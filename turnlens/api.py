@@ -71,9 +71,9 @@ def aopc(turns: DataFrame, orders: DataFrame, cfg: Config, scorer: scoring.Score
     return evaluate.aopc(scored, [*KEY, "method"]).select(*KEY, "method", "step", "aopc")
 
 
-def session(stream: DataFrame, cfg: Config, scorer) -> DataFrame:
+def session(stream: DataFrame, cfg: Config, scorer, idle_ms: int | None = sessions.IDLE_MS) -> DataFrame:
     """A stream of (session_id, seq, text, reset) to one row per turn."""
-    return sessions.detect_stream(stream, scorer, cfg.utt_k or 0)
+    return sessions.detect_stream(stream, scorer, cfg.utt_k or 0, idle_ms)
 
 
 __all__ = ["Config", "aopc", "detect", "explain", "joins", "metrics", "profile", "session"]

@@ -35,12 +35,16 @@ def step(masked: list[str], probs: list[float], text: str, score: Callable[[list
     return float(turn), float(dialogue)
 
 
-def detect_stream(messages: DataFrame, scorer, k: int = 3, idle_ms: int = IDLE_MS) -> DataFrame:
-    """A stream of (session_id, seq, text, reset) to one row per turn. Rows of one batch go in the order of seq."""
+def detect_stream(messages: DataFrame, scorer, k: int = 3, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """A stream of (session_id, seq, text, reset) to one row per turn. Rows of one batch go in the order of seq.
+
+    With ``idle_ms`` the stream also runs batches without data, to end idle sessions; with None sessions only end by
+    reset, and a bounded stream runs out."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame(columns=["session_id", "turn_no", "turn_prob", "dia_prob", "n_turns", "history"])
             return
         masked, probs = (list(x) for x in state.get) if state.exists else ([], [])
         rows = []
@@ -52,10 +56,11 @@ def detect_stream(messages: DataFrame, scorer, k: int = 3, idle_ms: int = IDLE_M
                 turn, dialogue = step(masked, probs, text or "", scorer.predict, scorer.weight, k)
                 rows.append((key[0], len(probs) - 1, turn, dialogue, len(probs), " | ".join(masked)))
         state.update((masked, probs))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["session_id", "turn_no", "turn_prob", "dia_prob", "n_turns", "history"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def detect_batch(messages: DataFrame, k: int = 3) -> DataFrame:
