@@ -28,11 +28,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .components import components
 
-#: Vectors of the sample that the top nodes come from, the top nodes at most, vectors of a chunk, and chunks at most.
+#: About how many vectors the sample has that the top nodes come from, the top nodes at most, vectors of a chunk, and chunks at most.
 SAMPLE, MOST_TOP, CHUNK, MOST_CHUNKS = 4096, 256, 2048, 4096
 #: Radii of the nested nets inside a chunk.
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-9
+#: Most that single precision can be off by for the dot product of unit vectors.
+ROUNDING = 1e-5
+#: Nodes on which the cost of starting at a level is judged, and what a kept pair costs against a dropped one.
+SOME, PER_PAIR = 64, 50
+#: Node pairs that are looked at together.
+AT_ONCE = 1 << 18
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -105,6 +111,8 @@ def traverse(xa, ua, la, wa, xb, ub, lb, wb, same: bool, least: float) -> tuple[
     order_a, order_b = [np.argsort(s[2], kind="stable") for s in sets_a], [np.argsort(s[2], kind="stable") for s in sets_b]
     from_a = [np.searchsorted(s[2][o], np.arange(len(s[0]) + 1)) for s, o in zip(sets_a, order_a)]
     from_b = [np.searchsorted(s[2][o], np.arange(len(s[0]) + 1)) for s, o in zip(sets_b, order_b)]
+    single_a, single_b = ua.astype(np.float32), ub.astype(np.float32)
+    below_a, below_b = _children(sets_a), _children(sets_b)
     rows_a = lambda k, i: order_a[k][from_a[k][i] : from_a[k][i + 1]]
     rows_b = lambda k, i: order_b[k][from_b[k][i] : from_b[k][i + 1]]
 
@@ -120,62 +128,105 @@ def traverse(xa, ua, la, wa, xb, ub, lb, wb, same: bool, least: float) -> tuple[
             i, j = np.nonzero(hit)
             labels.join_rows(part[i], rb[j] + shift)
 
+    def singles(ra: np.ndarray, rb: np.ndarray) -> None:
+        """Row pairs one by one."""
+        cosine = np.einsum("ij,ij->i", xa[ra], xb[rb]) / (norm_a[ra] * norm_b[rb])
+        hit = (cosine >= least) & (ra != rb if same else True)
+        ra, rb = ra[hit], rb[hit]
+        np.add.at(count_a, ra, wb[rb])
+        np.add.at(count_b, rb, wa[ra])
+        labels.join_rows(ra, rb + shift)
+
+    def opened(k: int, pa: np.ndarray, pb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of the children of node pairs; of a node with itself each pair once."""
+        (order_of_a, first_a), (order_of_b, first_b) = below_a[k], below_b[k]
+        na, nb = np.diff(first_a)[pa], np.diff(first_b)[pb]
+        total = na * nb
+        own = np.repeat(np.arange(len(pa)), total)
+        step = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        a, b = order_of_a[first_a[pa[own]] + step // nb[own]], order_of_b[first_b[pb[own]] + step % nb[own]]
+        if same:
+            once = (pa[own] != pb[own]) | (a <= b)
+            a, b = a[once], b[once]
+        return a, b
+
     def visit(k: int, pa: np.ndarray, pb: np.ndarray) -> None:
-        """Node pairs (pa[i], pb[i]) of level k; with ``same``, pa <= pb by node."""
-        if not len(pa):
-            return
+        """Node pairs (pa[i], pb[i]) of level k; with ``same``, a node's pair with itself or pairs of two nodes once."""
         (wa_, ra_, _), (wb_, rb_, _) = sets_a[k], sets_b[k]
-        near = np.empty(len(pa))
-        for low in range(0, len(pa), 65536):
-            s = slice(low, low + 65536)
-            near[s] = np.einsum("ij,ij->i", ua[wa_[pa[s]]], ub[wb_[pb[s]]])
+        near = np.einsum("ij,ij->i", ua[wa_[pa]], ub[wb_[pb]])
         apart, reach = np.sqrt(np.maximum(0, 2 - 2 * near)), ra_[pa] + rb_[pb]
         keep = apart <= r + reach + SLACK
         full = keep & (apart + reach < r - SLACK) & (reach > 0)
         for i, j in zip(pa[full], pb[full]):
             a, b = rows_a(k, i), rows_b(k, j)
             if same and i == j:
-                total = wa[a].sum()
-                count_a[a] += total - wa[a]
+                count_a[a] += wa[a].sum() - wa[a]
             else:
                 count_a[a] += wb[b].sum()
-                np.add.at(count_b, b, wa[a].sum())
+                count_b[b] += wa[a].sum()
             labels.join_rows(a, np.full(len(a), a[0]))
             labels.join_rows(b + shift, np.full(len(b), a[0]))
         rest = keep & ~full
-        bottom = rest & (reach == 0) if k + 1 < len(sets_a) else rest
+        alone = rest & (np.diff(from_a[k])[pa] == 1) & (np.diff(from_b[k])[pb] == 1)
+        singles(order_a[k][from_a[k][pa[alone]]], order_b[k][from_b[k][pb[alone]]])
+        rest &= ~alone
+        bottom = (rest & (reach == 0)) if k + 1 < len(sets_a) else rest
         for i, js in _grouped(pa[bottom], pb[bottom]):
             members = [rows_b(k, j) for j in js]
             exact(rows_a(k, i), np.concatenate(members), np.repeat(js == i, [len(m) for m in members]))
         down = rest & ~bottom
         if down.any():
-            more_a, more_b = [], []
-            for i, j in zip(pa[down], pb[down]):
-                ca, cb = np.unique(sets_a[k + 1][2][rows_a(k, i)]), np.unique(sets_b[k + 1][2][rows_b(k, j)])
-                a, b = np.repeat(ca, len(cb)), np.tile(cb, len(ca))
-                if same and i == j:
-                    a, b = a[a <= b], b[a <= b]
-                more_a.append(a)
-                more_b.append(b)
-            visit(k + 1, np.concatenate(more_a), np.concatenate(more_b))
-
-    # The frontier of the coarsest level goes row by row of nodes, which bounds it.
-    k = 0
-    tops_b = sets_b[k][0]
-    step = max(1, (1 << 19) // max(1, len(tops_b)))
-    for low in range(0, len(sets_a[k][0]), step):
-        i = np.arange(low, min(low + step, len(sets_a[k][0])))
-        near = ua[sets_a[k][0][i]] @ ub[tops_b].T
-        apart = np.sqrt(np.maximum(0, 2 - 2 * near))
-        ok = apart <= r + sets_a[k][1][i][:, None] + sets_b[k][1][None, :] + SLACK
+            pa, pb = pa[down], pb[down]
+            up = np.cumsum(np.diff(below_a[k][1])[pa] * np.diff(below_b[k][1])[pb])
+            for part in np.split(np.arange(len(pa)), np.searchsorted(up, np.arange(AT_ONCE, up[-1], AT_ONCE))):
+                if len(part):
+                    visit(k + 1, *opened(k, pa[part], pb[part]))
+
+    def close(k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the nodes i with all nodes of b at level k that the covering radii cannot keep apart. Most nodes have
+        no radius and share one bound; single precision only widens it."""
+        (who_a, reach_a, _), (who_b, reach_b, _) = sets_a[k], sets_b[k]
+        wide = np.flatnonzero(reach_b > 0)
+        bound = lambda x: 1 - np.minimum(2, x) ** 2 / 2 - ROUNDING
+        dots = single_a[who_a[i]] @ single_b[who_b].T
+        ok = dots >= np.float32(bound(r))
+        ok[:, wide] = dots[:, wide] >= bound(r + reach_b[wide])
+        for row in np.flatnonzero(reach_a[i] > 0):
+            ok[row] = dots[row] >= bound(r + reach_a[i[row]] + reach_b)
         if same:
-            ok &= i[:, None] <= np.arange(len(tops_b))[None, :]
+            ok &= i[:, None] <= np.arange(len(who_b))[None, :]
         p, q = np.nonzero(ok)
-        visit(k, i[p], q)
-    root = np.array([labels.root(i) for i in range(len(labels.up))], np.int64)
+        return i[p], q
+
+    # Start at the level where looking at all node pairs and then at those that stay costs least, judged on some nodes:
+    # above it bounds keep nearly every pair, below it there is nothing left to drop.
+    def cost(k: int) -> float:
+        n = len(sets_a[k][0])
+        some = np.unique(np.linspace(0, n - 1, min(n, SOME)).astype(int))
+        return n * len(sets_b[k][0]) + PER_PAIR * len(close(k, some)[0]) * n / len(some)
+
+    k = min(range(len(sets_a)), key=cost)
+    step = max(1, (1 << 22) // max(1, len(sets_b[k][0])))
+    for low in range(0, len(sets_a[k][0]), step):
+        pa, pb = close(k, np.arange(low, min(low + step, len(sets_a[k][0]))))
+        for cut in range(0, len(pa), AT_ONCE):
+            visit(k, pa[cut : cut + AT_ONCE], pb[cut : cut + AT_ONCE])
+    root = labels.up.copy()
+    while (root != root[root]).any():
+        root = root[root]
     return count_a, count_b, root
 
 
+def _children(sets: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per level but the last: the next level's nodes in the order of their parents, and where each parent's begin."""
+    out = []
+    for (who, _, node), (below, _, _) in zip(sets, sets[1:]):
+        parent = node[below]
+        order = np.argsort(parent, kind="stable")
+        out.append((order, np.searchsorted(parent[order], np.arange(len(who) + 1))))
+    return out
+
+
 def _grouped(a: np.ndarray, b: np.ndarray):
     order = np.argsort(a, kind="stable")
     who, start = np.unique(a[order], return_index=True)
@@ -207,7 +258,8 @@ def top_nodes(x: np.ndarray) -> np.ndarray:
 
 def _linked(spark: SparkSession, scratch: Scratch, own: DataFrame, dim: int, least: float) -> tuple[DataFrame, DataFrame]:
     """Counts (id, links) and label edges (a, b) of the vectors of one length."""
-    sample = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toPandas()
+    share = min(1.0, SAMPLE / max(1, own.count()))
+    sample = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("id", "x").toPandas().sort_values("id")
     centres = top_nodes(unit(np.array(sample["x"].tolist(), float).reshape(-1, dim)))
 
     def near(batches):
@@ -226,7 +278,7 @@ def _linked(spark: SparkSession, scratch: Scratch, own: DataFrame, dim: int, lea
     dealt = placed.join(F.broadcast(spans), "top").select("id", "x", "weight", F.floor(at / chunk).cast("int").alias("chunk"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = unit(np.array(pdf["x"].tolist(), float).reshape(-1, dim))
+        u = unit(np.stack(pdf["x"].to_numpy()).astype(float))
         pdf = pdf.assign(pos=np.arange(len(pdf), dtype="int32"), leads=np.stack(levels(u)[:-1], axis=1).astype("int32").tolist())
         middle = u.mean(axis=0)
         middle = middle / max(np.linalg.norm(middle), 1e-12)
@@ -243,13 +295,13 @@ def _linked(spark: SparkSession, scratch: Scratch, own: DataFrame, dim: int, lea
     meets = spark.createDataFrame(pairs.groupby("chunk").apply(lambda g: list(map(list, zip(g["a"].tolist(), g["b"].tolist()))), include_groups=False).rename("pairs").reset_index(), "chunk int, pairs array<array<int>>")
     work = trees.join(F.broadcast(meets), "chunk").select("id", "x", "weight", "chunk", "pos", "leads", F.explode("pairs").alias("pair"))
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         (a, b) = (int(key[0]), int(key[1]))
         side = []
         for c in (a, b):
             own_rows = pdf[pdf["chunk"] == c].sort_values("pos")
-            x = np.array(own_rows["x"].tolist(), float).reshape(-1, dim)
-            leads = np.array(own_rows["leads"].tolist(), np.int64).reshape(len(x), len(RADII))
+            x = np.stack(own_rows["x"].to_numpy()).astype(float)
+            leads = np.stack(own_rows["leads"].to_numpy()).astype(np.int64)
             side.append((own_rows["id"].to_numpy(), x, unit(x), [*leads.T, np.arange(len(x))], own_rows["weight"].to_numpy(np.int64)))
         (ia, xa, ua, la, wa), (ib, xb, ub, lb, wb) = side
         ca, cb, root = traverse(xa, ua, la, wa, xb, ub, lb, wb, a == b, least)
