@@ -132,3 +132,13 @@ def da_examples(turns: DataFrame, speaker: str) -> DataFrame:
 
     before = F.lag("text").over(W.partitionBy("dia_no", "label").orderBy("pos"))
     return turns.withColumn("context", F.coalesce(before, F.lit(""))).where(F.col("role") == speaker)
+
+
+def nlu_prompt(examples: DataFrame, intents: list[tuple[str, str]], slots: list[tuple[str, str]], speaker: str) -> DataFrame:
+    """One row: the prompt for act extraction, with the ontology's words and the examples (context, text, acts) in order."""
+    from .features import act_name
+
+    head = "\n".join(["Intents:", *[f"- {n}: {d}" for n, d in intents], "Slots:", *[f"- {n}: {d}" for n, d in slots], "Answer with a JSON list of [intent, domain, slot, value] in <DA></DA> tags.", ""])
+    shown = F.concat(F.lit("Context: "), F.col("context"), F.lit(f"\n{speaker}: "), F.col("text"), F.lit("\n<DA>"), F.array_join(F.transform("acts", act_name), ";"), F.lit("</DA>"))
+    ordered = F.array_sort(F.collect_list(F.struct("dia_no", "pos", shown.alias("t"))))
+    return examples.agg(F.concat(F.lit(head), F.array_join(F.transform(ordered, lambda x: x["t"]), "\n")).alias("prompt"))

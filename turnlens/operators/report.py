@@ -111,3 +111,19 @@ def report_html(turns: list[dict]) -> str:
         words = " ".join(f'<span style="background:rgba({rgb},{a:.2f})">{html.escape(w)}</span>' for w, a in t["tokens"])
         parts.append(f"<section><p>{words}</p><p>{html.escape(t['token_text'])}</p><p>{html.escape(t['act_text'])}</p></section>")
     return "\n".join(parts)
+
+
+def last_turn_clouds(acts: DataFrame, top: DataFrame, least: int = 2) -> DataFrame:
+    """Phrase clouds (dia_no, label, side, phrase, weight) of the acts of each dialogue's last user turn. The top profiles of
+    its acts are added up; a class that no act has profiles for has no cloud."""
+    from pyspark.sql import Window as W
+
+    last = acts.withColumn("_last", F.max("turn_no").over(W.partitionBy("dia_no", "label"))).where("turn_no = _last").select("dia_no", "label", "intent", "domain", "slot").distinct()
+    summed = last.join(top.where("scope = 'act'"), ["intent", "domain", "slot"]).groupBy("dia_no", "label", "side", "ngram").agg(F.sum("score").alias("score"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = merged_phrases(dict(zip(pdf["ngram"], pdf["score"])), least)
+        return pd.DataFrame([(*pdf[["dia_no", "label", "side"]].iloc[0], p, float(s)) for p, s in found.items()], columns=["dia_no", "label", "side", "phrase", "score"])
+
+    merged = summed.groupBy("dia_no", "label", "side").applyInPandas(run, "dia_no long, label int, side string, phrase string, score double")
+    return merged.select("dia_no", "label", "side", "phrase", phrase_weight(F.col("score"), F.col("phrase")).alias("weight"))

@@ -872,6 +872,102 @@ def e2e_convo(spark, d):
     return e2e_dataset(goals, goals.limit(0).withColumn("is_complete", F.lit(True)), 50, make)
 
 
+AS_SQL = "sa AS (SELECT *, (length(value) % 5 - 2) / 10.0 AS score FROM ax)"
+
+
+def _scored_acts(spark, d):
+    return profiles.turn_acts(spark, d).withColumn("score", C.lexicon_weight(F.col("value")))
+
+
+@query("top_act", B.with_(B.T, B.TA, B.U, B.UA, B.UT, B.K, B.P, B.AX, AS_SQL) + "SELECT dia_no, label, turn_no, act_i, intent, domain, slot FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY CASE WHEN pred = 1 THEN -score ELSE score END, act_i) AS r FROM sa JOIN p USING (dia_no, label, turn_no)) WHERE r = 1")
+def top_act(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = _scored_acts(spark, d).join(C.predictions(spark, d), KEY)
+    order = W.partitionBy(*KEY).orderBy(F.when(F.col("pred") == 1, -F.col("score")).otherwise(F.col("score")), "act_i")
+    return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(*KEY, "act_i", "intent", "domain", "slot")
+
+
+@query("top3_boxed", B.with_(B.T, B.U, B.UT, B.K, B.P) + "SELECT dia_no, label, turn_no, idx, token FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k JOIN p USING (dia_no, label, turn_no) WHERE CASE WHEN pred = 1 THEN score > 0 ELSE score < 0 END) WHERE r <= 3")
+def top3_boxed(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = C.explained_tokens(spark, d).join(C.predictions(spark, d), KEY).where(F.when(F.col("pred") == 1, F.col("score") > 0).otherwise(F.col("score") < 0))
+    order = W.partitionBy(*KEY).orderBy(F.abs("score").desc(), "idx")
+    return rows.withColumn("r", F.row_number().over(order)).where("r <= 3").select(*KEY, "idx", "token")
+
+
+@query("sentence_assign", ORACLE["sentence_index"].replace("SELECT dia_no, label, turn_no, idx, CAST(coalesce", ", si AS (SELECT dia_no, label, turn_no, idx, CAST(coalesce") + ")," + B.UT + "," + B.K + " SELECT dia_no, label, turn_no, idx, k.token, sentence FROM k JOIN si USING (dia_no, label, turn_no, idx)")
+def sentence_assign(spark, d):
+    numbered = X.sentences(_spaced(spark, d), KEY).select(*KEY, "idx", "sentence")
+    return C.explained_tokens(spark, d).join(numbered, [*KEY, "idx"]).select(*KEY, "idx", "token", "sentence")
+
+
+@query("expl_utt_turn", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, turn_no, coalesce(string_agg(CASE WHEN r <= 3 THEN token ELSE '<mask>' END, ' ' ORDER BY idx), '') AS masked_sample FROM ut LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k) USING (dia_no, label, turn_no) GROUP BY ALL")
+def expl_utt_turn(spark, d):
+    e = C.explanations(spark, d).withColumn("mask", SE.importance_mask(SE.important_ids(SE.topk_absolute(F.col("explanation"), 3)), F.col("n_features")))
+    return e.select(*KEY, FE.mask_apply_utt(F.col("tok"), F.col("mask")).alias("masked_sample"))
+
+
+@query("expl_da_turn", B.with_(B.T, B.TA, B.U, B.UA, B.AX, AS_SQL) + "SELECT dia_no, label, turn_no, string_agg(intent || '|' || domain || '|' || slot || '|' || value, ';' ORDER BY act_i) AS masked_sample FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, act_i) AS r FROM sa) WHERE r <= 2 GROUP BY ALL")
+def expl_da_turn(spark, d):
+    u = C.user_turns(spark, d).where(F.size("acts") > 0)
+    e = F.transform("acts", lambda a, i: F.struct(i.alias("idx"), FE.act_name(a).alias("text"), C.lexicon_weight(a["value"]).alias("score")))
+    mask = SE.importance_mask(SE.important_ids(SE.topk_absolute(F.col("e"), 2)), F.size("acts"))
+    return u.withColumn("e", e).select(*KEY, utt_acts(FE.mask_apply_da(F.array("acts"), mask)).alias("masked_sample"))
+
+
+@query("expl_dialogue", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, string_agg(turn_no || ':' || idx, ',' ORDER BY turn_no, idx) AS important FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label ORDER BY abs(score) DESC, turn_no, idx) AS r FROM k) WHERE r <= 5 GROUP BY ALL")
+def expl_dialogue(spark, d):
+    """Dialogue-level attribution of complete dialogues: the five strongest of all user tokens."""
+    each = F.transform(F.col("explanation"), lambda x: F.struct((-F.abs(x["score"])).alias("r"), F.col("turn_no").alias("t"), x["idx"].alias("i")))
+    whole = C.explanations(spark, d).groupBy("dia_no", "label").agg(F.flatten(F.collect_list(each)).alias("e"))
+    top = F.array_sort(F.transform(F.slice(F.array_sort("e"), 1, 5), lambda x: F.struct(x["t"].alias("t"), x["i"].alias("i"))))
+    return whole.where(F.size("e") > 0).select("dia_no", "label", F.array_join(F.transform(top, lambda x: F.concat_ws(":", x["t"].cast("string"), x["i"].cast("string"))), ",").alias("important"))
+
+
+@query("aggregation_class")
+def aggregation_class(spark, d):
+    top = PR.top_profile(profiles.profile(spark, d).withColumn("score", r6("score")))
+    return R.last_turn_clouds(profiles.turn_acts(spark, d), top).select("dia_no", "label", "side", "phrase", r6("weight").alias("weight"))
+
+
+@query("global_cloud")
+def global_cloud(spark, d):
+    top = PR.top_profile(profiles.profile(spark, d).withColumn("score", r6("score"))).where("scope = 'global'")
+    return R.clouds(top).select("side", "phrase", r6("weight").alias("weight"))
+
+
+@query("nlu_prompt")
+def nlu_prompt(spark, d):
+    examples = AC.da_examples(C.turns(spark, d), "user").where("dia_no < 3")
+    return AC.nlu_prompt(examples, [("inform", "tells something"), ("request", "asks for something")], [("price", "price per night")], "user")
+
+
+@query("turn_templates", B.with_(B.T, B.U) + "SELECT dia_no, label, turn_no, 'Goal: ' || dia_no || '. The user said: ' || text AS prompt FROM u")
+def turn_templates(spark, d):
+    return C.user_turns(spark, d).select(*KEY, X.template("Goal: $goal. The user said: $said", goal=F.col("dia_no"), said=F.col("text")).alias("prompt"))
+
+
+@query("sim_to_table", B.with_(EMB_SQL) + CSLS_SQL + " SELECT g, i, j, round_even(csls, 4) AS csls FROM cs")
+def sim_to_table(spark, d):
+    return M.sim_to_table(M.csls(M.pairwise_sim(*_sides(spark, d), ["g"]), ["g"])).select("g", "i", "j", "csls")
+
+
+@query("word_embed")
+def word_embed(spark, d):
+    """Hashed word vectors: the deterministic stand-in for an embedding model."""
+    rows = C.explained_tokens(spark, d).select("token").distinct()
+    return rows.select("token", F.round(M.dot(M.unit(M.hashed_embedding(F.col("token"))), M.unit(M.hashed_embedding(F.col("token")))), 6).alias("self"))
+
+
+@query("binomial", "SELECT event_id, event_id % 12 AS n, event_id % 5 AS r, CAST(CASE WHEN event_id % 5 > event_id % 12 THEN 0 ELSE factorial(CAST(event_id % 12 AS INTEGER)) // (factorial(CAST(event_id % 5 AS INTEGER)) * factorial(CAST(event_id % 12 - event_id % 5 AS INTEGER))) END AS BIGINT) AS c FROM events")
+def binomial(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 12).alias("n"), (F.col("event_id") % 5).alias("r"))
+    fact = lambda c: F.factorial(c.cast("int"))
+    return e.select("event_id", "n", "r", F.when(F.col("r") > F.col("n"), F.lit(0)).otherwise((fact(F.col("n")) / (fact(F.col("r")) * fact(F.col("n") - F.col("r")))).cast("long")).cast("long").alias("c"))
+
+
 @query("flagship", B.with_(B.T, B.U, B.UT, B.NG) + """, c AS (SELECT 'global' AS scope, '' AS intent, '' AS domain, '' AS slot, ngram, sum(CAST(score > 0 AS INTEGER)) AS a_n, sum(CAST(score < 0 AS INTEGER)) AS b_n, 0.0 AS a_s, 0.0 AS b_s FROM ng WHERE score <> 0 GROUP BY ngram),""" + B.metric_sql("fwlor") + """
  SELECT side, CAST(rank AS INTEGER) AS rank, ngram, abs(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(s) DESC, ngram) AS rank FROM (SELECT *, round(score, 6) AS s, CASE WHEN score > 0 THEN 'ai' ELSE 'human' END AS side FROM m WHERE round(score, 6) <> 0)) WHERE rank <= 20""")
 def flagship(spark, d):
