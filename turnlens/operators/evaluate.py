@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 KEY = ["dia_no", "turn_no", "label"]
 
 
@@ -77,7 +79,7 @@ def remove_iterative(rows: DataFrame, depth: int) -> DataFrame:
     """Rows (turn key, tok, order): one state for each step 0 .. depth - 1; step k has lost all of the first k words."""
     states = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("step"))
     gone = F.slice("order", F.lit(1), F.col("step"))
-    return states.withColumn("state", F.filter("tok", lambda t: ~F.array_contains(gone, F.lower(t))))
+    return states.withColumn("state", let(gone, lambda g: F.filter("tok", lambda t: ~F.array_contains(g, F.lower(t)))))
 
 
 def position_bucket(position: Column, n: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import MASK
+from ..functions.columns import let
 from ..sources.conversations import ACTS, none_da, tokens
 
 
@@ -38,19 +39,20 @@ def dia_features(texts: Column, utterances: Column) -> Column:
 
 def mask_apply_utt(toks: Column, mask: Column, replacement: str = MASK) -> Column:
     """Tokens without a bit, or with bit 0, become the mask token; the sequence keeps its length."""
-    kept = F.transform(toks, lambda t, i: F.when(F.coalesce(F.get(mask, i), F.lit(0)) == 1, t).otherwise(F.lit(replacement)))
+    kept = let(mask, lambda m: F.transform(toks, lambda t, i: F.when(F.coalesce(F.get(m, i), F.lit(0)) == 1, t).otherwise(F.lit(replacement))))
     return F.trim(F.array_join(kept, " "))
 
 
 def mask_apply_da(utterances: Column, mask: Column, offset=0) -> Column:
     """Acts with bit 0 go; an utterance that loses all is left with the sentinel, which takes no bit itself."""
-    before = lambda i: F.aggregate(F.slice(utterances, F.lit(1), i), F.lit(0), lambda n, u: n + F.when(is_none(u), 0).otherwise(F.size(u)))
+    offset = offset if isinstance(offset, Column) else F.lit(offset)
+    before = lambda us, i: offset + F.aggregate(F.slice(us, F.lit(1), i), F.lit(0), lambda n, u: n + F.when(is_none(u), 0).otherwise(F.size(u)))
 
-    def of(u: Column, i: Column) -> Column:
-        kept = F.filter(u, lambda a, j: F.coalesce(F.get(mask, before(i) + j + F.lit(offset) if not isinstance(offset, Column) else before(i) + j + offset), F.lit(0)) == 1)
-        return F.when(is_none(u) | (F.size(kept) == 0), none_da()).otherwise(kept)
+    def of(us: Column, m: Column, u: Column, i: Column) -> Column:
+        kept = let(before(us, i), lambda first: F.filter(u, lambda a, j: F.coalesce(F.get(m, first + j), F.lit(0)) == 1))
+        return let(kept, lambda k: F.when(is_none(u) | (F.size(k) == 0), none_da()).otherwise(k))
 
-    return F.transform(utterances, of).cast(f"array<{ACTS}>")
+    return let(utterances, lambda us: let(mask, lambda m: F.transform(us, lambda u, i: of(us, m, u, i)))).cast(f"array<{ACTS}>")
 
 
 def mask_apply_dia(toks: Column, utterances: Column, mask: Column) -> tuple[Column, Column]:
@@ -59,4 +61,4 @@ def mask_apply_dia(toks: Column, utterances: Column, mask: Column) -> tuple[Colu
 
 
 def mask_drop_words(words: Column, mask: Column) -> Column:
-    return F.array_join(F.filter(words, lambda w, i: F.coalesce(F.get(mask, i), F.lit(0)) == 1), " ")
+    return F.array_join(let(mask, lambda m: F.filter(words, lambda w, i: F.coalesce(F.get(m, i), F.lit(0)) == 1)), " ")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 SCOPE = ["scope", "intent", "domain", "slot"]
 #: The prior's weight, the term that keeps denominators from 0, the score of tokens without one.
 PRIOR, TINY, NO_SCORE = 2.0, 1e-9, -100.0
@@ -17,6 +19,10 @@ PRIOR, TINY, NO_SCORE = 2.0, 1e-9, -100.0
 
 def ngrams(toks: Column, scores: Column, max_n: int) -> Column:
     """All n-grams of n = 1 .. max_n with the mean score of their tokens, as an array of (ngram, score)."""
+    return let(toks, lambda t: let(scores, lambda s: _ngrams(t, s, max_n)))
+
+
+def _ngrams(toks: Column, scores: Column, max_n: int) -> Column:
     size = F.least(F.size(toks), F.size(scores))
 
     def of(n: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 
 def _sorted(explanation: Column, rank) -> Column:
     """By ``rank`` downwards, then by index."""
@@ -39,4 +41,4 @@ def important_ids(top: Column) -> Column:
 
 
 def importance_mask(ids: Column, n: Column) -> Column:
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(ids, i).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, let(ids, lambda own: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(own, i).cast("int")))).otherwise(F.array().cast("array<int>"))

@@ -65,6 +65,7 @@ def detect_stream(messages: DataFrame, scorer, k: int = 3, idle_ms: int | None =
 
 def detect_batch(messages: DataFrame, k: int = 3) -> DataFrame:
     """The batch twin for the linear surrogate, in Column expressions: each turn with all turns before it."""
+    from ..functions.columns import let
     from ..operators.selection import important_ids, topk_absolute
     from ..sources.conversations import lexicon_weight, tokens
 
@@ -72,9 +73,9 @@ def detect_batch(messages: DataFrame, k: int = 3) -> DataFrame:
     e = F.transform(tok, lambda t, i: F.struct(i.alias("idx"), t.alias("text"), lexicon_weight(t).alias("score")))
     rows = messages.withColumn("tok", tok).withColumn("e", e)
     ids = important_ids(topk_absolute(F.col("e"), k)) if k else F.transform("tok", lambda t, i: i)
-    rows = rows.withColumn("ids", ids).withColumn("masked", F.array_join(F.transform("tok", lambda t, i: F.when(F.array_contains("ids", i), t).otherwise("<mask>")), " "))
+    rows = rows.withColumn("ids", ids).withColumn("masked", F.array_join(let(F.col("ids"), lambda own: F.transform("tok", lambda t, i: F.when(F.array_contains(own, i), t).otherwise("<mask>"))), " "))
     total = lambda keep: F.aggregate(F.filter("e", keep), F.lit(0.0), lambda a, x: a + x["score"])
-    rows = rows.withColumn("own", total(lambda x: F.lit(True))).withColumn("kept", total(lambda x: F.array_contains("ids", x["idx"])))
+    rows = rows.withColumn("own", total(lambda x: F.lit(True))).withColumn("kept", let(F.col("ids"), lambda own: total(lambda x: F.array_contains(own, x["idx"]))))
     w = W.partitionBy("session_id").orderBy("seq")
     sigmoid = lambda x: 1 / (1 + F.exp(-x))
     return rows.select("session_id", (F.row_number().over(w) - 1).alias("turn_no"), sigmoid(F.col("own")).alias("turn_prob"), sigmoid(F.sum("kept").over(w)).alias("dia_prob"), F.row_number().over(w).alias("n_turns"), F.array_join(F.collect_list("masked").over(w), " | ").alias("history"))
