@@ -93,7 +93,8 @@ def test_selection_breaks_ties_by_index(spark):
 
 def test_phrases_merge_to_a_fixpoint():
     got = R.merged_phrases({"a b": 1.0, "b c": 2.0, "a b c": 3.0, "c d e": 4.0, "d e f": 5.0, "q": 0.5}, 2)
-    assert got == {"a b": 1.0, "b c": 2.0, "q": 0.5, "c d e f": 5.0}
+    assert got == {"a b c": 3.0, "c d e f": 5.0, "q": 0.5}
+    assert R.merged_phrases({"a b": 1.0, "a b c": 2.0, "z a b c": 3.0}, 3) == {"a b": 1.0, "z a b c": 3.0}
     assert R.merged_phrases({}, 2) == {}
 
 
