@@ -12,7 +12,7 @@ are traversed as independent tasks. Equal vectors are one vector with a weight,
 return counts and a label per vector, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-different lengths never link; rows of a repeated vec_id are vectors of their own for counts and one node for components;
+different lengths never link; rows without a vec_id link with nothing and stay; rows of a repeated vec_id are vectors of their own for counts and one node for components;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -238,7 +238,7 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     """Usable vectors, one row for each distinct one: id (its smallest vec_id), x, weight, dim."""
     x = F.transform(vectors["embedding"], lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = vectors.select(vectors["vec_id"], x.alias("x")).where(F.col("x").isNotNull() & (F.size("x") > 0) & ~bad & F.exists("x", lambda v: v != 0))
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null").where(F.col("x").isNotNull() & (F.size("x") > 0) & ~bad & F.exists("x", lambda v: v != 0))
     rows = rows.select("vec_id", F.transform("x", lambda v: v + F.lit(0.0)).alias("x"))
     return rows.groupBy("x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).select("id", "x", "weight", F.size("x").alias("dim"))
 
@@ -324,14 +324,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         c, e = _linked(spark, scratch, distinct.where(F.col("dim") == dim), dim, least)
         counts, edges = (c, e) if counts is None else (counts.unionByName(c), edges.unionByName(e))
     x = F.transform(F.transform(vectors["embedding"], lambda v: v.cast("double")), lambda v: v + F.lit(0.0))
-    rows = vectors.select("vec_id", F.xxhash64(x).alias("h"), x.alias("x"))
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), x.alias("x"))
     if counts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("copies"))
     label = components(scratch, edges, "labels")
     per_class = distinct.join(counts, "id", "left").join(label, distinct["id"] == label["node"], "left").select("x", "id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(per_class, "x", "left")
+    out = rows.join(per_class, (rows["x"] == per_class["x"]) & rows["vec_id"].isNotNull(), "left").drop(per_class["x"])
+    component = F.coalesce("component_id", "vec_id")
     return out.select(
-        "vec_id", F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"), F.coalesce("weight", F.lit(1)).cast("long").alias("copies")
+        "vec_id", F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"), F.coalesce("weight", F.lit(1)).cast("long").alias("copies")
     )
 
 
