@@ -10,6 +10,10 @@ from ..config import CLS, DA_SEP, SEP, SLOT_SEP, SYSTEM_MARK, USER_MARK
 from ..sources.conversations import greet_da, none_da
 
 
+#: Rows of a ring in which rows exchange their values.
+RING = 1000
+
+
 def range_to(n: Column) -> Column:
     """0 to n - 1; empty where n is 0, as sequence() would count down."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -167,9 +171,10 @@ def union_datasets_offset(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def negatives_random_pair(df: DataFrame, keys: list[str], taken: str, seed: int = 2025) -> DataFrame:
-    """Pairs each row with another row's ``taken``: rows stand in a ring by hash, and each takes its successor's."""
+    """Pairs each row with another row's ``taken``: rows stand in rings of about ``RING`` rows by hash, and each takes its
+    successor's. A row that is alone in its ring has no pair."""
     draw = F.xxhash64(F.lit(seed), *keys)
-    bucket = df.withColumn("_h", draw).withColumn("_b", F.pmod("_h", F.lit(64)))
+    bucket = df.withColumn("_h", draw).withColumn("_b", F.pmod("_h", F.lit(max(1, df.count() // RING))))
     order = W.partitionBy("_b").orderBy("_h", *keys)
     ahead = F.coalesce(F.lead(taken).over(order), F.first(taken).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     alone = F.count("*").over(W.partitionBy("_b")) > 1

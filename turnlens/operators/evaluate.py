@@ -66,9 +66,12 @@ def removal_order_original(own: DataFrame, pred: str = "pred") -> DataFrame:
 
 def removal_order_accel(scores: DataFrame, preds: DataFrame, depth: int) -> DataFrame:
     """The profile's own words in order, whether or not the turn holds them, up to depth - 1: two orders serve all turns."""
-    ranked = scores.withColumn("up", F.row_number().over(W.orderBy(F.desc("score"), "ngram"))).withColumn("down", F.row_number().over(W.orderBy("score", "ngram")))
-    first = ranked.where((F.col("up") < depth) | (F.col("down") < depth))
-    return preds.join(F.broadcast(first), F.when(F.col("pred") == 1, F.col("up")).otherwise(F.col("down")) < depth).select(*KEY, F.when(F.col("pred") == 1, F.col("up")).otherwise(F.col("down")).alias("step"), F.col("ngram").alias("token"))
+    def first(pred: int, *order) -> DataFrame:
+        few = scores.orderBy(*order).limit(depth - 1)  # a top-k, so that no task ranks the vocabulary
+        return few.select(F.lit(pred).alias("pred"), F.row_number().over(W.orderBy(*order)).alias("step"), F.col("ngram").alias("token"))
+
+    both = first(1, F.desc("score"), F.col("ngram")).unionByName(first(0, F.col("score"), F.col("ngram")))
+    return preds.join(F.broadcast(both), "pred").select(*KEY, "step", "token")
 
 
 def random_order(own: DataFrame, seed: int = 2025) -> DataFrame:

@@ -38,14 +38,15 @@ def join_predictions(expl: DataFrame, predictions: DataFrame) -> DataFrame:
     return expl.join(once, KEY, "left")
 
 
-def lookup_profile(acts: DataFrame, profile: DataFrame) -> DataFrame:
-    """(turn key, intent, domain, slot) against the profiles of acts; a turn for which no act has entries gets the global
-    profile. Scores of the same n-gram are added up."""
+def lookup_profile(acts: DataFrame, words: DataFrame, profile: DataFrame) -> DataFrame:
+    """Scores of each turn's words (turn key, ngram) from the profiles of its acts (turn key, intent, domain, slot), added
+    up; a turn none of whose acts has a profile takes the global one. Words meet profiles on the n-gram, never as a product."""
     on = ["intent", "domain", "slot"]
-    own = acts.join(profile.where("scope = 'act'").drop("scope"), on).groupBy(*KEY, "ngram").agg(F.sum("score").alias("score"))
-    without = acts.select(*KEY).distinct().join(own.select(*KEY).distinct(), KEY, "left_anti")
-    everywhere = profile.where("scope = 'global'").select("ngram", "score")
-    return own.unionByName(without.withColumn("_k", F.lit(1)).join(everywhere.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    act = profile.where("scope = 'act'").select(*on, "ngram", "score")
+    known = acts.join(F.broadcast(act.select(*on).distinct()), on, "left_semi").select(*KEY, *on).distinct()
+    own = words.join(known, KEY).join(act, [*on, "ngram"]).groupBy(*KEY, "ngram").agg(F.sum("score").alias("score"))
+    without = words.join(known.select(*KEY).distinct(), KEY, "left_anti")
+    return own.unionByName(without.join(profile.where("scope = 'global'").select("ngram", "score"), "ngram").select(*KEY, "ngram", "score"))
 
 
 def lookup_slot_desc(df: DataFrame, slots: DataFrame) -> DataFrame:

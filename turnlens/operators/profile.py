@@ -53,7 +53,7 @@ def metric(counts: DataFrame, name: str, alpha: float = 0.5) -> DataFrame:
     a, b = (F.abs("a_s"), F.abs("b_s")) if by_score else (F.col("a_n").cast("double"), F.col("b_n").cast("double"))
     rows = counts.select(*SCOPE, "ngram", a.alias("a"), b.alias("b"))
     totals = rows.groupBy(*SCOPE).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    rows = rows.join(totals, SCOPE)
+    rows = rows.join(F.broadcast(totals), SCOPE)  # one row for each act of the ontology, so no shuffle by scope
     a, b, ta, tb = (F.col(c) for c in ("a", "b", "ta", "tb"))
     if name.startswith("agg"):
         share = lambda x, t: F.when(t == 0, 0.0).otherwise(x / t)

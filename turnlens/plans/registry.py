@@ -346,13 +346,15 @@ def lookup_prediction(spark, d):
     return C.user_turns(spark, d).select(*KEY).join(C.predictions(spark, d).where("pred = 1"), KEY).select(*KEY, r6("prob").alias("prob"))
 
 
-@query("lookup_profile_fallback", B.PROFILE + "," + B.metric_sql("agg_o") + """, pr AS (SELECT * FROM m WHERE NOT (scope = 'act' AND intent = 'greet')), own AS (SELECT dia_no, label, turn_no, ngram, sum(score) AS score FROM ax JOIN pr USING (intent, domain, slot) WHERE scope = 'act' GROUP BY ALL),
- miss AS (SELECT DISTINCT dia_no, label, turn_no FROM ax ANTI JOIN own USING (dia_no, label, turn_no)),
- al AS (SELECT * FROM own UNION ALL SELECT dia_no, label, turn_no, ngram, score FROM miss, pr WHERE scope = 'global')
- SELECT dia_no, label, turn_no, count(*) AS n, round(sum(score), 5) AS total FROM al GROUP BY ALL""")
+@query("lookup_profile_fallback", B.PROFILE + "," + B.metric_sql("agg_o") + "," + B.K + """, pr AS (SELECT * FROM m WHERE NOT (scope = 'act' AND intent IN ('greet', 'inform'))),
+ wd AS (SELECT DISTINCT dia_no, label, turn_no, lower(token) AS ngram FROM k), kn AS (SELECT DISTINCT dia_no, label, turn_no, intent, domain, slot FROM ax SEMI JOIN (SELECT * FROM pr WHERE scope = 'act') USING (intent, domain, slot)),
+ al AS (SELECT dia_no, label, turn_no, ngram, sum(score) AS score FROM wd JOIN kn USING (dia_no, label, turn_no) JOIN (SELECT * FROM pr WHERE scope = 'act') q USING (intent, domain, slot, ngram) GROUP BY ALL
+  UNION ALL SELECT dia_no, label, turn_no, ngram, q.score FROM (SELECT * FROM wd ANTI JOIN kn USING (dia_no, label, turn_no)) JOIN (SELECT ngram, score FROM pr WHERE scope = 'global') q USING (ngram))
+ SELECT dia_no, label, turn_no, ngram, round(score, 6) AS score FROM al""")
 def lookup_profile_fallback(spark, d):
-    p = profiles.profile(spark, d, "agg_o").where("not (scope = 'act' and intent = 'greet')")
-    return J.lookup_profile(profiles.turn_acts(spark, d), p).groupBy(*KEY).agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total"))
+    p = profiles.profile(spark, d, "agg_o").where("not (scope = 'act' and intent in ('greet', 'inform'))")
+    words = C.explained_tokens(spark, d).select(*KEY, F.lower("token").alias("ngram")).distinct()
+    return J.lookup_profile(profiles.turn_acts(spark, d), words, p).select(*KEY, "ngram", r6("score").alias("score"))
 
 
 @query("lookup_slot_desc", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, act_i, CASE WHEN slot = 'price' THEN 'price per night' ELSE slot END AS slot_text FROM ax")
