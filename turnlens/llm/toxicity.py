@@ -36,6 +36,8 @@ SHARED = 30.0
 MOST_GRAMS = 1 << 18
 #: Evidence of a word beyond which it counts by itself.
 CLEAR = 2.0
+#: Bytes of texts that a task looks at together.
+PART_BYTES = 3 << 20
 BEGIN, END = 1, 2
 LETTERS = byte_table(keep=lambda b: b >= 0x80 or 65 <= b <= 90 or 97 <= b <= 122 or b == 39)
 
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 types, index, at = word_types(part.column("text"))
                 doc = np.repeat(np.arange(part.num_rows), np.diff(at))
                 once = np.unique(doc * len(types) + index) if len(index) else index
@@ -230,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     def look(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 fold = np.asarray(part.column("fold"))
                 for f in np.unique(fold):
                     own = part.filter(pa.array(fold == f))
@@ -255,7 +257,7 @@ def score(docs: DataFrame, model: tuple[Model, Curve] | float, threshold: float
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 kn, curve = sent.value
                 p = curve.score(features(kn, part.column("text")))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, *names])
