@@ -66,6 +66,13 @@ def most_frequent(kept: DataFrame, n: str, most: int) -> DataFrame:
     return kept.where(F.col(n) >= least) if least is not None else kept.limit(0)
 
 
+def collected(df: DataFrame):
+    """A bounded result as a pandas frame, by way of Arrow: neither rows of Python objects nor their pickles are built."""
+    out = df.toArrow().to_pandas()
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

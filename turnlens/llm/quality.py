@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mapped, mix64, slices, table
+from .common import collected, held_out, mapped, mix64, slices, table
 from .toxicity import sample
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -103,7 +103,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[own, d])) for d in range(DIMS))], ["bucket", *(f"d{d}" for d in range(DIMS))])
 
     tables = texts.coalesce(max(1, -(-parts // TOGETHER))).mapInArrow(run, "bucket int, " + ", ".join(f"d{d} long" for d in range(DIMS)))
-    summed = tables.groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)]).toPandas()
+    summed = collected(tables.groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)]))
     out = np.zeros((BUCKETS, DIMS))
     out[summed["bucket"].to_numpy()] = summed.drop(columns="bucket").to_numpy(float)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
         for few, x in pooled_parts(batches, sent.value):
             yield pa.RecordBatch.from_arrays([few.column("y"), few.column("fold"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "fold", "x"])
 
-    seen = sample(docs, labels, label, modulus, most).mapInArrow(look, "y int, fold int, x array<double>").toPandas()
+    seen = collected(sample(docs, labels, label, modulus, most).mapInArrow(look, "y int, fold int, x array<double>"))
     seen["fit"] = seen["fold"] > 0
     if seen["y"].nunique() < 2 or seen.loc[seen["fit"], "y"].nunique() < 2:
         return float(seen["y"].mean()) if len(seen) else 0.0

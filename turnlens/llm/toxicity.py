@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_table, held_out, most_frequent, slices, table, words_of
+from .common import Scratch, byte_table, collected, held_out, most_frequent, slices, table, words_of
 
 #: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, rows of each class in the sample, and folds.
 ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 20_000, 4
@@ -219,16 +219,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
     grams = counted.groupBy("key", "size").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", total)
     scratch = Scratch(docs.sparkSession, "toxicity")
-    grams = most_frequent(scratch.keep(grams, "grams"), "n", MOST_GRAMS).drop("n").toPandas()
+    grams = collected(most_frequent(scratch.keep(grams, "grams"), "n", MOST_GRAMS).drop("n"))
     scratch.drop()
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         rows.unpersist()
         return float(next(iter(kinds), 0))
-    key, size, by_fold = grams["key"].to_numpy(np.int64).view(np.uint64), grams["size"].to_numpy(), grams[names].to_numpy(float)
+    key, size, by_fold = grams["key"].to_numpy(np.int64).view(np.uint64), grams["size"].to_numpy(), grams[names].to_numpy(np.int32)
     toxic, plain = by_fold[:, ::2], by_fold[:, 1::2]
+    del grams
     without = [fit(key[own], size[own], t[own], p[own]) for f in range(FOLDS) for t, p in [(toxic.sum(axis=1) - toxic[:, f], plain.sum(axis=1) - plain[:, f])] for own in [t + p > 0]]
     sent = rows.sparkSession.sparkContext.broadcast(without)
+    del without
 
     def look(batches):
         for batch in batches:
@@ -239,8 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                     x = features(sent.value[f], own.column("text"))
                     yield pa.RecordBatch.from_arrays([own.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "x"])
 
-    seen = rows.mapInArrow(look, "y int, x array<double>").toPandas()
+    seen = collected(rows.mapInArrow(look, "y int, x array<double>"))
     rows.unpersist()
+    sent.destroy()
     x = np.stack(seen["x"].to_numpy())
     order = np.lexsort(x.T)  # rows arrive in any order
     return fit(key, size, toxic.sum(axis=1), plain.sum(axis=1)), Curve.fit(x[order], seen["y"].to_numpy(float)[order])
