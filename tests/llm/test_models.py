@@ -146,3 +146,16 @@ def test_scores_without_training_rows(spark):
     ids = [i for i in range(400) if out_of(i, 7)][:5]
     out = L.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).toPandas()
     assert (out["n_known"] == 0).all() and (out["train_tokens"] == 0).all() and np.allclose(out["base_score"], 0) and np.isfinite(out["score"]).all()
+
+
+def test_rare_grams_stay_in_the_toxicity_model(spark):
+    r = random.Random(9)
+    name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = [" ".join(name(9) for _ in range(1000)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model, _ = T.train(docs, labels)
+    used = [w for i, t in enumerate(texts) if not out_of(i, 4) for w in t.split()]
+    _, key, size = T.windows(pa.array(used))
+    want = np.unique(key[size == T.ORDER])
+    assert len(want) > 90_000 and np.isin(want, model.grams[T.ORDER][0]).all()

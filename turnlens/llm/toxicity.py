@@ -10,7 +10,8 @@ one. A logistic curve turns evidence into a probability; it is fitted on evidenc
 counts without its own fold.
 
 Labels are learned from a bounded sample: of the allowed rows, the ``most`` with the smallest hashed text of each class.
-Texts are read whole, in training and scoring alike.
+Texts are read whole, in training and scoring alike, and the models keep every gram of the sample: its rows alone bound
+what the driver gets and sends.
 
 Defined cases: a null or wordless text has no evidence and gets the score of that; without labels of both classes every
 score is the share of toxic labels (0 without any label); repeated rows score alike; labels that are null or repeated
@@ -22,18 +23,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_table, collected, held_out, most_frequent, slices, table, words_of
+from .common import byte_table, collected, held_out, slices, table, words_of
 
 #: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, rows of each class in the sample, and folds.
 ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 20_000, 4
 #: Observations of both classes together that each class's distribution after a context is mixed with.
 SHARED = 30.0
-#: Grams of the longest order that the model keeps, the most frequent; bounds what the driver gets and sends.
-MOST_GRAMS = 1 << 18
 #: Evidence of a word beyond which it counts by itself.
 CLEAR = 2.0
 #: Bytes of texts that a task looks at together.
@@ -104,39 +104,46 @@ class Model:
 
 
 def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> Model:
-    """The model from counts of the longest grams by class. Grams shorter than ORDER begin a word."""
+    """The model from counts of the longest grams by class. Grams shorter than ORDER begin a word. Columns of one class
+    are held at a time, as the driver has little room."""
     order, grams, level = ORDER, {}, {}
     for k in range(order, 0, -1):
         own = size == k
-        g, c = key[own], np.stack([toxic[own], plain[own]], axis=1).astype(float)
+        g, counts = key[own], [toxic[own], plain[own]]
         if k < order:  # continuation counts: different grams of the level above that end in this one, by class
-            up, uc = level[k + 1]
-            g = np.concatenate([g, up & mask(k)])
-            c = np.concatenate([c, (uc > 0).astype(float)])
-        who, at = np.unique(g, return_inverse=True)
-        total = np.zeros((len(who), 2))
-        for x in (0, 1):
-            total[:, x] = np.bincount(at, weights=c[:, x], minlength=len(who))
-        level[k] = (who, total)
-    who, total = level[1]
-    shared = (total.sum(axis=1) + 1) / (total.sum() + 256)
-    prob = np.stack([shared, shared, shared], axis=1)
+            g = np.concatenate([g, level[k + 1][0] & mask(k)])
+            counts = [np.concatenate([c, up > 0]) for c, up in zip(counts, level[k + 1][1])]
+        by = np.argsort(g)
+        g = g[by]
+        first = np.flatnonzero(np.diff(g, prepend=~g[:1]))
+        level[k] = (g[first], [np.add.reduceat(c[by].astype(np.int64), first).astype(np.int32) if len(first) else np.empty(0, np.int32) for c in counts])
+    who, total = level.pop(1)
+    shared = (total[0].astype(float) + total[1] + 1) / (float(total[0].sum()) + float(total[1].sum()) + 256)
+    prob = [shared, shared, shared]
     grams[1] = (who, np.zeros(len(who)))
     for k in range(2, order + 1):
         lower_who, lower_prob = who, prob
-        who, total = level[k]
-        both = np.hstack([total, total.sum(axis=1, keepdims=True)])
-        low = np.searchsorted(lower_who, who & mask(k - 1))
-        ctx, at = np.unique(who >> np.uint64(8), return_inverse=True)
-        mass, kinds = np.zeros((len(ctx), 3)), np.zeros((len(ctx), 3))
-        for x in (0, 1, 2):
-            mass[:, x] = np.bincount(at, weights=both[:, x], minlength=len(ctx))
-            kinds[:, x] = np.bincount(at, weights=both[:, x] > 0, minlength=len(ctx))
-        back = np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0)
-        prob = np.maximum(both - DISCOUNT, 0) / np.maximum(mass[at], 1) + back[at] * lower_prob[low]
-        own, pooled = mass[at][:, :2], prob[:, 2:]
-        prob = np.hstack([(own * prob[:, :2] + SHARED * pooled) / (own + SHARED), pooled])
-        grams[k] = (who, np.log(prob[:, 0]) - np.log(prob[:, 1]))
+        who, total = level.pop(k)
+        low = np.searchsorted(lower_who, who & mask(k - 1)).astype(np.int32)
+        new = np.diff(who >> np.uint64(8), prepend=~(who[:1] >> np.uint64(8))) != 0
+        first, at = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
+
+        def after(count, lower):
+            mass, kinds = (np.add.reduceat(x.astype(float), first) if len(first) else np.empty(0) for x in (count, count > 0))
+            out = np.maximum(count - DISCOUNT, 0)
+            out /= np.maximum(mass, 1)[at]
+            out += np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0)[at] * lower[low]
+            return out, mass
+
+        pooled, prob = after(total[0] + total[1], lower_prob[2])[0], []
+        for x in (0, 1):
+            own, mass = after(total[x], lower_prob[x])
+            own *= mass[at]
+            own += SHARED * pooled
+            own /= (mass + SHARED)[at]
+            prob.append(own)
+        prob.append(pooled)
+        grams[k] = (who, np.log(prob[0]) - np.log(prob[1]))
     return Model([(np.empty(0, np.uint64), np.empty(0)), *[grams[k] for k in range(1, order + 1)]])
 
 
@@ -216,34 +223,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     names = [f"{c}{f}" for f in range(FOLDS) for c in ("toxic", "plain")]
     counted = rows.mapInArrow(count, "key long, size int, " + ", ".join(f"{c} long" for c in names))
-    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-    grams = counted.groupBy("key", "size").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", total)
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    grams = collected(most_frequent(scratch.keep(grams, "grams"), "n", MOST_GRAMS).drop("n"))
-    scratch.drop()
+    grams = counted.groupBy("key", "size").agg(*[F.sum(c).cast("int").alias(c) for c in names]).toArrow()
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         rows.unpersist()
         return float(next(iter(kinds), 0))
-    key, size, by_fold = grams["key"].to_numpy(np.int64).view(np.uint64), grams["size"].to_numpy(), grams[names].to_numpy(np.int32)
-    toxic, plain = by_fold[:, ::2], by_fold[:, 1::2]
+    key, size = grams["key"].to_numpy().view(np.uint64), grams["size"].to_numpy().astype(np.int8)
+    toxic, plain = (np.stack([grams[c].to_numpy() for c in names[x::2]], axis=1) for x in (0, 1))
     del grams
-    without = [fit(key[own], size[own], t[own], p[own]) for f in range(FOLDS) for t, p in [(toxic.sum(axis=1) - toxic[:, f], plain.sum(axis=1) - plain[:, f])] for own in [t + p > 0]]
-    sent = rows.sparkSession.sparkContext.broadcast(without)
-    del without
-
-    def look(batches):
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                fold = np.asarray(part.column("fold"))
-                for f in np.unique(fold):
-                    own = part.filter(pa.array(fold == f))
-                    x = features(sent.value[f], own.column("text"))
-                    yield pa.RecordBatch.from_arrays([own.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "x"])
-
-    seen = collected(rows.mapInArrow(look, "y int, x array<double>"))
+    pa.default_memory_pool().release_unused()
+    parts = []
+    for f in range(FOLDS):  # one after the other: the driver and its tasks hold one fold's model at a time
+        t, p = toxic.sum(axis=1) - toxic[:, f], plain.sum(axis=1) - plain[:, f]
+        own = t + p > 0
+        sent = rows.sparkSession.sparkContext.broadcast(fit(key[own], size[own], t[own], p[own]))
+
+        def look(batches, sent=sent):
+            for batch in batches:
+                for part in slices(batch, "text", PART_BYTES):
+                    x = features(sent.value, part.column("text"))
+                    yield pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))], ["y", "x"])
+
+        parts.append(collected(rows.where(F.col("fold") == f).select("text", "y").mapInArrow(look, "y int, x array<double>")))
+        sent.destroy()
     rows.unpersist()
-    sent.destroy()
+    seen = pd.concat([part for part in parts if len(part)])
     x = np.stack(seen["x"].to_numpy())
     order = np.lexsort(x.T)  # rows arrive in any order
     return fit(key, size, toxic.sum(axis=1), plain.sum(axis=1)), Curve.fit(x[order], seen["y"].to_numpy(float)[order])
