@@ -159,3 +159,20 @@ def test_rare_grams_stay_in_the_toxicity_model(spark):
     _, key, size = T.windows(pa.array(used))
     want = np.unique(key[size == T.ORDER])
     assert len(want) > 90_000 and np.isin(want, model.grams[T.ORDER][0]).all()
+
+
+def test_every_baum_welch_round_covers_whole_training_texts_until_the_gain_is_small(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{w % 7}" for w in range(2500 if i < 4 else 60))) for i in range(40)], "doc_id long, text string").repartition(3)
+    real, seen = L._expectation, []
+
+    def spy(rows, model):
+        seen.append(real(rows, model))
+        return seen[-1]
+
+    monkeypatch.setattr(L, "_expectation", spy)
+    monkeypatch.setattr(L, "begin", lambda *a, begin=L.begin: (seen.clear(), begin(*a))[1])
+    monkeypatch.setattr(L.Expected, "add", lambda *a: pytest.fail("rounds run on the driver"))
+    n = L.score(docs).first()["train_tokens"]
+    assert len(seen) > 2 and all(e.emit.sum() == pytest.approx(n) for e in seen)
+    gains = [(b.log - a.log) / abs(b.log) for a, b in zip(seen, seen[1:])]
+    assert gains[-1] <= L.GAIN and all(g > L.GAIN for g in gains[:-1])

@@ -8,8 +8,10 @@ count, N' and V' the tokens and types outside the vocabulary in training and one
 share does not depend on the state, so it factors out of the recursion, and only sums of log(c + 1) per document have to
 meet the counts: those travel as 64-bit word hashes, twice through a shuffle, and no table of words is ever collected.
 
-The vocabulary is chosen on a bounded sample of training documents and so is the point where Baum-Welch starts; counts,
-expectations and everything that a score holds cover all training documents and whole texts.
+The vocabulary is chosen on a bounded sample of training documents. Baum-Welch starts at random: each state at the usual
+words of one whole document, of which a sample is looked through for those that differ most. Every round then covers all
+training documents and whole texts, as do counts and everything that a score holds; rounds end when one raises the
+log-likelihood by a share below ``GAIN``.
 
 Defined cases: a null or empty text is one end; repeated rows count and score as rows; without training documents all
 words are unknown and the model falls back to even shares; an empty table gives no rows; extra columns are ignored.
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_table, collected, held_out, most_frequent, slices, table, word_hashes, words_of
 
-STATES, VOCABULARY, ROUNDS = 8, 1 << 17, 2
-#: About so many documents that the vocabulary is chosen on; about so many documents, so many words of each and rounds
-#: for the start of Baum-Welch.
-SAMPLE, START_DOCS, START_WORDS, START_ROUNDS = 20_000, 1000, 2000, 12
+STATES, VOCABULARY = 8, 1 << 17
+#: Baum-Welch ends with the first round whose log-likelihood is better by a smaller share than this, or with so many rounds.
+GAIN, ROUNDS = 1e-3, 100
+#: About so many documents that the vocabulary is chosen on; about so many documents that states may start at, and the
+#: usual symbols by which these differ.
+SAMPLE, START_DOCS, USUAL = 20_000, 1000, 2000
 #: Weight of the unigram shares in every state's emissions, in tokens; tokens that a task recurses over at once.
 PRIOR, AT_ONCE = 200.0, 1 << 18
 #: Input partitions whose expected counts one task adds up.
@@ -88,10 +92,12 @@ class Expected:
 
     def __init__(self, states: int, symbols: int):
         self.start, self.move, self.emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
+        self.log = 0.0  # log-likelihood of what was added, under the model that it was added with
 
     def add(self, model: Hmm, sequences: list[np.ndarray]) -> None:
         flat, at, _ = lined_up(sequences)
         alpha, scale, emit = forward(model, flat, at)
+        self.log += np.log(scale).sum()
         gamma, beta, ahead = np.empty_like(alpha), None, None
         for t in range(len(at) - 2, -1, -1):
             s, n = slice(at[t], at[t + 1]), at[t + 1] - at[t]
@@ -124,33 +130,35 @@ def grouped(sequences: list[np.ndarray], most: int = AT_ONCE):
         yield np.array(held)
 
 
-def begin(sequences: list[np.ndarray], shares: np.ndarray, states: int = STATES, seed: int = 5) -> Hmm:
-    """A start for Baum-Welch: states begin at documents that differ most, then some rounds over the given sequences."""
+def begin(counts: np.ndarray, usual: np.ndarray, shares: np.ndarray, states: int = STATES, seed: int = 5) -> Hmm:
+    """Where Baum-Welch starts: states at the documents that differ most, by their counts of usual symbols [document][usual]."""
     sticky = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(sticky, 0.9 if states > 1 else 1.0)
     even = np.full(states, 1 / states)
-    if not sequences:
+    if not len(counts):
         return Hmm(even, sticky, np.repeat(shares[:, None], states, axis=1))
-    usual = np.argsort(-shares, kind="stable")[:2000]
-    place = np.full(len(shares), -1)
-    place[usual] = np.arange(len(usual))
-    x = np.stack([np.bincount(place[s][place[s] >= 0], minlength=len(usual)) for s in sequences]).astype(float)
-    x = np.sqrt(x) / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-    picked = [int(np.argmax([len(s) for s in sequences]))]
-    while len(picked) < min(states, len(sequences)):
+    x = np.sqrt(counts) / np.maximum(np.sqrt(counts.sum(axis=1, keepdims=True)), 1)
+    picked = [int(np.argmax(counts.sum(axis=1)))]
+    while len(picked) < min(states, len(counts)):
         picked.append(int((x @ x[picked].T).max(axis=1).argmin()))
-    near = (x @ x[picked].T).argmax(axis=1)
-    rng, emit = np.random.default_rng(seed), np.empty((len(shares), states))
+    emit = PRIOR * shares[:, None] * np.random.default_rng(seed).uniform(0.5, 1.5, (len(shares), states))
     for k in range(states):
-        own = [sequences[i] for i in np.flatnonzero(near == k % len(picked))]
-        emit[:, k] = np.bincount(np.concatenate(own), minlength=len(shares)) + PRIOR * shares * rng.uniform(0.5, 1.5, len(shares))
-    model = Hmm(even, sticky, emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS):
-        expected = Expected(states, len(shares))
-        for group in grouped(sequences):
-            expected.add(model, [sequences[i] for i in group])
-        model = expected.model(model, shares)
-    return model
+        emit[usual, k] += counts[picked[k % len(picked)]]
+    return Hmm(even, sticky, emit / emit.sum(axis=0))
+
+
+def _usual_counts(rows: DataFrame, usual: np.ndarray, symbols: int) -> DataFrame:
+    """rid and how often each usual symbol occurs in the whole document."""
+    place = np.full(symbols, len(usual))
+    place[usual] = np.arange(len(usual))
+
+    def run(batches):
+        for batch in batches:
+            found = [np.bincount(place[s], minlength=len(usual) + 1)[: len(usual)] for s in _lists(batch.column("symbols"))]
+            at = np.arange(len(found) + 1, dtype=np.int32) * len(usual)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))], ["rid", "counts"])
+
+    return rows.select("rid", "symbols").mapInArrow(run, "rid long, counts array<long>")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -218,8 +226,8 @@ def _expectation(rows: DataFrame, model: Hmm) -> Expected:
             for group in grouped(sequences):
                 total.add(sent.value, [sequences[i] for i in group])
         met = np.flatnonzero(total.emit.any(axis=1))
-        key = np.concatenate([met, -1 - np.arange(states), [-1 - states]])
-        value = np.concatenate([total.emit[met], total.move, total.start[None, :]])
+        key = np.concatenate([met, -1 - np.arange(states), [-1 - states, -2 - states]])
+        value = np.concatenate([total.emit[met], total.move, total.start[None, :], np.full((1, states), total.log)])
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(pa.array(np.ascontiguousarray(value[:, k])) for k in range(states))], ["key", *(f"s{k}" for k in range(states))])
 
     parts = rows.rdd.getNumPartitions()
@@ -229,7 +237,9 @@ def _expectation(rows: DataFrame, model: Hmm) -> Expected:
     out = Expected(states, symbols)
     out.emit[key[key >= 0]] = value[key >= 0]
     for k, v in zip(key[key < 0], value[key < 0]):
-        if k == -1 - states:
+        if k == -2 - states:
+            out.log = v[0]
+        elif k == -1 - states:
             out.start = v
         else:
             out.move[-1 - k] = v
@@ -270,10 +280,15 @@ def score(docs: DataFrame, modulus: int = 7, states: int = STATES, vocabulary: i
 
     share = min(1.0, START_DOCS / max(1, int(counts[END])))
     chosen = rows.where("train").where(F.pmod(F.xxhash64(F.lit(12), "doc_id", "rid"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    start = collected(chosen.select("rid", F.slice("symbols", 1, START_WORDS).alias("symbols"))).sort_values("rid")
-    model = begin([np.asarray(s, np.int64) for s in start["symbols"]], shares, states)
+    usual = np.argsort(-shares, kind="stable")[:USUAL]
+    start = collected(_usual_counts(chosen, usual, len(counts))).sort_values("rid")
+    model, before = begin(np.stack(start["counts"].to_numpy()).astype(float) if len(start) else np.empty((0, len(usual))), usual, shares, states), -np.inf
     for _ in range(rounds):
-        model = _expectation(rows.where("train"), model).model(model, shares)
+        expected = _expectation(rows.where("train"), model)
+        model = expected.model(model, shares)
+        if expected.log - before <= GAIN * abs(expected.log):
+            break
+        before = expected.log
     sent = spark.sparkContext.broadcast((model, np.where(np.arange(len(counts)) == OTHER, 0.0, np.log10(counts + 1.0)), (counts > 0) & (np.arange(len(counts)) != OTHER)))
 
     def recurse(batches):
