@@ -742,10 +742,6 @@ def _terms(df):
     return df.select("dia_no", "turn_no", "label", "n_features", F.round("r2", 4).alias("r2"), F.posexplode("explanation").alias("rank", "e")).select("dia_no", "turn_no", "label", "n_features", "r2", "rank", F.array_join(F.transform("e.features", lambda f: F.concat_ws(" ", f["text"], f["idx"].cast("string"))), "+").alias("features"), F.round("e.score", 4).alias("score"))
 
 
-def _short(spark, d, most: int):
-    return C.explanations(spark, d).select(*KEY, F.slice("tok", 1, most).alias("tok"))
-
-
 @query("faith_shap")
 def faith_shap(spark, d):
     return _terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().predict, "faith_shap", 200))
@@ -753,17 +749,17 @@ def faith_shap(spark, d):
 
 @query("shapley_taylor")
 def shapley_taylor(spark, d):
-    return _terms(AT.attribute(_short(spark, d, 8), S.LexiconScorer().logit, "shapley_taylor", 50, order=2))
+    return _terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().logit, "shapley_taylor", 50, order=2))
 
 
 @query("shapley_interaction")
 def shapley_interaction(spark, d):
-    return _terms(AT.attribute(_short(spark, d, 8), S.LexiconScorer().logit, "shapley_interaction", 50, order=2))
+    return _terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().logit, "shapley_interaction", 50, order=2))
 
 
 @query("perturb_driver")
 def perturb_driver(spark, d):
-    rows = AT.perturb(_short(spark, d, 8), "faith_shap", 20)
+    rows = AT.perturb(C.explanations(spark, d), "faith_shap", 20)
     return S.score_prob(rows, S.LexiconScorer(), "masked", "y").select("dia_no", "turn_no", "label", "mask_id", "masked", r6("y").alias("y"))
 
 
