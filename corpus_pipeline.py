@@ -24,12 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows that repeat its id go as well."""
-    found = minhash_dedup.near_duplicates(docs, percent=SIMILAR_PERCENT, shingle=SHINGLE_WORDS)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null")) if repeated else left
+    """Of each group of near copies one row with the smallest id stays. Rows count by themselves, whatever their ids."""
+    row, columns = "_turnlens_row", docs.columns
+    numbered = Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash_dedup.near_duplicates(numbered, percent=SIMILAR_PERCENT, shingle=SHINGLE_WORDS, row=row)
+    return numbered.join(found.where(~F.col("first")).select(row), row, "left_anti").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

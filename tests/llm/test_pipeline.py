@@ -52,3 +52,11 @@ def test_messy_and_empty_tables(spark, messy, nothing, sf):
 def test_run(spark, sf):
     assert P.run(spark, sf).count() > 0 and P.ORACLE_SQL is None and len(P.STAGES) == 5
     assert all(m for m in (minhash_dedup, mixing, sharding))
+
+
+def test_near_duplicates_by_row_whatever_the_ids(spark, sf):
+    base = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"]
+    rows = [(None, base[0]), (1, base[0]), (None, base[1]), (None, base[2]), (None, base[2]), (None, base[2] + " tail"), (7, base[3]), (7, base[4]), (9, base[3] + " tail"), (10, base[4] + " tail"), (7, base[3]), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r["doc_id"], (r["text"] or "")[:2]) for r in P.drop_near_duplicates(spark, docs, sf).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a0"), (None, "b0"), (None, "c0"), (7, "d0"), (7, "e0"), (None, ""), (None, "")], key=str)

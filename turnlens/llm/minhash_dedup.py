@@ -16,8 +16,9 @@ Banding misses a pair at exactly the threshold t with probability (1 - t^rows)^b
 that keeps this below ``MISS``: 28 of five rows for 0.85, 41 for 0.8.
 
 Defined cases: documents without words (or a null text) have an empty set and link with nothing, not even each other;
-with fewer words than a shingle the whole sequence is the one shingle; repeated rows are members of one class; rows that
-repeat a doc_id share a component; an empty table gives no rows; extra columns are ignored.
+with fewer words than a shingle the whole sequence is the one shingle; repeated rows are members of one class; every row
+counts by itself, so rows that repeat a doc_id with other texts link by those texts alone, and rows without a doc_id link
+like others; a component's id is its smallest doc_id, or null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def _fingerprint(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, shingle: int, count: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2, bands of every document, in one pass over the texts."""
+    """rid, doc_id, n_shingles, f1, f2, bands of every row (rid, doc_id, text), in one pass over the texts."""
     blank = byte_table()
 
     def run(batches):
@@ -135,24 +136,23 @@ def _signed(docs: DataFrame, shingle: int, count: int, rows: int) -> DataFrame:
                 sets, ends = shingles(*words_of(part.column("text"), blank), shingle)
                 marks, f = bands(signatures(sets, ends, count * rows), count, rows), _fingerprint(sets, ends)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(marks) + 1) * count, count), pa.int32()), pa.array(marks.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists], ["doc_id", "n_shingles", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(np.diff(ends)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), lists], ["rid", "doc_id", "n_shingles", "f1", "f2", "bands"])
 
-    own = docs.select(docs["doc_id"], docs["text"])
-    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.mapInArrow(run, f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id and set (sorted distinct shingle hashes) of documents (id, text)."""
+    """f1, f2, n_shingles and set (sorted distinct shingle hashes) of texts."""
     blank = byte_table()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 sets, ends = shingles(*words_of(part.column("text"), blank), shingle)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "set"])
+                lists, f = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64))), _fingerprint(sets, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(np.diff(ends)), lists], ["f1", "f2", "n_shingles", "set"])
 
-    return docs.mapInArrow(run, "id long, set array<long>")
+    return docs.mapInArrow(run, "f1 long, f2 long, n_shingles long, set array<long>")
 
 
 def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -219,12 +219,14 @@ def _meet(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set)."""
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id (smallest doc_id with the same set). With
+    ``row``, a column of distinct numbers, also that column and first: true for exactly one row of each component."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    signed = scratch.keep(_signed(docs, shingle, *banding(percent)), "signed")
+    rid = docs[row] if row else F.monotonically_increasing_id()
+    signed = scratch.keep(_signed(docs.select(rid.alias("rid"), docs["doc_id"], docs["text"]), shingle, *banding(percent)), "signed")
     of_set = ["f1", "f2", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    classes = signed.where("n_shingles > 0").groupBy(*of_set).agg(F.min("rid").alias("id"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
 
     # Buckets with two classes at least. Each has a pivot of its own choice, so that a large group meets many pivots.
@@ -234,8 +236,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3) -> Dat
     near = (F.col("id") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
     pairs = spots.where(near).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("members").alias("members"))
     pairs = scratch.keep(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")), "pairs")
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"]).join(spots.select("id").distinct(), "id", "left_semi")
-    sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["id"]), "sets")
+    met = scratch.keep(classes.join(spots.select("id").distinct(), "id", "left_semi").select("id", "low", *of_set), "met")
+    texts = docs.select(docs["doc_id"], docs["text"])
+    found = texts.join(met.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if met.where("low is null").limit(1).count():  # classes whose rows all lack an id
+        found = found.unionByName(texts.where("doc_id is null"))
+    sets = scratch.keep(_sets(found.select("text"), shingle).join(met.drop("low"), of_set).select("id", "set").dropDuplicates(["id"]), "sets")
     edges = _verify(scratch, pairs, sets, percent, "edges")
     label = components(scratch, edges, "first")
 
@@ -247,10 +253,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3) -> Dat
     scratch.drop("sets")
     label = components(scratch, more, "second")
 
-    final = classes.select(*of_set, "id").join(label, classes["id"] == label["node"], "left").select(*of_set, "id", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", *of_set).join(final, of_set, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("class_id"))
+    final = classes.select(*of_set, "id", "low").join(label, classes["id"] == label["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    final = scratch.keep(final.select(*of_set, "id", "low", "component"), "final")
+    # Of each component the smallest doc_id; its rows are those kept, and the first of them stands for the component.
+    lows = final.groupBy("component").agg(F.min("low").alias("lowest"))
+    out = signed.select("rid", "doc_id", *of_set).join(final.join(lows, "component"), of_set, "left")
+    some = F.col("n_shingles") > 0
+    component = F.when(some, F.col("lowest")).otherwise(F.col("doc_id"))
+    out = out.withColumn("component_id", component).withColumn("own", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    firsts = scratch.keep(out.where(some & F.col("own")).groupBy("component").agg(F.min("rid").alias("first_rid")), "firsts")
+    out = out.join(firsts, "component", "left").withColumn("first", ~some | F.coalesce(F.col("rid") == F.col("first_rid"), F.lit(False)))
+    kept = F.when(F.col("doc_id").isNull(), F.col("first")).otherwise(F.col("own"))
+    more = [F.col("rid").alias(row), "first"] if row else []
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), F.when(some, F.col("low")).otherwise(F.col("doc_id")).alias("class_id"), *more)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
