@@ -71,9 +71,48 @@ def aopc(turns: DataFrame, orders: DataFrame, cfg: Config, scorer: scoring.Score
     return evaluate.aopc(scored, [*KEY, "method"]).select(*KEY, "method", "step", "aopc")
 
 
+def prepare(turns: DataFrame, splits: DataFrame, level: str, max_len: int = 128) -> DataFrame:
+    """Encoded inputs of one level with their split. ``utt`` and ``da`` take turns (text; prev_acts and acts), ``dia`` dialogues
+    with lines. input_sequence, input_ids and attention_mask; ``dia`` has them for both modalities."""
+    rows = turns.join(splits.select("dia_no", "split"), "dia_no")
+    if level == "dia":
+        da, utt = dialogue.multimodal_sequence(F.col("lines"))
+        (a, am), (u, um) = dialogue.encode(F.col("da_sequence"), max_len), dialogue.encode(F.col("utt_sequence"), max_len)
+        rows = rows.withColumn("da_sequence", F.coalesce(da, F.lit(""))).withColumn("utt_sequence", F.coalesce(utt, F.lit("")))
+        return rows.select("dia_no", "label", "split", "da_sequence", "utt_sequence", a.alias("da_input_ids"), am.alias("da_attention_mask"), u.alias("utt_input_ids"), um.alias("utt_attention_mask"))
+    text = dialogue.utt_sequence(F.col("text")) if level == "utt" else dialogue.da_sequence(F.col("prev_acts"), F.col("acts"))
+    ids, mask = dialogue.encode(F.col("input_sequence"), max_len)
+    return rows.withColumn("input_sequence", text).select(*KEY, "split", "input_sequence", ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def refresh_train(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows with their training split replaced."""
+    return rows.where("split <> 'train'").unionByName(fresh.withColumn("split", F.lit("train")))
+
+
+def train_all(turns: DataFrame, dialogues: DataFrame, splits: DataFrame, cfg: Config, where: str) -> DataFrame:
+    """Fits the detectors of acts, utterances and dialogues on the training split, in this order, saves them below ``where``
+    under the configuration's key, and returns their metrics on every split."""
+    out = None
+    for level in ("da", "utt", "dia"):
+        rows = prepare(dialogues if level == "dia" else turns, splits, level)
+        pipeline = scoring.dialogue_pipeline("da_sequence", "utt_sequence") if level == "dia" else scoring.turn_pipeline("input_sequence")
+        model = pipeline.fit(rows.where("split = 'train'"))
+        model.write().overwrite().save(f"{where}/{cfg.key()}/{level}")
+        scored = model.transform(rows).select("split", "label", F.col("prediction").cast("int").alias("pred"))
+        own = evaluate.metrics_cls(scored, ["split"]).withColumn("level", F.lit(level))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def load_models(where: str, cfg: Config) -> dict:
+    """The saved detectors of a configuration, by level."""
+    return {level: scoring.PipelineModel.load(f"{where}/{cfg.key()}/{level}") for level in ("da", "utt", "dia")}
+
+
 def session(stream: DataFrame, cfg: Config, scorer, idle_ms: int | None = sessions.IDLE_MS) -> DataFrame:
     """A stream of (session_id, seq, text, reset) to one row per turn."""
     return sessions.detect_stream(stream, scorer, cfg.utt_k or 0, idle_ms)
 
 
-__all__ = ["Config", "aopc", "detect", "explain", "joins", "metrics", "profile", "session"]
+__all__ = ["Config", "aopc", "detect", "explain", "joins", "load_models", "metrics", "prepare", "profile", "refresh_train", "session", "train_all"]

@@ -128,10 +128,11 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, most: int = 1000) -> np.nd
         go = np.linalg.solve(gram[np.ix_(active, active)], s)
         slope = gram[:, active] @ go
         step, drop = level - alpha, None
-        for j in set(range(d)) - set(active):
-            for c, m in ((now[j], slope[j]), (-now[j], -slope[j])):
-                if 1 - m > 1e-12 and 1e-14 < (t := (level - c) / (1 - m)) < step:
-                    step, drop = t, None
+        idle = np.ones(d, bool)
+        idle[active] = False
+        c, m = np.concatenate([now[idle], -now[idle]]), np.concatenate([slope[idle], -slope[idle]])
+        ahead = (level - c[1 - m > 1e-12]) / (1 - m[1 - m > 1e-12])
+        step = min(step, ahead[ahead > 1e-14].min(initial=np.inf))
         for i, j in enumerate(active):
             if go[i] * w[j] < 0 and 1e-14 < (t := -w[j] / go[i]) < step:
                 step, drop = t, i

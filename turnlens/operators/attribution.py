@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MASK, SEED
+from ..config import DA_SEP, MASK, SEED, SLOT_SEP
 from ..functions import attribution as A
+from ..sources.conversations import tokens
 
 KEY = ["dia_no", "turn_no", "label"]
 EXPLANATION = "array<struct<features:array<struct<text:string,idx:int>>,score:double>>"
@@ -47,6 +48,33 @@ def perturb(df: DataFrame, method: str, n: int = 200, order: int = 1, seed: int
     return df.select(*KEY, features).mapInPandas(run, "dia_no long, turn_no int, label int, mask_id int, mask array<int>, masked string")
 
 
+def act_tokens(acts: Column) -> Column:
+    """The tokens of serialised acts with the place of the act that each belongs to. Separators between an act's parts
+    belong to it, those between acts to none (-1); empty parts have no tokens."""
+    part = lambda a, i: lambda p: F.transform(tokens(p), lambda t: F.struct(t.alias("token"), i.alias("act_i")))
+    mark = lambda text, i: F.array(F.struct(F.lit(text).alias("token"), i.alias("act_i")))
+
+    def of(a: Column, i: Column) -> Column:
+        names = [part(a, i)(a[n]) for n in ("intent", "domain", "slot", "value")]
+        joined = [names[0], *[x for n in names[1:] for x in (mark(SLOT_SEP, i), n)]]
+        return F.concat(F.when(i > 0, mark(DA_SEP, F.lit(-1))).otherwise(F.array().cast("array<struct<token:string,act_i:int>>")), *joined)
+
+    return F.flatten(F.transform(acts, of))
+
+
+def sampled(df: DataFrame, score: Callable[[DataFrame], DataFrame], method: str, n: int = 200, order: int = 1, times: int = 5, seed: int = SEED) -> DataFrame:
+    """Masks of each instance, each scored ``times`` times and averaged, for scorers that answer at random. ``score`` adds y
+    to rows (key, mask_id, mask, masked, try)."""
+    rows = perturb(df, method, n, order, seed).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    return averaged(score(rows))
+
+
+def display(explained: DataFrame, most: int = 10) -> DataFrame:
+    """key, rank, features (text and index) and score of the strongest terms, as a table to show."""
+    rows = explained.select(*KEY, F.posexplode(F.slice("explanation", 1, most)).alias("rank", "e"))
+    return rows.select(*KEY, (F.col("rank") + 1).alias("rank"), F.array_join(F.transform("e.features", lambda f: F.concat_ws(" ", f["text"], f["idx"].cast("string"))), " + ").alias("features"), F.round("e.score", 6).alias("score"))
+
+
 def averaged(scored: DataFrame, y: str = "y") -> DataFrame:
     """Repeated scores of one mask become their mean."""
     return scored.groupBy(*KEY, "mask_id").agg(F.first("mask").alias("mask"), F.avg(y).alias(y))
@@ -57,9 +85,9 @@ def _formatted(found: dict, words: list[str]) -> list[dict]:
     return [{"features": [{"text": words[i], "idx": int(i)} for i in t], "score": float(v)} for t, v in ranked]
 
 
-def attribute(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, apply: Callable = mask_words, features: str = "tok") -> DataFrame:
-    """key, n_features, explanation (all terms, strongest first), bias, infidelity and r2 on the masks themselves. A
-    turn without features has an empty explanation."""
+def attribute(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, apply: Callable = mask_words, features: str = "tok", valid: int = 0) -> DataFrame:
+    """key, n_features, explanation (all terms, strongest first), bias, infidelity and r2 on the masks themselves, or on
+    about ``valid`` further masks of their own. A turn without features has an empty explanation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -70,6 +98,10 @@ def attribute(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: s
                 texts = [apply(words, m) for m in x]
                 y = np.concatenate([score(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]) if texts else np.zeros(0)
                 found = A.explain(method, x, y, order, alpha)
+                if valid and words:
+                    x = A.masks(method, len(words), valid, order, A.instance_rng(seed + 1, *key))
+                    texts = [apply(words, m) for m in x]
+                    y = np.concatenate([score(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]) if texts else np.zeros(0)
                 loss, r2 = A.infidelity_r2(x, y, found) if len(x) else (None, None)
                 out.append((*key, len(words), _formatted(found, words), found.get((), 0.0), loss, r2))
             yield pd.DataFrame(out, columns=[*KEY, "n_features", "explanation", "bias", "infidelity", "r2"])
@@ -93,6 +125,56 @@ def integrated_gradients(df: DataFrame, embed: Callable, gradient: Callable, bas
     return df.select(*KEY, features).mapInPandas(run, SCHEMA)
 
 
+def keep_acts(acts: list[str], mask: np.ndarray) -> str:
+    """Acts without a bit go; ``none`` stands for an utterance that loses all."""
+    return ";".join(a for a, m in zip(acts, mask) if m) or "none"
+
+
+#: Marks an act among the features of a dialogue; no token begins with it.
+ACT_MARK = "\x01"
+
+
+def mask_dialogue(features: list[str], mask: np.ndarray) -> str:
+    """Tokens without a bit become the mask token, acts without a bit go."""
+    words = [f if m else MASK for f, m in zip(features, mask) if not f.startswith(ACT_MARK)]
+    return " ".join([*words, *(f[1:] for f, m in zip(features, mask) if m and f.startswith(ACT_MARK))])
+
+
+def attribute_acts(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, acts: str = "acts") -> DataFrame:
+    """``attribute`` over the acts of a turn: key, n_features and explanation with acts by name and place."""
+    from .features import act_name
+
+    rows = df.withColumn("_acts", F.transform(F.filter(F.coalesce(acts, F.array().cast(dict(df.dtypes)[acts])), lambda a: a["intent"] != "none"), act_name))
+    return attribute(rows, score, method, n, order, alpha, seed, keep_acts, "_acts")
+
+
+def attribute_dialogue(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED) -> DataFrame:
+    """Attribution of whole dialogues from turns (key, tok, acts): the features are all tokens, turn by turn, then all acts.
+    Rows (key of the last turn, kind token or act, turn_no, idx within the turn, text, score) of single features."""
+    from .features import act_name
+
+    empty = F.array().cast("array<struct<kind:string,turn_no:int,idx:int,text:string>>")
+    place = lambda kind, text: lambda x, i: F.struct(F.lit(kind).alias("kind"), F.col("turn_no").cast("int").alias("turn_no"), i.alias("idx"), text(x).alias("text"))
+    words = F.coalesce(F.transform("tok", place("token", lambda x: x)), empty)
+    acts = F.coalesce(F.transform(F.filter("acts", lambda a: a["intent"] != "none"), place("act", act_name)), empty)
+    turns = df.select("dia_no", "label", "turn_no", words.alias("w"), acts.alias("a"))
+    whole = turns.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("turn_no", "w", "a"))).alias("t"), F.max("turn_no").alias("turn_no"))
+    whole = whole.withColumn("places", F.concat(F.flatten(F.transform("t", lambda x: x["w"])), F.flatten(F.transform("t", lambda x: x["a"])))).drop("t")
+    whole = whole.withColumn("features", F.transform("places", lambda p: F.when(p["kind"] == "act", F.concat(F.lit(ACT_MARK), p["text"])).otherwise(p["text"])))
+    found = attribute(whole, score, method, n, order, alpha, seed, mask_dialogue, "features").select(*KEY, F.explode("explanation").alias("e")).where(F.size("e.features") == 1)
+    found = found.select(*KEY, F.get("e.features", F.lit(0))["idx"].alias("i"), F.col("e.score").alias("score"))
+    rows = found.join(whole.select(*KEY, "places"), KEY).withColumn("p", F.get("places", F.col("i")))
+    return rows.select("dia_no", "label", F.col("turn_no").alias("last_turn"), "p.kind", "p.turn_no", "p.idx", "p.text", "score")
+
+
+def gradients_by_act(df: DataFrame, embed: Callable, gradient: Callable, baseline: np.ndarray, steps: int = 100, acts: str = "acts") -> DataFrame:
+    """Integrated gradients of serialised acts, summed over the tokens of each act: rows (key, act_i, score)."""
+    rows = df.withColumn("_t", act_tokens(F.col(acts))).withColumn("_tok", F.transform("_t", lambda t: t["token"]))
+    found = integrated_gradients(rows, embed, gradient, baseline, steps, "_tok").select(*KEY, F.explode("explanation").alias("e"))
+    owned = found.join(rows.select(*KEY, "_t"), KEY).select(*KEY, F.get("_t", F.get("e.features", F.lit(0))["idx"])["act_i"].alias("act_i"), "e.score")
+    return grouped_by_act(owned.where("act_i >= 0"))
+
+
 def grouped_by_act(explained: DataFrame, owner: str = "act_i") -> DataFrame:
     """Token attributions summed into the act that each token belongs to: rows (key, owner, score)."""
     return explained.groupBy(*KEY, owner).agg(F.sum("score").alias("score"))

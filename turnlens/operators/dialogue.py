@@ -97,7 +97,8 @@ def multimodal_sequence(lines: Column, use_value: bool = False) -> tuple[Column,
 
 def encode(text: Column, max_len: int, buckets: int = 50_000) -> tuple[Column, Column]:
     """input_ids and attention_mask of fixed length: hashed words, cut and padded with 0. JVM-side stand-in for a tokenizer."""
-    ids = F.slice(F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), lambda t: (F.pmod(F.xxhash64(t), F.lit(buckets - 1)) + 1).cast("int")), 1, max_len)
+    number = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")
+    ids = F.slice(F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), lambda t: (number(t) % (buckets - 1) + 1).cast("int")), 1, max_len)
     pad = lambda xs: F.concat(xs, F.array_repeat(F.lit(0), F.lit(max_len) - F.size(xs)))
     return pad(ids), pad(F.transform(ids, lambda _: F.lit(1)))
 
@@ -170,11 +171,21 @@ def union_datasets_offset(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(moved)
 
 
+def batches(df: DataFrame, keys: list[str], size: int, seed: int | None = 2025, parts: int = 8) -> DataFrame:
+    """Adds part and batch: rows of a part in batches of ``size``, in the order of a digest, or by keys without a seed."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed or 0)), *[F.col(k).cast("string") for k in keys]))
+    part = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts).cast("int")
+    rows = df.withColumn("part", part).withColumn("_h", F.lit("") if seed is None else digest)
+    place = F.row_number().over(W.partitionBy("part").orderBy("_h", *keys)) - 1
+    return rows.withColumn("batch", F.floor(place / size).cast("int")).drop("_h")
+
+
 def negatives_random_pair(df: DataFrame, keys: list[str], taken: str, seed: int = 2025) -> DataFrame:
-    """Pairs each row with another row's ``taken``: rows stand in rings of about ``RING`` rows by hash, and each takes its
-    successor's. A row that is alone in its ring has no pair."""
-    draw = F.xxhash64(F.lit(seed), *keys)
-    bucket = df.withColumn("_h", draw).withColumn("_b", F.pmod("_h", F.lit(max(1, df.count() // RING))))
+    """Pairs each row with another row's ``taken``: rows stand in rings of about ``RING`` rows by a digest of their keys, and
+    each takes its successor's. A row that is alone in its ring has no pair."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long")
+    bucket = df.withColumn("_h", draw).withColumn("_b", F.pmod(place, F.lit(max(1, df.count() // RING))))
     order = W.partitionBy("_b").orderBy("_h", *keys)
     ahead = F.coalesce(F.lead(taken).over(order), F.first(taken).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     alone = F.count("*").over(W.partitionBy("_b")) > 1

@@ -56,10 +56,10 @@ def aopc(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("aopc", F.first("prob").over(w) - F.avg("prob").over(w))
 
 
-def removal_order_original(own: DataFrame, pred: str = "pred") -> DataFrame:
-    """Rows (turn key, token, score, pred), one of each distinct lower-cased token of the turn: its place of removal."""
+def removal_order_original(own: DataFrame, pred: str = "pred", keys: list[str] | None = None) -> DataFrame:
+    """Rows (turn key or ``keys``, token, score, pred), one of each distinct lower-cased token: its place of removal."""
     toward = F.when(F.col(pred) == 1, -F.col("score")).otherwise(F.col("score"))
-    return own.withColumn("step", F.row_number().over(W.partitionBy(*KEY).orderBy(toward, "token")))
+    return own.withColumn("step", F.row_number().over(W.partitionBy(*(keys or KEY)).orderBy(toward, "token")))
 
 
 def removal_order_accel(scores: DataFrame, preds: DataFrame, depth: int) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .dialogue import limit_generate
+from .dialogue import anti_resume, limit_generate
 from .scoring import TextGenerator, repeat_until
 from .text import EXTRA_CHARACTERS, OTHER_ROLE
 
@@ -63,8 +63,9 @@ def converse(user: TextGenerator, system: TextGenerator, overseer: TextGenerator
     return "\n".join(lines), False
 
 
-def e2e_dataset(goals: DataFrame, done: DataFrame, requested: int, make: Callable[[int], tuple[TextGenerator, TextGenerator, TextGenerator]], max_turns: int = 15, tries: int = 5, again: int = 3) -> DataFrame:
-    """Dialogues for the next goals (dia_no, goals, outcomes) that are not done: dia_no, goal, dia, is_complete."""
+def e2e_dataset(goals: DataFrame, done: DataFrame, requested: int | None, make: Callable[[int], tuple[TextGenerator, TextGenerator, TextGenerator]], max_turns: int = 15, tries: int = 5, again: int = 3) -> DataFrame:
+    """Dialogues for the next goals (dia_no, goals, outcomes) that are not done: dia_no, goal, dia, is_complete. Without
+    ``requested`` all of them. Append the result with ``sources.files.append_rows`` and pass what is there as ``done`` to go on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,4 +75,5 @@ def e2e_dataset(goals: DataFrame, done: DataFrame, requested: int, make: Callabl
                 rows.append((dia_no, " <sep> ".join(gs), dia, ok))
             yield pd.DataFrame(rows, columns=["dia_no", "goal", "dia", "is_complete"])
 
-    return limit_generate(goals, requested, done).mapInPandas(run, "dia_no long, goal string, dia string, is_complete boolean")
+    todo = anti_resume(goals, done) if requested is None else limit_generate(goals, requested, done)
+    return todo.mapInPandas(run, "dia_no long, goal string, dia string, is_complete boolean")

@@ -43,7 +43,7 @@ def lookup_profile(acts: DataFrame, words: DataFrame, profile: DataFrame) -> Dat
     up; a turn none of whose acts has a profile takes the global one. Words meet profiles on the n-gram, never as a product."""
     on = ["intent", "domain", "slot"]
     act = profile.where("scope = 'act'").select(*on, "ngram", "score")
-    known = acts.join(F.broadcast(act.select(*on).distinct()), on, "left_semi").select(*KEY, *on).distinct()
+    known = acts.join(act.select(*on).distinct(), on, "left_semi").select(*KEY, *on).distinct()
     own = words.join(known, KEY).join(act, [*on, "ngram"]).groupBy(*KEY, "ngram").agg(F.sum("score").alias("score"))
     without = words.join(known.select(*KEY).distinct(), KEY, "left_anti")
     return own.unionByName(without.join(profile.where("scope = 'global'").select("ngram", "score"), "ngram").select(*KEY, "ngram", "score"))
@@ -65,7 +65,3 @@ def containment_self(phrases: DataFrame) -> DataFrame:
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     met = each.select("scope", F.col("phrase").alias("long"), "word").join(rarest, ["scope", "word"])
     return met.where((F.col("long") != F.col("short")) & F.contains(pad(F.col("long")), pad(F.col("short")))).select("scope", "long", "short").distinct()
-
-
-def equal_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return [a[k].eqNullSafe(b[k]) for k in keys]

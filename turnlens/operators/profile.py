@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 
 SCOPE = ["scope", "intent", "domain", "slot"]
-#: The prior's weight, the term that keeps denominators from 0, the score of tokens without one.
-PRIOR, TINY, NO_SCORE = 2.0, 1e-9, -100.0
+#: The prior's weight, the term that keeps denominators from 0.
+PRIOR, TINY = 2.0, 1e-9
 
 
 def ngrams(toks: Column, scores: Column, max_n: int) -> Column:
@@ -32,10 +32,6 @@ def _ngrams(toks: Column, scores: Column, max_n: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), of))
 
 
-def ngrams_or_default(toks: Column, scores: Column, max_n: int) -> Column:
-    return ngrams(toks, F.coalesce(scores, F.transform(toks, lambda _: F.lit(NO_SCORE))), max_n)
-
-
 def profile_counts(rows: DataFrame) -> DataFrame:
     """Rows (intent, domain, slot, ngram, score) to counts and score sums by class and scope: a positive score speaks for
     the machine (a_n, a_s), a negative one for the human (b_n, b_s), 0 for neither."""
@@ -53,7 +49,7 @@ def metric(counts: DataFrame, name: str, alpha: float = 0.5) -> DataFrame:
     a, b = (F.abs("a_s"), F.abs("b_s")) if by_score else (F.col("a_n").cast("double"), F.col("b_n").cast("double"))
     rows = counts.select(*SCOPE, "ngram", a.alias("a"), b.alias("b"))
     totals = rows.groupBy(*SCOPE).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    rows = rows.join(F.broadcast(totals), SCOPE)  # one row for each act of the ontology, so no shuffle by scope
+    rows = rows.join(totals, SCOPE)  # small where the ontology is: adaptive execution then broadcasts it
     a, b, ta, tb = (F.col(c) for c in ("a", "b", "ta", "tb"))
     if name.startswith("agg"):
         share = lambda x, t: F.when(t == 0, 0.0).otherwise(x / t)
@@ -113,15 +109,24 @@ def slot_tag(text: Column, value: Column, slot: Column) -> Column:
     return F.when(slot != "", F.regexp_replace(tagged, run, F.lit("$1"))).otherwise(tagged)
 
 
-def phrases(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans with slot values tagged and utt_expl, the mean of their scores. Collapsed tokens take their mean score, so a
-    phrase's tokens and scores keep one length."""
-    spans = consecutive_spans(rows, keys)
-    return spans.withColumn("utt_expl", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores"))
-
-
-def collapse_scores(toks: Column, scores: Column, tag: Column) -> tuple[Column, Column]:
-    """Runs of one tag become one token with the run's mean score."""
+def phrases(rows: DataFrame, keys: list[str], value: str | None = None, slot: str | None = None) -> DataFrame:
+    """Spans of rows (keys, idx, token, score) with utt_expl, the mean of their scores. With the columns ``value`` and
+    ``slot``, functions of the keys, words of the value become the slot's tag; a run of one tag becomes one token that
+    takes the run's mean score, so a phrase's tokens and scores keep one length."""
+    own = keys if value is None else [*keys, value, slot]
+    spans = consecutive_spans(rows, own)
+    spans = spans.withColumn("utt_expl", F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores"))
+    if value is None:
+        return spans
+    tag = F.concat(F.lit("<"), F.col(slot), F.lit(">"))
+    tagged = F.transform("tokens", lambda t: F.when((F.col(slot) != "") & (F.col(value) != ""), slot_tag(t, F.col(value), F.col(slot))).otherwise(t))
+    spans = spans.withColumn("tokens", tagged).withColumn("both", collapse_scores(F.col("tokens"), F.col("scores"), tag))
+    spans = spans.withColumn("tokens", F.col("both.t")).withColumn("scores", F.col("both.s")).drop("both")
+    return spans.withColumn("phrase", F.array_join("tokens", " "))
+
+
+def collapse_scores(toks: Column, scores: Column, tag: Column) -> Column:
+    """Tokens t and scores s, with runs of one tag as one token with the run's mean score."""
     start = F.struct(F.array().cast("array<string>").alias("t"), F.array().cast("array<double>").alias("s"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -130,5 +135,4 @@ def collapse_scores(toks: Column, scores: Column, tag: Column) -> tuple[Column,
         mean = (F.coalesce(F.get(acc["s"], n - 1), F.lit(0.0)) * acc["n"] + x["s"]) / (acc["n"] + 1)
         return F.when(again, F.struct(acc["t"].alias("t"), F.concat(F.slice(acc["s"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(mean)).alias("s"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(acc["t"], F.array(x["t"])).alias("t"), F.concat(acc["s"], F.array(x["s"])).alias("s"), F.lit(1).alias("n")))
 
-    out = F.aggregate(F.arrays_zip(toks.alias("t"), scores.alias("s")), start, step)
-    return out["t"], out["s"]
+    return F.aggregate(F.arrays_zip(toks.alias("t"), scores.alias("s")), start, step, lambda acc: F.struct(acc["t"].alias("t"), acc["s"].alias("s")))

@@ -113,6 +113,34 @@ def report_html(turns: list[dict]) -> str:
     return "\n".join(parts)
 
 
+def report_pages(texts: DataFrame, tokens: DataFrame, clouds: DataFrame) -> DataFrame:
+    """The pages of all dialogues: dia_no, label, n_turns and html, from texts (turn key, pred, prob, token_text, act_text),
+    tokens (turn key, idx, token, alpha) and clouds (dia_no, label, side, phrase, weight)."""
+    words = tokens.groupBy("dia_no", "label", "turn_no").agg(F.array_sort(F.collect_list(F.struct("idx", "token", "alpha"))).alias("tokens"))
+    turns = texts.join(words, ["dia_no", "label", "turn_no"], "left")
+    turns = turns.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("turn_no", "pred", "prob", "token_text", "act_text", "tokens"))).alias("turns"))
+    cloud = clouds.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("side", (-F.col("weight")).alias("order"), "phrase"))).alias("cloud"))
+
+    @F.pandas_udf("string")
+    def page(turns: pd.Series, cloud: pd.Series) -> pd.Series:
+        out = []
+        for ts, cs in zip(turns, cloud):
+            shown = [{**t, "tokens": [(w["token"], w["alpha"]) for w in (t["tokens"] if t["tokens"] is not None else [])]} for t in ts]
+            out.append(report_html(shown) + "\n" + cloud_html([(c["side"], c["phrase"], -c["order"]) for c in (cs if cs is not None else [])]))
+        return pd.Series(out)
+
+    return turns.join(cloud, ["dia_no", "label"], "left").select("dia_no", "label", F.size("turns").alias("n_turns"), page("turns", "cloud").alias("html"))
+
+
+def cloud_html(phrases: list[tuple[str, str, float]]) -> str:
+    """Phrases (side, phrase, weight) in sizes by weight, one paragraph for each side."""
+    most, parts = max((w for *_, w in phrases), default=1.0), []
+    for side in dict.fromkeys(s for s, *_ in phrases):
+        words = " ".join(f'<span style="font-size:{0.6 + 1.4 * max(0.0, w) / most if most > 0 else 1:.2f}em">{html.escape(p)}</span>' for s, p, w in phrases if s == side)
+        parts.append(f'<p class="cloud {side}">{words}</p>')
+    return "\n".join(parts)
+
+
 def last_turn_clouds(acts: DataFrame, top: DataFrame, least: int = 2) -> DataFrame:
     """Phrase clouds (dia_no, label, side, phrase, weight) of the acts of each dialogue's last user turn. The top profiles of
     its acts are added up; a class that no act has profiles for has no cloud."""

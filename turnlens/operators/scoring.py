@@ -110,6 +110,19 @@ def dialogue_pipeline(da: str, utt: str, features: int = 1 << 13, label: str = "
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[f"_{da}_h", f"_{utt}_h"], outputCol="features"), LogisticRegression(featuresCol="features", labelCol=label, maxIter=30, regParam=1e-3)])
 
 
+def dialogue_variants(rows: DataFrame, train: DataFrame, features: int = 1 << 13) -> dict[str, DataFrame]:
+    """Five detectors of dialogues (da, utt, both: texts; label), fitted on ``train`` and applied to ``rows``: acts alone,
+    utterances alone, one sequence of both, late fusion of two encoders by concatenation, and late fusion by the sum of
+    one encoder that both modalities share."""
+    out = {name: turn_pipeline(name, features).fit(train).transform(rows) for name in ("da", "utt", "both")}
+    out["concat"] = dialogue_pipeline("da", "utt", features).fit(train).transform(rows)
+    shared = lambda df: df.withColumn("_shared", F.concat_ws(" ", "da", "utt"))
+    words = RegexTokenizer(inputCol="_shared", outputCol="_w", pattern=r"\s+")
+    model = Pipeline(stages=[words, HashingTF(inputCol="_w", outputCol="features", numFeatures=features), LogisticRegression(featuresCol="features", labelCol="label", maxIter=30, regParam=1e-3)]).fit(shared(train))
+    out["shared"] = model.transform(shared(rows))
+    return out
+
+
 def repeat_until(operation: Callable, accept: Callable, most: int, default=None, latest: bool = False):
     """The first accepted result; after ``most`` tries the latest or the default."""
     result = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
@@ -29,11 +29,14 @@ def topk_prediction(explanation: Column, pred: Column, k: int) -> Column:
 
 
 def sample_k_features(explanation: Column, k: int, keys: list[Column], seed: int) -> Column:
-    return F.slice(_sorted(explanation, lambda e: F.xxhash64(F.lit(seed), *keys, e["idx"]).cast("double")), 1, k)
+    """k features in the order of a digest of seed, keys and index."""
+    keyed = F.transform(explanation, lambda e: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in keys], e["idx"].cast("string"))).alias("r"), e["idx"].alias("idx"), e["text"].alias("text"), e["score"].alias("score")))
+    return F.slice(F.transform(F.array_sort(keyed), lambda x: F.struct(x["idx"].alias("idx"), x["text"].alias("text"), x["score"].alias("score"))), 1, k)
 
 
 def bias_filter(explanation: Column) -> Column:
-    return F.filter(explanation, lambda e: e["text"] != "bias")
+    """Without the intercept, which has no place among the features; a feature whose word is "bias" stays."""
+    return F.filter(explanation, lambda e: e["idx"] >= 0)
 
 
 def important_ids(top: Column) -> Column:
@@ -42,3 +45,12 @@ def important_ids(top: Column) -> Column:
 
 def importance_mask(ids: Column, n: Column) -> Column:
     return F.when(n > 0, let(ids, lambda own: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(own, i).cast("int")))).otherwise(F.array().cast("array<int>"))
+
+
+def id_filter(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose keys (the columns of ``ids``) are given."""
+    return rows.join(ids.distinct(), ids.columns, "left_semi")
+
+
+def pred_class_filter(predictions: DataFrame, classes: tuple[int, ...], pred: str = "pred") -> DataFrame:
+    return predictions.where(F.col(pred).isin(*classes))

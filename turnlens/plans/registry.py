@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +81,9 @@ def user_lines_every_2nd(spark, d):
     return C.dialogues(spark, d).select("dia_no", "label", F.array_join(D.every_second_line(F.col("dia")), "|").alias("lines"))
 
 
-@query("collapse_lines", "SELECT conv_id, turn, trim(regexp_replace('user: ' || text, '[ \\t]*\\n[ \\t]*', ' ', 'g')) AS line FROM conversations WHERE NOT regexp_matches(text, '\\n[ \\t]*(user:|system:)')")
+@query("collapse_lines", r"""SELECT conv_id, turn, array_to_string(list_transform(string_split(replace(regexp_replace(regexp_replace('user: ' || text, '[ \t]*\n[ \t]*(user:|system:)', chr(1) || '\1', 'g'), '[ \t]*\n[ \t]*', ' ', 'g'), chr(1), chr(10)), chr(10)), lambda x: trim(x)), chr(10)) AS line FROM conversations""")
 def collapse_lines(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").where(~F.col("text").rlike("\\n[ \\t]*(user:|system:)"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
     return rows.select("conv_id", "turn", X.collapse_lines(F.concat(F.lit("user: "), F.col("text"))).alias("line"))
 
 
@@ -126,12 +127,25 @@ def multimodal_sequence(spark, d):
     return C.dialogues(spark, d).select("dia_no", "label", da.alias("da_sequence"), utt.alias("utt_sequence"))
 
 
-@query("encode_combined")
+@query("encode_combined", B.with_(B.T, B.U, B.UT) + """SELECT dia_no, label, turn_no, array_to_string(list_resize(list_transform(tok[1:128], lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 49999 + 1), 128, 0), ',') AS input_ids,
+  CAST(least(len(tok), 128) AS INTEGER) AS n_tokens FROM ut""")
 def encode_combined(spark, d):
     ids, mask = D.encode(F.col("text"), 128)
     return C.user_turns(spark, d).select(*KEY, F.array_join(ids, ",").alias("input_ids"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n_tokens"))
 
 
+@query("encode_multimodal", B.with_(B.T, B.TA) + f"""SELECT dia_no, label, CAST(least(len(a), 256) AS INTEGER) AS n_da, CAST(least(len(u), 384) AS INTEGER) AS n_utt, {{}} AS da_sum, {{}} AS utt_sum FROM
+  (SELECT dia_no, label, list_filter(string_split('<cls> ' || string_agg(CASE WHEN len(acts) = 0 THEN 'none' ELSE {_serial_sql('acts')} END, ' <da_sep> ' ORDER BY pos) || ' <sep>', ' '), lambda x: x <> '') AS a,
+    list_filter(regexp_split_to_array('<cls> ' || string_agg(text, ' <usr> ' ORDER BY pos) FILTER (WHERE role = 'user') || ' <sep>', '\\s+'), lambda x: x <> '') AS u FROM ta GROUP BY dia_no, label)""".format(*[f"CAST(list_sum(list_transform({c}[1:{n}], lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 49999 + 1)) AS BIGINT)" for c, n in (("a", 256), ("u", 384))]))
+def encode_multimodal(spark, d):
+    """Both inputs of a late-fusion model, each with its own ids and mask; a dialogue without user lines has no utterances."""
+    da, utt = D.multimodal_sequence(F.col("lines"))
+    rows = C.dialogues(spark, d).where(F.exists("lines", lambda x: x["role"] == "user"))
+    (a, am), (u, um) = D.encode(da, 256), D.encode(utt, 384)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    return rows.select("dia_no", "label", total(am).cast("int").alias("n_da"), total(um).cast("int").alias("n_utt"), total(a).alias("da_sum"), total(u).alias("utt_sum"))
+
+
 AGG_SQL = """, g AS (SELECT dia_no, label, list_slice(flatten(list(list_value(prev, acts) ORDER BY turn_no)), 2, 100000) AS da, list(text ORDER BY turn_no) AS utt FROM pv GROUP BY ALL)"""
 UTT_ACTS = "array_to_string(list_transform({}, lambda u: " + ACTS_SQL.format("u") + "), '/')"
 
@@ -208,7 +222,11 @@ def union_datasets_offset(spark, d):
     return D.union_datasets_offset(ids, ids)
 
 
-@query("negatives_random_pair")
+RING_SQL = """SELECT *, lead({taken}) OVER (PARTITION BY bk ORDER BY h, dia_no, label, turn_no) AS nx, first_value({taken}) OVER (PARTITION BY bk ORDER BY h, dia_no, label, turn_no) AS fst, count(*) OVER (PARTITION BY bk) AS held, row_number() OVER (PARTITION BY bk ORDER BY h, dia_no, label, turn_no) AS place
+  FROM (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % greatest(1, (SELECT count(*) FROM {rows}) // 1000) AS bk FROM (SELECT *, md5('2025|' || dia_no || '|' || label || '|' || turn_no) AS h FROM {rows}))"""
+
+
+@query("negatives_random_pair", B.with_(B.T, B.U, "rg AS (" + RING_SQL.format(taken="text", rows="u") + ")") + "SELECT dia_no, label, turn_no, text, CASE WHEN place = held THEN fst ELSE nx END AS negative FROM rg WHERE held > 1")
 def negatives_random_pair(spark, d):
     return D.negatives_random_pair(C.user_turns(spark, d).select(*KEY, "text"), KEY, "text")
 
@@ -253,7 +271,9 @@ def mask_apply_da(spark, d):
     return rows.select("dia_no", "label", "turn_no", utt_acts(FE.mask_apply_da(F.col("utts"), _every_third(F.size(F.flatten("utts"))))).alias("masked"))
 
 
-@query("mask_apply_dia")
+@query("mask_apply_dia", B.with_(B.T, B.TA, PREV_SQL) + f"""SELECT dia_no, label, turn_no, trim(array_to_string(list_transform(tok, lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN '<mask>' ELSE x END), ' ')) AS masked_utt, {ACTS_SQL.format('m')} AS masked_da FROM
+  (SELECT *, CASE WHEN len(kept) = 0 THEN [{{'intent':'none','domain':'','slot':'','value':''}}] ELSE kept END AS m FROM (SELECT *, list_filter(acts, lambda a, i: (i - 1 + len(tok)) % 3 <> 0 AND a.intent <> 'none') AS kept FROM
+   (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS tok FROM pv)))""")
 def mask_apply_dia(spark, d):
     rows = D.da_turn(C.turns(spark, d)).withColumn("tok", C.tokens(F.col("text"))).withColumn("utts", F.array("acts"))
     text, acts = FE.mask_apply_dia(F.col("tok"), F.col("utts"), _every_third(F.size("tok") + F.size("acts")))
@@ -290,17 +310,30 @@ def expl_sort(spark, d):
     return C.explanations(spark, d).where("n_features > 0").select(*KEY, _names(SE.expl_sort(F.col("explanation"))).alias("features"))
 
 
-@query("sample_k_features")
+@query("sample_k_features", B.with_(B.T, B.U, B.UT, B.K) + TOP_SQL.format("md5('2025|' || dia_no || '|' || label || '|' || turn_no || '|' || idx), idx", "k"))
 def sample_k_features(spark, d):
     e = C.explanations(spark, d)
     return e.select(*KEY, _names(SE.sample_k_features(F.col("explanation"), 3, [F.col(k) for k in KEY], 2025)).alias("features"))
 
 
-@query("bias_filter", B.with_(B.T, B.U, B.UT) + "SELECT dia_no, label, turn_no, CAST(len(tok) AS INTEGER) AS n FROM ut")
+@query("bias_filter", B.with_(B.T, B.U, B.UT) + "SELECT dia_no, label, turn_no, CAST(len(tok) + 1 AS INTEGER) AS n FROM ut")
 def bias_filter(spark, d):
-    bias = F.array(F.struct(F.lit(-1).alias("idx"), F.lit("bias").alias("text"), F.lit(1.0).alias("score")))
-    e = C.explanations(spark, d).withColumn("explanation", F.concat("explanation", bias))
-    return e.select(*KEY, F.size(F.filter(SE.bias_filter(F.col("explanation")), lambda x: x["idx"] >= 0)).alias("n"))
+    """Each explanation holds the intercept, which goes, and a feature whose word is "bias", which stays."""
+    more = F.array(F.struct(F.lit(-1).alias("idx"), F.lit("bias").alias("text"), F.lit(1.0).alias("score")), F.struct(F.col("n_features").alias("idx"), F.lit("bias").alias("text"), F.lit(1.0).alias("score")))
+    e = C.explanations(spark, d).withColumn("explanation", F.concat("explanation", more))
+    return e.select(*KEY, F.size(SE.bias_filter(F.col("explanation"))).alias("n"))
+
+
+@query("id_filter", B.with_(B.T, B.U, B.UT) + "SELECT dia_no, label, turn_no, CAST(len(tok) AS INTEGER) AS n_features FROM ut WHERE (dia_no, label, turn_no) IN (SELECT dia_no, label, max(turn_no) FROM u GROUP BY dia_no, label)")
+def id_filter(spark, d):
+    """Explanations of given turns, here the last of every dialogue."""
+    ids = C.user_turns(spark, d).groupBy("dia_no", "label").agg(F.max("turn_no").alias("turn_no"))
+    return SE.id_filter(C.explanations(spark, d), ids).select(*KEY, "n_features")
+
+
+@query("pred_class_filter", B.with_(B.T, B.U, B.UT, B.K, B.P) + "SELECT dia_no, label, turn_no, pred FROM p WHERE pred IN (1)")
+def pred_class_filter(spark, d):
+    return SE.pred_class_filter(C.predictions(spark, d), (1,)).select(*KEY, "pred")
 
 
 @query("important_ids", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, turn_no, coalesce(string_agg(idx, ',' ORDER BY idx) FILTER (WHERE r <= 3), '') AS ids FROM ut LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k) USING (dia_no, label, turn_no) GROUP BY ALL")
@@ -346,8 +379,8 @@ def lookup_prediction(spark, d):
     return C.user_turns(spark, d).select(*KEY).join(C.predictions(spark, d).where("pred = 1"), KEY).select(*KEY, r6("prob").alias("prob"))
 
 
-@query("lookup_profile_fallback", B.PROFILE + "," + B.metric_sql("agg_o") + "," + B.K + """, pr AS (SELECT * FROM m WHERE NOT (scope = 'act' AND intent IN ('greet', 'inform'))),
- wd AS (SELECT DISTINCT dia_no, label, turn_no, lower(token) AS ngram FROM k), kn AS (SELECT DISTINCT dia_no, label, turn_no, intent, domain, slot FROM ax SEMI JOIN (SELECT * FROM pr WHERE scope = 'act') USING (intent, domain, slot)),
+@query("lookup_profile_fallback", B.PROFILE + "," + B.metric_sql("agg_o").replace("m AS (", "m AS MATERIALIZED (", 1) + "," + B.K + """, pr AS MATERIALIZED (SELECT * FROM m WHERE NOT (scope = 'act' AND intent IN ('greet', 'inform'))),
+ wd AS MATERIALIZED (SELECT DISTINCT dia_no, label, turn_no, lower(token) AS ngram FROM k), kn AS MATERIALIZED (SELECT DISTINCT dia_no, label, turn_no, intent, domain, slot FROM ax SEMI JOIN (SELECT * FROM pr WHERE scope = 'act') USING (intent, domain, slot)),
  al AS (SELECT dia_no, label, turn_no, ngram, sum(score) AS score FROM wd JOIN kn USING (dia_no, label, turn_no) JOIN (SELECT * FROM pr WHERE scope = 'act') q USING (intent, domain, slot, ngram) GROUP BY ALL
   UNION ALL SELECT dia_no, label, turn_no, ngram, q.score FROM (SELECT * FROM wd ANTI JOIN kn USING (dia_no, label, turn_no)) JOIN (SELECT ngram, score FROM pr WHERE scope = 'global') q USING (ngram))
  SELECT dia_no, label, turn_no, ngram, round(score, 6) AS score FROM al""")
@@ -363,9 +396,10 @@ def lookup_slot_desc(spark, d):
     return J.lookup_slot_desc(profiles.turn_acts(spark, d), slots).select(*KEY, "act_i", "slot_text")
 
 
-@query("containment_self", B.with_(B.T, B.U, B.UT, B.NG) + ", ph AS (SELECT DISTINCT label AS scope, ngram AS phrase FROM ng WHERE n <= 2 AND dia_no % 4 = 0) SELECT a.scope, a.phrase AS long, b.phrase AS short FROM ph a JOIN ph b ON a.scope = b.scope AND a.phrase <> b.phrase AND contains(' ' || a.phrase || ' ', ' ' || b.phrase || ' ')")
+@query("containment_self", B.with_(B.T, B.U, B.UT, B.NG) + ", ph AS (SELECT DISTINCT label AS scope, ngram AS phrase FROM ng WHERE n <= 2) SELECT DISTINCT a.scope, a.phrase AS long, b.phrase AS short FROM (SELECT scope, phrase, unnest(string_split(phrase, ' ')) AS w FROM ph) a JOIN ph b ON a.scope = b.scope AND b.phrase = a.w AND a.phrase <> b.phrase")
 def containment_self(spark, d):
-    rows = profiles.turn_ngrams(spark, d, 2).where("dia_no % 4 = 0")
+    """Of phrases of one or two words, what a longer phrase can hold is one of its words."""
+    rows = profiles.turn_ngrams(spark, d, 2)
     return J.containment_self(rows.select(F.col("label").alias("scope"), F.col("ngram").alias("phrase")).distinct())
 
 
@@ -439,7 +473,10 @@ def phrases(spark, d):
     return PR.phrases(C.explained_tokens(spark, d).where("score > 0"), KEY).select(*KEY, "first", "phrase", r6("utt_expl").alias("utt_expl"))
 
 
-@query("slot_tag")
+TAG_SQL = r"regexp_replace(regexp_replace({text}, '(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}_])' || regexp_escape({value}) || '($|[^\p{{L}}\p{{N}}\p{{M}}_])', '\1<' || {slot} || '>\2', 'g'), '(?i)(^|[^\p{{L}}\p{{N}}\p{{M}}_])' || regexp_escape({value}) || '($|[^\p{{L}}\p{{N}}\p{{M}}_])', '\1<' || {slot} || '>\2', 'g')"
+
+
+@query("slot_tag", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, slot, value, CASE WHEN slot = '' THEN text ELSE regexp_replace(" + TAG_SQL.format(text="text", value="value", slot="slot") + ", '(<' || slot || '>)(\\s+<' || slot || '>)+', '\\1', 'g') END AS tagged FROM ax JOIN u USING (dia_no, label, turn_no) WHERE value <> ''")
 def slot_tag(spark, d):
     u = C.user_turns(spark, d).withColumn("a", F.explode("acts")).where(F.col("a.value") != "")
     return u.select(*KEY, F.col("a.slot").alias("slot"), F.col("a.value").alias("value"), PR.slot_tag(F.col("text"), F.col("a.value"), F.col("a.slot")).alias("tagged"))
@@ -609,25 +646,21 @@ def match_flip(spark, d):
     return M.match_flip(M.match_corpus(*_sides(spark, d), ["g"]), ["g"]).select("g", "j", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"))
 
 
-@query("match_assemble", B.with_(EMB_SQL) + MATCH_SQL + " SELECT g, j, CAST(j % 7 AS DOUBLE) AS da_expl, count(*) AS n, round(avg((i % 11) / 10.0), 6) AS utt_expl FROM th WHERE csls >= lim GROUP BY ALL")
-def match_assemble(spark, d):
-    left, right = _sides(spark, d)
-    rows = M.match_assemble(M.match_corpus(left, right, ["g"]), left.select("g", "i", F.col("i").cast("string").alias("token"), ((F.col("i") % 11) / 10.0).alias("score")), right.select("g", "j", (F.col("j") % 7).cast("double").alias("da_expl")), ["g"])
-    return rows.select("g", "j", "da_expl", F.size("utt").cast("long").alias("n"), r6("utt_expl").alias("utt_expl"))
-
-
 @query("da_to_text", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, act_i, trim(regexp_replace(concat_ws(' ', intent, slot, value), ' +', ' ', 'g')) AS text FROM ax")
 def da_to_text(spark, d):
     return profiles.turn_acts(spark, d).select(*KEY, "act_i", M.da_to_text(F.col("intent"), F.col("slot"), F.col("value")).alias("text"))
 
 
-@query("train_pairs", B.with_(B.T, B.TA, PREV_SQL) + """, x AS (SELECT text AS utt, array_to_string(list_transform(acts, lambda a: trim(regexp_replace(concat_ws(' ', a.intent, a.slot, a.value), ' +', ' ', 'g'))), ';') AS w, array_to_string(list_transform(acts, lambda a: trim(regexp_replace(concat_ws(' ', a.intent, a.slot), ' +', ' ', 'g'))), ';') AS o FROM pv)
- SELECT utt, w AS acts, 1 AS y FROM x UNION ALL SELECT utt, o, 1 FROM x""")
+@query("train_pairs", B.with_(B.T, B.TA, PREV_SQL) + """, x AS (SELECT dia_no, label, turn_no, text AS utt, array_to_string(list_transform(acts, lambda a: trim(regexp_replace(concat_ws(' ', a.intent, a.slot, a.value), ' +', ' ', 'g'))), ';') AS w, array_to_string(list_transform(acts, lambda a: trim(regexp_replace(concat_ws(' ', a.intent, a.slot), ' +', ' ', 'g'))), ';') AS o FROM pv),
+ pr AS (SELECT *, {'w': w, 'o': o} AS both_ FROM x), rg AS (""" + RING_SQL.format(taken="both_", rows="pr") + """), ng AS (SELECT utt, CASE WHEN place = held THEN fst ELSE nx END AS n FROM rg WHERE held > 1)
+ SELECT utt, w AS acts, 1 AS y FROM x UNION ALL SELECT utt, o, 1 FROM x UNION ALL SELECT utt, n.w, 0 FROM ng UNION ALL SELECT utt, n.o, 0 FROM ng""")
 def train_pairs(spark, d):
+    """Turns with their own acts, and with those of another turn."""
     rows = D.da_turn(C.turns(spark, d))
     texts = lambda v: F.array_join(F.transform("acts", lambda a: M.da_to_text(a["intent"], a["slot"], a["value"] if v else F.lit(""))), ";")
-    own = rows.select(F.col("text").alias("utt"), texts(True).alias("with_value"), texts(False).alias("without_value"))
-    return M.train_pairs(own, own.limit(0))
+    own = rows.select(*KEY, F.col("text").alias("utt"), F.struct(texts(True).alias("with_value"), texts(False).alias("without_value")).alias("both_"))
+    other = D.negatives_random_pair(own, KEY, "both_")
+    return M.train_pairs(own.select("utt", "both_.*"), other.select("utt", "negative.*"))
 
 
 # Acts and texts ------------------------------------------------------------------------------------------------------
@@ -652,12 +685,12 @@ def fix_acts(spark, d):
     return rows.select(*KEY, join_acts(F.col("acts")).alias("acts"))
 
 
-@query("parse_da_serial", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, act_i, intent, domain, slot, value FROM ax WHERE NOT regexp_matches(value, '[\\[\\]]')")
+@query("parse_da_serial", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, act_i, intent, domain, slot, value FROM ax")
 def parse_da_serial(spark, d):
     rows = C.user_turns(spark, d).where(F.size("acts") > 0)
     body = F.array_join(F.transform("acts", lambda a: F.concat(F.lit("["), a["intent"], F.lit("]["), a["domain"], F.lit("](["), a["slot"], F.lit("]["), a["value"], F.lit("])"))), ";")
     parsed = rows.select(*KEY, F.posexplode(AC.parse_da_serial(body)).alias("act_i", "a"))
-    return parsed.where(~F.col("a.value").rlike(r"[\[\]]")).select(*KEY, "act_i", "a.intent", "a.domain", "a.slot", "a.value")
+    return parsed.select(*KEY, "act_i", "a.intent", "a.domain", "a.slot", "a.value")
 
 
 @query("parse_da_json", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, act_i, intent, domain, slot FROM ax")
@@ -678,10 +711,10 @@ def parse_masked(spark, d):
     return c.select("conv_id", "turn", X.parse_masked(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x<DIA>"), "text", F.lit("</DIA>"))).otherwise(F.col("text"))).alias("masked"))
 
 
-@query("mask_validate", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(text) ELSE text END AS text FROM conversations WHERE text NOT LIKE '%ß%'")
+@query("mask_validate", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(text, 'e', '[e]') ELSE text END AS text FROM conversations")
 def mask_validate(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where(~F.contains("text", F.lit("ß")))
-    other = F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.concat("text", F.lit("\nmore")))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    other = F.when(F.col("turn") % 2 == 0, F.replace("text", F.lit("e"), F.lit("[e]"))).otherwise(F.concat("text", F.lit("\nmore")))
     return c.select("conv_id", "turn", X.mask_validate(F.col("text"), other).alias("text"))
 
 
@@ -700,9 +733,10 @@ def parse_admin(spark, d):
     return c.select("conv_id", "turn", F.coalesce(X.parse_admin(F.concat(F.lit("is <goal> "), shown, F.lit(" </goal>"))), F.lit(-1)).alias("goal"))
 
 
-@query("parse_utterance", "SELECT conv_id, turn, CASE WHEN regexp_matches(trim(replace(text, chr(10), ' ')), '^[!-~áéíóúàèüöäñçÁÉÍÓÚÀÈÜÖÄÑÇ—€£ãõâêîôûÂÊÎÔÛ ]*$') THEN 'user: ' || trim(replace(text, chr(10), ' ')) END AS line FROM conversations WHERE NOT contains(text, '‘') AND NOT contains(text, '’')")
+@query("parse_utterance", """SELECT conv_id, turn, CASE WHEN NOT contains(text, 'system:') AND NOT contains(text, 'user:') AND regexp_matches(clean, '^[!-~áéíóúàèüöäñçÁÉÍÓÚÀÈÜÖÄÑÇ—€£ãõâêîôûÂÊÎÔÛ ]*$') THEN 'user: ' || clean END AS line
+  FROM (SELECT conv_id, turn, text, replace(replace(trim(replace(text, chr(10), ' ')), '‘', chr(39)), '’', chr(39)) AS clean FROM conversations)""")
 def parse_utterance(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where(~F.col("text").rlike("[‘’]"))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
     return c.select("conv_id", "turn", X.parse_utterance(F.concat(F.lit("user:"), F.col("text")), "user").alias("line"))
 
 
@@ -712,9 +746,10 @@ def char_whitelist(spark, d):
     return c.select("conv_id", "turn", X.english_only(C.one_line(F.col("text"))).alias("ok"))
 
 
-@query("strip_end", "SELECT conv_id, turn, trim(text) AS text, turn % 2 = 0 AS ended FROM conversations WHERE NOT regexp_matches(text, '(?i)\\b(end|stop)\\b')")
+@query("strip_end", r"""SELECT conv_id, turn, trim(regexp_replace(said, '(?i)[^\w\s]+\b(?:END|STOP)\b[^\w\s]+', '', 'g')) AS text, regexp_matches(said, '(?i)[^\w\s]+\b(?:END|STOP)\b[^\w\s]+') AS ended
+  FROM (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' [END]' ELSE '' END AS said FROM conversations)""")
 def strip_end(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet").where(~F.col("text").rlike(r"(?i)\b(end|stop)\b"))
+    c = spark.read.parquet(f"{d}/conversations.parquet")
     text, ended = X.strip_end(F.concat("text", F.when(F.col("turn") % 2 == 0, " [END]").otherwise("")))
     return c.select("conv_id", "turn", text.alias("text"), ended.alias("ended"))
 
@@ -732,9 +767,10 @@ def act_to_readable(spark, d):
 
 # Attribution ---------------------------------------------------------------------------------------------------------
 
-@query("masks_banzhaf_all", B.with_(B.T, B.U, B.UT) + ", s AS (SELECT dia_no, label, turn_no, least(len(tok), 6) AS n FROM ut) SELECT dia_no, label, turn_no, CAST(i AS BIGINT) AS mask_id, array_to_string(list_transform(range(0, n), lambda b: (i >> (n - 1 - b)) & 1), '') AS mask FROM (SELECT *, unnest(range(0, CAST(power(2, n) AS BIGINT))) AS i FROM s WHERE n > 0)")
+@query("masks_banzhaf_all", B.with_(B.T, B.TA, B.U, B.UA) + "SELECT dia_no, label, turn_no, CAST(i AS BIGINT) AS mask_id, array_to_string(list_transform(range(0, n), lambda b: (i >> (n - 1 - b)) & 1), '') AS mask FROM (SELECT *, unnest(range(0, CAST(power(2, n) AS BIGINT))) AS i FROM (SELECT dia_no, label, turn_no, len(acts) AS n FROM ua) WHERE n > 0)")
 def masks_banzhaf_all(spark, d):
-    rows = C.explanations(spark, d).select(*KEY, F.least("n_features", F.lit(6)).alias("n_features"))
+    """All masks over the acts of each turn."""
+    rows = C.user_turns(spark, d).select(*KEY, F.size("acts").alias("n_features"))
     return AT.masks_banzhaf_all(rows).select(*KEY, "mask_id", F.array_join(F.transform("mask", lambda x: x.cast("string")), "").alias("mask"))
 
 
@@ -763,18 +799,6 @@ def perturb_driver(spark, d):
     return S.score_prob(rows, S.LexiconScorer(), "masked", "y").select("dia_no", "turn_no", "label", "mask_id", "masked", r6("y").alias("y"))
 
 
-@query("ig_utterance", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, turn_no, idx, token, round(score, 6) AS score FROM k")
-def ig_utterance(spark, d):
-    """The linear scorer's closed form: weight times (1 - 0); the numeric rule gives the same, see the tests."""
-    return C.explained_tokens(spark, d).select(*KEY, "idx", "token", r6("score").alias("score"))
-
-
-@query("ig_da", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, turn_no, idx // 4 AS act_i, round(sum(score), 6) + 0.0 AS score FROM k GROUP BY ALL")
-def ig_da(spark, d):
-    rows = AT.grouped_by_act(C.explained_tokens(spark, d).withColumn("act_i", F.floor(F.col("idx") / 4).cast("int")))
-    return rows.select(*KEY, "act_i", (r6("score") + 0.0).alias("score"))
-
-
 # Models, reports and sessions ----------------------------------------------------------------------------------------
 
 @query("score_prob", B.with_(B.T, B.U, B.UT, B.K, B.P) + "SELECT dia_no, label, turn_no, round(prob, 6) AS prob FROM p")
@@ -796,20 +820,6 @@ def late_fusion(spark, d):
     return rows.select("vec_id", total("max").alias("mx"), total("average").alias("av"))
 
 
-@query("train_turn_utt")
-def train_turn_utt(spark, d):
-    rows = C.user_turns(spark, d).select(*KEY, D.utt_sequence(F.col("text")).alias("input_sequence"))
-    model = S.train_detector(rows, "input_sequence")
-    return model.transform(rows).select(*KEY, F.col("prediction").cast("int").alias("pred"))
-
-
-@query("train_dia")
-def train_dia(spark, d):
-    da, utt = D.multimodal_sequence(F.col("lines"))
-    rows = C.dialogues(spark, d).select("dia_no", "label", da.alias("da"), utt.alias("utt"))
-    return S.dialogue_pipeline("da", "utt").fit(rows).transform(rows).select("dia_no", "label", F.col("prediction").cast("int").alias("pred"))
-
-
 @query("phrase_weight", B.PROFILE + "," + B.metric_sql("fwlor") + " SELECT ngram, round(score * ln(len(string_split(ngram, ' ')) + 1), 6) AS weight FROM m WHERE scope = 'global'")
 def phrase_weight(spark, d):
     p = profiles.profile(spark, d).where("scope = 'global'")
@@ -833,23 +843,66 @@ def token_colour(spark, d):
     return k.select(*KEY, "idx", r6(R.token_colour(F.col("score"), F.col("hi"), F.col("lo"), F.col("pred"))).alias("alpha"))
 
 
-@query("report_text")
-def report_text(spark, d):
-    """Report texts of every user turn: strongest token toward the prediction, its sentence's place, and act variants."""
+def _filled(pattern: str, **of: str) -> str:
+    """The SQL that fills a report template."""
+    import re
+
+    parts = re.split(r"\$(\w+)", pattern)
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return " || ".join(f"coalesce(CAST({of[p]} AS VARCHAR), '')" if i % 2 else quoted(p) for i, p in enumerate(parts))
+
+
+_TOKEN = dict(utterance="utterance", label="shown", percent="percent", number="number", sentence="sentence", token="token", place="place", before="before")
+_ACT = dict(n="n_acts", percent="act_percent", number="act_number", label="shown", intent="intent", domain="domain", slot="slot")
+REPORT_SQL = ORACLE["sentence_index"].replace("SELECT dia_no, label, turn_no, idx, CAST(coalesce", ", si AS (SELECT dia_no, label, turn_no, idx, CAST(coalesce") + ")," + ",".join((B.UT, B.K, B.P, B.TA, B.UA, B.AX)) + f""",
+ kk AS (SELECT *, lag(token) OVER (PARTITION BY dia_no, label, turn_no ORDER BY idx) AS before, count(*) OVER w AS n, sum(CAST(CASE WHEN pred = 1 THEN score > 0 ELSE score <= 0 END AS INTEGER)) OVER w AS number
+   FROM k JOIN p USING (dia_no, label, turn_no) WINDOW w AS (PARTITION BY dia_no, label, turn_no)),
+ fk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY CASE WHEN pred = 1 THEN -score ELSE score END, idx) AS r FROM kk) WHERE r = 1),
+ sa AS (SELECT *, (length(value) % 5 - 2) / 10.0 AS score FROM ax JOIN (SELECT dia_no, label, turn_no, pred FROM p) USING (dia_no, label, turn_no)),
+ ac AS (SELECT dia_no, label, turn_no, count(*) AS n_acts, sum(CAST(CASE WHEN pred = 1 THEN score > 0 ELSE score <= 0 END AS INTEGER)) AS act_number, arg_min({{'intent': intent, 'domain': domain, 'slot': slot}}, {{'s': CASE WHEN pred = 1 THEN -score ELSE score END, 'i': act_i}}) AS a FROM sa GROUP BY ALL),
+ rp AS (SELECT dia_no, label, turn_no, u.text AS utterance, CASE WHEN pred = 1 THEN 'AI' ELSE 'human' END AS shown, number, round_even(CAST(100.0 * number / n AS DOUBLE), 2) AS percent, coalesce(sentence, 1) AS sentence, fk.token, before,
+   CASE WHEN idx <= n // 3 THEN 'beginning' WHEN idx > 2 * (n // 3) THEN 'end' ELSE 'middle' END AS place, coalesce(n_acts, 0) AS n_acts, coalesce(act_number, 0) AS act_number, coalesce(round_even(CAST(100.0 * act_number / n_acts AS DOUBLE), 2), 0.0) AS act_percent, a.intent AS intent, a.domain AS domain, a.slot AS slot
+   FROM fk JOIN u USING (dia_no, label, turn_no) LEFT JOIN si USING (dia_no, label, turn_no, idx) LEFT JOIN ac USING (dia_no, label, turn_no))
+ SELECT dia_no, label, turn_no, CASE WHEN percent >= 50 AND before IS NOT NULL THEN {_filled(R.TOKEN_MOST, **_TOKEN)} WHEN before IS NULL THEN {_filled(R.TOKEN_FIRST, **_TOKEN)} ELSE {_filled(R.TOKEN_FEW, **_TOKEN)} END AS token_text,
+  CASE WHEN n_acts = 0 THEN '{R.ACT_NONE}' WHEN act_percent >= 50 THEN {_filled(R.ACT_MOST, **_ACT)} ELSE {_filled(R.ACT_FEW, **_ACT)} END AS act_text FROM rp"""
+
+
+def report_rows(spark, d):
+    """What the report of every user turn says: the token that speaks most for the prediction, the sentence and the third that
+    it stands in, what share of tokens and of acts is on the predicted side, and the act that speaks most for it."""
     from pyspark.sql import Window as W
 
     p, w = C.predictions(spark, d), W.partitionBy(*KEY)
+    toward = lambda s: F.when(F.col("pred") == 1, -s).otherwise(s)
+    like = lambda s: F.when(F.col("pred") == 1, (s > 0).cast("int")).otherwise((s <= 0).cast("int"))
     k = C.explained_tokens(spark, d).join(p, KEY).withColumn("before", F.lag("token").over(w.orderBy("idx"))).withColumn("n", F.count("*").over(w))
-    like = F.when(F.col("pred") == 1, (F.col("score") > 0).cast("int")).otherwise((F.col("score") <= 0).cast("int"))
-    k = k.withColumn("number", F.sum(like).over(w)).withColumn("percent", F.bround(100.0 * F.sum(like).over(w) / F.col("n"), 2))
-    first = k.withColumn("r", F.row_number().over(w.orderBy(F.when(F.col("pred") == 1, -F.col("score")).otherwise(F.col("score")), "idx"))).where("r = 1")
-    acts = profiles.turn_acts(spark, d).groupBy(*KEY).agg(F.count("*").alias("n_acts"), F.min_by(F.struct("intent", "domain", "slot"), "act_i").alias("a"))
-    rows = first.join(C.user_turns(spark, d).select(*KEY, F.col("text").alias("utterance")), KEY).join(acts, KEY, "left")
-    rows = rows.select(*KEY, "utterance", F.when(F.col("pred") == 1, "AI").otherwise("human").alias("shown"), "percent", "number", F.lit(1).alias("sentence"), "token", E.position_bucket(F.col("idx"), F.col("n")).alias("place"), "before", F.coalesce("n_acts", F.lit(0)).alias("n_acts"), F.lit(100).alias("act_percent"), F.coalesce("n_acts", F.lit(0)).alias("act_number"), "a.intent", "a.domain", "a.slot")
-    out = R.report_text(rows.withColumn("truth", F.col("label")).withColumn("label", F.col("shown")))
+    k = k.withColumn("number", F.sum(like(F.col("score"))).over(w)).withColumn("percent", F.bround(100.0 * F.col("number") / F.col("n"), 2))
+    first = k.withColumn("r", F.row_number().over(w.orderBy(toward(F.col("score")), "idx"))).where("r = 1")
+    numbered = X.sentences(_spaced(spark, d), KEY).select(*KEY, "idx", "sentence")
+    own = _scored_acts(spark, d).join(p.select(*KEY, "pred"), KEY)
+    acts = own.groupBy(*KEY).agg(F.count("*").alias("n_acts"), F.sum(like(F.col("score"))).alias("act_number"), F.min_by(F.struct("intent", "domain", "slot"), F.struct(toward(F.col("score")), "act_i")).alias("a"))
+    rows = first.join(C.user_turns(spark, d).select(*KEY, F.col("text").alias("utterance")), KEY).join(numbered, [*KEY, "idx"], "left").join(acts, KEY, "left")
+    return rows.select(
+        *KEY, "pred", "prob", "utterance", F.when(F.col("pred") == 1, "AI").otherwise("human").alias("shown"), "percent", "number", F.coalesce("sentence", F.lit(1)).alias("sentence"), "token", E.position_bucket(F.col("idx"), F.col("n")).alias("place"), "before",
+        F.coalesce("n_acts", F.lit(0)).alias("n_acts"), F.coalesce(F.bround(F.try_divide(100.0 * F.col("act_number"), F.col("n_acts")), 2), F.lit(0.0)).alias("act_percent"), F.coalesce("act_number", F.lit(0)).alias("act_number"), "a.intent", "a.domain", "a.slot",
+    )
+
+
+@query("report_text", REPORT_SQL)
+def report_text(spark, d):
+    """Report texts of every user turn, each with its variants."""
+    out = R.report_text(report_rows(spark, d).withColumn("truth", F.col("label")).withColumn("label", F.col("shown")))
     return out.select("dia_no", F.col("truth").alias("label"), "turn_no", "token_text", "act_text")
 
 
+@query("report_html")
+def report_html(spark, d):
+    """One page for every dialogue: its probabilities, each turn's coloured tokens and texts, and the clouds of its last acts."""
+    texts = R.report_text(report_rows(spark, d).withColumn("truth", F.col("label")).withColumn("label", F.col("shown"))).select("dia_no", F.col("truth").alias("label"), "turn_no", "pred", "prob", "token_text", "act_text")
+    coloured = token_colour(spark, d).join(C.explained_tokens(spark, d).select(*KEY, "idx", "token"), [*KEY, "idx"])
+    return R.report_pages(texts, coloured, aggregation_class(spark, d))
+
+
 @query("session_batch", B.with_(B.T, B.U, B.UT, B.K, B.P) + """SELECT dia_no AS session_id, turn_no, round(prob, 6) AS turn_prob, round(1 / (1 + exp(-sum(kept) OVER w)), 6) AS dia_prob, CAST(count(*) OVER w AS INTEGER) AS n_turns FROM
  (SELECT dia_no, turn_no, any_value(prob) AS prob, coalesce(sum(score) FILTER (WHERE r <= 3), 0) AS kept FROM p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k) USING (dia_no, label, turn_no) GROUP BY ALL)
  WINDOW w AS (PARTITION BY dia_no ORDER BY turn_no)""")
@@ -867,7 +920,7 @@ def e2e_convo(spark, d):
     def make(dia_no: int):
         return S.ScriptedGenerator(["user: hello there", "user: thanks [END]"]), S.ScriptedGenerator(["system: hi"]), S.ScriptedGenerator(["<goal>1</goal>"] * 3)
 
-    return e2e_dataset(goals, goals.limit(0).withColumn("is_complete", F.lit(True)), 50, make)
+    return e2e_dataset(goals, goals.limit(0).withColumn("is_complete", F.lit(True)), None, make)
 
 
 AS_SQL = "sa AS (SELECT *, (length(value) % 5 - 2) / 10.0 AS score FROM ax)"
@@ -901,29 +954,6 @@ def sentence_assign(spark, d):
     return C.explained_tokens(spark, d).join(numbered, [*KEY, "idx"]).select(*KEY, "idx", "token", "sentence")
 
 
-@query("expl_utt_turn", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, turn_no, coalesce(string_agg(CASE WHEN r <= 3 THEN token ELSE '<mask>' END, ' ' ORDER BY idx), '') AS masked_sample FROM ut LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k) USING (dia_no, label, turn_no) GROUP BY ALL")
-def expl_utt_turn(spark, d):
-    e = C.explanations(spark, d).withColumn("mask", SE.importance_mask(SE.important_ids(SE.topk_absolute(F.col("explanation"), 3)), F.col("n_features")))
-    return e.select(*KEY, FE.mask_apply_utt(F.col("tok"), F.col("mask")).alias("masked_sample"))
-
-
-@query("expl_da_turn", B.with_(B.T, B.TA, B.U, B.UA, B.AX, AS_SQL) + "SELECT dia_no, label, turn_no, string_agg(intent || '|' || domain || '|' || slot || '|' || value, ';' ORDER BY act_i) AS masked_sample FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, act_i) AS r FROM sa) WHERE r <= 2 GROUP BY ALL")
-def expl_da_turn(spark, d):
-    u = C.user_turns(spark, d).where(F.size("acts") > 0)
-    e = F.transform("acts", lambda a, i: F.struct(i.alias("idx"), FE.act_name(a).alias("text"), C.lexicon_weight(a["value"]).alias("score")))
-    mask = SE.importance_mask(SE.important_ids(SE.topk_absolute(F.col("e"), 2)), F.size("acts"))
-    return u.withColumn("e", e).select(*KEY, utt_acts(FE.mask_apply_da(F.array("acts"), mask)).alias("masked_sample"))
-
-
-@query("expl_dialogue", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, string_agg(turn_no || ':' || idx, ',' ORDER BY turn_no, idx) AS important FROM (SELECT *, row_number() OVER (PARTITION BY dia_no, label ORDER BY abs(score) DESC, turn_no, idx) AS r FROM k) WHERE r <= 5 GROUP BY ALL")
-def expl_dialogue(spark, d):
-    """Dialogue-level attribution of complete dialogues: the five strongest of all user tokens."""
-    each = F.transform(F.col("explanation"), lambda x: F.struct((-F.abs(x["score"])).alias("r"), F.col("turn_no").alias("t"), x["idx"].alias("i")))
-    whole = C.explanations(spark, d).groupBy("dia_no", "label").agg(F.flatten(F.collect_list(each)).alias("e"))
-    top = F.array_sort(F.transform(F.slice(F.array_sort("e"), 1, 5), lambda x: F.struct(x["t"].alias("t"), x["i"].alias("i"))))
-    return whole.where(F.size("e") > 0).select("dia_no", "label", F.array_join(F.transform(top, lambda x: F.concat_ws(":", x["t"].cast("string"), x["i"].cast("string"))), ",").alias("important"))
-
-
 @query("aggregation_class")
 def aggregation_class(spark, d):
     top = PR.top_profile(profiles.profile(spark, d).withColumn("score", r6("score")))
@@ -936,9 +966,12 @@ def global_cloud(spark, d):
     return R.clouds(top).select("side", "phrase", r6("weight").alias("weight"))
 
 
-@query("nlu_prompt")
+@query("nlu_prompt", B.with_(B.T, B.TA) + f"""SELECT 'Intents:' || chr(10) || '- inform: tells something' || chr(10) || '- request: asks for something' || chr(10) || 'Slots:' || chr(10) || '- price: price per night' || chr(10) || 'Answer with a JSON list of [intent, domain, slot, value] in <DA></DA> tags.' || chr(10)
+  || string_agg('Context: ' || context || chr(10) || 'user: ' || text || chr(10) || '<DA>' || {ACTS_SQL.format('acts')} || '</DA>', chr(10) ORDER BY dia_no, pos) AS prompt FROM
+  (SELECT * FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY dia_no, label ORDER BY pos), '') AS context FROM ta) WHERE role = 'user' ORDER BY md5('2025|' || dia_no || '|' || pos), dia_no, pos LIMIT 16)""")
 def nlu_prompt(spark, d):
-    examples = AC.da_examples(C.turns(spark, d), "user").where("dia_no < 3")
+    """A prompt with 16 demonstrations, drawn from all lines of the speaker."""
+    examples = D.sample_n_rows(AC.da_examples(C.turns(spark, d), "user"), ["dia_no", "pos"], 16)
     return AC.nlu_prompt(examples, [("inform", "tells something"), ("request", "asks for something")], [("price", "price per night")], "user")
 
 
@@ -952,21 +985,45 @@ def sim_to_table(spark, d):
     return M.sim_to_table(M.csls(M.pairwise_sim(*_sides(spark, d), ["g"]), ["g"])).select("g", "i", "j", "csls")
 
 
-@query("word_embed")
+#: The hashed embedding of a text.
+HE = "list_transform(range(0, 16), lambda q: CAST('0x' || substr(md5({0} || '|' || q), 1, 6) AS BIGINT) / 8388608.0 - 1)"
+_FOUR = "array_to_string(list_transform(x[1:4], lambda v: CAST(CAST(round(1000000 * v / sqrt(list_sum(list_transform(x, lambda w: w * w)))) AS BIGINT) AS VARCHAR)), ',')"
+
+
+def _four(text):
+    """The first four components of a text's unit vector, in millionths."""
+    return F.array_join(F.transform(F.slice(M.unit(M.hashed_embedding(text)), 1, 4), lambda v: F.round(1000000 * v).cast("long").cast("string")), ",")
+
+
+@query("word_embed", B.with_(B.T, B.U, B.UT, B.K) + f"SELECT token, {_FOUR} AS vec FROM (SELECT token, {HE.format('lower(token)')} AS x FROM (SELECT DISTINCT token FROM k))")
 def word_embed(spark, d):
     """Hashed word vectors: the deterministic stand-in for an embedding model."""
-    rows = C.explained_tokens(spark, d).select("token").distinct()
-    return rows.select("token", F.round(M.dot(M.unit(M.hashed_embedding(F.col("token"))), M.unit(M.hashed_embedding(F.col("token")))), 6).alias("self"))
+    return C.explained_tokens(spark, d).select("token").distinct().select("token", _four(F.lower("token")).alias("vec"))
+
+
+@query("da_embed", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + f"SELECT text, {_FOUR} AS vec FROM (SELECT text, {HE.format('lower(text)')} AS x FROM (SELECT DISTINCT trim(regexp_replace(concat_ws(' ', intent, slot, value), ' +', ' ', 'g')) AS text FROM ax))")
+def da_embed(spark, d):
+    """Acts in words, and their vectors."""
+    rows = profiles.turn_acts(spark, d).select(M.da_to_text(F.col("intent"), F.col("slot"), F.col("value")).alias("text")).distinct()
+    return rows.select("text", _four(F.lower("text")).alias("vec"))
 
 
 @query("binomial", "SELECT event_id, event_id % 12 AS n, event_id % 5 AS r, CAST(CASE WHEN event_id % 5 > event_id % 12 THEN 0 ELSE factorial(CAST(event_id % 12 AS INTEGER)) // (factorial(CAST(event_id % 5 AS INTEGER)) * factorial(CAST(event_id % 12 - event_id % 5 AS INTEGER))) END AS BIGINT) AS c FROM events")
 def binomial(spark, d):
+    from ..functions.attribution import binomial as choose
+
+    @F.pandas_udf("long")
+    def run(n: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([choose(int(a), int(b)) for a, b in zip(n, r)], dtype="int64")
+
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 12).alias("n"), (F.col("event_id") % 5).alias("r"))
-    fact = lambda c: F.factorial(c.cast("int"))
-    return e.select("event_id", "n", "r", F.when(F.col("r") > F.col("n"), F.lit(0)).otherwise((fact(F.col("n")) / (fact(F.col("r")) * fact(F.col("n") - F.col("r")))).cast("long")).cast("long").alias("c"))
+    return e.select("event_id", "n", "r", run("n", "r").alias("c"))
 
 
 @query("flagship", B.with_(B.T, B.U, B.UT, B.NG) + """, c AS (SELECT 'global' AS scope, '' AS intent, '' AS domain, '' AS slot, ngram, sum(CAST(score > 0 AS INTEGER)) AS a_n, sum(CAST(score < 0 AS INTEGER)) AS b_n, 0.0 AS a_s, 0.0 AS b_s FROM ng WHERE score <> 0 GROUP BY ngram),""" + B.metric_sql("fwlor") + """
  SELECT side, CAST(rank AS INTEGER) AS rank, ngram, abs(s) AS score FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY abs(s) DESC, ngram) AS rank FROM (SELECT *, round(score, 6) AS s, CASE WHEN score > 0 THEN 'ai' ELSE 'human' END AS side FROM m WHERE round(score, 6) <> 0)) WHERE rank <= 20""")
 def flagship(spark, d):
     return profiles.flagship(spark, d)
+
+
+from . import explained, matched  # noqa: E402, F401  these add their queries

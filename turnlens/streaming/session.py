@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "session_id long, turn_no int, turn_prob double, dia_prob double, n_turns int, history string"
+OUT = "session_id long, turn_no int, turn_prob double, dia_prob double, n_turns int, masked string"
 STATE = "masked array<string>, probs array<double>"
 IDLE_MS = 30 * 60 * 1000
 
@@ -44,7 +44,7 @@ def detect_stream(messages: DataFrame, scorer, k: int = 3, idle_ms: int | None =
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame(columns=["session_id", "turn_no", "turn_prob", "dia_prob", "n_turns", "history"])
+            yield pd.DataFrame(columns=["session_id", "turn_no", "turn_prob", "dia_prob", "n_turns", "masked"])
             return
         masked, probs = (list(x) for x in state.get) if state.exists else ([], [])
         rows = []
@@ -54,11 +54,11 @@ def detect_stream(messages: DataFrame, scorer, k: int = 3, idle_ms: int | None =
                     masked, probs = [], []
                     continue
                 turn, dialogue = step(masked, probs, text or "", scorer.predict, scorer.weight, k)
-                rows.append((key[0], len(probs) - 1, turn, dialogue, len(probs), " | ".join(masked)))
+                rows.append((key[0], len(probs) - 1, turn, dialogue, len(probs), masked[-1]))
         state.update((masked, probs))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["session_id", "turn_no", "turn_prob", "dia_prob", "n_turns", "history"])
+        yield pd.DataFrame(rows, columns=["session_id", "turn_no", "turn_prob", "dia_prob", "n_turns", "masked"])
 
     return messages.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
@@ -78,4 +78,4 @@ def detect_batch(messages: DataFrame, k: int = 3) -> DataFrame:
     rows = rows.withColumn("own", total(lambda x: F.lit(True))).withColumn("kept", let(F.col("ids"), lambda own: total(lambda x: F.array_contains(own, x["idx"]))))
     w = W.partitionBy("session_id").orderBy("seq")
     sigmoid = lambda x: 1 / (1 + F.exp(-x))
-    return rows.select("session_id", (F.row_number().over(w) - 1).alias("turn_no"), sigmoid(F.col("own")).alias("turn_prob"), sigmoid(F.sum("kept").over(w)).alias("dia_prob"), F.row_number().over(w).alias("n_turns"), F.array_join(F.collect_list("masked").over(w), " | ").alias("history"))
+    return rows.select("session_id", (F.row_number().over(w) - 1).alias("turn_no"), sigmoid(F.col("own")).alias("turn_prob"), sigmoid(F.sum("kept").over(w)).alias("dia_prob"), F.row_number().over(w).alias("n_turns"), "masked")
