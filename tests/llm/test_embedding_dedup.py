@@ -19,22 +19,42 @@ def clustered(seed, n, dim, spread):
 
 @pytest.mark.parametrize("dim,spread", [(2, 0.1), (8, 0.15), (64, 0.04), (64, 0.35)])
 def test_traversal_counts_like_brute_force(dim, spread):
+    side = lambda x, w: E.Side(x, E.levels(E.unit(x)), w)
     for seed in range(3):
         x, w = clustered(seed, 300, dim, spread), np.random.default_rng(seed).integers(1, 4, 300)
-        u, tree = E.unit(x), E.levels(E.unit(x))
-        hit = brute(x)
-        a, b, root = E.traverse(x, u, tree, w, x, u, tree, w, True, 0.9)
+        hit, one = brute(x), side(x, w)
+        a, b, root = E.traverse(one, one, True, 0.9)
         own = np.array([w[hit[i]].sum() for i in range(300)])
         # A full node also counts a vector's equals within it; equal vectors are one row here, so there are none.
         assert (a + b == own).all()
         assert all(root[i] == root[j] for i, j in zip(*np.nonzero(hit)))
         cut = 120
-        la, lb = E.levels(u[:cut]), E.levels(u[cut:])
-        a, b, root = E.traverse(x[:cut], u[:cut], la, w[:cut], x[cut:], u[cut:], lb, w[cut:], False, 0.9)
+        a, b, root = E.traverse(side(x[:cut], w[:cut]), side(x[cut:], w[cut:]), False, 0.9)
         assert (a == [w[cut:][hit[i, cut:]].sum() for i in range(cut)]).all()
         assert (b == [w[:cut][hit[i, :cut]].sum() for i in range(cut, 300)]).all()
 
 
+def rotated(by: float, dim: int, r) -> np.ndarray:
+    """A unit vector at the chord ``by`` from the first axis."""
+    side = np.concatenate([[0.0], r.normal(size=dim - 1)])
+    cosine = 1 - by * by / 2
+    return cosine * np.eye(dim)[0] + np.sqrt(1 - cosine * cosine) * side / np.linalg.norm(side)
+
+
+def test_no_link_at_the_threshold_is_lost_to_a_small_covering_radius():
+    """A leader, members that are almost equal to it, and vectors just within reach of a member but not of the leader."""
+    limit = np.sqrt(0.2)
+    for seed in range(100):
+        r = np.random.default_rng(seed)
+        far = rotated(limit + 3e-8, 8, r)
+        towards = far - np.eye(8)[0]
+        near = E.unit((np.eye(8)[0] + 6e-8 * towards / np.linalg.norm(towards))[None, :])[0]
+        x = np.stack([np.eye(8)[0], near, far, *(-rotated(1.0, 8, r) for _ in range(5)), 3 * near])
+        hit, one = brute(x), E.Side(x, E.levels(E.unit(x)), np.ones(len(x), np.int64))
+        a, b, root = E.traverse(one, one, True, 0.9)
+        assert (a + b == hit.sum(axis=1)).all() and hit[1, 2]
+
+
 def test_nets_are_nested_and_cover():
     u = E.unit(clustered(1, 200, 6, 0.2))
     above = None
@@ -64,3 +84,29 @@ def test_rows(spark, monkeypatch):
     for i, _ in rows:
         assert out.loc[i, "n_links"] == want.get(i, 0) and out.loc[i, "component_id"] == up[i] and out.loc[i, "kept"] == (up[i] == i), i
     assert E.near_duplicates(df.where("false")).count() == 0
+
+
+def agree(spark, x, ids=None):
+    """near_duplicates gives what all pairs give."""
+    ids = list(range(len(x))) if ids is None else ids
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    hit = brute(x)
+    up = np.array(ids)
+    while True:
+        # Rows of one vec_id are one node of the components.
+        low = np.array([min([up[i], *up[hit[i]]]) for i in range(len(x))])
+        low = np.array([low[np.array(ids) == i].min() for i in ids])
+        if (low == up).all():
+            break
+        up = low
+    want = sorted(zip(ids, hit.sum(axis=1).tolist(), up.tolist()))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()) == want
+
+
+def test_deep_trees_and_shared_ids(spark, monkeypatch):
+    for name, value in (("CHUNK", 30), ("SAMPLE", 60), ("FAN", 8), ("SOME", 4), ("PLACED", 40), ("GROUP", 2)):
+        monkeypatch.setattr(E, name, value)
+    # Half of the rows are multiples of one vector: no net parts them, and they link with their neighbours.
+    base = clustered(6, 1, 6, 0.0)[0]
+    x = np.vstack([base * np.linspace(1, 9, 90)[:, None], clustered(7, 80, 6, 0.1), base + 0.02 * np.random.default_rng(1).normal(size=(10, 6))])
+    agree(spark, x[np.random.default_rng(2).permutation(180)], [i // 2 if i > 120 else i for i in range(180)])
