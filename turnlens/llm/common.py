@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space that separates words, as byte values 0x09 to 0x0D and 0x20.
@@ -33,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call in the shared folder; deleted by ``drop`` or when the driver's JVM ends."""
+    """Tables of one operator call in the shared folder; deleted by ``drop``, by ``release`` or when the driver's JVM ends.
+    An operator's result reads them, so they may go only after it is written."""
+
+    open: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/turnlens-{name}-{uuid.uuid4().hex}"
         self._fs(self.root, lambda fs, path: fs.deleteOnExit(path))
+        Scratch.open.append(self)
 
     def _fs(self, where: str, act):
         jvm = self.spark._jvm
@@ -54,6 +59,35 @@ class Scratch:
         self._fs(f"{self.root}/{name}".rstrip("/"), lambda fs, path: fs.delete(path, True))
 
 
+def release(*but: Scratch) -> None:
+    """Deletes the tables of all operator calls so far but of those given. A driver that lives long calls it whenever it has
+    written its results."""
+    for scratch in [s for s in Scratch.open if s not in but]:
+        scratch.drop()
+        Scratch.open.remove(scratch)
+
+
+def unused(columns, name: str) -> str:
+    """The name, lengthened until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(scratch: Scratch, rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``place``: from 0 without gaps within each group of ``by`` (no nulls there), in the given order. Rows are dealt by
+    ranges of both together, so that a large group takes many tasks; places follow from each range's count of each group."""
+    cols = [*by, *order]
+    ranged = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    kept = scratch.keep(ranged, name)
+    runs = kept.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    ahead = F.sum("_rows").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_part")) - F.col("_rows")
+    starts = runs.select(*by, "_part", "_first", ahead.alias("_ahead"))
+    placed = kept.join(starts, [*by, "_part"]).withColumn("place", F.col("_ahead") + F.col("_at") - F.col("_first"))
+    return placed.select(*rows.columns, "place")
+
+
 def most_frequent(kept: DataFrame, n: str, most: int) -> DataFrame:
     """Rows of a written table whose count reaches the least bound that leaves ``most`` rows at most. The bound comes from
     how many rows have each count, so no task and no driver sorts the table."""

@@ -6,8 +6,9 @@ from binary search; a capacity is checked greedily. The greedy check needs only
 driver never sees the groups: it sees a bounded number of hash bins and opens those that a cut can fall into, until the
 bounds meet. A shard is then a range of hashes, and rows find theirs by comparing against the cuts, without a join.
 
-Defined cases: a null text counts as empty; an empty table gives no rows; repeated rows are kept and get slots of their
-own; extra columns are ignored. A group larger than the mean shard gets a shard for itself, and the others share evenly.
+Defined cases: a null text counts as empty; a null id sorts first; an empty table gives no rows; repeated rows are kept and
+get slots of their own, in any order among themselves; very long texts count by their whole length; extra columns are
+ignored. A group larger than the mean shard gets a shard for itself, and the others share evenly.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, numbered, table
 
 KEY_BITS = 63
 #: Bins of the first look, and how far a bin is split when few or many are opened. They bound what the driver gets.
 FIRST_BITS, FEW, FEW_BITS, MANY_BITS = 14, 256, 8, 5
-#: Slots are counted within (shard, block); this bounds both the rows of a block in ordinary tables and the blocks.
-BLOCK_ROWS, MOST_BLOCKS = 1000, 4096
 
 
 @dataclass
@@ -170,31 +169,23 @@ def boundaries(sizes: DataFrame, shards: int) -> tuple[int, list[int]]:
 def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, capacity.
 
-    Size is the text's UTF-8 bytes plus ``overhead``. Slots run from 0 within a shard, in the order of blocks of hashed
-    ids and of ids within a block; blocks keep a shard's numbering from being one task's work.
+    Size is the text's UTF-8 bytes plus ``overhead``. Slots run from 0 within a shard, in the order of ids, then of texts;
+    ranges of that order are counted apart, so neither a shard nor a group of equal rows is one task's work.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(docs["text"], F.lit(""))
     rows = scratch.keep(
-        docs.select(docs["doc_id"], (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(docs["text"]).alias("key")),
+        docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(docs["text"]).alias("key")),
         "rows",
     )
-    n = rows.count()
     capacity, firsts = boundaries(rows.select("key", "size"), shards)
     which = F.lit(0)
     for first in firsts:
         which = which + (F.col("key") >= first).cast("int")
-    blocks = int(min(MOST_BLOCKS, n // (shards * BLOCK_ROWS) + 1))
-    placed = rows.withColumn("shard", which.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).cast("int"))
-    per_block = placed.groupBy("shard", "block").agg(F.count("*").alias("rows"))
-    from pyspark.sql import Window as W
-
-    first_slot = per_block.select("shard", "block", (F.sum("rows").over(W.partitionBy("shard").orderBy("block")) - F.col("rows")).alias("first"))
-    inside = F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "key", "size")) - 1
-    numbered = placed.withColumn("inside", inside).join(F.broadcast(first_slot), ["shard", "block"])
-    return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity")
+    placed = numbered(scratch, rows.withColumn("shard", which.cast("int")), ["shard"], ["doc_id", "key", "rid"], "placed")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity")
     )
 
 
