@@ -50,6 +50,32 @@ def test_reruns_agree_on_other_partitions_and_rows_are_carried(messy):
 
 
 def test_edges_are_refined(messy, monkeypatch):
+    monkeypatch.setattr(M, "MOST_BITS", 2)
     want = M.mix(messy).toPandas().groupby("source", dropna=False)["taken"].sum()
     monkeypatch.setattr(M, "EDGE_ROWS", 1)
     assert (M.mix(messy).toPandas().groupby("source", dropna=False)["taken"].sum() == want).all()
+
+
+def taken_of(out):
+    return sorted((str(i), n, t) for (i, n), t in out.groupby(["doc_id", "size"], dropna=False)["taken"].sum().items())
+
+
+def test_rows_that_are_equal_are_numbered_at_the_edge(spark):
+    """Forty equal rows of a source, and sixty rows over three ids: what is taken meets the targets to the word."""
+    for rows in ([(5, "w " * 300, "a")] * 40 + [(i, "x y z", "b") for i in range(30)], [(i % 3, "w " * 250, "a") for i in range(60)] + [(9, "x", "b")] * 50, [(None, "p q r s t", "a")] * 33 + [(1, "u", None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = M.mix(docs).toPandas()
+        assert len(out) == len(rows) and (out["taken"] <= 2 * out["size"]).all()
+        for _, own in out.groupby("source", dropna=False):
+            assert own["taken"].sum() == round(own["target"].iloc[0])
+        assert taken_of(out) == taken_of(M.mix(docs.repartition(5)).toPandas())
+
+
+def test_sources_in_any_number(spark, monkeypatch):
+    monkeypatch.setattr(M, "TOGETHER", 16)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 10)
+    rows = [(i, "w " * (1 + i * i % 23), f"s{i % 50:02d}") for i in range(400)]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=8).toPandas()
+    held = out.groupby("source")["size"].sum()
+    for goal, (_, own) in zip(M.targets(held.tolist()), out.groupby("source")):
+        assert abs(own["target"].iloc[0] - float(goal)) < 1e-6 and own["taken"].sum() == round(goal)

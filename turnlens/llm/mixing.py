@@ -1,15 +1,21 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is dealt into blocks by the top bits of a hash of the document id, which permutes it. A source's quota is
+Every source is dealt into blocks by the top bits of a hash of document id and text, which permutes it. A source's quota is
 a count of block draws: some whole passes over all its blocks, then the first blocks of the permutation until its target
 is met, the last of them in part. The tree splits the vector of quotas among the output shards: each inner node gives
 its left half a multivariate-hypergeometric draw of what it holds, so the quotas stay exact. Each shard then receives
-its number of draws from the source's permuted list of draws (disjoint by construction), and rows are shuffled within a
-shard by a hash. All of this is decided on tables of blocks, whose number is bounded; documents only look up their block.
+its number of draws from the source's permuted list of draws (disjoint by construction), and ``shuffled`` deals the rows
+out to the shards and shuffles them there. All of this is decided on tables of sources and of blocks; documents only look
+up their block. A source has a bounded number of blocks; there may be any number of sources, in groups of ``TOGETHER`` that
+each have a tree of their own.
+
+Where the part pass ends inside a block, the block is refined by further bits of the hash until it holds few documents, and
+rows that agree in their whole hash are numbered, so that the pass ends at exactly one row, of which it takes a part.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0; repeated rows are mixed as rows; an empty table gives no rows; extra columns are ignored. The table of
-sources (a dimension: names and totals) goes to the driver, and more than ``MOST_SOURCES`` raise an error.
+target 0; a document without words is never drawn; repeated rows are mixed as rows, in any order among themselves; rows
+without an id are told apart by their text; very long texts count whole; an empty table gives no rows; extra columns are
+ignored, or carried.
 """
 
 from __future__ import annotations
@@ -22,14 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, word_count
+from .common import Scratch, numbered, table, word_count
 
 #: Fixed values of the contract: weights of the sources in order, repeating; share of all words; most passes.
 WEIGHTS, POOL, MOST_PASSES = (3, 1, 2), Fraction(3, 2), 2
-MOST_SOURCES, MOST_BLOCKS, MOST_BITS = 1 << 16, 1 << 16, 12
-#: A boundary block is split further until it holds no more documents than this.
+#: Documents of a block, on average, until a source has 2^MOST_BITS blocks; bits by which a block is refined at once.
+BLOCK_ROWS, MOST_BITS = 16, 12
+#: A boundary block is refined until it holds no more documents than this.
 EDGE_ROWS = 10_000
 HASH_BITS = 63
+#: Sources whose quotas one tree splits.
+TOGETHER = 1024
+#: Tables with no more rows than this are broadcast; larger ones meet the documents in a shuffle.
+BROADCAST_ROWS = 1 << 18
 
 
 def targets(sizes: list[int], weights=WEIGHTS, pool: Fraction = POOL, most: int = MOST_PASSES) -> list[Fraction]:
@@ -68,32 +79,75 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _edges(rows: DataFrame, need: dict[int, int], bits: int) -> tuple[pd.DataFrame, dict[int, tuple[int, int, int, int]]]:
-    """Words of every (source, block), and for each source the block in which its part pass ends.
-
-    That edge is (bits, low hash, words of the part pass before it, documents in it), refined until the documents are few.
-    """
-    spark = rows.sparkSession
-    blocks = rows.groupBy("s", F.shiftright("h", HASH_BITS - bits).alias("block")).agg(F.sum("size").alias("words"), F.count("*").alias("docs")).toPandas().sort_values(["s", "block"], ignore_index=True)
-    edge: dict[int, tuple[int, int, int, int]] = {}
-
-    def look(found: pd.DataFrame, width: int, base: dict[int, int]) -> None:
-        for s, own in found.groupby("s"):
-            up = base[s] + own["words"].to_numpy().cumsum()
-            if need.get(s, 0) > 0:
-                i = int(np.searchsorted(up, need[s], "left"))
-                edge[s] = (width, int(own["block"].iloc[i]) << (HASH_BITS - width), int(up[i] - own["words"].iloc[i]), int(own["docs"].iloc[i]))
-
-    look(blocks, bits, {s: 0 for s in blocks["s"].unique()})
-    width = bits
-    while width < HASH_BITS and (wide := {s: e for s, e in edge.items() if e[0] == width and e[3] > EDGE_ROWS}):
-        finer = min(HASH_BITS, width + MOST_BITS)
-        at = spark.createDataFrame([(s, e[1] >> (HASH_BITS - width)) for s, e in wide.items()], "s int, at long")
-        inside = rows.join(F.broadcast(at), "s").where(F.shiftright("h", HASH_BITS - width) == F.col("at"))
-        more = inside.groupBy("s", F.shiftright("h", HASH_BITS - finer).alias("block")).agg(F.sum("size").alias("words"), F.count("*").alias("docs")).toPandas().sort_values(["s", "block"], ignore_index=True)
-        look(more, finer, {s: e[2] for s, e in wide.items()})
-        width = finer
-    return blocks, edge
+def _aimed(scratch: Scratch, kept: DataFrame, weights, pool: Fraction, most: int) -> DataFrame:
+    """The sources: s (their number in order), source, source_size, docs, target, passes (whole passes over the source) and
+    need (words of the part pass). The targets are those of ``targets``, by sums over the table of sources in each step."""
+    sizes = kept.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).withColumn("last", F.col("source").isNull())
+    own = numbered(scratch, sizes, [], ["last", "source"], "sources").withColumnRenamed("place", "s")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    own = scratch.keep(own.drop("last").withColumn("w", weight), "weighed")
+    big = lambda c: c.cast("decimal(38,0)")
+    share, held = None, -1  # words for each unit of weight
+    while True:
+        stopped = F.lit(False) if share is None else big(F.col("w")) * F.lit(share.numerator).cast("decimal(38,0)") > big(F.col("source_size")) * F.lit(most * share.denominator).cast("decimal(38,0)")
+        found = own.agg(F.sum(big(F.col("source_size"))).alias("all"), F.sum(F.when(stopped, big(F.col("source_size")))).alias("stopped"), F.sum(F.when(~stopped, big(F.col("w")))).alias("open"), F.count(F.when(stopped, 1)).alias("n")).first()
+        if found["n"] == held or not found["open"]:
+            break
+        held, share = found["n"], (pool * int(found["all"] or 0) - most * int(found["stopped"] or 0)) / int(found["open"])
+    share = share or Fraction(0)
+    of_weight = lambda value: F.element_at(F.array(*[F.lit(value(share * w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    words = F.when(stopped, most * F.col("source_size")).otherwise(of_weight(lambda x: round(x)).cast("long"))
+    own = own.withColumn("target", F.when(stopped, (most * F.col("source_size")).cast("double")).otherwise(of_weight(float))).withColumn("words", words)
+    own = own.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("int"))
+    own = own.withColumn("need", F.col("words") - F.col("passes") * F.col("source_size"))
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("docs") / BLOCK_ROWS)))).cast("int")
+    return scratch.keep(own.select("s", "source", "source_size", "docs", "target", "passes", "need", bits.alias("bits")), "aimed")
+
+
+def _ends(scratch: Scratch, known: DataFrame, blocks: DataFrame) -> DataFrame:
+    """For each source with a part pass where it ends: s, h and size of the rows it ends among, ``whole`` (how many of them it
+    takes) and ``part`` (words of the next one). ``known`` has s, h, size, bits, need; ``blocks`` s, block, words, docs, bits, need."""
+    up = F.sum("words").over(W.partitionBy("s").orderBy("block"))
+    at = blocks.withColumn("up", up).where((F.col("need") > 0) & (F.col("up") >= F.col("need")) & (F.col("up") - F.col("words") < F.col("need")))
+    ends = scratch.keep(at.select("s", F.col("bits").alias("width"), F.col("block").alias("low"), (F.col("up") - F.col("words")).alias("before"), "docs"), "ends-0")
+    round_ = 0
+    inside_of = lambda e: known.join(e, "s").where(F.expr(f"shiftright(h, {HASH_BITS} - width) = low"))
+    while (wide := ends.where((F.col("docs") > EDGE_ROWS) & (F.col("width") < HASH_BITS))).limit(1).count():
+        round_ += 1
+        finer = F.least(F.lit(HASH_BITS), F.col("width") + MOST_BITS)
+        more = inside_of(wide.drop("docs")).withColumn("finer", finer).withColumn("block", F.expr(f"shiftright(h, {HASH_BITS} - finer)"))
+        more = more.groupBy("s", "finer", "block", "before", "need").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+        at = more.withColumn("up", up + F.col("before")).where((F.col("up") >= F.col("need")) & (F.col("up") - F.col("words") < F.col("need")))
+        rest = ends.where((F.col("docs") <= EDGE_ROWS) | (F.col("width") >= HASH_BITS))
+        ends = scratch.keep(rest.unionByName(at.select("s", F.col("finer").alias("width"), F.col("block").alias("low"), (F.col("up") - F.col("words")).alias("before"), "docs")), f"ends-{round_}")
+    alike = inside_of(ends.drop("docs")).groupBy("s", "h", "size", "before", "need").agg(F.count("*").alias("n"))
+    up = F.sum(F.col("n") * F.col("size")).over(W.partitionBy("s").orderBy("h", "size")) + F.col("before")
+    at = alike.withColumn("up", up).withColumn("from", F.col("up") - F.col("n") * F.col("size")).where((F.col("up") >= F.col("need")) & (F.col("from") < F.col("need")))
+    return scratch.keep(at.select("s", F.col("h").alias("end_h"), F.col("size").alias("end_size"), F.expr("(need - from) div size").alias("whole"), F.expr("(need - from) % size").alias("part")), "end")
+
+
+def _deals(scratch: Scratch, sources: DataFrame, blocks: DataFrame, end: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The shards that draw each block: s, block, dealt (one shard for each draw, whole passes first)."""
+    last = end.join(sources.select("s", "bits"), "s").select("s", F.expr(f"shiftright(end_h, {HASH_BITS} - bits)").alias("last"))
+    draws = blocks.select("s", "block").join(sources.select("s", "passes"), "s").join(last, "s", "left")
+    draws = draws.withColumn("times", F.col("passes") + F.coalesce((F.col("block") <= F.col("last")).cast("int"), F.lit(0))).where("times > 0")
+    draws = scratch.keep(draws.select("s", "block", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy")), "draws")
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s")
+        per_shard = split_tree(pdf["quota"].to_numpy(np.int64), shards, seed + int(key[0]))
+        return pd.DataFrame({"s": pdf["s"].to_numpy(), "ends": per_shard.cumsum(axis=1).tolist()})
+
+    quotas = draws.groupBy("s").agg(F.count("*").alias("quota")).withColumn("tree", F.floor(F.col("s") / TOGETHER))
+    ends = quotas.groupBy("tree").applyInPandas(grow, "s long, ends array<long>")
+    rank = F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64(F.lit(seed + 1), "s", "block", "copy"), "block", "copy")) - 1
+    placed = draws.withColumn("rank", rank).join(ends, "s").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
+    dealt = placed.groupBy("s", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("dealt"))
+    return scratch.keep(dealt, "dealt")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOST_PASSES, shards: int = 64, seed: int = 17, whole: bool = False, carry: bool = False) -> DataFrame:
@@ -103,66 +157,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, pool: Fraction = POOL, most: int = MOS
     document of each source, where the draw is its first words, so that the source meets its target exactly), the output
     shard, and a hash that orders a shard's rows. With ``whole`` that one document is drawn whole if its larger part is.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"]), 1)
-    rows = docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), h.alias("h"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
-    kept = scratch.keep(rows.drop("row"), "rows")
-    found = kept.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found = sorted(((r["source"], int(r["size"])) for r in found), key=lambda x: (x[0] is None, x[0] or ""))
-    sizes = [n for _, n in found]
-    goal = targets(sizes, weights, pool, most)
-    words = [round(g) for g in goal]
-    passes = [w // n if n else 0 for w, n in zip(words, sizes)]
-    need = {i: w - p * n for i, (w, p, n) in enumerate(zip(words, passes, sizes))}
-    bits = max(0, min(MOST_BITS, (MOST_BLOCKS // max(1, len(found))).bit_length() - 1))
-    names = spark.createDataFrame([(i, s, n, float(g)) for i, ((s, n), g) in enumerate(zip(found, goal))], "s int, source string, source_size long, target double")
-    of_source = F.broadcast(names.withColumnRenamed("source", "name"))
-    known = kept.join(of_source, F.col("source").eqNullSafe(F.col("name")))
-    blocks, edge = _edges(known.select("s", "h", "size", "doc_id"), need, bits)
-
-    # The part pass: up to the edge by hash, within the edge by order, and one document in part.
-    at = spark.createDataFrame([(s, HASH_BITS - w, low, n) for s, (w, low, n, _) in edge.items()], "s int, shift int, low long, before_edge long")
-    inside = known.join(F.broadcast(at), "s").where(F.expr("shiftright(h, shift) = shiftright(low, shift)"))
-    up = F.sum("size").over(W.partitionBy("s").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
-    wanted = spark.createDataFrame([(s, n) for s, n in need.items()], "s int, need long")
-    last = inside.withColumn("up", up + F.col("before_edge")).join(F.broadcast(wanted), "s").where((F.col("up") >= F.col("need")) & (F.col("up") - F.col("size") < F.col("need")))
-    edges = last.select("s", F.col("h").alias("edge_h"), F.col("doc_id").alias("edge_id"), (F.col("need") - F.col("up") + F.col("size")).alias("part"), F.col("size").alias("edge_size"))
-    edges = edges.groupBy("s").agg(*[F.first(c).alias(c) for c in ("edge_h", "edge_id", "part", "edge_size")])
-
-    # Quotas in block draws, the tree, and the permuted draws of each source dealt out in its shards' order.
-    blocks["whole"] = blocks["s"].map(dict(enumerate(passes))).fillna(0).astype(int)
-    last_block = {s: low >> (HASH_BITS - bits) for s, (_, low, _, _) in edge.items()}
-    blocks["part"] = blocks["block"] <= blocks["s"].map(last_block).fillna(-1)
-    draws = blocks.loc[blocks.index.repeat(blocks["whole"] + blocks["part"])].copy()
-    draws["copy"] = draws.groupby(["s", "block"]).cumcount()
-    quotas = draws.groupby("s").size().reindex(range(len(found)), fill_value=0).to_numpy()
-    per_shard = split_tree(quotas, shards, seed) if len(found) else np.zeros((0, shards), np.int64)
-    draws["order"] = np.random.default_rng(seed + 1).permutation(len(draws))
-    draws = draws.sort_values(["s", "order"])
-    draws["shard"] = np.concatenate([np.repeat(np.arange(shards), per_shard[s]) for s in range(len(found))]) if len(draws) else np.zeros(0, int)
-    dealt = draws.sort_values(["s", "block", "copy"]).groupby(["s", "block"])["shard"].apply(list).reset_index()
-    of_block = spark.createDataFrame([(int(s), int(b), [int(x) for x in v]) for s, b, v in zip(dealt["s"], dealt["block"], dealt["shard"])], "s int, block long, dealt array<int>")
-    of_pass = spark.createDataFrame([(i, p) for i, p in enumerate(passes)], "s int, passes int")
-
-    all_rows = rows if carry else kept
+    scratch = Scratch(docs.sparkSession, "mixing")
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"], F.xxhash64(docs["text"])), 1)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), h.alias("h"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
+    kept = scratch.keep(rows, "rows")
+    sources = _aimed(scratch, kept, weights, pool, most)
+    of_source = _small(sources.select("s", F.col("source").alias("name"), "source_size", "target", "passes", "need", "bits"))
+    known = kept.select("rid", "source", "size", "h").join(of_source, F.col("source").eqNullSafe(F.col("name"))).select("rid", "s", "h", "size", "bits", "need")
+    blocks = known.groupBy("s", "bits", "need", F.expr(f"shiftright(h, {HASH_BITS} - bits)").alias("block")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    blocks = scratch.keep(blocks, "blocks")
+    end = _ends(scratch, known, blocks)
+    dealt = _deals(scratch, sources, blocks, end, shards, seed)
+    # Rows that agree with the end in hash and size: numbered, as only so many of them are taken.
+    among = known.join(_small(end.select("s", "end_h", "end_size")), "s").where("h = end_h and size = end_size").select("s", "rid")
+    among = _small(numbered(scratch, among, ["s"], ["rid"], "among").select("rid", F.col("place").alias("among")))
+
     placed = (
-        all_rows.join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("name").join(F.broadcast(of_pass), "s")
-        .withColumn("block", F.shiftright("h", HASH_BITS - bits)).join(F.broadcast(of_block), ["s", "block"], "left").join(F.broadcast(edges), "s", "left")
+        kept.join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumn("block", F.expr(f"shiftright(h, {HASH_BITS} - bits)"))
+        .join(_small(dealt), ["s", "block"], "left").join(_small(end), "s", "left").join(among, "rid", "left")
     )
-    order = lambda h_, d, n: F.struct(h_.alias("h"), d.alias("d"), n.alias("n"))
-    own, edge_at = order(F.col("h"), F.col("doc_id"), F.col("size")), order(F.col("edge_h"), F.col("edge_id"), F.col("edge_size"))
-    in_part = F.when(own < edge_at, F.col("size")).when(own == edge_at, F.when(F.lit(whole), F.when(2 * F.col("part") >= F.col("size"), F.col("size")).otherwise(0)).otherwise(F.col("part"))).otherwise(0)
-    in_part = F.coalesce(F.when(F.col("edge_h").isNotNull(), in_part), F.lit(0))
-    lists = F.transform(F.coalesce("dealt", F.array().cast("array<int>")), lambda shard, i: F.struct(F.when(i < F.col("passes"), F.col("size")).otherwise(F.col("in_part")).cast("long").alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 2), shard, i, F.col("doc_id")).alias("place")))
-    draws_of = F.filter(lists, lambda d: d["words"] > 0)
-    out = placed.withColumn("in_part", in_part).withColumn("draws", draws_of)
+    earlier = (F.col("h") < F.col("end_h")) | ((F.col("h") == F.col("end_h")) & (F.col("size") < F.col("end_size")))
+    cut = F.when(2 * F.col("part") >= F.col("size"), F.col("size")).otherwise(0) if whole else F.col("part")
+    in_part = F.when(earlier | (F.col("among") < F.col("whole")), F.col("size")).when(F.col("among") == F.col("whole"), cut).otherwise(0)
+    lists = F.transform(F.coalesce("dealt", F.array().cast("array<int>")), lambda shard, i: F.struct(F.when(i < F.col("passes"), F.col("size")).otherwise(F.col("in_part")).cast("long").alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed + 2), shard, i, F.col("h")).alias("place")))
+    out = placed.withColumn("in_part", F.coalesce(in_part, F.lit(0))).withColumn("draws", F.filter(lists, lambda d: d["words"] > 0))
     return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"), "draws", *["row"] * carry)
 
 
-def shuffled(mixed: DataFrame, shards: int = 64) -> DataFrame:
+def shuffled(mixed: DataFrame) -> DataFrame:
     """The mix itself: a row for each draw, dealt to its output shard and in shuffled order there. A shard may span tasks."""
     draws = mixed.withColumn("draw", F.explode("draws")).select("*", "draw.words", "draw.shard", "draw.place").drop("draw", "draws")
     return draws.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
