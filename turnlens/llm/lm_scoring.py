@@ -1,20 +1,22 @@
 """Language-model scores by a hidden Markov model.
 
-The model knows a bounded vocabulary of words, an end and one symbol for all other words. Baum-Welch expectation runs on
-every partition of the training documents, the expected counts are summed over all of them, and the maximisation of the
-small tables is the driver's. Scores are exact: the scaled forward recursion gives log P of the symbols, and a word
-outside the vocabulary then has its own share (c + 1) / (N' + V' + 1) of the other-words symbol, where c is its exact
-count, N' and V' the tokens and types outside the vocabulary in training and one type stands for all unseen words. That
-share does not depend on the state, so it factors out of the recursion, and only sums of log(c + 1) per document have to
-meet the counts: those travel as 64-bit word hashes, twice through a shuffle, and no table of words is ever collected.
-
-The vocabulary is chosen on a bounded sample of training documents. Baum-Welch starts at random: each state at the usual
-words of one whole document, of which a sample is looked through for those that differ most. Every round then covers all
-training documents and whole texts, as do counts and everything that a score holds; rounds end when one raises the
-log-likelihood by a share below ``GAIN``.
-
-Defined cases: a null or empty text is one end; repeated rows count and score as rows; without training documents all
-words are unknown and the model falls back to even shares; an empty table gives no rows; extra columns are ignored.
+Every word of the training documents is counted, by its 64-bit hash, in a table that grows with the corpus. The most
+frequent words, chosen from those counts, are symbols of their own; all other words belong to one of ``CLASSES`` classes
+by their hash, and a class is a symbol. Baum-Welch expectation runs on every partition of the training documents, the
+expected counts are summed over all of them, and the maximisation of the small tables is the driver's. Scores are exact: the
+scaled forward recursion gives log P of the symbols, and a word of a class then has its own share (c + 1) / (N + V + 1) of the
+class, where c is its exact count, N and V the class's tokens and types in training and one type stands for all unseen words.
+That share does not depend on the state, so it factors out of the recursion, and only sums of log(c + 1) per document have to
+meet the table of counts; no table of words is ever collected but that of the symbols, whose number bounds what a task holds.
+
+Baum-Welch starts from the whole corpus: how often any two of the ``USUAL`` most frequent words share a document is summed
+over all training documents; states start at the words whose company differs most. Every round covers all training
+documents and whole texts; rounds end when one raises the log-likelihood by a share below ``GAIN``.
+
+Defined cases: a null or empty text is one end; repeated rows count and score as rows; ties are broken by hashes of words,
+so that neither the order of rows nor their partitions matter (but for rounding); very long texts are read whole; without
+training documents all words are unknown and the model falls back to even shares; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,22 +27,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_table, collected, held_out, most_frequent, slices, table, word_hashes, words_of
 
-STATES, VOCABULARY = 8, 1 << 17
+#: Words that are symbols of their own, and classes of all others (a power of two).
+STATES, VOCABULARY, CLASSES = 8, 3 << 15, 1 << 15
 #: Baum-Welch ends with the first round whose log-likelihood is better by a smaller share than this, or with so many rounds.
-GAIN, ROUNDS = 1e-3, 100
-#: About so many documents that the vocabulary is chosen on; about so many documents that states may start at, and the
-#: usual symbols by which these differ.
-SAMPLE, START_DOCS, USUAL = 20_000, 1000, 2000
+GAIN, ROUNDS = 2e-3, 100
+#: Words whose company tells where states start.
+USUAL = 256
 #: Weight of the unigram shares in every state's emissions, in tokens; tokens that a task recurses over at once.
 PRIOR, AT_ONCE = 200.0, 1 << 18
 #: Input partitions whose expected counts one task adds up.
 TOGETHER = 4
-END, OTHER = 0, 1  # the first symbols; words of the vocabulary follow
+END = 0  # the first symbol; classes follow, then words of the vocabulary
 BLANK = byte_table()
 
 
@@ -130,35 +131,46 @@ def grouped(sequences: list[np.ndarray], most: int = AT_ONCE):
         yield np.array(held)
 
 
-def begin(counts: np.ndarray, usual: np.ndarray, shares: np.ndarray, states: int = STATES, seed: int = 5) -> Hmm:
-    """Where Baum-Welch starts: states at the documents that differ most, by their counts of usual symbols [document][usual]."""
+def begin(company: np.ndarray, usual: np.ndarray, shares: np.ndarray, states: int = STATES, seed: int = 5) -> Hmm:
+    """Where Baum-Welch starts: states at the usual symbols whose ``company`` [usual][usual] (in how many documents two of them
+    meet) differs most."""
     sticky = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(sticky, 0.9 if states > 1 else 1.0)
     even = np.full(states, 1 / states)
-    if not len(counts):
+    if not len(usual):
         return Hmm(even, sticky, np.repeat(shares[:, None], states, axis=1))
-    x = np.sqrt(counts) / np.maximum(np.sqrt(counts.sum(axis=1, keepdims=True)), 1)
-    picked = [int(np.argmax(counts.sum(axis=1)))]
-    while len(picked) < min(states, len(counts)):
+    x = np.sqrt(company) / np.maximum(np.sqrt(company.sum(axis=1, keepdims=True)), 1)
+    picked = [0]
+    while len(picked) < min(states, len(usual)):
         picked.append(int((x @ x[picked].T).max(axis=1).argmin()))
     emit = PRIOR * shares[:, None] * np.random.default_rng(seed).uniform(0.5, 1.5, (len(shares), states))
     for k in range(states):
-        emit[usual, k] += counts[picked[k % len(picked)]]
+        own = company[picked[k % len(picked)]]
+        emit[usual, k] += 10 * PRIOR * own / max(1.0, own.sum())
     return Hmm(even, sticky, emit / emit.sum(axis=0))
 
 
-def _usual_counts(rows: DataFrame, usual: np.ndarray, symbols: int) -> DataFrame:
-    """rid and how often each usual symbol occurs in the whole document."""
-    place = np.full(symbols, len(usual))
-    place[usual] = np.arange(len(usual))
+def _company(rows: DataFrame, usual: np.ndarray, symbols: int) -> np.ndarray:
+    """In how many of the documents any two usual symbols meet, summed over all of them."""
+    n, place = len(usual), np.full(symbols, len(usual))
+    place[usual] = np.arange(n)
 
     def run(batches):
+        total = np.zeros((n, n))
         for batch in batches:
-            found = [np.bincount(place[s], minlength=len(usual) + 1)[: len(usual)] for s in _lists(batch.column("symbols"))]
-            at = np.arange(len(found) + 1, dtype=np.int32) * len(usual)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))], ["rid", "counts"])
-
-    return rows.select("rid", "symbols").mapInArrow(run, "rid long, counts array<long>")
+            sequences = _lists(batch.column("symbols"))
+            for low in range(0, len(sequences), 512):
+                there = np.zeros((len(sequences[low : low + 512]), n + 1), np.float32)
+                for doc, symbols_ in enumerate(sequences[low : low + 512]):
+                    there[doc, place[symbols_]] = 1
+                total += there[:, :n].T @ there[:, :n]
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "n"])
+
+    found = collected(rows.select("symbols").mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")))
+    out = np.zeros((n, n))
+    out[found["i"].to_numpy(), found["j"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -173,18 +185,8 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long")
 
 
-def _vocabulary(scratch: Scratch, docs: DataFrame, most: int) -> np.ndarray:
-    """Sorted hashes of the sample's most frequent words."""
-    total = max(1, docs.count())
-    share = min(1.0, SAMPLE / total)
-    own = docs.where("train") if share == 1 else docs.where("train").where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counted = scratch.keep(_counted(own).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "sample")
-    found = collected(most_frequent(counted, "n", most).select("h"))
-    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
-
-
 def _symbols(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """doc_id, train, symbols of the document with its end, hashes of its words outside the vocabulary."""
+    """doc_id, train, symbols of the document with its end, hashes of its words that are in a class."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
@@ -200,7 +202,7 @@ def _symbols(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 ends = at[1:] + np.arange(n)
                 words = np.ones(len(symbols), bool)
                 words[ends] = False
-                symbols[words] = np.where(inside, i + 2, OTHER)
+                symbols[words] = np.where(inside, i + 1 + CLASSES, 1 + (h & np.uint64(CLASSES - 1)).astype(np.int64))
                 outside = np.concatenate([[0], np.cumsum(~inside)])[at]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rid"), part.column("doc_id"), part.column("train"), pa.ListArray.from_arrays(pa.array((at + np.arange(n + 1)).astype(np.int32)), pa.array(symbols)), pa.ListArray.from_arrays(pa.array(outside.astype(np.int32)), pa.array(h[~inside].view(np.int64)))],
@@ -252,47 +254,45 @@ def score(docs: DataFrame, modulus: int = 7, states: int = STATES, vocabulary: i
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     own = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], docs["text"], (~held_out(docs["doc_id"], modulus)).alias("train"))
-    words = _vocabulary(scratch, own, vocabulary)
+    counted = scratch.keep(_counted(own.where("train")).groupBy("h").agg(F.sum("n").alias("n")), "counted")
+    frequent = collected(most_frequent(counted.where("n > 1"), "n", vocabulary))
+    order = np.argsort(frequent["h"].to_numpy(np.int64).view(np.uint64))
+    words, times = frequent["h"].to_numpy(np.int64).view(np.uint64)[order], frequent["n"].to_numpy(np.int64)[order]
     rows = scratch.keep(_symbols(own, words), "symbols")
 
-    # Words outside the vocabulary meet their exact counts by hash, and each document gets the sum of log10(c + 1).
-    of_word = W.partitionBy("h")
-    others = rows.select("rid", "train", F.explode("others").alias("h")).withColumn("c", F.sum(F.col("train").cast("long")).over(of_word)).withColumn("one", F.row_number().over(of_word.orderBy("rid")) == 1)
-    per_doc = others.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("log"), F.sum((F.col("c") > 0).cast("long")).alias("known"), F.count("*").alias("n"), F.sum(F.col("train").cast("long")).alias("trained"), F.sum((F.col("one") & (F.col("c") > 0)).cast("long")).alias("types"))
-    per_doc = scratch.keep(per_doc, "others")
-    found = per_doc.agg(F.sum("trained"), F.sum("types")).first()
-    n_other, v_other = int(found[0] or 0), int(found[1] or 0)
-
-    counts = np.zeros(len(words) + 2, np.int64)
-
-    def tally(batches):
-        total = np.zeros(len(counts), np.int64)
-        for batch in batches:
-            total += np.bincount(np.asarray(batch.column("symbols").flatten()), minlength=len(total))
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["symbol", "n"])
-
-    tallied = collected(rows.where("train").select("symbols").coalesce(max(1, -(-rows.rdd.getNumPartitions() // TOGETHER))).mapInArrow(tally, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
-    counts[tallied["symbol"].to_numpy()] = tallied["n"].to_numpy()
-    n_all = int(counts.sum())
-    v_all = int((counts > 0).sum()) - int(counts[OTHER] > 0) + v_other
+    # Tokens of each symbol: of classes what their words have that are not frequent, and how many words those are.
+    of_class = collected(counted.groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("types")))
+    counts, types = np.zeros(1 + CLASSES + len(words), np.int64), np.zeros(CLASSES, np.int64)
+    counts[1 + of_class["class"].to_numpy()], types[of_class["class"].to_numpy()] = of_class["n"].to_numpy(), of_class["types"].to_numpy()
+    mine = (words & np.uint64(CLASSES - 1)).astype(np.int64)
+    np.subtract.at(counts, 1 + mine, times)
+    np.subtract.at(types, mine, 1)
+    counts[1 + CLASSES :], counts[END] = times, rows.where("train").count()
+    n_all, v_all = int(counts.sum()), int(types.sum()) + len(words) + int(counts[END] > 0)
     shares = (counts + 1) / (counts + 1).sum()
-
-    share = min(1.0, START_DOCS / max(1, int(counts[END])))
-    chosen = rows.where("train").where(F.pmod(F.xxhash64(F.lit(12), "doc_id", "rid"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    usual = np.argsort(-shares, kind="stable")[:USUAL]
-    start = collected(_usual_counts(chosen, usual, len(counts))).sort_values("rid")
-    model, before = begin(np.stack(start["counts"].to_numpy()).astype(float) if len(start) else np.empty((0, len(usual))), usual, shares, states), -np.inf
+    of_its_own = np.ones(len(counts), bool)
+    of_its_own[1 : 1 + CLASSES] = False
+    logs, known = np.where(of_its_own, np.log10(counts + 1.0), 0.0), of_its_own & (counts > 0)
+    within = np.zeros(len(counts))  # what a word's share is taken of, by symbol
+    within[1 : 1 + CLASSES] = np.log10(counts[1 : 1 + CLASSES] + types + 1.0)
+
+    # Words in classes meet their exact counts by hash, and each document gets the sum of log10(c + 1) of those that training has.
+    met = rows.select("rid", F.explode("others").alias("h")).join(counted, "h")
+    per_doc = scratch.keep(met.groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("log"), F.count("*").alias("known")), "others")
+
+    usual = 1 + CLASSES + np.lexsort((words, -times))[:USUAL]
+    train = rows.where("train")
+    model, before = begin(_company(train, usual, len(counts)), usual, shares, states), -np.inf
     for _ in range(rounds):
-        expected = _expectation(rows.where("train"), model)
+        expected = _expectation(train, model)
         model = expected.model(model, shares)
         if expected.log - before <= GAIN * abs(expected.log):
             break
         before = expected.log
-    sent = spark.sparkContext.broadcast((model, np.where(np.arange(len(counts)) == OTHER, 0.0, np.log10(counts + 1.0)), (counts > 0) & (np.arange(len(counts)) != OTHER)))
+    sent = spark.sparkContext.broadcast((model, logs, known, within))
 
     def recurse(batches):
-        hmm, logs, known = sent.value
+        hmm, logs, known, within = sent.value
         for batch in batches:
             column = batch.column("symbols")
             sequences = _lists(column)
@@ -302,11 +302,11 @@ def score(docs: DataFrame, modulus: int = 7, states: int = STATES, vocabulary: i
             for group in grouped(sequences):
                 out[group] = likelihood(hmm, [sequences[i] for i in group])
             total = lambda x: np.add.reduceat(x[flat], at[:-1]) if len(flat) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("train"), pa.array(n), pa.array(total(known.astype(np.int64))), pa.array(total(logs)), pa.array(out)], ["rid", "doc_id", "train", "n_tokens", "inside", "logs", "hmm"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("train"), pa.array(n), pa.array(total(known.astype(np.int64))), pa.array(total(logs)), pa.array(out - total(within))], ["rid", "doc_id", "train", "n_tokens", "inside", "logs", "hmm"])
 
     done = rows.select("rid", "doc_id", "train", "symbols").mapInArrow(recurse, f"rid long, doc_id {dict(rows.dtypes)['doc_id']}, train boolean, n_tokens long, inside long, logs double, hmm double")
-    joined = done.join(per_doc, "rid", "left").select("*", F.coalesce("log", F.lit(0.0)).alias("other_logs"), F.coalesce("n", F.lit(0)).alias("n_others"))
-    value = F.col("hmm") + F.col("other_logs") - F.col("n_others") * F.lit(math.log10(n_other + v_other + 1))
+    joined = done.join(per_doc, "rid", "left").select("*", F.coalesce("log", F.lit(0.0)).alias("other_logs"))
+    value = F.col("hmm") + F.col("other_logs")
     return joined.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("inside") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("other_logs") - F.col("n_tokens") * F.lit(math.log10(n_all + v_all + 1))).alias("base_score"), value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
