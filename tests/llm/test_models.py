@@ -67,13 +67,57 @@ def test_labels_of_held_out_rows_do_not_matter_and_one_class_is_a_constant(label
     assert np.allclose(pick(labels), pick(other))
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    words = pa.array(["abc", "abd", "ab", "b", "xyz"])
-    word, key, size = T.windows(words)
-    assert [int((word == i).sum()) for i in range(5)] == [4, 4, 3, 2, 4]
-    model = T.fit(key, size, np.ones(len(key)), np.arange(len(key)) % 2)
-    assert np.isfinite(model.evidence(pa.array(["abc", "new", "é", ""]))).all()
-    assert model.evidence(pa.array(["xyz"]))[0] == pytest.approx(sum(dict(zip(*[model.grams[int(s)][i].tolist() for i in (0, 1)]))[int(k)] for w, k, s in zip(word, key, size) if w == 4))
+def kneser_ney(words, order=T.ORDER, d=T.DISCOUNT, shared=T.SHARED):
+    """Straight from the definition: words (text, toxic, ordinary) to p(class, context, byte)."""
+    grams = [Counter(), Counter()]  # of each class: the last up to ``order`` bytes before and with every byte
+    for text, *times in words:
+        raw = bytes([T.BEGIN]) + text.encode() + bytes([T.END])
+        for i in range(1, len(raw)):
+            for c in (0, 1):
+                grams[c][raw[max(0, i + 1 - order) : i + 1]] += times[c]
+    levels = {order: [Counter({g: n for g, n in x.items() if len(g) == order}) for x in grams]}
+    for k in range(order - 1, 0, -1):
+        levels[k] = [Counter({g: n for g, n in x.items() if len(g) == k}) for x in grams]
+        for c in (0, 1):
+            for g, n in levels[k + 1][c].items():
+                levels[k][c][g[1:]] += n > 0
+
+    def level(counts, context, byte, lower):
+        own = {g: n for g, n in counts.items() if g[:-1] == context and n > 0}
+        mass = sum(own.values())
+        return (max(own.get(context + byte, 0) - d, 0) / mass + d * len(own) / mass * lower if mass else lower), mass
+
+    def p(c, context, byte):
+        """c: 0 toxic, 1 ordinary, 2 both together."""
+        k = len(context) + 1
+        both = levels[k][0] + levels[k][1]
+        if k == 1:
+            return (both[byte] + 1) / (sum(both.values()) + 256)
+        if c == 2:
+            return level(both, context, byte, p(2, context[1:], byte))[0]
+        own, mass = level(levels[k][c], context, byte, p(c, context[1:], byte))
+        return (mass * own + shared * p(2, context, byte)) / (mass + shared)
+
+    return p
+
+
+def test_kneser_ney_probabilities_sum_to_one_and_follow_the_definition():
+    given = [("abc", 3, 1), ("abd", 0, 2), ("ab", 1, 1), ("b", 0, 4), ("abcabcabcabc", 2, 0), ("xyz", 0, 1)]
+    word, key, size = T.windows(pa.array([w for w, *_ in given]))
+    code, first, where = np.unique(key, return_index=True, return_inverse=True)
+    times = [np.bincount(where, weights=np.array([g[c] for g in given])[word]).astype(np.int64) for c in (1, 2)]
+    model, p = T.fit(code, size[first].astype(np.int8), *times), kneser_ney(given)
+    begin = bytes([T.BEGIN])
+    for context in (begin, begin + b"a", begin + b"ab", b"bcabcab", b"abcabca", b"qqqqqqq", begin + b"q", b"zabcabc"):
+        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
+        got = model.probabilities(keys, np.full(256, len(context) + 1))
+        assert np.allclose(got.sum(axis=0), 1, atol=1e-5)
+        for b in b"abcqxz\x02":
+            assert np.allclose(got[b], [p(c, context, bytes([b])) for c in (0, 1)], rtol=1e-5), (context, b)
+    for text in ("abc", "abx", "new", "é", "", "abcabcabcabcabd"):
+        raw = begin + text.encode() + bytes([T.END])
+        want = [sum(math.log(p(c, raw[max(0, i + 1 - T.ORDER) : i], raw[i : i + 1])) for i in range(1, len(raw))) for c in (0, 1)]
+        assert np.allclose(model.likelihoods(pa.array([text]))[0], want, rtol=1e-4)
 
 
 def test_runs_are_hashed_by_their_bytes():
@@ -142,6 +186,44 @@ def test_scores(spark, messy, nothing, monkeypatch):
     assert L.score(nothing).count() == 0
 
 
+def test_scores_are_the_probabilities_of_the_model(spark, monkeypatch):
+    """Forward sums without scaling, word by word, under the model that training ended with; and the same scores for rows in
+    other partitions and another order."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{'abcd'[i % 4]}{r.randrange(12)}" + (str(r.randrange(400)) if r.random() < 0.2 else "") for _ in range(r.randrange(0, 25)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models, real = [], L.Expected.model
+    monkeypatch.setattr(L.Expected, "model", lambda self, *a: (models.append(real(self, *a)), models[-1])[1])
+    out = L.score(docs.repartition(2), vocabulary=30).toPandas().set_index("doc_id")["score"]
+    m = models[-1]
+    words = {i: t.split() for i, t in rows}
+    counts = Counter(w for i, ws in words.items() if not out_of(i, 7) for w in ws)
+    every = sorted({w for ws in words.values() for w in ws})
+    code = {w: int(h) for w, h in zip(every, L.word_hashes(pa.array(every)))}
+    least = next(n for n in range(2, 1000) if sum(c >= n for c in counts.values()) <= 30)
+    symbols = sorted(code[w] for w, c in counts.items() if c >= least)
+    inside = Counter()
+    for w, c in counts.items():
+        if c < least:
+            inside[code[w] % L.CLASSES, "n"] += c
+            inside[code[w] % L.CLASSES, "v"] += 1
+    assert len(m.emit) == 1 + L.CLASSES + len(symbols) and np.allclose(m.emit.sum(axis=0), 1)
+    for i, ws in words.items():
+        a = m.start
+        for k, w in enumerate([*ws, None]):
+            if w is None:
+                e = m.emit[L.END]
+            elif code[w] in symbols:
+                e = m.emit[1 + L.CLASSES + symbols.index(code[w])]
+            else:
+                c = code[w] % L.CLASSES
+                e = m.emit[1 + c] * (counts[w] + 1) / (inside[c, "n"] + inside[c, "v"] + 1)
+            a = (a @ m.move if k else a) * e
+        assert out[i] == pytest.approx(math.log10(a.sum()), rel=1e-9), i
+    again = L.score(docs.orderBy("text").repartition(7), vocabulary=30).toPandas().set_index("doc_id")["score"]
+    assert np.allclose(again.loc[out.index], out, rtol=1e-6)
+
+
 def test_scores_without_training_rows(spark):
     ids = [i for i in range(400) if out_of(i, 7)][:5]
     out = L.score(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).toPandas()

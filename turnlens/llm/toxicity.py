@@ -4,18 +4,21 @@ Two character models, one of toxic and one of ordinary documents, share their lo
 boundaries. Words enter with the number of distinct documents that hold them, so a word that one document repeats weighs
 once. Higher levels use counts of their class, lower levels continuation counts (how many different bytes precede a
 gram), and every level mixes a few observations of both classes together into each, so that rare expressions lean on what
-the classes share. A document's evidence is the difference of its two log-likelihoods, normalised by its length in words: over all
-words, over those with clear evidence, and for the strongest word, as an insult in a long text is as toxic as in a short
-one. A logistic curve turns evidence into a probability; it is fitted on evidence that each labelled document gets from
-counts without its own fold.
+the classes share. Each class gives every byte after every context a probability, with its own back-off where training has
+not seen the gram; a word's evidence is the difference of its two log-likelihoods. A document's evidence is that difference
+normalised by its length in words: over all words, over those with clear evidence, and for the strongest word, as an insult
+in a long text is as toxic as in a short one. A logistic curve turns evidence into a probability; it is fitted on evidence
+that each labelled document gets from counts without its own fold.
 
-Labels are learned from a bounded sample: of the allowed rows, the ``most`` with the smallest hashed text of each class.
-Texts are read whole, in training and scoring alike, and the models keep every gram of the sample: its rows alone bound
-what the driver gets and sends.
+Labels are learned from a bounded sample: of the allowed rows, about ``MOST_ROWS`` distinct texts of each class, by a hash of
+the text. Texts are read whole, in training and scoring alike, and the models keep every gram of the sample: its rows
+alone bound what the driver gets and sends.
 
 Defined cases: a null or wordless text has no evidence and gets the score of that; without labels of both classes every
-score is the share of toxic labels (0 without any label); repeated rows score alike; labels that are null or repeated
-with different values are left out; an empty table gives no rows; extra columns are ignored.
+score is the share of toxic labels (0 without any label); repeated rows score alike, and equal texts of a class are one in
+the sample; labels that are null or repeated with different values are left out; rows that share an id with other texts are
+labelled alike; very long texts are read whole, a bounded part of them at a time; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, collected, held_out, slices, table, words_of
+from .common import Scratch, byte_table, collected, held_out, slices, table, words_of
 
 #: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, rows of each class in the sample, and folds.
-ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 20_000, 4
+ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 10_000, 4
 #: Observations of both classes together that each class's distribution after a context is mixed with.
 SHARED = 30.0
 #: Evidence of a word beyond which it counts by itself.
@@ -80,33 +83,57 @@ def mask(k: int) -> np.uint64:
 
 @dataclass
 class Model:
-    """Per order: sorted grams and their evidence (log toxic - log ordinary)."""
+    """Per order: sorted grams with their probabilities (toxic, ordinary, both together) after their context, and sorted
+    contexts with what an unseen byte keeps of the level below: own shares of both classes, what either takes of the common
+    distribution, and that distribution's share."""
 
     grams: list[tuple[np.ndarray, np.ndarray]]
-
-    def evidence(self, words: pa.Array) -> np.ndarray:
-        """Of each word, the sum over its bytes, each by the longest gram that training saw. What neither class has seen
-        after a context says nothing by itself, so both classes back off by the same mass."""
-        word, key, size = windows(words)
-        out = np.zeros(len(key))
-        todo = np.arange(len(key))
-        for k in range(len(self.grams) - 1, 1, -1):
-            grams, value = self.grams[k]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
+    unseen: float
+
+    def probabilities(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """[byte][class]: probability of the last byte of each window after those before it, by the longest gram that training
+        saw, and from there up by each class's back-off after every longer context that training saw."""
+        p = np.full((len(key), 3), self.unseen, np.float64)
+        level, todo = np.zeros(len(key), np.int8), np.arange(len(key))
+        for k in range(len(self.grams) - 1, 0, -1):
+            grams, prob = self.grams[k]
             if not len(grams) or not len(todo):
                 continue
-            now = size[todo] >= k
             g = key[todo] & mask(k)
             i = np.searchsorted(grams, g).clip(max=len(grams) - 1)
-            hit = now & (grams[i] == g)
-            out[todo[hit]] = value[i[hit]]
+            hit = (size[todo] >= k) & (grams[i] == g)
+            p[todo[hit]], level[todo[hit]] = prob[i[hit]], k
             todo = todo[~hit]
-        return np.bincount(word, weights=out, minlength=len(words))
+        for k in range(2, len(self.grams)):
+            contexts, share = self.contexts[k]
+            up = np.flatnonzero((level < k) & (size >= k))
+            if not len(contexts) or not len(up):
+                continue
+            c = (key[up] >> np.uint64(8)) & mask(k - 1)
+            i = np.searchsorted(contexts, c).clip(max=len(contexts) - 1)
+            hit = contexts[i] == c
+            up, own = up[hit], share[i[hit]]
+            both = p[up, 2]
+            p[up, 0], p[up, 1], p[up, 2] = own[:, 0] * p[up, 0] + own[:, 2] * both, own[:, 1] * p[up, 1] + own[:, 3] * both, own[:, 4] * both
+        return p[:, :2]
+
+    def likelihoods(self, words: pa.Array) -> np.ndarray:
+        """[word][class]: log-likelihoods of the words, their ends included."""
+        word, key, size = windows(words)
+        logs = np.log(self.probabilities(key, size))
+        return np.stack([np.bincount(word, weights=logs[:, c], minlength=len(words)) for c in (0, 1)], axis=1)
+
+    def evidence(self, words: pa.Array) -> np.ndarray:
+        """Of each word the difference of its two log-likelihoods."""
+        both = self.likelihoods(words)
+        return both[:, 0] - both[:, 1]
 
 
 def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> Model:
     """The model from counts of the longest grams by class. Grams shorter than ORDER begin a word. Columns of one class
     are held at a time, as the driver has little room."""
-    order, grams, level = ORDER, {}, {}
+    order, grams, level, contexts = ORDER, {}, {}, {}
     for k in range(order, 0, -1):
         own = size == k
         g, counts = key[own], [toxic[own], plain[own]]
@@ -118,9 +145,10 @@ def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray)
         first = np.flatnonzero(np.diff(g, prepend=~g[:1]))
         level[k] = (g[first], [np.add.reduceat(c[by].astype(np.int64), first).astype(np.int32) if len(first) else np.empty(0, np.int32) for c in counts])
     who, total = level.pop(1)
-    shared = (total[0].astype(float) + total[1] + 1) / (float(total[0].sum()) + float(total[1].sum()) + 256)
+    mass = float(total[0].sum()) + float(total[1].sum()) + 256
+    shared = (total[0].astype(float) + total[1] + 1) / mass
     prob = [shared, shared, shared]
-    grams[1] = (who, np.zeros(len(who)))
+    grams[1] = (who, np.stack(prob, axis=1).astype(np.float32))
     for k in range(2, order + 1):
         lower_who, lower_prob = who, prob
         who, total = level.pop(k)
@@ -130,21 +158,26 @@ def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray)
 
         def after(count, lower):
             mass, kinds = (np.add.reduceat(x.astype(float), first) if len(first) else np.empty(0) for x in (count, count > 0))
+            back = np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0)
             out = np.maximum(count - DISCOUNT, 0)
             out /= np.maximum(mass, 1)[at]
-            out += np.where(mass > 0, DISCOUNT * kinds / np.maximum(mass, 1), 1.0)[at] * lower[low]
-            return out, mass
+            out += back[at] * lower[low]
+            return out, mass, back
 
-        pooled, prob = after(total[0] + total[1], lower_prob[2])[0], []
+        (pooled, _, common), prob, shares = after(total[0] + total[1], lower_prob[2]), [], [[], []]
         for x in (0, 1):
-            own, mass = after(total[x], lower_prob[x])
-            own *= mass[at]
+            own, mass_of, back = after(total[x], lower_prob[x])
+            own *= mass_of[at]
             own += SHARED * pooled
-            own /= (mass + SHARED)[at]
+            own /= (mass_of + SHARED)[at]
             prob.append(own)
+            shares[0].append(mass_of * back / (mass_of + SHARED))
+            shares[1].append(SHARED * common / (mass_of + SHARED))
         prob.append(pooled)
-        grams[k] = (who, np.log(prob[0]) - np.log(prob[1]))
-    return Model([(np.empty(0, np.uint64), np.empty(0)), *[grams[k] for k in range(1, order + 1)]])
+        grams[k] = (who, np.stack([p.astype(np.float32) for p in prob], axis=1))
+        contexts[k] = (who[first] >> np.uint64(8), np.stack([s.astype(np.float32) for s in (*shares[0], *shares[1], common)], axis=1))
+    nothing = (np.empty(0, np.uint64), np.empty(0, np.float32))
+    return Model([nothing, *[grams[k] for k in range(1, order + 1)]], [nothing, nothing, *[contexts[k] for k in range(2, order + 1)]], 1 / mass)
 
 
 def features(model: Model, texts: pa.Array) -> np.ndarray:
@@ -199,11 +232,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, most: i
         wanted = own if wanted is None else wanted.unionByName(own)
     if wanted is None:
         return chosen.select("text", F.lit(0).alias("y"), F.lit(0).alias("fold")).limit(0)
-    return chosen.join(wanted.select("doc_id", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(FOLDS)).cast("int").alias("fold")), "doc_id").dropDuplicates(["doc_id"]).select("text", "y", "fold")
+    wanted = wanted.select("doc_id", "h", F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(FOLDS)).cast("int").alias("fold"))
+    return chosen.withColumn("h", F.xxhash64("text")).join(wanted, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "y", "fold")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, most: int = MOST_ROWS) -> tuple[Model, Curve] | float:
-    rows = sample(docs, labels, label, modulus, most).persist()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.keep(sample(docs, labels, label, modulus, most), "sample")
 
     def count(batches):
         for batch in batches:
@@ -226,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     grams = counted.groupBy("key", "size").agg(*[F.sum(c).cast("int").alias(c) for c in names]).toArrow()
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
-        rows.unpersist()
+        scratch.drop()
         return float(next(iter(kinds), 0))
     key, size = grams["key"].to_numpy().view(np.uint64), grams["size"].to_numpy().astype(np.int8)
     toxic, plain = (np.stack([grams[c].to_numpy() for c in names[x::2]], axis=1) for x in (0, 1))
@@ -246,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
         parts.append(collected(rows.where(F.col("fold") == f).select("text", "y").mapInArrow(look, "y int, x array<double>")))
         sent.destroy()
-    rows.unpersist()
+    scratch.drop()
     seen = pd.concat([part for part in parts if len(part)])
     x = np.stack(seen["x"].to_numpy())
     order = np.lexsort(x.T)  # rows arrive in any order
