@@ -32,9 +32,9 @@ def rows(df):
     return sorted(map(tuple, df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").toPandas().to_numpy().tolist()), key=str)
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(D, "FILTER_BITS", bits)
     long = prose(2, 30_000).split()
     items = [(1, prose(50, 30)), (2, prose(51, 9)), (3, "Two  WORDS"), (4, "Ölweg"), (5, ""), (6, None), (7, "a a a a a a a a a a a a"), (1, prose(52, 12)), (10, prose(51, 9).upper()), (8, " ".join(long[20_000:20_015])), (None, prose(60, 11))]
     docs = [(i, t) for i, t, *_ in messy_rows()]

@@ -5,11 +5,13 @@ their offsets. Tokens are ordered by rarity in the documents; containment of the
 token necessary, so only occurrences of each window's rarest token become candidates. Positional and length bounds drop
 candidates that would begin before or end after the document; the rest are verified exactly: every token of the window
 must occur at its own offset. One pass over the texts writes where benchmark shingles occur, compared word by word, and
-all later steps work on that table.
+all later steps work on that table. In that pass a bit filter of the benchmark's shingle hashes, of fixed size, drops nearly
+all words before they are joined; the plan is the same for benchmarks of any size.
 
 Defined cases: a null or empty text, of a document or item, has no words; repeated rows and repeated ids are judged row
 by row; items with the same id count once; a null item_id counts as one item and is written as the empty string; an
-empty benchmark hits nothing; extra columns are ignored.
+empty benchmark hits nothing; of tokens that are equally rare the one written first is a window's prefix, which changes no
+result; very long texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import Scratch, table
 #: Fixed values of the contract: what separates words, and words of a window.
 SEPARATOR, WINDOW = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", 10
 SHINGLE = 3
-#: Below so many benchmark shingles or windows their table is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bits of the filter that words of documents pass before any join; more benchmark shingles only let more words through.
+FILTER_BITS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,23 +52,34 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
     return cut.select("item_id", "content", F.size("content").alias("len"), tokens.alias("tokens")).distinct()
 
 
-def occurrences(docs: DataFrame, tokens: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """One pass over the texts: rid, doc_id, text_hash, n_words, pos, sid for each benchmark token in a document, and a row with
-    null sid for each document."""
+def shingle_filter(tokens: DataFrame) -> DataFrame:
+    """One row, one column: FILTER_BITS bits as an array of numbers, with a bit for each token's hash."""
+    bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = tokens.select(F.shiftright(bit, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    every = tokens.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits"))
+
+
+def occurrences(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
+    """One pass over the texts: rid, doc_id, text_hash, n_words, pos, sid for each benchmark token in a document, and a row
+    with null sid for each document."""
     base = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), words(docs["text"]).alias("w"))
+    # The place behind the last word stands for the document. It has a key of its own there, which no token has.
     spots = base.select("rid", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.explode(F.sequence(F.lit(0), F.size("w"))).alias("pos"))
-    if sizes == [SHINGLE]:
-        keyed = spots.select("*", F.lit(SHINGLE).alias("k"), F.when(F.col("pos") + SHINGLE <= F.col("n_words"), F.xxhash64(*_token(F.col("w"), F.col("pos"), SHINGLE))).alias("h"))
+    end = F.col("pos") == F.col("n_words")
+    hashed = lambda k: F.when(F.col("pos") + k <= F.col("n_words"), F.xxhash64(*_token(F.col("w"), F.col("pos"), k)))
+    if len(sizes) < 2:
+        k = (sizes or [SHINGLE])[0]
+        keyed = spots.select("*", F.when(end, 0).otherwise(k).alias("k"), F.when(end, F.xxhash64("rid")).otherwise(hashed(k)).alias("h"))
     else:
-        each = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col("pos") + k <= F.col("n_words"), F.xxhash64(*_token(F.col("w"), F.col("pos"), k))).alias("h")) for k in sizes or [SHINGLE]])
+        each = F.when(end, F.array(F.struct(F.lit(0).alias("k"), F.xxhash64("rid").alias("h")))).otherwise(F.array(*[F.struct(F.lit(k).alias("k"), hashed(k).alias("h")) for k in sizes]))
         keyed = spots.select("*", F.explode(each).alias("e")).select("rid", "doc_id", "text_hash", "w", "n_words", "pos", "e.k", "e.h")
-    if not small:
-        keyed = keyed.select("rid", "doc_id", "text_hash", "n_words", "pos", "k", "h", F.slice("w", F.col("pos") + 1, F.col("k")).alias("t"))
-        found = keyed.join(tokens, ["k", "h"], "left").where((F.col("t") == F.col("token")) | (F.col("pos") == F.col("n_words")))
-    else:
-        found = keyed.join(F.broadcast(tokens), ["k", "h"], "left").where((F.slice("w", F.col("pos") + 1, F.col("k")) == F.col("token")) | (F.col("pos") == F.col("n_words")))
-    marks = F.when(F.col("pos") < F.col("n_words"), F.col("sid"))
-    return found.select("rid", "doc_id", "text_hash", "n_words", "pos", marks.alias("sid"))
+    bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    there = F.call_function("shiftright", F.get(shingle_filter(tokens).scalar(), F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    passed = keyed.where((F.col("k") == 0) | (F.col("h").isNotNull() & there))
+    passed = passed.select("rid", "doc_id", "text_hash", "n_words", "pos", "k", "h", F.when(F.col("k") > 0, F.slice("w", F.col("pos") + 1, F.col("k"))).alias("t"))
+    found = passed.join(tokens, ["k", "h"], "left").where((F.col("k") == 0) | (F.col("t") == F.col("token")))
+    return found.select("rid", "doc_id", "text_hash", "n_words", "pos", "sid")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -76,24 +89,19 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     own = every.select(F.explode("tokens").alias("x")).select(F.col("x.k").alias("k"), F.col("x.t").alias("token")).distinct()
     h = F.when(F.col("k") == 1, F.xxhash64(F.get("token", F.lit(0)))).when(F.col("k") == 2, F.xxhash64(*_token(F.col("token"), F.lit(0), 2))).otherwise(F.xxhash64(*_token(F.col("token"), F.lit(0), 3)))
     tokens = scratch.keep(own.select("k", "token", h.alias("h"), F.monotonically_increasing_id().alias("sid")), "tokens")
-    n_tokens = tokens.count()
     sizes = sorted(r["k"] for r in tokens.select("k").distinct().collect())
-    small = n_tokens <= BROADCAST_ROWS
-    seen = scratch.keep(occurrences(docs, tokens, sizes, small), "seen")
+    seen = scratch.keep(occurrences(docs, tokens, sizes), "seen")
     spots = seen.where("sid is not null").select("rid", "n_words", "pos", "sid").distinct()
 
     # Rarity decides each window's prefix token. A window with a token that no document holds cannot occur.
     rarity = spots.groupBy("sid").agg(F.count("*").alias("n"))
     contents = every.groupBy("content", "len").agg(F.first("tokens").alias("tokens")).withColumn("cid", F.xxhash64("content"))
     token_rows = contents.select("cid", "content", "len", F.explode("tokens").alias("x")).select("cid", "content", "len", F.col("x.off").alias("off"), F.col("x.k").alias("k"), F.col("x.t").alias("token"))
-    hint = F.broadcast if small else (lambda df: df)
-    known = token_rows.join(hint(tokens.select("k", "token", "sid")), ["k", "token"]).join(hint(rarity), "sid", "left")
+    known = token_rows.join(tokens.select("k", "token", "sid"), ["k", "token"]).join(rarity, "sid", "left")
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sid", "off")))
     prefix = known.groupBy("cid", "content", "len").agg(ordered.alias("by_rarity")).where(F.col("by_rarity")[0]["n"] > 0)
     prefix = scratch.keep(prefix.select("cid", "content", "len", F.col("by_rarity")[0]["sid"].alias("sid"), F.col("by_rarity")[0]["off"].alias("off"), F.transform("by_rarity", lambda t: F.struct(t["sid"].alias("sid"), t["off"].alias("off"))).alias("needs")), "prefix")
-    few = prefix.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)
-    candidates = spots.join(hint(prefix.select("sid", "off", "cid", "len", "needs")), "sid").withColumn("at", F.col("pos") - F.col("off")).where((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.col("n_words")))
+    candidates = spots.join(prefix.select("sid", "off", "cid", "len", "needs"), "sid").withColumn("at", F.col("pos") - F.col("off")).where((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.col("n_words")))
     wanted = candidates.select("rid", "at", "cid", "len", F.size("needs").alias("n"), F.explode("needs").alias("x")).select("rid", "at", "cid", "len", "n", (F.col("at") + F.col("x.off")).alias("pos"), F.col("x.sid").alias("sid"))
     proven = wanted.join(spots.select("rid", "pos", "sid"), ["rid", "pos", "sid"]).groupBy("rid", "at", "cid", "len", "n").agg(F.count("*").alias("met")).where("met = n")
     proven = scratch.keep(proven.select("rid", "at", "cid", "len"), "proven")
@@ -103,7 +111,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("at"), F.coalesce(F.max("end").over(before), F.lit(0))))
     hits = spans.select("rid", fresh.alias("fresh")).groupBy("rid").agg(F.sum("fresh").alias("n_hit"))
     item_of = every.select(F.xxhash64("content").alias("cid"), "item_id").distinct()
-    lists = proven.select("rid", "cid").distinct().join(hint(item_of), "cid").groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    lists = proven.select("rid", "cid").distinct().join(item_of, "cid").groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     out = seen.where("sid is null").select("rid", "doc_id", "text_hash", "n_words").distinct().join(hits, "rid", "left").join(lists, "rid", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
