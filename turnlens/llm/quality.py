@@ -2,8 +2,8 @@
 
 A text is read as runs of letters, digits or signs, each hashed to one of ``BUCKETS``. Every bucket has a sparse random
 index vector (a few +1 and -1, from a hash of the bucket). A bucket's word vector is the sum of the index vectors around
-its occurrences, gathered over all documents: each task adds up whole partitions into one table of fixed size, and the
-tables are summed. A document is pooled as the mean of its runs' unit vectors, with damped counts. A network with one
+its occurrences, gathered over all documents: each task adds up its partition into one table of fixed size, and the
+tables are summed by bucket. A document is pooled as the mean of its runs' unit vectors, with damped counts. A network with one
 hidden layer, trained in numpy on the labelled sample, gives a logit; a temperature chosen on labelled rows that training
 leaves out makes it a probability.
 
@@ -28,8 +28,8 @@ from .common import collected, held_out, mapped, mix64, slices, table
 from .toxicity import sample
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 4, 2
-#: Input partitions that one task adds up before it reports its table, and texts that are pooled at once.
-TOGETHER, AT_ONCE = 8, 512
+#: Texts that are pooled at once.
+AT_ONCE = 512
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 5e-3, 1e-4
 MOST_ROWS = 20_000
 #: Classes of bytes: 0 white space, 1 letters (and all bytes of other scripts), 2 digits, 3 signs.
@@ -91,7 +91,6 @@ def add_contexts(total: np.ndarray, bucket: np.ndarray, text: np.ndarray) -> Non
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of the buckets, from all documents; a bucket that no document has stays zero."""
     texts = docs.select(docs["text"]).where(docs["text"].isNotNull())
-    parts = texts.rdd.getNumPartitions()
 
     def run(batches):
         total = np.zeros(BUCKETS * DIMS)
@@ -102,7 +101,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         own = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[own, d])) for d in range(DIMS))], ["bucket", *(f"d{d}" for d in range(DIMS))])
 
-    tables = texts.coalesce(max(1, -(-parts // TOGETHER))).mapInArrow(run, "bucket int, " + ", ".join(f"d{d} long" for d in range(DIMS)))
+    tables = texts.mapInArrow(run, "bucket int, " + ", ".join(f"d{d} long" for d in range(DIMS)))
     summed = collected(tables.groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)]))
     out = np.zeros((BUCKETS, DIMS))
     out[summed["bucket"].to_numpy()] = summed.drop(columns="bucket").to_numpy(float)
