@@ -35,3 +35,18 @@ def test_rows(spark):
     out = U.judge(pages).toPandas().sort_values("page_id")
     assert [(*x,) for x in out[["host", "path", "rule", "verdict"]].astype(object).where(lambda d: d.notna(), None).to_numpy().tolist()] == [judged(u) for u in [*urls, *urls]]
     assert U.judge(pages.where("false")).count() == 0
+
+
+def test_long_urls_go_on_one_by_one(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    texts = ["ads.x.net/" + "".join(r.choice("ab/.") for _ in range(n)) + tail for n in (0, 3, 40, 5000, 70_000) for tail in (".exe", "/wp-login.php?", "z")]
+    machine = U.Automaton.of(("ads.*/**", "**.exe", "**/wp-login.php**", "*.net/?*", "a" * 70 + "*b"))
+    one = machine.match(texts)
+    monkeypatch.setattr(U, "FEW", 0)
+    assert (machine.match(texts) == one).all() and one[:, 0].all() and one[:, 1].sum() == 5
+    rows = [(i, f"http://{t}") for i, t in enumerate(texts * 3)]
+    monkeypatch.setattr(U, "PART_BYTES", 1000)
+    out = U.judge(spark.createDataFrame(rows, "page_id long, url string")).toPandas()
+    assert len(out) == 45 and (out["verdict"] == "block").all()

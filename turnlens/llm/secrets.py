@@ -10,8 +10,9 @@ Positions come without a UDF: matches of a pattern and the gaps that splitting b
 running sums of their lengths in code points are the starts. One pass over the texts writes the lengths; everything
 after works on those few numbers, and the interval join meets in buckets of one scope, so its pairs are bounded by it.
 
-Defined cases: a null or empty text has no spans; repeated rows and ids are scanned row by row; an empty table gives no
-rows; extra columns are ignored.
+Defined cases: a null or empty text has no spans; repeated rows and ids are scanned row by row; spans that begin at one
+place are listed in the order of kinds; very long texts are scanned whole; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +46,12 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int, chea
     size = lambda xs: F.transform(xs, F.length)
     p = F.lit(pattern)
     there = text.rlike(pattern) if cheap is None else cheap & text.rlike(pattern)
-    return F.when(
-        there,
-        F.struct(F.lit(kind).alias("kind"), size(F.regexp_extract_all(text, p, F.lit(0))).alias("m"), F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda x: F.length(x) >= least).alias("ok"), size(F.split(text, pattern, -1)).alias("g")),
-    )
+    gaps, whole = size(F.split(text, pattern, -1)).alias("g"), size(F.regexp_extract_all(text, p, F.lit(0)))
+    if group:
+        found = F.struct(F.lit(kind).alias("kind"), whole.alias("m"), F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda x: F.length(x) >= least).alias("ok"), gaps)
+    else:  # the match itself is what has to be long enough: look for it once
+        found = F.get(F.transform(F.array(whole), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m"), F.transform(m, lambda n: n >= least).alias("ok"), gaps)), F.lit(0))
+    return F.when(there, found)
 
 
 def _spans(found: DataFrame) -> DataFrame:

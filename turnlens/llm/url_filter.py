@@ -6,7 +6,8 @@ one and are masked by the character's symbols (Shift-And), and states in front o
 any one character, ``*`` any run without ``/``, ``**`` any run. The automaton reads the canonical URL: host, then path.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and is judged as the empty string; an empty
-table gives no rows; repeated rows are judged alike; extra columns are ignored; URLs may have any length.
+table gives no rows; repeated rows are judged alike; of rules that fit the longest wins, and no two are equally long; extra
+columns are ignored; URLs may have any length: a task holds a bounded number of bytes, one URL at least.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
+#: Texts that go on one by one once no more are left, and bytes of paths that a task looks at together.
+FEW, PART_BYTES = 8, 4 << 20
 #: Fixed values of the contract: verdict and rule (host, then path prefix).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: The operator's own globs, for URLs that no rule fits; what no glob matches is allowed.
@@ -69,6 +72,15 @@ class Automaton:
             base = end + 1
         return Automaton(tuple(globs), symbols, on, stay, start, final)
 
+    def _alone(self, state: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """One text's state after the symbols of ``rows``."""
+        whole = lambda words: int.from_bytes(words.astype("<u8").tobytes(), "little")
+        slash = int(np.searchsorted(self.symbols, ord("/")))
+        on, stay, s = [whole(r) for r in self.on], [whole(r) for r in self.stay], whole(state)
+        for r in rows.tolist():
+            s = s << 1 & on[r] | s & stay[r != slash]
+        return np.frombuffer((s & (1 << 64 * len(state)) - 1).to_bytes(8 * len(state), "little"), "<u8").astype(np.uint64)
+
     def match(self, texts: list[str]) -> np.ndarray:
         """[text][glob]: whether the glob matches the whole text."""
         out = np.zeros((len(texts), len(self.globs)), bool)
@@ -84,6 +96,10 @@ class Automaton:
         for step in range(int(length.max(initial=0))):
             while live and length[live - 1] <= step:
                 live -= 1
+            if live <= FEW:  # long texts that are left go on one by one, with all words of their bits in one number
+                for i in range(live):
+                    state[i] = self._alone(state[i], row[first[i] + step : first[i] + length[i]])
+                break
             s, at = state[:live], first[:live] + step
             moved = s << np.uint64(1)
             moved[:, 1:] |= s[:, :-1] >> np.uint64(63)
@@ -121,8 +137,7 @@ def judge(pages: DataFrame, rules=RULES, globs=GLOBS, otherwise: str = "allow",
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, at_once):
-                part = batch.slice(low, at_once)
+            for part in (few.slice(low, at_once) for few in slices(batch, "path", PART_BYTES) for low in range(0, few.num_rows, at_once)):
                 host, path = part.column("host").to_pylist(), part.column("path").to_pylist()
                 hit = machine.match([h + p for h, p in zip(host, path)])
                 rule, verdict, glob = np.full(len(host), None, object), np.full(len(host), otherwise, object), np.full(len(host), None, object)
