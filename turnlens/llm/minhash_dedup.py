@@ -18,7 +18,9 @@ that keeps this below ``MISS``: 28 of five rows for 0.85, 41 for 0.8.
 Defined cases: documents without words (or a null text) have an empty set and link with nothing, not even each other;
 with fewer words than a shingle the whole sequence is the one shingle; repeated rows are members of one class; every row
 counts by itself, so rows that repeat a doc_id with other texts link by those texts alone, and rows without a doc_id link
-like others; a component's id is its smallest doc_id, or null; an empty table gives no rows; extra columns are ignored.
+like others; a component's id is its smallest doc_id, or null; of several rows with that id the one whose set has the
+smallest fingerprint stands for the component; very long texts are read whole; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -261,7 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, row: s
     some = F.col("n_shingles") > 0
     component = F.when(some, F.col("lowest")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component).withColumn("own", F.col("component_id").eqNullSafe(F.col("doc_id")))
-    firsts = scratch.keep(out.where(some & F.col("own")).groupBy("component").agg(F.min("rid").alias("first_rid")), "firsts")
+    firsts = out.where(some & F.col("own")).groupBy("component").agg(F.min(F.struct(*of_set, "rid"))["rid"].alias("first_rid"))
+    firsts = scratch.keep(firsts, "firsts")
     out = out.join(firsts, "component", "left").withColumn("first", ~some | F.coalesce(F.col("rid") == F.col("first_rid"), F.lit(False)))
     kept = F.when(F.col("doc_id").isNull(), F.col("first")).otherwise(F.col("own"))
     more = [F.col("rid").alias(row), "first"] if row else []
