@@ -1,6 +1,13 @@
 """A training corpus from raw documents: five stages, each over all that its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
+carry any further columns along, whatever their names.
+
+Defined cases: an empty table stays empty. Null and empty texts: not toxic unless the model says so of a text without
+words, near copies of nothing, not contaminated, never drawn by the mix, since they hold no words. Rows without an id and
+rows that repeat one count by themselves: they are judged by their own text. Repeated rows are near copies of each other.
+Very long texts are read whole in every stage. Ties: of equal candidates the one with the smaller id, then the smaller
+fingerprint of its words stays.
 """
 
 from __future__ import annotations
@@ -9,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.llm import decontamination, minhash_dedup, mixing, sharding, toxicity
-from turnlens.llm.common import Scratch, table
+from turnlens.llm.common import Scratch, release, table, unused
 
 #: Production parameters of the stages.
 TOXIC_FROM, SHINGLE_WORDS, SIMILAR_PERCENT, WINDOW_WORDS, SHARDS = 0.5, 5, 80, 10, 40
@@ -18,30 +25,31 @@ TOXIC_FROM, SHINGLE_WORDS, SIMILAR_PERCENT, WINDOW_WORDS, SHARDS = 0.5, 5, 80, 1
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
     columns = docs.columns
+    score, toxic = unused(columns, "score"), unused(columns, "toxic")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    marks = ("_turnlens_score", "_turnlens_toxic")
-    return toxicity.score(docs, model, TOXIC_FROM, tuple(columns), marks).where(F.col(marks[1]) == 0).select(*columns)
+    return toxicity.score(docs, model, TOXIC_FROM, tuple(columns), (score, toxic)).where(F.col(toxic) == 0).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row with the smallest id stays. Rows count by themselves, whatever their ids."""
-    row, columns = "_turnlens_row", docs.columns
-    numbered = Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = minhash_dedup.near_duplicates(numbered, percent=SIMILAR_PERCENT, shingle=SHINGLE_WORDS, row=row)
-    return numbered.join(found.where(~F.col("first")).select(row), row, "left_anti").select(*columns)
+    row, columns = unused(docs.columns, "row"), docs.columns
+    with_row = Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash_dedup.near_duplicates(with_row, percent=SIMILAR_PERCENT, shingle=SHINGLE_WORDS, row=row)
+    return with_row.join(found.where(~F.col("first")).select(row), row, "left_anti").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), window=WINDOW_WORDS)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    bad, hashed = unused(docs.columns, "bad"), unused(docs.columns, "hashed")
+    marked = found.where("contaminated").select(F.col("doc_id").alias(bad), F.col("text_hash").alias(hashed)).distinct()
+    return docs.join(marked, docs["doc_id"].eqNullSafe(marked[bad]) & (F.xxhash64(docs["text"]) == marked[hashed]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it; documents that it does not draw go. Documents stay whole."""
-    mixed = mixing.mix(docs, whole=True, carry=True)
-    return mixed.select("row", F.explode("draws")).select("row.*")
+    """Each document as often as the mix draws it, dealt to the tree's output shards and shuffled within them; documents
+    that it does not draw go. Documents stay whole."""
+    return mixing.shuffled(mixing.mix(docs, whole=True, carry=True)).select("row.*")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,4 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        release(scratch)  # the stage's own tables
     return docs
