@@ -1,4 +1,5 @@
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 from turnlens.llm import minhash_dedup, mixing, sharding
 from turnlens.llm.common import table
@@ -60,3 +61,10 @@ def test_near_duplicates_by_row_whatever_the_ids(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     left = [(r["doc_id"], (r["text"] or "")[:2]) for r in P.drop_near_duplicates(spark, docs, sf).collect()]
     assert sorted(left, key=str) == sorted([(1, "a0"), (None, "b0"), (None, "c0"), (7, "d0"), (7, "e0"), (None, ""), (None, "")], key=str)
+
+
+def test_columns_that_clash_with_the_stages_own(spark, messy, sf):
+    docs = messy.select("doc_id", "text", "source", "score", F.lit(1).alias("toxic"), F.lit(2).alias("row"), F.lit(3).alias("bad"), F.lit(4).alias("hashed"), F.lit(5).alias("draws"), F.lit(6).alias("place"))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.where("row <> 2 or bad <> 3 or hashed <> 4 or toxic <> 1 or draws <> 5 or place <> 6").count() == 0, name
