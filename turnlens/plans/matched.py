@@ -65,16 +65,16 @@ def match_corpus(spark, d):
     return matches(spark, d).select(*KEY, "i", "j", "csls")
 
 
-@query("match_assemble", MATCHED + f" SELECT {TURN}, j, any_value((length(av.value) % 5 - 2) / 10.0) AS da_expl, count(*) AS n, round(avg(score), 6) AS utt_expl, string_agg(token, ' ' ORDER BY i) AS tokens FROM mt JOIN tv USING ({TURN}, i) JOIN av USING ({TURN}, j) GROUP BY {TURN}, j")
+@query("match_assemble", MATCHED + f" SELECT {TURN}, j, any_value((length(av.value) % 5 - 2) / 10.0) AS da_expl, count(*) AS n, round(avg(score), 6) + 0.0 AS utt_expl, string_agg(token, ' ' ORDER BY i) AS tokens FROM mt JOIN tv USING ({TURN}, i) JOIN av USING ({TURN}, j) GROUP BY {TURN}, j")
 def match_assemble(spark, d):
     acts = act_vectors(spark, d).select(*KEY, "j", C.lexicon_weight(F.col("value")).alias("da_expl"))
     rows = M.match_assemble(matches(spark, d), token_vectors(spark, d).select(*KEY, "i", "token", "score"), acts, KEY)
-    return rows.select(*KEY, "j", "da_expl", F.size("utt").cast("long").alias("n"), r6("utt_expl").alias("utt_expl"), F.array_join(F.transform("utt", lambda x: x["token"]), " ").alias("tokens"))
+    return rows.select(*KEY, "j", "da_expl", F.size("utt").cast("long").alias("n"), (r6("utt_expl") + 0.0).alias("utt_expl"), F.array_join(F.transform("utt", lambda x: x["token"]), " ").alias("tokens"))
 
 
-@query("matched_phrases", MATCHED + "," + SPANS_SQL + f" SELECT {TURN}, j, first, array_to_string(tok, ' ') AS phrase, round(utt_expl, 6) AS utt_expl FROM ph")
+@query("matched_phrases", MATCHED + "," + SPANS_SQL + f" SELECT {TURN}, j, first, array_to_string(tok, ' ') AS phrase, round(utt_expl, 6) + 0.0 AS utt_expl FROM ph")
 def matched_phrases(spark, d):
-    return phrases_of(spark, d).select(*KEY, "j", "first", "phrase", r6("utt_expl").alias("utt_expl"))
+    return phrases_of(spark, d).select(*KEY, "j", "first", "phrase", (r6("utt_expl") + 0.0).alias("utt_expl"))
 
 
 def _profile_query(name: str) -> None:
