@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, byte_table, collected, held_out, slices, table, words_of
 
 #: Bytes of the longest gram (boundaries count), Kneser-Ney's discount, rows of each class in the sample, and folds.
-ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 10_000, 4
+ORDER, DISCOUNT, MOST_ROWS, FOLDS = 8, 0.75, 6_000, 4
 #: Observations of both classes together that each class's distribution after a context is mixed with.
 SHARED = 30.0
 #: Evidence of a word beyond which it counts by itself.
