@@ -109,36 +109,37 @@ def lasso(x: np.ndarray, y: np.ndarray, alpha: float, most: int = 1000) -> np.nd
     """Minimises |y - x w|^2 / (2 n) + alpha |w|_1 by the homotopy of least-angle regression, which meets the huge row
     weights without the slow tail of coordinate descent."""
     n, d = x.shape
-    w, active, sign = np.zeros(d), [], []
+    w, active, sign, idle = np.zeros(d), [], [], np.ones(d, bool)
     gram, corr = x.T @ x / n, x.T @ y / n
-    level = np.abs(corr).max(initial=0)
+    least = 1e-12 * max(1, gram.max(initial=0))
     for _ in range(most):
         now = corr - gram @ w
         level = np.abs(now).max(initial=0)
         if level <= alpha + 1e-12:
             break
-        fresh = [j for j in np.flatnonzero(np.abs(now) >= level * (1 - 1e-9) - 1e-12) if j not in active]
-        for j in fresh:
-            trial = [*active, int(j)]
-            if np.linalg.matrix_rank(gram[np.ix_(trial, trial)], tol=1e-12 * max(1, gram.max())) == len(trial):
-                active, sign = trial, [*sign, float(np.sign(now[j]))]
+        for j in np.flatnonzero(idle & (np.abs(now) >= level * (1 - 1e-9) - 1e-12)):
+            # What the active columns leave of a fresh one; nothing, if it depends on them.
+            across = gram[active, j]
+            left = gram[j, j] - (across @ np.linalg.solve(gram[active][:, active], across) if active else 0.0)
+            if left > least:
+                active, sign, idle[j] = [*active, int(j)], [*sign, float(np.sign(now[j]))], False
         if not active:
             break
-        s = np.array(sign)
-        go = np.linalg.solve(gram[np.ix_(active, active)], s)
+        go = np.linalg.solve(gram[active][:, active], np.array(sign))
         slope = gram[:, active] @ go
         step, drop = level - alpha, None
-        idle = np.ones(d, bool)
-        idle[active] = False
         c, m = np.concatenate([now[idle], -now[idle]]), np.concatenate([slope[idle], -slope[idle]])
         ahead = (level - c[1 - m > 1e-12]) / (1 - m[1 - m > 1e-12])
         step = min(step, ahead[ahead > 1e-14].min(initial=np.inf))
-        for i, j in enumerate(active):
-            if go[i] * w[j] < 0 and 1e-14 < (t := -w[j] / go[i]) < step:
-                step, drop = t, i
-        w[active] += step * go
+        held = w[active]
+        zero = np.divide(-held, go, out=np.full(len(go), np.inf), where=go * held < 0)
+        zero[zero <= 1e-14] = np.inf
+        if zero.min() < step:
+            drop = int(zero.argmin())
+            step = zero[drop]
+        w[active] = held + step * go
         if drop is not None:
-            w[active[drop]] = 0.0
+            w[active[drop]], idle[active[drop]] = 0.0, True
             active, sign = active[:drop] + active[drop + 1 :], sign[:drop] + sign[drop + 1 :]
         elif step == level - alpha:
             break
