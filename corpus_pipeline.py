@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.llm import decontamination, minhash_dedup, mixing, sharding, toxicity
-from turnlens.llm.common import Scratch, release, table, unused
+from turnlens.llm.common import Scratch, owned, table, unused
 
 #: Production parameters of the stages.
 TOXIC_FROM, SHINGLE_WORDS, SIMILAR_PERCENT, WINDOW_WORDS, SHARDS = 0.5, 5, 80, 10, 40
@@ -72,6 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        release(scratch)  # the stage's own tables
+        with owned():  # the stage's own tables
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs

@@ -65,13 +65,12 @@ def test_nets_are_nested_and_cover():
         above = lead
 
 
-def test_rows(spark, monkeypatch):
-    monkeypatch.setattr(E, "CHUNK", 40)
+def test_rows(spark):
     x = clustered(4, 160, 16, 0.1).astype(np.float32)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000 + i, [float(v) for v in x[3]]) for i in range(30)]
     rows += [(500, None), (501, []), (502, [0.0] * 16), (503, [None, *[1.0] * 15]), (504, [float("nan")] * 16), (505, [float("inf"), *[1.0] * 15]), (506, [1.0, 0.0]), (507, [1.0, 0.01]), (508, [-0.0, *[0.0] * 15])]
     df = spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<float>, label int, id int").repartition(3)
-    out = E.near_duplicates(df).toPandas().set_index("vec_id")
+    out = E.near_duplicates(df, sizes=E.Sizes(chunk=40)).toPandas().set_index("vec_id")
     good = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v) and len(v) == 16]
     ids, hit = [i for i, _ in good], brute(np.array([v for _, v in good], np.float32).astype(float))
     up = {i: i for i, _ in rows}
@@ -86,7 +85,7 @@ def test_rows(spark, monkeypatch):
     assert E.near_duplicates(df.where("false")).count() == 0
 
 
-def agree(spark, x, ids=None):
+def agree(spark, x, ids=None, sizes=E.Sizes()):
     """near_duplicates gives what all pairs give."""
     ids = list(range(len(x))) if ids is None else ids
     df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
@@ -100,13 +99,29 @@ def agree(spark, x, ids=None):
             break
         up = low
     want = sorted(zip(ids, hit.sum(axis=1).tolist(), up.tolist()))
-    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()) == want
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(df, sizes=sizes).collect()) == want
 
 
-def test_deep_trees_and_shared_ids(spark, monkeypatch):
-    for name, value in (("CHUNK", 30), ("SAMPLE", 60), ("FAN", 8), ("SOME", 4), ("PLACED", 40), ("GROUP", 2)):
-        monkeypatch.setattr(E, name, value)
+def test_dealing_equal_directions_ends():
+    """450,000 multiples of one vector: every level parts what met at the level above, whatever the fans have in common."""
+    sizes, x = E.Sizes(), np.ones((1, 4)) / 2
+    cells, level = [np.arange(450_000)], 0
+    while cells:
+        below = []
+        for ids in cells:
+            child = E.dealt(ids, level, len(E.centres_of(x, len(ids), sizes=sizes)))
+            below += [part for part in (ids[child == c] for c in range(child.max() + 1)) if len(part) > sizes.chunk]
+        assert max(map(len, below), default=0) <= max(map(len, cells)) / 2
+        cells, level = below, level + 1
+    assert level <= 3
+    assert len(E.centres_of(E.unit(clustered(3, 200, 4, 0.3)), 5000, stuck=True, sizes=sizes)) == 10
+
+
+DEEP = E.Sizes(sample=60, fan=8, chunk=30, group=2, placed=40, some=4)
+
+
+def test_deep_trees_and_shared_ids(spark):
     # Half of the rows are multiples of one vector: no net parts them, and they link with their neighbours.
     base = clustered(6, 1, 6, 0.0)[0]
     x = np.vstack([base * np.linspace(1, 9, 90)[:, None], clustered(7, 80, 6, 0.1), base + 0.02 * np.random.default_rng(1).normal(size=(10, 6))])
-    agree(spark, x[np.random.default_rng(2).permutation(180)], [i // 2 if i > 120 else i for i in range(180)])
+    agree(spark, x[np.random.default_rng(2).permutation(180)], [i // 2 if i > 120 else i for i in range(180)], DEEP)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-class Scratch:
-    """Tables of one operator call in the shared folder; deleted by ``drop``, by ``release`` or when the driver's JVM ends.
-    An operator's result reads them, so they may go only after it is written."""
+#: The innermost ``owned`` block's scratches, for each thread or task of the driver by itself.
+_owner: ContextVar[list | None] = ContextVar("turnlens_scratch_owner", default=None)
+
 
-    open: list["Scratch"] = []
+class Scratch:
+    """Tables of one operator call in the shared folder; deleted by ``drop``, at the end of an ``owned`` block or when the
+    driver's JVM ends. An operator's result reads them, so they may go only after it is written."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/turnlens-{name}-{uuid.uuid4().hex}"
         self._fs(self.root, lambda fs, path: fs.deleteOnExit(path))
-        Scratch.open.append(self)
+        if (own := _owner.get()) is not None:
+            own.append(self)
 
     def _fs(self, where: str, act):
         jvm = self.spark._jvm
@@ -59,12 +64,18 @@ class Scratch:
         self._fs(f"{self.root}/{name}".rstrip("/"), lambda fs, path: fs.delete(path, True))
 
 
-def release(*but: Scratch) -> None:
-    """Deletes the tables of all operator calls so far but of those given. A driver that lives long calls it whenever it has
-    written its results."""
-    for scratch in [s for s in Scratch.open if s not in but]:
-        scratch.drop()
-        Scratch.open.remove(scratch)
+@contextmanager
+def owned():
+    """Deletes at its end the tables of the operator calls made inside it, and no others. A driver that lives long makes and
+    writes a result inside such a block; results that are still to be written outside of it keep their tables."""
+    mine: list[Scratch] = []
+    token = _owner.set(mine)
+    try:
+        yield mine
+    finally:
+        _owner.reset(token)
+        for scratch in mine:
+            scratch.drop()
 
 
 def unused(columns, name: str) -> str:

@@ -2,15 +2,16 @@
 
 Cosine c of unit vectors is a distance: |x - y|^2 = 2 - 2c, so "cosine at least t" is "distance at most r". Nested nets
 with halving radii (2, 1, 1/2, ...) cover the vectors. The upper tree spans the whole table and grows from the root in
-distributed rounds: each round takes every node that holds more than ``CHUNK`` vectors, draws a bounded sample inside the
+distributed rounds: each round takes every node that holds more than ``Sizes.chunk`` vectors, draws a bounded sample inside the
 node, takes the coarsest net of the sample that has several centres, and sends every vector of the node to its nearest
-centre. Children that are small enough are packed with their neighbours into leaves of fewer than twice ``CHUNK``
-vectors; inside a leaf the nets go on down to the vectors themselves. Vectors that no net parts (equal directions) are
-dealt by hash. Every node has a centre and a covering radius, the furthest that any of its vectors lies from it.
+centre. Children that are small enough are packed with their neighbours into leaves of fewer than twice that
+many vectors; inside a leaf the nets go on down to the vectors themselves. Vectors that no net parts (equal directions, or
+nearly all of a node in one child) are dealt by a hash of the level and their id, so every second round at the least makes nodes
+smaller by a known factor. Every node has a centre and a covering radius, the furthest that any of its vectors lies from it.
 
 The traversal starts at the pair (root, root). It drops a pair of nodes whose covering radii keep their vectors further
 apart than r, accepts a pair whose vectors are all within r (counted by the nodes' weights, at whatever level), and opens
-the rest. Pairs of the upper tree are rows of a table. Pairs of leaves are walked in tasks of bounded size: ``GROUP``
+the rest. Pairs of the upper tree are rows of a table. Pairs of leaves are walked in tasks of bounded size: ``Sizes.group``
 neighbouring leaves on either side travel together, each as one row. At the bottom the exact cosine in double precision
 decides. Equal vectors are one vector with a weight. Tasks return counts and a label per vector, never the links.
 
@@ -26,6 +27,7 @@ do not matter; an empty table gives no rows; extra columns are ignored. There ar
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,14 +35,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, mix64, table
 from .components import components
 
-#: Vectors that a node is split on, children of a node at most, vectors of a leaf (less than twice that), leaves that a
-#: task holds of either side, and vectors that a task places among a node's children.
-SAMPLE, FAN, CHUNK, GROUP, PLACED = 2048, 256, 1024, 8, 4096
-#: A sample's coarsest net with so many centres splits a node.
-SOME = 16
+
+class Sizes(NamedTuple):
+    """What bounds a node and a task. Tasks get it with their function, never from this module's globals."""
+
+    sample: int = 2048  # vectors that a node is split on
+    fan: int = 256  # children of a node at most
+    chunk: int = 1024  # vectors of a leaf (less than twice that)
+    group: int = 8  # leaves that a task holds of either side
+    placed: int = 4096  # vectors that a task places among a node's children
+    some: int = 16  # a sample's coarsest net with so many centres splits a node
+    stuck: float = 0.9  # a child with more than this share of its parent's vectors is dealt by hash
+
+
 #: Radii of the nested nets inside a leaf.
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Distances from dot products of unit vectors may be off by this at most; covering radii and comparisons allow for it.
@@ -225,19 +235,20 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.transform("x", lambda v: v + F.lit(0.0)).alias("x"))
 
 
-def centres_of(x: np.ndarray, held: int) -> np.ndarray:
+def centres_of(x: np.ndarray, held: int, stuck: bool = False, sizes: Sizes = Sizes()) -> np.ndarray:
     """Centres of the children of a node of ``held`` vectors, from its sample: the coarsest of the halving nets with
-    several centres, in an order in which neighbours are near. Where no net parts the sample, one centre several times."""
+    several centres, in an order in which neighbours are near. Where no net parts the sample, or nets got ``stuck`` at the
+    node, one centre several times."""
     radius, who = 2.0, np.zeros(1, np.int64)
-    while radius > 1e-6:
+    while radius > 1e-6 and not stuck:
         lead = net(x, radius, np.zeros(len(x), np.int64))
         who, size = np.unique(lead, return_counts=True)
-        if len(who) >= min(SOME, len(x)):
+        if len(who) >= min(sizes.some, len(x)):
             break
         radius /= 2
     if len(who) < 2:
-        return np.repeat(x[:1], min(FAN, max(1, -(-2 * held // CHUNK))), axis=0)
-    who = who[np.argsort(-size, kind="stable")[:FAN]]
+        return np.repeat(x[:1], min(sizes.fan, max(1, -(-2 * held // sizes.chunk))), axis=0)
+    who = who[np.argsort(-size, kind="stable")[: sizes.fan]]
     near = x[who] @ x[who].T
     order, left = [0], np.ones(len(who), bool)
     left[0] = False
@@ -247,51 +258,73 @@ def centres_of(x: np.ndarray, held: int) -> np.ndarray:
     return x[who[order]]
 
 
+def dealt(ids: np.ndarray, level: int, parts: int) -> np.ndarray:
+    """A part for each id, by a hash of level and id: ids that met in a part of one level part again at the next."""
+    salt = mix64(np.array([level + 1], np.uint64))
+    return (mix64(ids.astype(np.uint64) ^ salt) % np.uint64(parts)).astype(np.int64)
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float).reshape(-1, dim) if len(column) else np.empty((0, dim))
 
 
-def _leaves(scratch: Scratch, own: DataFrame, dim: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """The upper tree: vectors with their leaf (id, x, weight, leaf), and its inner nodes (node, parent, centre, reach, weight, rep)."""
+def _splitter(dim: int, sizes: Sizes):
+    """The function that gives a node's children their centres, from its sample."""
 
     def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = centres_of(unit(_matrix(pdf.sort_values("id")["x"], dim)), int(pdf["held"].iloc[0]))
+        found = centres_of(unit(_matrix(pdf.sort_values("id")["x"], dim)), int(pdf["held"].iloc[0]), bool(pdf["stuck"].iloc[0]), sizes)
         return pd.DataFrame({"cell": key[0], "child": np.arange(len(found), dtype="int32"), "centre": found.tolist()})
 
+    return split
+
+
+def _placer(dim: int, level: int):
+    """The function that sends vectors to the nearest of their node's centres, or deals them where all centres are one."""
+
     def place(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("id", "int64"), ("x", object), ("weight", "int64"), ("cell", object), ("child", "int32"), ("far", "float64"))})
         centres = centres.sort_values("child")
         c, u = _matrix(centres["centre"], dim), unit(_matrix(pdf["x"], dim))
         dots = u @ c.T
-        child = pdf["id"].to_numpy() % len(c) if len(c) > 1 and (c == c[0]).all() else dots.argmax(axis=1)
+        child = dealt(pdf["id"].to_numpy(), level, len(c)) if len(c) > 1 and (c == c[0]).all() else dots.argmax(axis=1)
         far = chord(dots[np.arange(len(u)), child]) + NOISE
         return pdf[["id", "x", "weight", "cell"]].assign(child=child.astype("int32"), far=far)
 
-    rows, leaves, nodes, depth = own.select("id", "x", "weight", F.lit("0").alias("cell"), F.lit(total).alias("held")), None, None, 0
-    sizes = own.sparkSession.createDataFrame([("0", total)], "cell string, held long")
+    return place
+
+
+def _leaves(scratch: Scratch, own: DataFrame, dim: int, total: int, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
+    """The upper tree: vectors with their leaf (id, x, weight, leaf), and its inner nodes (node, parent, centre, reach, weight, rep)."""
+    spark = own.sparkSession
+    if total <= sizes.chunk:  # the root's one child is a leaf
+        return own.select("id", "x", "weight", F.lit("0:0").alias("leaf")), spark.createDataFrame([], "node string, parent string, centre array<double>, reach double, weight long, rep long")
+    rows, leaves, nodes, depth = own.select("id", "x", "weight", F.lit("0").alias("cell"), F.lit(total).alias("held"), F.lit(False).alias("stuck")), None, None, 0
+    cells = spark.createDataFrame([("0", total)], "cell string, held long")
     while True:
-        share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("held"))
+        share = F.least(F.lit(1.0), F.lit(float(sizes.sample)) / F.col("held"))
         sample = rows.where(F.pmod(F.xxhash64(F.lit(depth), "id"), F.lit(1 << 30)) < F.ceil(share * (1 << 30)))
-        centres = scratch.keep(sample.select("cell", "id", "x", "held").groupBy("cell").applyInPandas(split, "cell string, child int, centre array<double>"), f"centres{dim}-{depth}")
-        parts = F.ceil(F.col("held") / PLACED)
+        centres = scratch.keep(sample.select("cell", "id", "x", "held", "stuck").groupBy("cell").applyInPandas(_splitter(dim, sizes), "cell string, child int, centre array<double>"), f"centres{dim}-{depth}")
+        parts = F.ceil(F.col("held") / sizes.placed)
         salted = rows.select("id", "x", "weight", "cell", F.pmod(F.xxhash64(F.lit(-1), "id"), parts).alias("salt"))
-        sent = centres.join(sizes, "cell").select("cell", "child", "centre", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
-        placed = salted.groupBy("cell", "salt").cogroup(sent.groupBy("cell", "salt")).applyInPandas(place, "id long, x array<double>, weight long, cell string, child int, far double")
+        sent = centres.join(cells, "cell").select("cell", "child", "centre", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+        placed = salted.groupBy("cell", "salt").cogroup(sent.groupBy("cell", "salt")).applyInPandas(_placer(dim, depth), "id long, x array<double>, weight long, cell string, child int, far double")
         placed = scratch.keep(placed, f"placed{dim}-{depth}")
         children = placed.groupBy("cell", "child").agg(F.count("*").alias("held"), F.max("far").alias("reach"), F.sum("weight").alias("weight"), F.min("id").alias("rep"))
         children = scratch.keep(children, f"children{dim}-{depth}")
         up = F.sum("held").over(W.partitionBy("cell").orderBy("child"))
-        small = children.where(F.col("held") <= CHUNK).select("cell", "child", F.concat("cell", F.lit(":"), F.floor((up - F.col("held")) / CHUNK).cast("string")).alias("leaf"))
+        small = children.where(F.col("held") <= sizes.chunk).select("cell", "child", F.concat("cell", F.lit(":"), F.floor((up - F.col("held")) / sizes.chunk).cast("string")).alias("leaf"))
         own_leaves = placed.join(small, ["cell", "child"]).select("id", "x", "weight", "leaf")
         leaves = own_leaves if leaves is None else leaves.unionByName(own_leaves)
-        large = children.where(F.col("held") > CHUNK).withColumn("node", F.concat("cell", F.lit("."), F.col("child").cast("string")))
+        large = children.where(F.col("held") > sizes.chunk).withColumn("node", F.concat("cell", F.lit("."), F.col("child").cast("string")))
         inner = large.join(centres, ["cell", "child"]).select("node", F.col("cell").alias("parent"), "centre", "reach", "weight", "rep")
         nodes = inner if nodes is None else nodes.unionByName(inner)
         if not large.limit(1).count():
             return leaves, nodes
-        rows = placed.join(large.select("cell", "child", "node", "held"), ["cell", "child"]).select("id", "x", "weight", F.col("node").alias("cell"), "held")
-        sizes = large.select(F.col("node").alias("cell"), "held")
+        large = large.join(cells.select("cell", F.col("held").alias("_of")), "cell").withColumn("stuck", F.col("held") > sizes.stuck * F.col("_of"))
+        large = scratch.keep(large.select("cell", "child", "node", "held", "stuck"), f"large{dim}-{depth}")
+        rows = placed.join(large, ["cell", "child"]).select("id", "x", "weight", F.col("node").alias("cell"), "held", "stuck")
+        cells = large.select(F.col("node").alias("cell"), "held")
         depth += 1
 
 
@@ -320,10 +353,10 @@ def _pairs(scratch: Scratch, nodes: DataFrame, r: float, dim: int) -> tuple[Data
         round_ += 1
 
 
-def _linked(scratch: Scratch, own: DataFrame, dim: int, total: int, least: float, narrow: bool) -> tuple[DataFrame, DataFrame]:
+def _linked(scratch: Scratch, own: DataFrame, dim: int, total: int, least: float, narrow: bool, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
     """Counts (id, links) and label edges (a, b) of the vectors of one length. ``narrow``: components are single precision."""
     kind, r = ("float" if narrow else "double"), math.sqrt(2 - 2 * least)
-    placed, inner = _leaves(scratch, own, dim, total)
+    placed, inner = _leaves(scratch, own, dim, total, sizes)
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -343,7 +376,7 @@ def _linked(scratch: Scratch, own: DataFrame, dim: int, total: int, least: float
     left, whole = _pairs(scratch, nodes, r, dim)
 
     # Pairs of leaves, a task for each pair of groups of neighbouring leaves.
-    group = lambda c: F.concat(F.substring_index(c, ":", 1), F.lit(":"), F.floor(F.substring_index(c, ":", -1).cast("long") / GROUP).cast("string"))
+    group = lambda c: F.concat(F.substring_index(c, ":", 1), F.lit(":"), F.floor(F.substring_index(c, ":", -1).cast("long") / sizes.group).cast("string"))
     turned = group(F.col("a")) > group(F.col("b"))
     todo = left.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")).withColumn("ga", group(F.col("a"))).withColumn("gb", group(F.col("b")))
     holds = todo.select("ga", "gb", F.col("a").alias("node")).unionByName(todo.select("ga", "gb", F.col("b").alias("node"))).distinct()
@@ -383,7 +416,7 @@ def _linked(scratch: Scratch, own: DataFrame, dim: int, total: int, least: float
     return counts.unionByName(below.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links")), edges.unionByName(more)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, sizes: Sizes = Sizes()) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, copies (how many rows hold the very same vector)."""
     scratch, narrow = Scratch(vectors.sparkSession, "vectors"), dict(vectors.dtypes)["embedding"] == "array<float>"
     usable = _usable(vectors)
@@ -391,7 +424,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("id"), "x", "low", "weight", F.size("x").alias("dim")), "classes")
     counts, edges = None, None
     for dim, total in sorted(map(tuple, classes.groupBy("dim").count().collect())):
-        c, e = _linked(scratch, classes.where(F.col("dim") == dim).select("id", "x", "weight"), dim, total, least, narrow)
+        c, e = _linked(scratch, classes.where(F.col("dim") == dim).select("id", "x", "weight"), dim, total, least, narrow, sizes)
         counts, edges = (c, e) if counts is None else (counts.unionByName(c), edges.unionByName(e))
     x = F.transform(F.transform(vectors["embedding"], lambda v: v.cast("double")), lambda v: v + F.lit(0.0))
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), x.alias("x"))
