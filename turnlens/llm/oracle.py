@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import decontamination, secrets, url_filter
+from . import decontamination, fill_middle, html_text, lexical_search, secrets, url_filter
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -80,4 +80,7 @@ ORACLE = {
     "op5_minhash": MINHASH,
     "op6_urls": _urls(),
     "op9_secrets": _secrets(),
+    "op11_fill_middle": fill_middle.ORACLE,
+    "op12_html_text": html_text.ORACLE,
+    "op13_search": lexical_search.ORACLE,
 }

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .decontamination import op4_decontamination
 from .embedding_dedup import op3_embeddings
+from .fill_middle import op11_fill_middle
+from .html_text import op12_html_text
+from .lexical_search import op13_search
 from .lm_scoring import op1_lm
 from .minhash_dedup import op5_minhash
 from .mixing import op2_mixing
@@ -27,4 +30,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_html_text": op12_html_text,
+    "op13_search": op13_search,
 }
