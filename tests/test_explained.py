@@ -55,7 +55,7 @@ def test_the_pipeline_streams_like_its_batch_twin(spark, sf, tmp_path):
     rows = C.user_turns(spark, sf).where("dia_no < 5").select(F.col("dia_no").alias("session_id"), F.col("turn_no").cast("long").alias("seq"), "text")
     rows.withColumn("reset", F.lit(False)).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("session_id long, seq long, text string, reset boolean").parquet(str(tmp_path / "in"))
-    q = P.run_stream(stream, P.Parts(S.LexiconScorer()), idle_ms=None).writeStream.format("memory").queryName("online").outputMode("append").trigger(availableNow=True).start()
+    q = P.run_stream(stream, idle_ms=None).writeStream.format("memory").queryName("online").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     pick = lambda df: sorted((r["session_id"], r["turn_no"], r["masked"], r["masked_acts"], *(round(r[c], 6) for c in ("utt_prob", "da_prob", "dia_prob"))) for r in df.collect())
     assert pick(spark.table("online")) == pick(P.run_batch(rows)) and rows.count() > 0
@@ -67,7 +67,7 @@ def test_training_in_stages(spark, sf, tmp_path):
     cfg = Config()
     got = api.train_all(turns, dialogues, splits, cfg, str(tmp_path))
     assert {(r["level"], r["split"]) for r in got.collect()} == {(a, b) for a in ("da", "utt", "dia") for b in ("train", "test")}
-    assert set(api.load_models(str(tmp_path), cfg)) == {"da", "utt", "dia"}
+    assert set(api.load_models(spark, str(tmp_path), cfg)) == {"da", "utt", "dia"}
     rows = api.prepare(turns, splits, "utt")
     assert rows.where(F.size("input_ids") != 128).count() == 0
     fresh = api.refresh_train(rows, rows.limit(2).drop("split"))

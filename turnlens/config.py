@@ -52,6 +52,7 @@ class Config:
     def but(self, **changes) -> "Config":
         return replace(self, **changes)
 
-    def key(self) -> str:
-        """A short name of exactly these settings, for artefacts."""
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
+    def key(self, only: tuple[str, ...] = ()) -> str:
+        """A short name of exactly these settings, or ``only`` some of them, for artefacts."""
+        settings = {k: v for k, v in asdict(self).items() if not only or k in only}
+        return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:16]

@@ -6,7 +6,8 @@ and solves, so the hundreds of perturbations of a turn never become rows of a sh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from ..sources.conversations import tokens
 KEY = ["dia_no", "turn_no", "label"]
 EXPLANATION = "array<struct<features:array<struct<text:string,idx:int>>,score:double>>"
 SCHEMA = f"dia_no long, turn_no int, label int, n_features int, explanation {EXPLANATION}, bias double, infidelity double, r2 double"
-#: Masked inputs that are scored at once.
-AT_ONCE = 4096
+#: Masked inputs that are scored at once, and instances whose masks are held together.
+AT_ONCE, TOGETHER = 4096, 256
 
 
 def mask_words(words: list[str], mask: np.ndarray) -> str:
@@ -85,25 +86,46 @@ def _formatted(found: dict, words: list[str]) -> list[dict]:
     return [{"features": [{"text": words[i], "idx": int(i)} for i in t], "score": float(v)} for t, v in ranked]
 
 
-def attribute(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, apply: Callable = mask_words, features: str = "tok", valid: int = 0) -> DataFrame:
+def _scores(todo: list[tuple[list[str], np.ndarray]], score: Callable, apply: Callable, on_masks: Callable | None) -> list[np.ndarray]:
+    """Scores of the masked inputs of many instances (features, masks): ``AT_ONCE`` texts of whatever instances at a time."""
+    if on_masks is not None:
+        return [np.asarray(on_masks(words, x), float) for words, x in todo]
+    found, texts = [], []
+    for words, x in todo:
+        for m in x:
+            texts.append(apply(words, m))
+            if len(texts) == AT_ONCE:
+                found.append(score(texts))
+                texts = []
+    flat = np.concatenate([*found, score(texts)] if texts else found or [np.zeros(0)])
+    return np.split(flat, np.cumsum([len(x) for _, x in todo])[:-1]) if todo else []
+
+
+def explained(instances: Iterable[tuple[tuple, list[str]]], score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, apply: Callable = mask_words, valid: int = 0, on_masks: Callable | None = None) -> Iterator[tuple[dict, float | None, float | None]]:
+    """The explanation of each instance (key, features), with infidelity and r2: masks of ``TOGETHER`` instances at a time are
+    scored together. ``on_masks`` scores (features, masks) without texts, for scorers that can."""
+    instances = iter(instances)
+    while some := list(islice(instances, TOGETHER)):
+        make = lambda count, s: [(words, A.masks(method, len(words), count, order, A.instance_rng(s, *key)) if words else np.zeros((0, 0))) for key, words in some]
+        todo = make(n, seed)
+        ys = _scores(todo, score, apply, on_masks)
+        found = [A.explain(method, x, y, order, alpha) for (_, x), y in zip(todo, ys)]
+        if valid:
+            todo = make(valid, seed + 1)
+            ys = _scores(todo, score, apply, on_masks)
+        for (_, x), y, f in zip(todo, ys, found):
+            yield (f, *(A.infidelity_r2(x, y, f) if len(x) else (None, None)))
+
+
+def attribute(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, apply: Callable = mask_words, features: str = "tok", valid: int = 0, on_masks: Callable | None = None) -> DataFrame:
     """key, n_features, explanation (all terms, strongest first), bias, infidelity and r2 on the masks themselves, or on
     about ``valid`` further masks of their own. A turn without features has an empty explanation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for key, words in zip(pdf[KEY].itertuples(index=False), pdf[features]):
-                words = list(words) if words is not None else []
-                x = A.masks(method, len(words), n, order, A.instance_rng(seed, *key)) if words else np.zeros((0, 0))
-                texts = [apply(words, m) for m in x]
-                y = np.concatenate([score(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]) if texts else np.zeros(0)
-                found = A.explain(method, x, y, order, alpha)
-                if valid and words:
-                    x = A.masks(method, len(words), valid, order, A.instance_rng(seed + 1, *key))
-                    texts = [apply(words, m) for m in x]
-                    y = np.concatenate([score(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]) if texts else np.zeros(0)
-                loss, r2 = A.infidelity_r2(x, y, found) if len(x) else (None, None)
-                out.append((*key, len(words), _formatted(found, words), found.get((), 0.0), loss, r2))
+            keys, words = list(pdf[KEY].itertuples(index=False)), [[] if w is None else list(w) for w in pdf[features]]
+            every = explained(zip(keys, words), score, method, n, order, alpha, seed, apply, valid, on_masks)
+            out = [(*key, len(ws), _formatted(found, ws), found.get((), 0.0), loss, r2) for key, ws, (found, loss, r2) in zip(keys, words, every)]
             yield pd.DataFrame(out, columns=[*KEY, "n_features", "explanation", "bias", "infidelity", "r2"])
 
     return df.select(*KEY, features).mapInPandas(run, SCHEMA)
@@ -148,8 +170,9 @@ def attribute_acts(df: DataFrame, score: Callable[[list[str]], np.ndarray], meth
     return attribute(rows, score, method, n, order, alpha, seed, keep_acts, "_acts")
 
 
-def attribute_dialogue(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED) -> DataFrame:
+def attribute_dialogue(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: str = "faith_shap", n: int = 200, order: int = 1, alpha: float = 0.001, seed: int = SEED, on_masks: Callable | None = None) -> DataFrame:
     """Attribution of whole dialogues from turns (key, tok, acts): the features are all tokens, turn by turn, then all acts.
+    Each mask of a long dialogue is a text as long; ``on_masks`` spares scorers that can do without these texts.
     Rows (key of the last turn, kind token or act, turn_no, idx within the turn, text, score) of single features."""
     from .features import act_name
 
@@ -161,7 +184,7 @@ def attribute_dialogue(df: DataFrame, score: Callable[[list[str]], np.ndarray],
     whole = turns.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("turn_no", "w", "a"))).alias("t"), F.max("turn_no").alias("turn_no"))
     whole = whole.withColumn("places", F.concat(F.flatten(F.transform("t", lambda x: x["w"])), F.flatten(F.transform("t", lambda x: x["a"])))).drop("t")
     whole = whole.withColumn("features", F.transform("places", lambda p: F.when(p["kind"] == "act", F.concat(F.lit(ACT_MARK), p["text"])).otherwise(p["text"])))
-    found = attribute(whole, score, method, n, order, alpha, seed, mask_dialogue, "features").select(*KEY, F.explode("explanation").alias("e")).where(F.size("e.features") == 1)
+    found = attribute(whole, score, method, n, order, alpha, seed, mask_dialogue, "features", on_masks=on_masks).select(*KEY, F.explode("explanation").alias("e")).where(F.size("e.features") == 1)
     found = found.select(*KEY, F.get("e.features", F.lit(0))["idx"].alias("i"), F.col("e.score").alias("score"))
     rows = found.join(whole.select(*KEY, "places"), KEY).withColumn("p", F.get("places", F.col("i")))
     return rows.select("dia_no", "label", F.col("turn_no").alias("last_turn"), "p.kind", "p.turn_no", "p.idx", "p.text", "score")

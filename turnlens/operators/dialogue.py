@@ -10,8 +10,8 @@ from ..config import CLS, DA_SEP, SEP, SLOT_SEP, SYSTEM_MARK, USER_MARK
 from ..sources.conversations import greet_da, none_da
 
 
-#: Rows of a ring in which rows exchange their values.
-RING = 1000
+#: Rows of a ring in which rows exchange their values, and batches of a part.
+RING, PART_BATCHES = 1000, 64
 
 
 def range_to(n: Column) -> Column:
@@ -95,10 +95,15 @@ def multimodal_sequence(lines: Column, use_value: bool = False) -> tuple[Column,
     return F.concat(F.lit(f"{CLS} "), acts, F.lit(f" {SEP}")), F.concat(F.lit(f"{CLS} "), said, F.lit(f" {SEP}"))
 
 
-def encode(text: Column, max_len: int, buckets: int = 50_000) -> tuple[Column, Column]:
-    """input_ids and attention_mask of fixed length: hashed words, cut and padded with 0. JVM-side stand-in for a tokenizer."""
+def hashed_ids(text: Column, max_len: int, buckets: int = 50_000) -> Column:
+    """Ids from 1 of a text's words by their hash, cut at ``max_len``. JVM-side stand-in for a tokenizer."""
     number = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")
-    ids = F.slice(F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), lambda t: (number(t) % (buckets - 1) + 1).cast("int")), 1, max_len)
+    return F.slice(F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""), lambda t: (number(t) % (buckets - 1) + 1).cast("int")), 1, max_len)
+
+
+def encode(text: Column, max_len: int, buckets: int = 50_000) -> tuple[Column, Column]:
+    """input_ids and attention_mask of fixed length, padded with 0."""
+    ids = hashed_ids(text, max_len, buckets)
     pad = lambda xs: F.concat(xs, F.array_repeat(F.lit(0), F.lit(max_len) - F.size(xs)))
     return pad(ids), pad(F.transform(ids, lambda _: F.lit(1)))
 
@@ -171,8 +176,10 @@ def union_datasets_offset(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(moved)
 
 
-def batches(df: DataFrame, keys: list[str], size: int, seed: int | None = 2025, parts: int = 8) -> DataFrame:
-    """Adds part and batch: rows of a part in batches of ``size``, in the order of a digest, or by keys without a seed."""
+def batches(df: DataFrame, keys: list[str], size: int, seed: int | None = 2025, parts: int | None = None) -> DataFrame:
+    """Adds part and batch: rows of a part in batches of ``size``, in the order of a digest, or by keys without a seed. Without
+    ``parts`` there are as many as leave a part ``PART_BATCHES`` batches. ``collate`` pads, and needs no parts."""
+    parts = parts or max(1, -(-df.count() // (size * PART_BATCHES)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed or 0)), *[F.col(k).cast("string") for k in keys]))
     part = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % parts).cast("int")
     rows = df.withColumn("part", part).withColumn("_h", F.lit("") if seed is None else digest)

@@ -8,12 +8,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..sources.manifest import Manifest
 from .dialogue import anti_resume, limit_generate
 from .scoring import TextGenerator, repeat_until
 from .text import EXTRA_CHARACTERS, OTHER_ROLE
 
 KNOWN = re.compile(f"[!-~{EXTRA_CHARACTERS}]*")
+DIALOGUES = "dia_no long, goal string, dia string, is_complete boolean"
 END = re.compile(r"[^\w\s]+\b(?:END|STOP)\b[^\w\s]+", re.I)
 
 
@@ -76,4 +79,29 @@ def e2e_dataset(goals: DataFrame, done: DataFrame, requested: int | None, make:
             yield pd.DataFrame(rows, columns=["dia_no", "goal", "dia", "is_complete"])
 
     todo = anti_resume(goals, done) if requested is None else limit_generate(goals, requested, done)
-    return todo.mapInPandas(run, "dia_no long, goal string, dia string, is_complete boolean")
+    return todo.mapInPandas(run, DIALOGUES)
+
+
+def generate(goals: DataFrame, where: str, make: Callable[[int], tuple[TextGenerator, TextGenerator, TextGenerator]], requested: int | None = None, group: int = 1024, **settings) -> DataFrame:
+    """``e2e_dataset`` as a job that can be stopped: dialogues are committed below ``where`` in groups of about ``group``, so what
+    is lost with a job is one group at most, and none is generated twice within a round. A round takes the goals that no
+    earlier round has completed; a call goes on with a round that was not finished, or else begins the next one. Returns the
+    latest dialogue of every goal that has one."""
+    store = Manifest(goals.sparkSession, where, DIALOGUES)
+    there = store.committed()
+    round_ = sum(name.startswith("end-") for name in there)
+    of_round = lambda name: -1 if name.startswith("end-") else int(name.split("-")[0])
+    done = store.read(lambda name: 0 <= of_round(name) < round_).where("is_complete")
+    # What a round takes follows from finished rounds alone, so a call that goes on takes the same.
+    todo = anti_resume(goals, done) if requested is None else limit_generate(goals, requested, done)
+    n = todo.count()
+    if n:
+        many = -(-n // group)
+        own = lambda i: todo.where(F.pmod(F.xxhash64("dia_no"), F.lit(many)) == i)
+        store.run([f"{round_}-{i}" for i in range(many)], lambda name: e2e_dataset(own(int(name.split("-")[1])), done.limit(0), None, make, **settings))
+        store.commit(f"end-{round_}", goals.sparkSession.createDataFrame([], DIALOGUES))
+    out = None
+    for r in range(round_ + 1):  # of rounds that both hold a goal the later counts
+        own_round = store.read(lambda name: of_round(name) == r)
+        out = own_round if out is None else own_round.unionByName(out.join(own_round.select("dia_no"), "dia_no", "left_anti"))
+    return out

@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cloud
 from .text import template
 
 SCOPE = ["scope", "intent", "domain", "slot", "side"]
+#: Phrases of a scope that are merged, in pairs, by one task.
+MOST_PHRASES = 2000
 #: Texts of the report.
 TOKEN_MOST = 'The model takes "$utterance" for $label-generated: $percent% of its tokens follow patterns of $label responses. In sentence $sentence the token "$token" stands at the $place, right after "$before".'
 TOKEN_FIRST = 'The model takes "$utterance" for $label-generated: $percent% of its tokens follow patterns of $label responses. In sentence $sentence the token "$token" stands at the $place and opens the sentence.'
@@ -41,6 +44,8 @@ def _joined(a: list[str], b: list[str], least: int) -> list[str] | None:
 def merged_phrases(scores: dict[str, float], least: int) -> dict[str, float]:
     """Phrases that hold no other or that no other holds, those in between left out; then phrases whose ends overlap by
     ``least`` words at least grow together until none do. A phrase scores as the best given one that it holds, else 1."""
+    if len(scores) > MOST_PHRASES:
+        raise ValueError(f"{len(scores)} phrases of one scope: cut profiles to their top first")
     words = {p: p.split() for p in scores}
     holds = {p: any(q != p and _within(words[q], words[p]) for q in words) for p in words}
     held = {p: any(q != p and _within(words[p], words[q]) for q in words) for p in words}
@@ -113,32 +118,28 @@ def report_html(turns: list[dict]) -> str:
     return "\n".join(parts)
 
 
-def report_pages(texts: DataFrame, tokens: DataFrame, clouds: DataFrame) -> DataFrame:
+def report_pages(texts: DataFrame, tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """The pages of all dialogues: dia_no, label, n_turns and html, from texts (turn key, pred, prob, token_text, act_text),
-    tokens (turn key, idx, token, alpha) and clouds (dia_no, label, side, phrase, weight)."""
+    tokens (turn key, idx, token, alpha) and phrases (dia_no, label, side, phrase, weight)."""
     words = tokens.groupBy("dia_no", "label", "turn_no").agg(F.array_sort(F.collect_list(F.struct("idx", "token", "alpha"))).alias("tokens"))
     turns = texts.join(words, ["dia_no", "label", "turn_no"], "left")
     turns = turns.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("turn_no", "pred", "prob", "token_text", "act_text", "tokens"))).alias("turns"))
-    cloud = clouds.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("side", (-F.col("weight")).alias("order"), "phrase"))).alias("cloud"))
+    own = phrases.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("side", (-F.col("weight")).alias("order"), "phrase"))).alias("cloud"))
 
     @F.pandas_udf("string")
-    def page(turns: pd.Series, cloud: pd.Series) -> pd.Series:
+    def page(turns: pd.Series, phrases: pd.Series) -> pd.Series:
         out = []
-        for ts, cs in zip(turns, cloud):
+        for ts, cs in zip(turns, phrases):
             shown = [{**t, "tokens": [(w["token"], w["alpha"]) for w in (t["tokens"] if t["tokens"] is not None else [])]} for t in ts]
             out.append(report_html(shown) + "\n" + cloud_html([(c["side"], c["phrase"], -c["order"]) for c in (cs if cs is not None else [])]))
         return pd.Series(out)
 
-    return turns.join(cloud, ["dia_no", "label"], "left").select("dia_no", "label", F.size("turns").alias("n_turns"), page("turns", "cloud").alias("html"))
+    return turns.join(own, ["dia_no", "label"], "left").select("dia_no", "label", F.size("turns").alias("n_turns"), page("turns", "cloud").alias("html"))
 
 
 def cloud_html(phrases: list[tuple[str, str, float]]) -> str:
-    """Phrases (side, phrase, weight) in sizes by weight, one paragraph for each side."""
-    most, parts = max((w for *_, w in phrases), default=1.0), []
-    for side in dict.fromkeys(s for s, *_ in phrases):
-        words = " ".join(f'<span style="font-size:{0.6 + 1.4 * max(0.0, w) / most if most > 0 else 1:.2f}em">{html.escape(p)}</span>' for s, p, w in phrases if s == side)
-        parts.append(f'<p class="cloud {side}">{words}</p>')
-    return "\n".join(parts)
+    """Phrases (side, phrase, weight) as placed clouds, one for each side."""
+    return "\n".join(f'<div class="cloud {side}">{cloud.svg([(p, w) for s, p, w in phrases if s == side])}</div>' for side in dict.fromkeys(s for s, *_ in phrases))
 
 
 def last_turn_clouds(acts: DataFrame, top: DataFrame, least: int = 2) -> DataFrame:

@@ -22,6 +22,20 @@ class Scorer(Protocol):
     def predict(self, texts: list[str]) -> np.ndarray: ...
 
 
+class Associative(Scorer, Protocol):
+    """A scorer whose score of texts joined by blanks follows from the texts' parts, merged in order."""
+
+    def parts(self, texts: list[str]) -> np.ndarray: ...
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
+
+    def finish(self, parts: np.ndarray) -> np.ndarray: ...
+
+
+def is_associative(scorer) -> bool:
+    return all(hasattr(scorer, name) for name in ("parts", "merge", "finish"))
+
+
 class TextGenerator(Protocol):
     def chat(self, prompt: str) -> str | None: ...
 
@@ -43,9 +57,43 @@ class LexiconScorer:
     def logit(self, texts: list[str]) -> np.ndarray:
         return np.array([sum(self.weight(t) for t in text.split()) for text in texts])
 
+    def on_masks(self, words: list[str], masks: np.ndarray) -> np.ndarray:
+        """Logits of the words under each mask, without making the masked texts."""
+        return masks @ np.array([self.weight(w) for w in words])
+
     def predict(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logit(texts)))
 
+    def parts(self, texts: list[str]) -> np.ndarray:
+        return self.logit(texts)[:, None]
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b
+
+    def finish(self, parts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-parts[:, 0]))
+
+
+class ActScorer(LexiconScorer):
+    """The linear surrogate over the values of acts, whose names (four parts) are joined by ``;``."""
+
+    def logit(self, texts: list[str]) -> np.ndarray:
+        return np.array([sum(self.weight(a.rsplit("|", 1)[-1]) for a in text.split(";") if "|" in a) for text in texts])
+
+
+class DialogueScorer(LexiconScorer):
+    """The linear surrogate over tokens and the values of acts (words with three bars or more)."""
+
+    def logit(self, texts: list[str]) -> np.ndarray:
+        return np.array([sum(self.weight(w.rsplit("|", 1)[-1] if w.count("|") >= 3 else w) for w in text.split()) for text in texts])
+
+
+class LogitScorer(LexiconScorer):
+    """The linear surrogate before its sigmoid: attributions of it are the weights."""
+
+    def predict(self, texts: list[str]) -> np.ndarray:
+        return self.logit(texts)
+
 
 class ScriptedGenerator:
     """Answers in turn, whatever the prompt; null when they are used up."""
@@ -58,6 +106,13 @@ class ScriptedGenerator:
         return self.answers[self.used - 1] if self.used <= len(self.answers) else None
 
 
+class LengthGenerator:
+    """A stand-in for a model that extracts acts: one act, whose value is the length of its prompt."""
+
+    def chat(self, prompt: str) -> str | None:
+        return f'<DA>[["inform", "general", "name", "{len(prompt)}"]]</DA>'
+
+
 def score_prob(df: DataFrame, scorer: Scorer, text: str = "text", out: str = "prob") -> DataFrame:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
@@ -111,16 +166,9 @@ def dialogue_pipeline(da: str, utt: str, features: int = 1 << 13, label: str = "
 
 
 def dialogue_variants(rows: DataFrame, train: DataFrame, features: int = 1 << 13) -> dict[str, DataFrame]:
-    """Five detectors of dialogues (da, utt, both: texts; label), fitted on ``train`` and applied to ``rows``: acts alone,
-    utterances alone, one sequence of both, late fusion of two encoders by concatenation, and late fusion by the sum of
-    one encoder that both modalities share."""
-    out = {name: turn_pipeline(name, features).fit(train).transform(rows) for name in ("da", "utt", "both")}
-    out["concat"] = dialogue_pipeline("da", "utt", features).fit(train).transform(rows)
-    shared = lambda df: df.withColumn("_shared", F.concat_ws(" ", "da", "utt"))
-    words = RegexTokenizer(inputCol="_shared", outputCol="_w", pattern=r"\s+")
-    model = Pipeline(stages=[words, HashingTF(inputCol="_w", outputCol="features", numFeatures=features), LogisticRegression(featuresCol="features", labelCol="label", maxIter=30, regParam=1e-3)]).fit(shared(train))
-    out["shared"] = model.transform(shared(rows))
-    return out
+    """Detectors of dialogues (da, utt, both: texts; label, split) that see one sequence, fitted on ``train`` and applied to
+    ``rows``: acts alone, utterances alone, and both in one. ``fusion`` has those with two towers."""
+    return {name: turn_pipeline(name, features).fit(train).transform(rows) for name in ("da", "utt", "both")}
 
 
 def repeat_until(operation: Callable, accept: Callable, most: int, default=None, latest: bool = False):

@@ -20,6 +20,10 @@ NG = """ng AS (SELECT dia_no, label, turn_no, n, lower(array_to_string(tok[i:i+n
         FROM ut, (SELECT unnest([1, 2, 3]) AS n) WHERE len(tok) >= n))"""
 
 
+#: Each turn with all but its three strongest tokens masked.
+MASKED_TURNS = "SELECT dia_no, label, turn_no, coalesce(string_agg(CASE WHEN r <= 3 THEN token ELSE '<mask>' END, ' ' ORDER BY idx), '') AS masked_sample FROM ut LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k) USING (dia_no, label, turn_no) GROUP BY ALL"
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 

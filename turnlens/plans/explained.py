@@ -10,9 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import FUSIONS
 from ..operators import attribution as AT
 from ..operators import dialogue as D
 from ..operators import features as FE
+from ..operators import fusion as FU
 from ..operators import scoring as S
 from ..operators import selection as SE
 from ..sources import conversations as C
@@ -64,7 +66,7 @@ def ig_da(spark, d):
     return rows.select(*KEY, "act_i", (r6("score") + 0.0).alias("score"))
 
 
-@query("expl_utt_turn", B.with_(B.T, B.U, B.UT, B.K) + "SELECT dia_no, label, turn_no, coalesce(string_agg(CASE WHEN r <= 3 THEN token ELSE '<mask>' END, ' ' ORDER BY idx), '') AS masked_sample FROM ut LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dia_no, label, turn_no ORDER BY abs(score) DESC, idx) AS r FROM k) USING (dia_no, label, turn_no) GROUP BY ALL")
+@query("expl_utt_turn", B.with_(B.T, B.U, B.UT, B.K) + B.MASKED_TURNS)
 def expl_utt_turn(spark, d):
     """Attribution of every turn by masks (Shapley-Taylor), the three strongest tokens, the masked turn."""
     turns = C.explanations(spark, d)
@@ -72,9 +74,7 @@ def expl_utt_turn(spark, d):
     return found.join(turns.select(*KEY, "tok"), KEY).select(*KEY, FE.mask_apply_utt(F.col("tok"), F.col("mask")).alias("masked_sample"))
 
 
-def act_logit(texts: list[str]) -> np.ndarray:
-    """The lexicon over the values of acts, given by name and joined."""
-    return np.array([sum(LEXICON.weight(a.rsplit("|", 1)[-1]) for a in text.split(";") if "|" in a) for text in texts])
+act_logit = S.ActScorer().logit
 
 
 AS_SQL = "sa AS (SELECT *, (length(value) % 5 - 2) / 10.0 AS score FROM ax WHERE intent <> 'none')"
@@ -89,9 +89,13 @@ def expl_da_turn(spark, d):
     return found.withColumn("mask", mask).join(turns.select(*KEY, "acts"), KEY).select(*KEY, utt_acts(FE.mask_apply_da(F.array("acts"), F.col("mask"))).alias("masked_sample"))
 
 
-def dialogue_logit(texts: list[str]) -> np.ndarray:
-    """Tokens and the values of acts (a word with three bars or more) in one sum."""
-    return np.array([sum(LEXICON.weight(w.rsplit("|", 1)[-1] if w.count("|") >= 3 else w) for w in text.split()) for text in texts])
+dialogue_logit = S.DialogueScorer().logit
+
+
+def dialogue_masks(features: list[str], masks: np.ndarray) -> np.ndarray:
+    """The logits that ``dialogue_logit`` gives to the masked texts."""
+    weigh = lambda f: LEXICON.weight(f.rsplit("|", 1)[-1] if f.startswith(AT.ACT_MARK) or f.count("|") >= 3 else f)
+    return masks @ np.array([weigh(f) for f in features])
 
 
 @query("expl_dialogue", B.with_(B.T, B.TA, B.U, B.UA, B.UT, B.K, B.AX) + """, fe AS (SELECT dia_no, label, 'token' AS kind, turn_no, idx, score FROM k UNION ALL SELECT dia_no, label, 'act', turn_no, act_i, (length(value) % 5 - 2) / 10.0 FROM ax),
@@ -99,7 +103,7 @@ def dialogue_logit(texts: list[str]) -> np.ndarray:
  SELECT dia_no, label, coalesce(string_agg(kind || ':' || turn_no || ':' || idx, ',' ORDER BY kind, turn_no, idx) FILTER (WHERE r <= 5), '') AS important FROM rk GROUP BY ALL""")
 def expl_dialogue(spark, d):
     """Attribution of whole dialogues over all user tokens and acts at once, and the five strongest of either kind."""
-    found = AT.attribute_dialogue(C.explanations(spark, d), dialogue_logit, "shapley_taylor", 1)
+    found = AT.attribute_dialogue(C.explanations(spark, d), dialogue_logit, "shapley_taylor", 1, on_masks=dialogue_masks)
     each = F.struct((-F.abs(F.round("score", 6))).alias("r"), "kind", "turn_no", "idx")
     top = F.transform(F.slice(F.array_sort(F.collect_list(each)), 1, 5), lambda x: F.struct(x["kind"].alias("kind"), x["turn_no"].alias("turn_no"), x["idx"].alias("idx")))
     shown = lambda x: F.concat_ws(":", x["kind"], x["turn_no"].cast("string"), x["idx"].cast("string"))
@@ -158,20 +162,20 @@ def train_turn_da(spark, d):
 
 @query("train_dia")
 def train_dia(spark, d):
-    """Detectors of whole dialogues in five variants: acts, utterances, one sequence of both, and fused features of both by
-    concatenation and by the mean of two detectors."""
+    """Detectors of whole dialogues in seven variants: acts, utterances, one sequence of both; two towers with a joint head, fused by
+    concatenation, the larger or the mean; and one tower for both, all stopped by the validation split."""
     da, utt = D.multimodal_sequence(F.col("lines"))
     rows = C.dialogues(spark, d).select("dia_no", "label", F.coalesce(da, F.lit("")).alias("da"), F.coalesce(utt, F.lit("")).alias("utt"), D.da_utt_sequence(F.col("lines")).alias("both")).withColumn("split", _split(F.col("dia_no")))
+    towers = {f: FU.Settings(f) for f in FUSIONS} | {"shared": FU.Settings("concat", shared=True)}
+    found = S.dialogue_variants(rows, rows.where("split = 'train'")) | {n: FU.predict(rows, m) for n, m in FU.train(rows, towers).items()}
     out = None
-    for name, scored in S.dialogue_variants(rows, rows.where("split = 'train'")).items():
+    for name, scored in found.items():
         own = _metrics(scored).withColumn("variant", F.lit(name))
         out = own if out is None else out.unionByName(own)
     return out
 
 
-@query("batch_iter", B.with_(B.T, B.U) + "SELECT dia_no, label, turn_no, CAST((row_number() OVER (PARTITION BY b ORDER BY h, dia_no, label, turn_no) - 1) // 16 AS INTEGER) AS batch, CAST(b AS INTEGER) AS part FROM (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 8 AS b FROM (SELECT *, md5('2025|' || dia_no || '|' || label || '|' || turn_no) AS h FROM u))")
+@query("batch_iter", B.with_(B.T, B.U) + f"SELECT dia_no, label, turn_no, CAST((row_number() OVER (PARTITION BY b ORDER BY h, dia_no, label, turn_no) - 1) // 16 AS INTEGER) AS batch, CAST(b AS INTEGER) AS part FROM (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (SELECT greatest(1, (count(*) + {16 * D.PART_BATCHES - 1}) // {16 * D.PART_BATCHES}) FROM u) AS b FROM (SELECT *, md5('2025|' || dia_no || '|' || label || '|' || turn_no) AS h FROM u))")
 def batch_iter(spark, d):
-    """Training batches of 16 in the order of a digest, part by part."""
-    return D.batches(C.user_turns(spark, d).select(*KEY), KEY, 16, parts=8).select(*KEY, "batch", "part")
-
-
+    """Training batches of 16 in the order of a digest, part by part; the parts follow from the number of rows."""
+    return D.batches(C.user_turns(spark, d).select(*KEY), KEY, 16).select(*KEY, "batch", "part")

@@ -1,33 +1,28 @@
-"""The online pipeline, turn by turn: hide sensitive values, extract acts, score the turn in both modalities, attribute,
-mask, and score the dialogue over all masked turns so far. As a stateful stream and as its batch twin.
+"""The online pipeline, turn by turn: hide sensitive values, extract acts, score the turn in both modalities, attribute both
+scores, mask, and score the dialogue over all masked turns so far. As a stateful stream and as its batch twin.
 
-A session's state is its masked turns and the acts that they keep; a reset message empties it. Every turn comes out as one
-row of its own, with the masked turn and not the history before it.
+What happens to a turn by itself needs no state, so it happens before it: turns of many sessions are extracted, masked and
+attributed together, and the masked inputs of all of them reach a scorer in batches of bounded size. Any scorer will do, as
+attribution only asks for scores. The stateful part (``session``) appends the masked turn and updates the dialogue's score.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..config import MASK
-from ..functions.columns import let
-from ..operators.acts import mask_sensitive_slot
-from ..operators.features import act_name
-from ..operators.selection import important_ids, topk_absolute
-from ..sources.conversations import INTENTS, SLOTS, lexicon_weight, surrogate_acts, tokens
-from .session import IDLE_MS
-
-OUT = "session_id long, turn_no int, masked string, masked_acts string, utt_prob double, da_prob double, dia_prob double"
-STATE = "masked array<string>, acts array<string>"
+
+from ..config import MASK, SEED
+from ..operators.attribution import explained, keep_acts, mask_words
+from ..operators.scoring import ActScorer, DialogueScorer, LexiconScorer
+from ..sources.conversations import INTENTS, SLOTS
+from .session import IDLE_MS, TURN, sessions_batch, sessions_stream
+
 Act = tuple[str, str, str, str]
 
 
@@ -44,83 +39,68 @@ def surrogate(text: str) -> list[Act]:
 
 @dataclass(frozen=True)
 class Parts:
-    """What the pipeline is made of: a scorer of texts with a weight for each word, an extractor of acts, the slots whose
-    values are hidden, and how many tokens and acts of a turn stay."""
+    """What the pipeline is made of: scorers of utterances, of acts (names joined by ``;``) and of dialogues, an extractor of acts,
+    the slots whose values are hidden, how many tokens and acts of a turn stay, and how attributions are made."""
 
-    scorer: object
+    utt: object = field(default_factory=LexiconScorer)
+    da: object = field(default_factory=ActScorer)
+    dia: object = field(default_factory=DialogueScorer)
     extract: Callable[[str], list[Act]] = surrogate
     hidden: tuple[str, ...] = ("name",)
     k_utt: int = 3
     k_da: int = 2
+    method: str = "shapley_taylor"
+    masks: int = 100
+    seed: int = SEED
+
+
+def strongest(found: dict, n: int, k: int) -> list[int]:
+    """The places of the k features with the strongest scores, in their order. Scores are rounded, as solvers leave noise."""
+    weigh = lambda i: -abs(round(found.get((i,), 0.0), 6))
+    return sorted(sorted(range(n), key=lambda i: (weigh(i), i))[:k])
+
+
+def _logit(scorer) -> Callable[[list[str]], np.ndarray]:
+    """What is attributed: the logit of scorers that have one, or else the probability."""
+    return getattr(scorer, "logit", scorer.predict)
+
+
+def attributed(messages: DataFrame, parts: Parts) -> DataFrame:
+    """Messages (session_id, seq, text, reset) as turns for ``session``: masked, acts (names of those that stay), both
+    probabilities. Without state and without a shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, acts = [], []
+            for text in pdf["text"].fillna(""):
+                own = parts.extract(text)
+                for _, _, slot, value in own:
+                    if slot in parts.hidden and value:
+                        text = text.replace(value, f"[{slot}]")
+                words.append(text.split())
+                acts.append(["|".join((i, d, s, f"[{s}]" if s in parts.hidden and v else v)) for i, d, s, v in own])
+            keys = list(zip(pdf["session_id"], pdf["seq"]))
+            of_words = [found for found, *_ in explained(zip(keys, words), _logit(parts.utt), parts.method, parts.masks, seed=parts.seed, apply=mask_words, on_masks=getattr(parts.utt, "on_masks", None))]
+            of_acts = [found for found, *_ in explained(zip(keys, acts), _logit(parts.da), parts.method, parts.masks, seed=parts.seed, apply=keep_acts)]
+            kept = [set(strongest(f, len(w), parts.k_utt)) for f, w in zip(of_words, words)]
+            yield pd.DataFrame(
+                {
+                    "session_id": pdf["session_id"], "seq": pdf["seq"],
+                    "masked": [" ".join(w if i in own else MASK for i, w in enumerate(ws)) for own, ws in zip(kept, words)],
+                    "acts": [[own[i] for i in strongest(f, len(own), parts.k_da)] for f, own in zip(of_acts, acts)],
+                    "utt_prob": parts.utt.predict([" ".join(w) for w in words]) if len(pdf) else [], "da_prob": parts.da.predict([";".join(a) for a in acts]) if len(pdf) else [], "reset": pdf["reset"].fillna(False),
+                }
+            )
+
+    return messages.select("session_id", F.col("seq").cast("long").alias("seq"), "text", F.col("reset").cast("boolean").alias("reset")).mapInPandas(run, TURN)
+
+
+def run_stream(messages: DataFrame, parts: Parts = Parts(), idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """A stream of (session_id, seq, text, reset) to one row per turn; rows of one batch go in the order of seq."""
+    return sessions_stream(attributed(messages, parts), parts.dia, idle_ms)
 
 
-def strongest(weights: list[float], k: int) -> set[int]:
-    return set(sorted(range(len(weights)), key=lambda i: (-abs(weights[i]), i))[:k])
-
-
-def turn(parts: Parts, text: str, masked: list[str], kept: list[str]) -> tuple[str, str, float, float, float]:
-    """One turn; appends to the session's masked texts and kept acts."""
-    acts = parts.extract(text)
-    for _, _, slot, value in acts:
-        if slot in parts.hidden and value:
-            text = text.replace(value, f"[{slot}]")
-    acts = [(i, d, s, f"[{s}]" if s in parts.hidden and v else v) for i, d, s, v in acts]
-    words, weight = text.split(), parts.scorer.weight
-    of_words, of_acts = strongest([weight(w) for w in words], parts.k_utt), strongest([weight(a[3]) for a in acts], parts.k_da)
-    masked.append(" ".join(w if i in of_words else MASK for i, w in enumerate(words)))
-    own = [a for i, a in enumerate(acts) if i in of_acts]
-    kept.extend(a[3] for a in own)
-    # An act without a value still weighs what the empty word does.
-    bare = weight("") * sum(a == "" for a in kept)
-    utt, da, dia = (parts.scorer.logit([" ".join(words), " ".join(a[3] for a in acts), " ".join([*masked, *kept])]) + np.array([0.0, weight("") * sum(a[3] == "" for a in acts), bare])).tolist()
-    sigmoid = lambda x: float(1 / (1 + np.exp(-x)))
-    return masked[-1], ";".join("|".join(a) for a in own), sigmoid(utt), sigmoid(da), sigmoid(dia)
-
-
-def run_stream(messages: DataFrame, parts: Parts, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """A stream of (session_id, seq, text, reset) to one row per turn; rows of one batch go in the order of seq."""
-    names = [c.split()[0] for c in OUT.split(", ")]
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(columns=names)
-            return
-        masked, kept = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = []
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        for text, reset in zip(pdf["text"], pdf["reset"]):
-            if reset:
-                masked, kept = [], []
-                continue
-            out = turn(parts, text or "", masked, kept)
-            rows.append((key[0], len(masked) - 1, *out))
-        state.update((masked, kept))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=names)
-
-    return messages.groupBy("session_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def run_batch(messages: DataFrame, extract: Callable[[Column], Column] = surrogate_acts, k_utt: int = 3, k_da: int = 2) -> DataFrame:
-    """The batch twin for the linear surrogate, in Column expressions."""
-    acts = extract(F.col("text"))
-    rows = messages.select("session_id", "seq", F.coalesce("text", F.lit("")).alias("text")).withColumn("acts", acts)
-    names = F.transform(F.filter("acts", lambda a: (a["slot"] == "name") & (a["value"] != "")), lambda a: a["value"])
-    hidden = F.aggregate(names, F.col("text"), lambda t, v: F.replace(t, v, F.lit("[name]")))
-    rows = rows.withColumn("tok", tokens(hidden)).withColumn("acts", mask_sensitive_slot(F.col("acts")))
-    rows = rows.withColumn("e", F.transform("tok", lambda t, i: F.struct(i.alias("idx"), t.alias("text"), lexicon_weight(t).alias("score"))))
-    rows = rows.withColumn("f", F.transform("acts", lambda a, i: F.struct(i.alias("idx"), act_name(a).alias("text"), lexicon_weight(a["value"]).alias("score"))))
-    rows = rows.withColumn("ids", important_ids(topk_absolute(F.col("e"), k_utt))).withColumn("act_ids", important_ids(topk_absolute(F.col("f"), k_da)))
-    total = lambda c, ids: let(ids, lambda own: F.aggregate(F.filter(c, lambda x: F.array_contains(own, x["idx"])), F.lit(0.0), lambda s, x: s + x["score"]))
-    every = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x["score"])
-    sigmoid = lambda x: 1 / (1 + F.exp(-x))
-    w = W.partitionBy("session_id").orderBy("seq")
-    masked = let(F.col("ids"), lambda own: F.transform("tok", lambda t, i: F.when(F.array_contains(own, i), t).otherwise(F.lit(MASK))))
-    kept = let(F.col("act_ids"), lambda own: F.filter("f", lambda x: F.array_contains(own, x["idx"])))
-    rows = rows.withColumn("kept", total(F.col("e"), F.col("ids")) + total(F.col("f"), F.col("act_ids")))
-    return rows.select(
-        "session_id", (F.row_number().over(w) - 1).alias("turn_no"), F.array_join(masked, " ").alias("masked"), F.array_join(F.transform(kept, lambda x: x["text"]), ";").alias("masked_acts"),
-        sigmoid(every(F.col("e"))).alias("utt_prob"), sigmoid(every(F.col("f"))).alias("da_prob"), sigmoid(F.sum("kept").over(w)).alias("dia_prob"),
-    )
+def run_batch(messages: DataFrame, parts: Parts = Parts()) -> DataFrame:
+    """The batch twin; messages without ``reset`` have none."""
+    rows = messages if "reset" in messages.columns else messages.withColumn("reset", F.lit(False))
+    return sessions_batch(attributed(rows, parts), parts.dia)
