@@ -70,14 +70,14 @@ def test_contrastive_gradient_and_training(spark):
     assert n == 6 and np.allclose(got, sum(p[0] for p in parts) / 6) and abs(mean - sum(p[1] for p in parts) / 6) < 1e-9
 
     slots = ["price", "food", "area", "day", "people", "stars", "time", "name", "train", "hotel"]
-    pair = lambda i: (f"i want the {slots[i % 10]} w{i}", f"inform {slots[i % 10][::-1]} now", "train" if i % 5 else "test")
+    pair = lambda i: (f"i want the {slots[i % 10]} w{i}", f"inform {slots[i % 10][::-1]} now", "train" if i // 10 % 5 else "test")
     df = spark.createDataFrame([pair(i) for i in range(200)] + [(None, "x", "train"), ("x", "", "train")], "utt string, acts string, split string")
-    trained, losses = EM.train(df.where("split = 'train'"), steps=20, rate=0.05)
+    trained, losses = EM.train(df.where("split = 'train'"), steps=12, rate=0.05)
     assert losses[-1] < 0.5 * losses[0]
     held = EM.embedded(EM.embedded(df.where("split = 'test'"), trained, "utt", "u"), trained, "acts", "a").toPandas()
     u, a = np.stack(held["u"]), np.stack(held["a"])
     s, same = u @ a.T, np.array([[x == y for y in held["acts"]] for x in held["acts"]])
-    assert np.mean([s[i][same[i]].min() > s[i][~same[i]].max() for i in range(len(s))]) >= 0.95
+    assert all(s[i][same[i]].min() > s[i][~same[i]].max() for i in range(len(s)))
     tokens = EM.embedded(df.where("split = 'test'").select(F.monotonically_increasing_id().alias("i"), F.lit(1).alias("g"), "utt"), trained, "utt").select("g", "i", "vec")
     acts = EM.embedded(df.where("split = 'test'").select("acts").distinct().select(F.monotonically_increasing_id().alias("j"), F.lit(1).alias("g"), "acts"), trained, "acts").select("g", "j", "vec")
     assert M.match_corpus(tokens, acts, ["g"]).select("i").distinct().count() == tokens.count()
