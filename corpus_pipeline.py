@@ -12,6 +12,7 @@ fingerprint of its words stays.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +49,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix draws it, dealt to the tree's output shards and shuffled within them; documents
-    that it does not draw go. Documents stay whole."""
+    that it does not draw go. Documents stay whole. The order of the rows is that of tree shard and place."""
     return mixing.shuffled(mixing.mix(docs, whole=True, carry=True)).select("row.*")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
-    return sharding.shard(docs, shards=SHARDS)
+    """The shard and slot of each row. Slots follow the order of the mix, so that a shard holds the tree's shards one after the
+    other, each with its quota of the sources, shuffled. That order is the one of the files that the mix was written to and of the
+    rows in them; a table that does not come from files goes by id."""
+    try:
+        name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
+    except AnalysisException:  # no files, or a column of that name
+        return sharding.shard(docs, shards=SHARDS)
+    part = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
+    return sharding.shard(docs, shards=SHARDS, order=[part, name, row])
+
 
 
 STAGES = [

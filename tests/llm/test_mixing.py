@@ -1,6 +1,8 @@
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from turnlens.llm import mixing as M
 
@@ -79,3 +81,24 @@ def test_sources_in_any_number(spark, monkeypatch):
     held = out.groupby("source")["size"].sum()
     for goal, (_, own) in zip(M.targets(held.tolist()), out.groupby("source")):
         assert abs(own["target"].iloc[0] - float(goal)) < 1e-6 and own["taken"].sum() == round(goal)
+
+
+@pytest.mark.parametrize("bits", [2, 16])
+def test_what_each_document_gives_like_brute_force(spark, monkeypatch, bits):
+    """Whole passes over a source, then its rows in the order of their hash until the target's words are met."""
+    monkeypatch.setattr(M, "MOST_BITS", bits)
+    rows = [(i, "w " * (1 + i * i % 37), "abc"[i % 3] if i % 7 else None) for i in range(600)] + [(700, "", "a"), (701, None, "b"), (702, "x", "empty"), (703, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(17), docs["doc_id"], F.xxhash64(docs["text"])), 1)
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", h.alias("h")).collect()}
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows if s is not None}) + [None]
+    want = {}
+    for name, goal in zip(names, M.targets([sum(size[i] for i, _, s in rows if s == n) for n in names])):
+        own, held = sorted((i for i, _, s in rows if s == name), key=lambda i: (order[i], size[i])), sum(size[i] for i, _, s in rows if s == name)
+        passes, need = divmod(round(goal), held) if held else (0, 0)
+        for i in own:
+            part = min(size[i], need)
+            need -= part
+            want[i] = passes * size[i] + part
+    assert {r["doc_id"]: r["taken"] for r in M.mix(docs).select("doc_id", "taken").collect()} == want

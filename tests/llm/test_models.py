@@ -121,16 +121,43 @@ def test_kneser_ney_probabilities_sum_to_one_and_follow_the_definition():
 
 
 def test_runs_are_hashed_by_their_bytes():
-    bucket, text = Q.runs(pa.array(["ab ab!!12", "", "ab", "x" * 5 + " ab"]))
-    assert text.tolist() == [0, 0, 0, 0, 2, 3, 3] and bucket[0] == bucket[1] == bucket[4] == bucket[6]
-    total = np.zeros(Q.BUCKETS * Q.DIMS)
-    Q.add_contexts(total, np.array([1, 2, 1]), np.array([0, 0, 1]))
-    place, sign = Q.index_vectors()
-    want = np.zeros((Q.BUCKETS, Q.DIMS))
-    for who, near in ((1, 2), (2, 1)):
-        for p, s in zip(place[near], sign[near]):
-            want[who, p] += s
-    assert (total.reshape(want.shape) == want).all()
+    h, text = Q.runs(pa.array(["ab ab!!12", "", "ab", "x" * 5 + " ab"]))
+    assert text.tolist() == [0, 0, 0, 0, 2, 3, 3] and h[0] == h[1] == h[4] == h[6] and len(set(h.tolist())) == 4
+
+
+def test_word_vectors_and_pools_like_brute_force(spark):
+    """Frequent words have vectors of their own, the others share those of their classes; every neighbour counts as itself."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "b", "c", "d", "e", f"rare{r.randrange(200)}"]) + r.choice(["", "!", " 7"]) for _ in range(r.randrange(0, 40))) for _ in range(80)] + [None, "", "a"]
+    vectors = Q.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), most=6)
+    read = lambda t: [int(x) for x in Q.runs(pa.array([t or ""]))[0]]
+    counts = Counter(h for t in texts for h in read(t))
+    least = next(n for n in range(2, 10_000) if sum(c >= n for c in counts.values()) <= 6)
+    words = sorted(h for h, c in counts.items() if c >= least)
+    assert vectors.words.tolist() == words and 3 <= len(words) <= 6
+    place = lambda h: Q.BUCKETS + words.index(h) if h in words else h % Q.BUCKETS
+
+    def index(h):
+        out = np.zeros(Q.DIMS)
+        for k in range(Q.NONZERO):
+            bits = int(Q.mix64(np.array([(h + k + 1) % 2**64], np.uint64))[0])
+            out[bits % Q.DIMS] += 1 if bits >> 63 else -1
+        return out
+
+    total = np.zeros((Q.BUCKETS + len(words), Q.DIMS))
+    for t in texts:
+        own = read(t)
+        for i, h in enumerate(own):
+            for j in range(max(0, i - Q.REACH), min(len(own), i + Q.REACH + 1)):
+                total[place(h)] += index(own[j]) if i != j else 0
+    unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors.table, unit, atol=1e-5)
+    pooled = Q.pool(pa.array(texts, pa.string()), vectors)
+    for t, got in zip(texts, pooled):
+        held = Counter(map(place, read(t)))
+        weight = sum(math.sqrt(n) for n in held.values())
+        want = sum((math.sqrt(n) * unit[i] for i, n in held.items()), np.zeros(Q.DIMS)) / max(1.0, weight)
+        assert np.allclose(got, [*want, math.log1p(len(read(t)))], atol=1e-5)
 
 
 def small_hmm(states, symbols, seed):

@@ -1,7 +1,7 @@
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
-from turnlens.llm import minhash_dedup, mixing, sharding
+from turnlens.llm import mixing, sharding
 from turnlens.llm.common import table
 
 from .test_decontamination import brute as contaminated
@@ -51,8 +51,33 @@ def test_messy_and_empty_tables(spark, messy, nothing, sf):
 
 
 def test_run(spark, sf):
-    assert P.run(spark, sf).count() > 0 and P.ORACLE_SQL is None and len(P.STAGES) == 5
-    assert all(m for m in (minhash_dedup, mixing, sharding))
+    """Only the pipeline's own tables go while it runs: a result made before it, and not yet written, keeps its tables."""
+    pending = sharding.op10_sharding(spark, sf)
+    n = table(spark, sf, "documents").count()
+    out = P.run(spark, sf)
+    assert pending.count() == n
+    assert 0 < out.count() and out.groupBy("shard", "slot").count().where("count > 1").count() == 0
+    assert out.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gaps")).where("gaps <> 0").count() == 0
+    assert out.select("doc_id").distinct().join(table(spark, sf, "documents"), "doc_id", "left_anti").count() == 0
+    assert P.ORACLE_SQL is None and len(P.STAGES) == 5
+
+
+def test_slots_follow_the_order_of_the_mix(spark, sf, tmp_path):
+    docs = table(spark, sf, "documents")
+    mixed = mixing.mix(docs, whole=True, carry=True)
+    draws = sorted((d["shard"], d["place"], r["doc_id"]) for r in mixed.select("doc_id", "draws").collect() for d in r["draws"])
+    path = f"file://{tmp_path}/mixed"
+    P.mix_sources(spark, docs, sf).write.parquet(path)
+    written = spark.read.parquet(path)
+    order = [r["doc_id"] for r in written.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()]
+    assert order == [d[-1] for d in draws]
+    out = P.cut_shards(spark, written, sf).select("shard", "slot", "doc_id").toPandas()
+    for shard, own in out.groupby("shard"):
+        mine = set(own["doc_id"])
+        assert own.sort_values("slot")["doc_id"].tolist() == [i for i in order if i in mine], shard
+    assert len(out) == len(order)
+    memory = spark.createDataFrame([(2, "b", "s"), (1, "a", "s")], "doc_id long, text string, source string")
+    assert P.cut_shards(spark, memory, sf).count() == 2
 
 
 def test_near_duplicates_by_row_whatever_the_ids(spark, sf):

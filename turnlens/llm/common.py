@@ -1,83 +1,23 @@
-"""What the operators of this subpackage share: scratch tables and batch helpers.
-
-Scratch tables are Parquet files in the folder that ``spark.checkpoint.dir`` names. They cut lineage and,
-unlike executor-local blocks, survive a lost executor: a lost task reads its input again from there.
-"""
+"""What the operators of this subpackage share: batch helpers, and the engine's scratch tables and places in an order."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+from ..sources.scratch import Scratch, owned, shared_dir
+
+__all__ = ["Scratch", "byte_table", "collected", "held_out", "mapped", "mix64", "most_frequent", "numbered", "owned", "shared_dir", "slices", "table", "unused", "word_count", "word_hashes", "words_of"]
+
 #: White space that separates words, as byte values 0x09 to 0x0D and 0x20.
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 #: Pattern of a word in the contracts that split on that white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session. Only a local master may leave it unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='turnlens-checkpoints-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-#: The innermost ``owned`` block's scratches, for each thread or task of the driver by itself.
-_owner: ContextVar[list | None] = ContextVar("turnlens_scratch_owner", default=None)
-
-
-class Scratch:
-    """Tables of one operator call in the shared folder; deleted by ``drop``, at the end of an ``owned`` block or when the
-    driver's JVM ends. An operator's result reads them, so they may go only after it is written."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/turnlens-{name}-{uuid.uuid4().hex}"
-        self._fs(self.root, lambda fs, path: fs.deleteOnExit(path))
-        if (own := _owner.get()) is not None:
-            own.append(self)
-
-    def _fs(self, where: str, act):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        return act(path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and reads it back, with its lineage cut."""
-        where = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
-    def drop(self, name: str = "") -> None:
-        self._fs(f"{self.root}/{name}".rstrip("/"), lambda fs, path: fs.delete(path, True))
-
-
-@contextmanager
-def owned():
-    """Deletes at its end the tables of the operator calls made inside it, and no others. A driver that lives long makes and
-    writes a result inside such a block; results that are still to be written outside of it keep their tables."""
-    mine: list[Scratch] = []
-    token = _owner.set(mine)
-    try:
-        yield mine
-    finally:
-        _owner.reset(token)
-        for scratch in mine:
-            scratch.drop()
-
-
 def unused(columns, name: str) -> str:
     """The name, lengthened until none of the columns has it."""
     taken = {c.lower() for c in columns}
@@ -86,19 +26,6 @@ def unused(columns, name: str) -> str:
     return name
 
 
-def numbered(scratch: Scratch, rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds ``place``: from 0 without gaps within each group of ``by`` (no nulls there), in the given order. Rows are dealt by
-    ranges of both together, so that a large group takes many tasks; places follow from each range's count of each group."""
-    cols = [*by, *order]
-    ranged = rows.repartitionByRange(*cols).sortWithinPartitions(*cols).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    kept = scratch.keep(ranged, name)
-    runs = kept.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    ahead = F.sum("_rows").over(W.partitionBy(*(by or [F.lit(0)])).orderBy("_part")) - F.col("_rows")
-    starts = runs.select(*by, "_part", "_first", ahead.alias("_ahead"))
-    placed = kept.join(starts, [*by, "_part"]).withColumn("place", F.col("_ahead") + F.col("_at") - F.col("_first"))
-    return placed.select(*rows.columns, "place")
-
-
 def most_frequent(kept: DataFrame, n: str, most: int) -> DataFrame:
     """Rows of a written table whose count reaches the least bound that leaves ``most`` rows at most. The bound comes from
     how many rows have each count, so no task and no driver sorts the table."""

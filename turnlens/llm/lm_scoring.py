@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, byte_table, collected, held_out, most_frequent, slices, table, word_hashes, words_of
 
 #: Words that are symbols of their own, and classes of all others (a power of two).
-STATES, VOCABULARY, CLASSES = 8, 3 << 15, 1 << 15
+STATES, VOCABULARY, CLASSES = 8, 1 << 17, 1 << 15
 #: Baum-Welch ends with the first round whose log-likelihood is better by a smaller share than this, or with so many rounds.
-GAIN, ROUNDS = 2e-3, 100
+GAIN, ROUNDS = 1e-3, 100
 #: Words whose company tells where states start.
 USUAL = 256
 #: Weight of the unigram shares in every state's emissions, in tokens; tokens that a task recurses over at once.

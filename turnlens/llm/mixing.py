@@ -33,7 +33,7 @@ from .common import Scratch, numbered, table, word_count
 #: Fixed values of the contract: weights of the sources in order, repeating; share of all words; most passes.
 WEIGHTS, POOL, MOST_PASSES = (3, 1, 2), Fraction(3, 2), 2
 #: Documents of a block, on average, until a source has 2^MOST_BITS blocks; bits by which a block is refined at once.
-BLOCK_ROWS, MOST_BITS = 16, 12
+BLOCK_ROWS, MOST_BITS = 16, 16
 #: A boundary block is refined until it holds no more documents than this.
 EDGE_ROWS = 10_000
 HASH_BITS = 63

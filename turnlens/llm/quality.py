@@ -1,11 +1,12 @@
 """Quality by random-indexing word vectors and a two-layer network.
 
-A text is read as runs of letters, digits or signs, each hashed to one of ``BUCKETS``. Every bucket has a sparse random
-index vector (a few +1 and -1, from a hash of the bucket). A bucket's word vector is the sum of the index vectors around
-its occurrences, gathered over all documents: each task adds up its partition into one table of fixed size, and the
-tables are summed by bucket. A document is pooled as the mean of its runs' unit vectors, with damped counts. A network with one
-hidden layer, trained in numpy on the labelled sample, gives a logit; a temperature chosen on labelled rows that training
-leaves out makes it a probability.
+A text is read as runs of letters, digits or signs: its words. Every word has a sparse random index vector (a few +1 and -1),
+which follows from a hash of the word alone. A word's vector is the sum of the index vectors around its occurrences,
+gathered over all documents. The ``WORDS`` most frequent words, by counts over all documents, have vectors of their own; all
+other words share the vectors of ``BUCKETS`` classes, by their hash, but still give their neighbours index vectors of their
+own. Each task adds up its partition into one table of bounded size, and the tables are summed by word. A document is pooled as
+the mean of its words' unit vectors, with damped counts. A network with one hidden layer, trained in numpy on the labelled
+sample, gives a logit; a temperature chosen on labelled rows that training leaves out makes it a probability.
 
 Labels are learned from a bounded sample: at most ``most`` distinct texts of each class. Word vectors need no labels and
 cover all documents. Texts are read whole.
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collected, held_out, mapped, mix64, slices, table
+from .common import Scratch, collected, held_out, mapped, mix64, most_frequent, slices, table
 from .toxicity import sample
 
-BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 32, 4, 2
-#: Texts that are pooled at once.
-AT_ONCE = 512
+#: Words with vectors of their own, classes of the others, dimensions, entries of an index vector, and words to either side.
+WORDS, BUCKETS, DIMS, NONZERO, REACH = 1 << 16, 1 << 13, 32, 4, 2
+#: Texts that are pooled at once, and bytes of texts that a task looks at together.
+AT_ONCE, PART_BYTES = 512, 2 << 20
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 5e-3, 1e-4
 MOST_ROWS = 20_000
 #: Classes of bytes: 0 white space, 1 letters (and all bytes of other scripts), 2 digits, 3 signs.
@@ -40,13 +42,13 @@ KIND[48:58] = 2
 
 
 def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each run of the texts, and the text of each run. Runs are hashed by a polynomial of their bytes."""
+    """The hash of each run of the texts, and the text of each run. Runs are hashed by a polynomial of their bytes."""
     same = mapped(texts, np.arange(256, dtype=np.uint8))
     offsets = np.frombuffer(same.buffers()[1], np.int64, len(same) + 1)
     raw = np.frombuffer(same.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(same) else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
     if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     kind = KIND[raw]
     edge = np.empty(len(raw) + 1, bool)
     edge[0] = edge[-1] = True
@@ -67,59 +69,96 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inverse = np.cumprod(inverse, dtype=np.uint64)
         up = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
         h = mix64((up[end] - up[start]) * inverse[start])
-    return (h % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(offsets, start, "right") - 1
+    return h, np.searchsorted(offsets, start, "right") - 1
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each bucket's index vector."""
-    with np.errstate(over="ignore"):
-        h = mix64(np.arange(1, BUCKETS * NONZERO + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BUCKETS, NONZERO)
-    return (h % np.uint64(DIMS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+def places(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The row of each word in the table of vectors: its own, if it is one of ``words`` (sorted hashes), after those of the classes."""
+    i = np.searchsorted(words, h).clip(max=max(0, len(words) - 1))
+    own = words[i] == h if len(words) else np.zeros(len(h), bool)
+    return np.where(own, BUCKETS + i, (h & np.uint64(BUCKETS - 1)).astype(np.int64))
 
 
-def add_contexts(total: np.ndarray, bucket: np.ndarray, text: np.ndarray) -> None:
-    """Adds to the flat table [bucket][dim] the index vectors of each run's neighbours within the same text."""
-    place, sign = index_vectors()
+def add_contexts(total: np.ndarray, place: np.ndarray, h: np.ndarray, text: np.ndarray) -> None:
+    """Adds to the flat table [place][dim] the index vectors of each run's neighbours within the same text."""
+    entries = []
+    for k in range(NONZERO):  # each entry has bits of the word's hash of its own
+        bits = mix64(h + np.uint64(k + 1))
+        entries.append(((bits % np.uint64(DIMS)).astype(np.int64), np.where(bits >> np.uint64(63), 1.0, -1.0)))
     for step in range(1, REACH + 1):
         same = text[step:] == text[:-step]
-        a, b = bucket[:-step][same], bucket[step:][same]
+        a, b = np.flatnonzero(same), np.flatnonzero(same) + step
         for who, near in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                total += np.bincount(who * DIMS + place[near, k], weights=sign[near, k], minlength=len(total))
+            at = place[who] * DIMS
+            for dim, sign in entries:
+                np.add.at(total, at + dim[near], sign[near])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit vectors of the buckets, from all documents; a bucket that no document has stays zero."""
-    texts = docs.select(docs["text"]).where(docs["text"].isNotNull())
+def frequent_words(scratch: Scratch, texts: DataFrame, most: int) -> np.ndarray:
+    """Sorted hashes of the most frequent words of all texts, ``most`` at most, of those that occur twice."""
 
     def run(batches):
-        total = np.zeros(BUCKETS * DIMS)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                add_contexts(total, *runs(part.column("text")))
-        rows = total.reshape(BUCKETS, DIMS).astype(np.int64)
-        own = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[own, d])) for d in range(DIMS))], ["bucket", *(f"d{d}" for d in range(DIMS))])
+            for part in slices(batch, "text", PART_BYTES):
+                h, n = np.unique(runs(part.column("text"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    counted = scratch.keep(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "counted")
+    return np.sort(collected(most_frequent(counted, "n", most).select("h"))["h"].to_numpy(np.int64).view(np.uint64))
+
 
-    tables = texts.mapInArrow(run, "bucket int, " + ", ".join(f"d{d} long" for d in range(DIMS)))
-    summed = collected(tables.groupBy("bucket").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIMS)]))
-    out = np.zeros((BUCKETS, DIMS))
-    out[summed["bucket"].to_numpy()] = summed.drop(columns="bucket").to_numpy(float)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+@dataclass
+class Vectors:
+    """Unit vectors of the classes, then of the words (sorted hashes)."""
 
+    words: np.ndarray
+    table: np.ndarray
 
-def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Of each text: its runs' mean vector, counts damped, and the logarithm of its number of runs."""
-    bucket, text = runs(texts)
-    counts = np.bincount(text * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS).astype(np.float32)
-    n = counts.sum(axis=1)
-    damped = np.sqrt(counts)
-    return np.hstack([(damped @ vectors.astype(np.float32)) / np.maximum(damped.sum(axis=1, keepdims=True), 1), np.log1p(n)[:, None]]).astype(float)
 
+def word_vectors(docs: DataFrame, most: int = WORDS) -> Vectors:
+    """Unit vectors from all documents; a class that no document has stays zero."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    texts = docs.select(docs["text"]).where(docs["text"].isNotNull())
+    words = frequent_words(scratch, texts, most)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
-def pooled_parts(batches, vectors: np.ndarray):
+    def run(batches):
+        known, size = sent.value, (BUCKETS + len(sent.value)) * DIMS
+        total = np.zeros(size)
+        for batch in batches:
+            for part in slices(batch, "text", PART_BYTES):
+                h, text = runs(part.column("text"))
+                add_contexts(total, places(h, known), h, text)
+        rows = total.reshape(-1, DIMS).astype(np.int32)
+        own = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(np.ascontiguousarray(rows[own, d])) for d in range(DIMS))], ["place", *(f"d{d}" for d in range(DIMS))])
+
+    tables = texts.mapInArrow(run, "place int, " + ", ".join(f"d{d} int" for d in range(DIMS)))
+    summed = collected(tables.groupBy("place").agg(*[F.sum(f"d{d}").cast("float").alias(f"d{d}") for d in range(DIMS)]))
+    out = np.zeros((BUCKETS + len(words), DIMS), np.float32)
+    out[summed["place"].to_numpy()] = summed.drop(columns="place").to_numpy(np.float32)
+    scratch.drop()
+    return Vectors(words, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9))
+
+
+def pool(texts: pa.Array, vectors: Vectors) -> np.ndarray:
+    """Of each text: its words' mean vector, counts damped, and the logarithm of its number of words."""
+    h, text = runs(texts)
+    size = len(vectors.table)
+    key, counts = np.unique(text * size + places(h, vectors.words), return_counts=True)
+    who, damped = key // size, np.sqrt(counts)
+    n = np.bincount(text, minlength=len(texts))
+    out = np.zeros((len(texts), DIMS))
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    if len(first):
+        out[who[first]] = np.add.reduceat(damped[:, None] * vectors.table[key % size], first, axis=0)
+    weight = np.bincount(who, weights=damped, minlength=len(texts))
+    return np.hstack([out / np.maximum(weight, 1)[:, None], np.log1p(n)[:, None]])
+
+
+def pooled_parts(batches, vectors: Vectors):
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text", PART_BYTES):
             for low in range(0, part.num_rows, AT_ONCE):
                 few = part.slice(low, AT_ONCE)
                 yield few, pool(few.column("text"), vectors)
@@ -170,7 +209,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, most: int = MOST_ROWS) -> tuple[np.ndarray, Network] | float:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, most: int = MOST_ROWS) -> tuple[Vectors, Network] | float:
     vectors = word_vectors(docs)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -190,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     return vectors, network
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network] | float, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vectors, Network] | float, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every document."""
     own = docs.select(docs["doc_id"], docs["text"])
     if isinstance(model, float):

@@ -166,24 +166,24 @@ def boundaries(sizes: DataFrame, shards: int) -> tuple[int, list[int]]:
     return high, [int(bins.low[e]) if e < len(bins.low) else (1 << KEY_BITS) - 1 for e in ends[:-1]]
 
 
-def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, order: list[Column] | None = None) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, capacity.
 
-    Size is the text's UTF-8 bytes plus ``overhead``. Slots run from 0 within a shard, in the order of ids, then of texts;
-    ranges of that order are counted apart, so neither a shard nor a group of equal rows is one task's work.
+    Size is the text's UTF-8 bytes plus ``overhead``. Slots run from 0 within a shard, in the ``order`` given, then that of ids, then
+    of texts; ranges of that order are counted apart, so neither a shard nor a group of equal rows is one task's work.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(docs["text"], F.lit(""))
     rows = scratch.keep(
-        docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(docs["text"]).alias("key")),
+        docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"], (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(docs["text"]).alias("key"), *[c.alias(f"order{i}") for i, c in enumerate(order or [])]),
         "rows",
     )
     capacity, firsts = boundaries(rows.select("key", "size"), shards)
     which = F.lit(0)
     for first in firsts:
         which = which + (F.col("key") >= first).cast("int")
-    placed = numbered(scratch, rows.withColumn("shard", which.cast("int")), ["shard"], ["doc_id", "key", "rid"], "placed")
+    placed = numbered(scratch, rows.withColumn("shard", which.cast("int")), ["shard"], [*(f"order{i}" for i in range(len(order or []))), "doc_id", "key", "rid"], "placed")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity")
     )
