@@ -13,7 +13,7 @@ fingerprint of its words stays.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlens.llm import decontamination, minhash_dedup, mixing, sharding, toxicity
@@ -31,10 +31,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, TOXIC_FROM, tuple(columns), (score, toxic)).where(F.col(toxic) == 0).select(*columns)
 
 
+def _files(docs: DataFrame) -> tuple[Column, Column, Column] | None:
+    """The number of each row's file (as the writer gave it), the file's name and the row's place in it; None where the table does not
+    come from files, or has a column that hides this."""
+    try:
+        name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
+    except AnalysisException:
+        return None
+    return F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, row
+
+
+def _with_row(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
+    """The rows with numbers of their own, which do not change when they are read again: from the number of a row's file and its place
+    there, if the files of one writer are all that there is, else by a copy."""
+    if (found := _files(docs)) is not None:
+        part, name, place = found
+        split = F.coalesce(F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("long"), F.lit(0))
+        seen = docs.select(part.alias("p"), split.alias("c"), docs["_metadata.file_path"].alias("f"), place.alias("i"))
+        seen = seen.groupBy("p", "c").agg(F.count_distinct("f").alias("files"), F.max("i").alias("i")).agg(F.max("files").alias("files"), F.max("p").alias("p"), F.max("c").alias("c"), F.max("i").alias("i"), F.count_if(F.col("p").isNull()).alias("odd")).first()
+        if seen["files"] is None or (seen["files"] == 1 and not seen["odd"] and seen["p"] < 1 << 22 and seen["c"] < 1 << 9 and seen["i"] < 1 << 32):
+            return docs.withColumn(row, part * (1 << 41) + split * (1 << 32) + place)
+    return Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row with the smallest id stays. Rows count by themselves, whatever their ids."""
     row, columns = unused(docs.columns, "row"), docs.columns
-    with_row = Scratch(spark, "rows").keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    with_row = _with_row(spark, docs, row)
     found = minhash_dedup.near_duplicates(with_row, percent=SIMILAR_PERCENT, shingle=SHINGLE_WORDS, row=row)
     return with_row.join(found.where(~F.col("first")).select(row), row, "left_anti").select(*columns)
 
@@ -57,12 +80,8 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and slot of each row. Slots follow the order of the mix, so that a shard holds the tree's shards one after the
     other, each with its quota of the sources, shuffled. That order is the one of the files that the mix was written to and of the
     rows in them; a table that does not come from files goes by id."""
-    try:
-        name, row = docs["_metadata.file_name"], docs["_metadata.row_index"]
-    except AnalysisException:  # no files, or a column of that name
-        return sharding.shard(docs, shards=SHARDS)
-    part = F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long")
-    return sharding.shard(docs, shards=SHARDS, order=[part, name, row])
+    order = _files(docs)
+    return sharding.shard(docs, shards=SHARDS, order=None if order is None else list(order))
 
 
 

@@ -80,6 +80,20 @@ def test_slots_follow_the_order_of_the_mix(spark, sf, tmp_path):
     assert P.cut_shards(spark, memory, sf).count() == 2
 
 
+def test_rows_of_files_have_numbers_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 7, f"text {i % 5}") for i in range(500)], "doc_id long, text string").repartition(6)
+    docs.write.option("maxRecordsPerFile", 30).parquet(f"file://{tmp_path}/a")
+    one = spark.read.parquet(f"file://{tmp_path}/a")
+    given = P._with_row(spark, one, "row")
+    assert len(one.inputFiles()) > 12 and "numbered" not in given.inputFiles()[0]
+    assert given.select("row").distinct().count() == 500
+    again = P._with_row(spark, spark.read.option("maxPartitionBytes", "1k").parquet(f"file://{tmp_path}/a"), "row")
+    assert sorted(map(tuple, given.collect())) == sorted(map(tuple, again.collect()))
+    docs.write.mode("append").parquet(f"file://{tmp_path}/a")  # a second writer numbers its files alike
+    both = P._with_row(spark, spark.read.parquet(f"file://{tmp_path}/a"), "row")
+    assert "numbered" in both.inputFiles()[0] and both.select("row").distinct().count() == 1000
+
+
 def test_near_duplicates_by_row_whatever_the_ids(spark, sf):
     base = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"]
     rows = [(None, base[0]), (1, base[0]), (None, base[1]), (None, base[2]), (None, base[2]), (None, base[2] + " tail"), (7, base[3]), (7, base[4]), (9, base[3] + " tail"), (10, base[4] + " tail"), (7, base[3]), (None, ""), (None, None)]

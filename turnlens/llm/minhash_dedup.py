@@ -244,12 +244,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, row: s
     if met.where("low is null").limit(1).count():  # classes whose rows all lack an id
         found = found.unionByName(texts.where("doc_id is null"))
     sets = scratch.keep(_sets(found.select("text"), shingle).join(met.drop("low"), of_set).select("id", "set").dropDuplicates(["id"]), "sets")
+    scratch.drop("met")
     edges = _verify(scratch, pairs, sets, percent, "edges")
+    scratch.drop("pairs")
     label = components(scratch, edges, "first")
 
     # Buckets whose members are still apart: what has not met yet meets in blocks.
     known = spots.where("members > 2").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     known = scratch.keep(known.select("id", "n", "bucket", "pivot", "comp"), "known")
+    scratch.drop("spots")
     met = _blocks_of(known).join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "a long, b long")
     more = scratch.keep(edges.select("a", "b").unionByName(met), "more")
     scratch.drop("sets")
