@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -149,3 +150,28 @@ def test_idle_sessions_end_and_resets_empty_them():
     assert pd.concat(processor.handleExpiredTimer((1,), Clock(2000), None)).empty and handle.states["turns"].held is None
     assert run(pd.concat([turn(3), turn(4, True), turn(5)]), 3000) == [0, 0] and len(handle.states["turns"].held) == 1
     assert run(turn(6, True), 3100) == [] and handle.states["value"].held is None
+
+
+def test_idle_sessions_end_in_a_stream(spark, tmp_path):
+    path, schema = str(tmp_path / "in"), "session_id long, seq long, text string, reset boolean"
+    put = lambda *seqs: spark.createDataFrame([(1, q, f"turn number {q}", False) for q in seqs], schema).coalesce(1).write.mode("append").parquet(path)
+    put(0, 1)
+    q = P.run_stream(spark.readStream.schema(schema).parquet(path), P.Parts(masks=10), idle_ms=15_000).writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="1 second").start()
+
+    def seen(n: int) -> None:
+        """Waits for so many rows; a stream with timers is never out of batches."""
+        end = time.time() + 90
+        while spark.table("idle").count() < n and time.time() < end and q.exception() is None:
+            time.sleep(0.5)
+
+    try:
+        seen(2)
+        put(2)
+        seen(3)
+        time.sleep(18)
+        put(3, 4)
+        seen(5)
+        assert q.exception() is None
+        assert sorted((r["turn_no"], r["masked"].split()[-1]) for r in spark.table("idle").collect()) == [(0, "0"), (0, "3"), (1, "1"), (1, "4"), (2, "2")]
+    finally:
+        q.stop()

@@ -33,6 +33,12 @@ def drop_words(words: list[str], mask: np.ndarray) -> str:
     return " ".join(w for w, m in zip(words, mask) if m)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has. A row costs milliseconds of Python here, and by its bytes alone Spark would
+    join all of them into a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+
+
 def perturb(df: DataFrame, method: str, n: int = 200, order: int = 1, seed: int = SEED, apply: Callable = mask_words, features: str = "tok") -> DataFrame:
     """Rows (key, mask_id, mask, masked), for scorers that live outside; instances without features have none."""
 
@@ -46,7 +52,7 @@ def perturb(df: DataFrame, method: str, n: int = 200, order: int = 1, seed: int
                     rows.append((*key, i, m.astype(int).tolist(), apply(list(words), m)))
             yield pd.DataFrame(rows, columns=[*KEY, "mask_id", "mask", "masked"])
 
-    return df.select(*KEY, features).mapInPandas(run, "dia_no long, turn_no int, label int, mask_id int, mask array<int>, masked string")
+    return spread(df.select(*KEY, features)).mapInPandas(run, "dia_no long, turn_no int, label int, mask_id int, mask array<int>, masked string")
 
 
 def act_tokens(acts: Column) -> Column:
@@ -70,6 +76,27 @@ def sampled(df: DataFrame, score: Callable[[DataFrame], DataFrame], method: str,
     return averaged(score(rows))
 
 
+def chosen(df: DataFrame, n: int, least: int = 0, most: int = 130, seed: int = SEED, features: str = "tok") -> DataFrame:
+    """``n`` instances in the order of a digest, among those with ``least`` to ``most`` features."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in KEY]))
+    return df.where(F.size(features).between(least, most)).orderBy(draw, *KEY).limit(n)
+
+
+def solved(scored: DataFrame, instances: DataFrame, method: str, order: int = 1, alpha: float = 0.001, features: str = "tok") -> DataFrame:
+    """Explanations from stored perturbations: rows (key, mask_id, mask, y) of ``scored``, each instance's in one task, as their
+    number is that of a setting. The same columns as ``attribute``; instances without masks have none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("mask_id")
+        words = list(pdf["_words"].iloc[0])
+        x, y = np.stack(pdf["mask"].to_numpy()).astype(np.int8), pdf["y"].to_numpy(float)
+        found = A.explain(method, x, y, order, alpha)
+        return pd.DataFrame([(*pdf[KEY].iloc[0], len(words), _formatted(found, words), found.get((), 0.0), *A.infidelity_r2(x, y, found))], columns=[*KEY, "n_features", "explanation", "bias", "infidelity", "r2"])
+
+    rows = scored.select(*KEY, "mask_id", "mask", "y").join(instances.select(*KEY, F.col(features).alias("_words")), KEY)
+    return rows.groupBy(*KEY).applyInPandas(run, SCHEMA)
+
+
 def display(explained: DataFrame, most: int = 10) -> DataFrame:
     """key, rank, features (text and index) and score of the strongest terms, as a table to show."""
     rows = explained.select(*KEY, F.posexplode(F.slice("explanation", 1, most)).alias("rank", "e"))
@@ -128,7 +155,7 @@ def attribute(df: DataFrame, score: Callable[[list[str]], np.ndarray], method: s
             out = [(*key, len(ws), _formatted(found, ws), found.get((), 0.0), loss, r2) for key, ws, (found, loss, r2) in zip(keys, words, every)]
             yield pd.DataFrame(out, columns=[*KEY, "n_features", "explanation", "bias", "infidelity", "r2"])
 
-    return df.select(*KEY, features).mapInPandas(run, SCHEMA)
+    return spread(df.select(*KEY, features)).mapInPandas(run, SCHEMA)
 
 
 def integrated_gradients(df: DataFrame, embed: Callable, gradient: Callable, baseline: np.ndarray, steps: int = 100, features: str = "tok") -> DataFrame:
@@ -144,7 +171,7 @@ def integrated_gradients(df: DataFrame, embed: Callable, gradient: Callable, bas
                 out.append((*key, len(words), _formatted({(i,): s for i, s in enumerate(scores)}, words), 0.0, None, None))
             yield pd.DataFrame(out, columns=[*KEY, "n_features", "explanation", "bias", "infidelity", "r2"])
 
-    return df.select(*KEY, features).mapInPandas(run, SCHEMA)
+    return spread(df.select(*KEY, features)).mapInPandas(run, SCHEMA)
 
 
 def keep_acts(acts: list[str], mask: np.ndarray) -> str:

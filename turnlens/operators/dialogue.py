@@ -70,7 +70,9 @@ def _is_none(acts: Column) -> Column:
 
 
 def serial_acts(acts: Column, use_value: bool, drop_empty: bool = False) -> Column:
-    body = F.array_join(F.transform(acts, lambda a: F.array_join(_parts(a, use_value, drop_empty), f" {SLOT_SEP} ")), f" {DA_SEP} ")
+    """The acts as text. With ``drop_empty`` an act is its parts that are not empty, without marks between them."""
+    between = " " if drop_empty else f" {SLOT_SEP} "
+    body = F.array_join(F.transform(acts, lambda a: F.array_join(_parts(a, use_value, drop_empty), between)), f" {DA_SEP} ")
     return F.when(_is_none(acts), F.lit("none")).otherwise(body)
 
 
@@ -80,12 +82,28 @@ def da_sequence(prev: Column, acts: Column, use_value: bool = False, use_turn: b
     return F.concat(F.lit(f"{CLS} "), F.concat(serial_acts(prev, use_value), F.lit(f" {SEP} "), own) if use_turn else own)
 
 
+def _combined(marked: Column, said: Column, use_da: bool, use_utt: bool) -> Column:
+    """``CLS acts SEP <usr> utterance <usr> utterance``, or one side alone."""
+    utterances = F.concat(F.lit(f"{USER_MARK} "), F.array_join(said, f" {USER_MARK} "))
+    return F.concat_ws(" ", F.lit(CLS), *[F.array_join(marked, " ")] * use_da, *[F.lit(SEP)] * (use_da and use_utt), *[utterances] * use_utt)
+
+
+def _marked(user: Column, acts: Column, use_value: bool) -> Column:
+    return F.concat(F.when(user, F.lit(f"{USER_MARK} ")).otherwise(F.lit(f"{SYSTEM_MARK} ")), serial_acts(acts_or_none(acts), use_value, True))
+
+
 def da_utt_sequence(lines: Column, use_value: bool = False, use_da: bool = True, use_utt: bool = True) -> Column:
     """One sequence of a whole dialogue: acts with role marks, empty parts dropped, and the user's utterances."""
-    marked = F.array_join(F.transform(lines, lambda x: F.concat(F.when(x["role"] == "user", F.lit(f"{USER_MARK} ")).otherwise(F.lit(f"{SYSTEM_MARK} ")), serial_acts(acts_or_none(x["acts"]), use_value, True))), " ")
-    said = F.array_join(F.transform(F.filter(lines, lambda x: x["role"] == "user"), lambda x: x["text"]), f" {USER_MARK} ")
-    parts = [marked] * use_da + [F.lit(SEP)] * (use_da and use_utt) + [said] * use_utt
-    return F.concat_ws(" ", F.lit(CLS), *parts, F.lit(SEP))
+    marked = F.transform(lines, lambda x: _marked(x["role"] == "user", x["acts"], use_value))
+    return _combined(marked, F.transform(F.filter(lines, lambda x: x["role"] == "user"), lambda x: x["text"]), use_da, use_utt)
+
+
+def da_utt(dialogues: DataFrame, use_turn: bool = True, use_value: bool = False, use_da: bool = True, use_utt: bool = True) -> DataFrame:
+    """Masked dialogues (masked_da, masked_utt and any further columns) with input_sequence and sample: their acts, and at the end one
+    pseudo-act that holds the text. In turn mode acts go user, system, user; else all are the user's."""
+    marked = F.transform("masked_da", lambda acts, i: _marked((i % 2 == 0) | F.lit(not use_turn), acts, use_value))
+    text = F.array(F.struct(F.array_join("masked_utt", "\n").alias("intent"), *[F.lit("").alias(n) for n in ("domain", "slot", "value")]))
+    return dialogues.withColumn("input_sequence", _combined(marked, F.col("masked_utt"), use_da, use_utt)).withColumn("sample", F.concat("masked_da", F.array(text)))
 
 
 def multimodal_sequence(lines: Column, use_value: bool = False) -> tuple[Column, Column]:

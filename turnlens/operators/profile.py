@@ -32,11 +32,13 @@ def _ngrams(toks: Column, scores: Column, max_n: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), of))
 
 
-def profile_counts(rows: DataFrame) -> DataFrame:
+def profile_counts(rows: DataFrame, acts: bool = True) -> DataFrame:
     """Rows (intent, domain, slot, ngram, score) to counts and score sums by class and scope: a positive score speaks for
-    the machine (a_n, a_s), a negative one for the human (b_n, b_s), 0 for neither."""
+    the machine (a_n, a_s), a negative one for the human (b_n, b_s), 0 for neither. Without ``acts`` only the scope of all."""
     per = rows.where("score <> 0").withColumn("ngram", F.lower("ngram"))
     sums = [F.sum((F.col("score") > 0).cast("long")).alias("a_n"), F.sum((F.col("score") < 0).cast("long")).alias("b_n"), F.sum(F.when(F.col("score") > 0, F.col("score")).otherwise(0.0)).alias("a_s"), F.sum(F.when(F.col("score") < 0, F.col("score")).otherwise(0.0)).alias("b_s")]
+    if not acts:  # one row for each n-gram goes to the shuffle, not two
+        return per.groupBy("ngram").agg(*sums).select(F.lit("global").alias("scope"), *[F.lit("").alias(c) for c in ("intent", "domain", "slot")], "ngram", "a_n", "b_n", "a_s", "b_s")
     keys = [F.col(c) for c in ("intent", "domain", "slot", "ngram")]
     grouped = per.groupingSets([keys, [F.col("ngram")]], *keys).agg(*sums, F.grouping("intent").alias("all"))
     empty = lambda c: F.when(F.col("all") == 1, "").otherwise(F.col(c)).alias(c)

@@ -61,6 +61,9 @@ class LexiconScorer:
         """Logits of the words under each mask, without making the masked texts."""
         return masks @ np.array([self.weight(w) for w in words])
 
+    def probabilities_on_masks(self, words: list[str], masks: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.on_masks(words, masks)))
+
     def predict(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-self.logit(texts)))
 

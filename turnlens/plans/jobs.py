@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..config import Config
 from ..operators import acts as AC
+from ..operators import attribution as AT
 from ..operators import cloud
 from ..operators import collate as CO
 from ..operators import dialogue as D
@@ -96,7 +97,7 @@ def cloud_layout(spark, d):
     """The placed clouds of the whole corpus' phrases: a box for each phrase of either side."""
     import pandas as pd
 
-    top = PR.top_profile(profiles.profile(spark, d).withColumn("score", F.round("score", 6))).where("scope = 'global'")
+    top = PR.top_profile(profiles.profile_global(profiles.profile_rows(spark, d)).withColumn("score", F.round("score", 6)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         boxes = cloud.layout(list(zip(pdf["phrase"], pdf["weight"])))
@@ -139,3 +140,14 @@ def nlu_extract(spark, d):
     asked = nlu.prompts(lines, lines, found, LINE, "Answer with a JSON list of [intent, domain, slot, value] in <DA></DA> tags.\n")
     shown = F.array_join(F.transform("acts", lambda a: F.array_join(a, "|")), ";")
     return nlu.extract(asked, LINE, S.LengthGenerator).join(asked, LINE).select(*LINE, F.md5("prompt").alias("prompt_md5"), shown.alias("acts"), "calls", "ok")
+
+
+@query("perturb_explain", B.with_(B.T, B.U, B.UT, B.K) + """, ch AS (SELECT dia_no, label, turn_no FROM ut WHERE len(tok) BETWEEN 1 AND 130 ORDER BY md5('2025|' || dia_no || '|' || turn_no || '|' || label), dia_no, turn_no, label LIMIT 50)
+ SELECT dia_no, turn_no, label, idx, token, round(score, 6) + 0.0 AS score FROM k JOIN ch USING (dia_no, label, turn_no)""")
+def perturb_explain(spark, d):
+    """Fifty turns in a seeded order, their masks scored as rows, and the explanations that follow from these rows."""
+    rows = AT.chosen(C.explanations(spark, d), 50, 1)
+    scored = S.score_prob(AT.perturb(rows, "shapley_taylor", 80), S.LogitScorer(), "masked", "y")
+    found = AT.solved(scored, rows, "shapley_taylor").select(*AT.KEY, F.explode("explanation").alias("e"))
+    one = F.get("e.features", F.lit(0))
+    return found.select(*AT.KEY, one["idx"].alias("idx"), one["text"].alias("token"), (F.round("e.score", 6) + 0.0).alias("score"))

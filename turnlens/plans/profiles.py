@@ -38,4 +38,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_global(rows: DataFrame, name: str = "fwlor") -> DataFrame:
-    return PR.metric(PR.profile_counts(rows).where("scope = 'global'"), name)
+    return PR.metric(PR.profile_counts(rows, acts=False), name)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import METRICS
@@ -113,9 +114,12 @@ def da_sequence(spark, d):
     return D.da_turn(C.turns(spark, d)).select("dia_no", "label", "turn_no", D.da_sequence(F.col("prev_acts"), F.col("acts")).alias("input_sequence"))
 
 
-@query("da_utt_sequence", B.with_(B.T, B.TA) + """SELECT dia_no, label, '<cls> ' || string_agg(CASE WHEN role = 'user' THEN '<usr> ' ELSE '<sys> ' END || CASE WHEN len(acts) = 0 THEN 'none' ELSE
-  array_to_string(list_transform(acts, lambda a: array_to_string(list_filter([a.intent, a.domain, a.slot], lambda q: q <> ''), ' <slot_sep> ')), ' <da_sep> ') END, ' ' ORDER BY pos)
-  || ' <sep> ' || string_agg(text, ' <usr> ' ORDER BY pos) FILTER (WHERE role = 'user') || ' <sep>' AS input_sequence FROM ta GROUP BY dia_no, label""")
+def _dropped_sql(x: str) -> str:
+    return f"CASE WHEN len({x}) = 0 OR (len({x}) = 1 AND {x}[1].intent = 'none') THEN 'none' ELSE array_to_string(list_transform({x}, lambda a: array_to_string(list_filter([a.intent, a.domain, a.slot], lambda q: q <> ''), ' ')), ' <da_sep> ') END"
+
+
+@query("da_utt_sequence", B.with_(B.T, B.TA) + f"""SELECT dia_no, label, '<cls> ' || string_agg(CASE WHEN role = 'user' THEN '<usr> ' ELSE '<sys> ' END || {_dropped_sql('acts')}, ' ' ORDER BY pos)
+  || ' <sep> <usr> ' || coalesce(string_agg(text, ' <usr> ' ORDER BY pos) FILTER (WHERE role = 'user'), '') AS input_sequence FROM ta GROUP BY dia_no, label""")
 def da_utt_sequence(spark, d):
     return C.dialogues(spark, d).select("dia_no", "label", D.da_utt_sequence(F.col("lines")).alias("input_sequence"))
 
@@ -160,6 +164,13 @@ def agg_dialogue(spark, d):
     return rows.select("dia_no", "label", utt_acts(F.col("masked_da")).alias("masked_da"), F.array_join("masked_utt", "\n").alias("masked_utt"))
 
 
+@query("da_utt", B.with_(B.T, B.TA, PREV_SQL) + AGG_SQL + f" SELECT dia_no, label, '<cls> ' || array_to_string(list_transform(range(1, len(da) + 1), lambda i: CASE WHEN i % 2 = 1 THEN '<usr> ' ELSE '<sys> ' END || {_dropped_sql('da[i]')}), ' ') || ' <sep> <usr> ' || array_to_string(utt, ' <usr> ') AS input_sequence, {UTT_ACTS.format('da')} || '/' || array_to_string(utt, chr(10)) || '|||' AS sample FROM g")
+def da_utt(spark, d):
+    """Dialogues as one sequence, and their samples: acts and the pseudo-act of the text."""
+    out = D.da_utt(D.agg_dialogue(D.da_turn(C.turns(spark, d))))
+    return out.select("dia_no", "label", "input_sequence", utt_acts(F.col("sample")).alias("sample"))
+
+
 @query("prefix_expand", B.with_(B.T, B.TA, PREV_SQL) + AGG_SQL + f""" SELECT dia_no, label, CAST(i - 1 AS INTEGER) AS turn_no, i = len(utt) AS is_complete, {UTT_ACTS.format('list_slice(da, 1, 2 * i - 1)')} AS masked_da,
   array_to_string(list_slice(utt, 1, i), chr(10)) AS masked_utt FROM (SELECT *, unnest(range(1, len(utt) + 1)) AS i FROM g)""")
 def prefix_expand(spark, d):
@@ -435,7 +446,7 @@ def distinct_da(spark, d):
 def _metric_queries(name: str) -> None:
     @query(f"profile_{name}_global", B.PROFILE + "," + B.metric_sql(name) + " SELECT ngram, round(score, 6) AS score FROM m WHERE scope = 'global'")
     def whole(spark, d):
-        return profiles.profile(spark, d, name).where("scope = 'global'").select("ngram", r6("score").alias("score"))
+        return profiles.profile_global(profiles.profile_rows(spark, d), name).select("ngram", r6("score").alias("score"))
 
     @query(f"profile_{name}_by_da", B.PROFILE + "," + B.metric_sql(name) + " SELECT intent, domain, slot, ngram, round(score, 6) AS score FROM m WHERE scope = 'act'")
     def by_act(spark, d):
@@ -565,7 +576,7 @@ def removal_order_original(spark, d):
  rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, ngram) AS up, row_number() OVER (ORDER BY s, ngram) AS down FROM gl)
  SELECT dia_no, label, turn_no, CAST(CASE WHEN pred = 1 THEN up ELSE down END AS INTEGER) AS step, ngram AS token FROM p JOIN rk ON CASE WHEN pred = 1 THEN up ELSE down END < 10""")
 def removal_order_accel(spark, d):
-    scores = profiles.profile(spark, d, "agg_s").where("scope = 'global'").select("ngram", F.round("score", 9).alias("score"))
+    scores = profiles.profile_global(profiles.profile_rows(spark, d), "agg_s").select("ngram", F.round("score", 9).alias("score"))
     return E.removal_order_accel(scores, C.predictions(spark, d).select(*KEY, "pred"), 10).select(*KEY, "step", "token")
 
 
@@ -792,12 +803,24 @@ def _terms(df):
 
 @query("faith_shap")
 def faith_shap(spark, d):
-    return _terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().predict, "faith_shap", 200))
+    scorer = S.LexiconScorer()
+    return _terms(AT.attribute(C.explanations(spark, d), scorer.predict, "faith_shap", 200, on_masks=scorer.probabilities_on_masks))
+
+
+def _ranked_terms(df):
+    """``_terms`` with ranks by rounded scores, then by the features' places."""
+    rows = df.select("dia_no", "turn_no", "label", "n_features", F.round("r2", 4).alias("r2"), F.explode("explanation").alias("e"))
+    rows = rows.select("dia_no", "turn_no", "label", "n_features", "r2", F.transform("e.features", lambda f: f["idx"]).alias("of"), F.array_join(F.transform("e.features", lambda f: F.concat_ws(" ", f["text"], f["idx"].cast("string"))), "+").alias("features"), (F.round("e.score", 4) + 0.0).alias("score"))
+    rank = F.row_number().over(W.partitionBy("dia_no", "turn_no", "label").orderBy(F.abs("score").desc(), "of")) - 1
+    return rows.withColumn("rank", rank).drop("of")
 
 
-@query("shapley_taylor")
+@query("shapley_taylor", B.with_(B.T, B.U, B.UT, B.K) + """, te AS (SELECT dia_no, label, turn_no, [idx] AS of, token || ' ' || idx AS features, round(score, 4) + 0.0 AS score FROM k
+  UNION ALL SELECT a.dia_no, a.label, a.turn_no, [a.idx, b.idx], a.token || ' ' || a.idx || '+' || b.token || ' ' || b.idx, 0.0 FROM k a JOIN k b ON a.dia_no = b.dia_no AND a.label = b.label AND a.turn_no = b.turn_no AND a.idx < b.idx)
+ SELECT dia_no, turn_no, label, CAST(len(tok) AS INTEGER) AS n_features, 1.0 AS r2, features, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY dia_no, turn_no, label ORDER BY abs(score) DESC, of) - 1 AS INTEGER) AS rank FROM te JOIN ut USING (dia_no, label, turn_no)""")
 def shapley_taylor(spark, d):
-    return _terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().logit, "shapley_taylor", 50, order=2))
+    """Single words and pairs: for the linear scorer a word's term is its weight, and no pair has any."""
+    return _ranked_terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().logit, "shapley_taylor", 50, order=2))
 
 
 @query("shapley_interaction")
@@ -834,7 +857,7 @@ def late_fusion(spark, d):
 
 @query("phrase_weight", B.PROFILE + "," + B.metric_sql("fwlor") + " SELECT ngram, round(score * ln(len(string_split(ngram, ' ')) + 1), 6) AS weight FROM m WHERE scope = 'global'")
 def phrase_weight(spark, d):
-    p = profiles.profile(spark, d).where("scope = 'global'")
+    p = profiles.profile_global(profiles.profile_rows(spark, d))
     return p.select("ngram", r6(R.phrase_weight(F.col("score"), F.col("ngram"))).alias("weight"))
 
 
@@ -923,7 +946,7 @@ def session_batch(spark, d):
     return rows.select("session_id", "turn_no", r6("turn_prob").alias("turn_prob"), r6("dia_prob").alias("dia_prob"), "n_turns")
 
 
-@query("e2e_convo")
+@query("e2e_convo", "SELECT DISTINCT conv_id AS dia_no, 'find a room' AS goal, 'user: hello there' || chr(10) || 'system: hi' || chr(10) || 'user: thanks' AS dia, true AS is_complete FROM conversations")
 def e2e_convo(spark, d):
     from ..operators.generation import e2e_dataset
 
@@ -974,7 +997,7 @@ def aggregation_class(spark, d):
 
 @query("global_cloud")
 def global_cloud(spark, d):
-    top = PR.top_profile(profiles.profile(spark, d).withColumn("score", r6("score"))).where("scope = 'global'")
+    top = PR.top_profile(profiles.profile_global(profiles.profile_rows(spark, d)).withColumn("score", r6("score")))
     return R.clouds(top).select("side", "phrase", r6("weight").alias("weight"))
 
 

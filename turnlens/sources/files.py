@@ -38,6 +38,13 @@ def ontology_slots(slots: DataFrame, mask: str | None = None) -> DataFrame:
     return slots.groupBy("domain").agg(F.to_json(F.map_from_entries(entries)).alias("slots"))
 
 
+def read_slot_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """slot and description from a JSON object of columns, whose ``slots`` maps each slot to its description. Columns beside it are
+    ignored, and so are slots without a description."""
+    table = spark.read.schema("slots map<string,string>").json(path, multiLine=True)
+    return table.select(F.explode("slots").alias("slot", "description")).where("description is not null")
+
+
 def read_goals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
