@@ -94,3 +94,32 @@ def test_components(spark):
     out = components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long").repartition(3), "c").toPandas().set_index("node")["component"]
     assert (out.loc[0:40] == 0).all() and (out.loc[100:159] == 100).all() and (out.loc[[200, 250, 300]] == 200).all() and len(out) == 41 + 60 + 3
     assert components(Scratch(spark, "test"), spark.createDataFrame([], "a long, b long"), "d").count() == 0
+
+
+def test_buckets_with_the_same_members_go_on_once(spark, monkeypatch):
+    text, kept, put = prose(92, 300), {}, Scratch.keep
+
+    def keep(self, df, name):
+        out = put(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    docs = [(1, text), (2, text + " end"), (3, prose(93, 300))]
+    out = M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas().set_index("doc_id")["component_id"]
+    assert out.to_dict() == {1: 1, 2: 1, 3: 3} and kept["spots"] == 2
+    assert "second-0" not in kept  # no block found a link, so the components stand
+
+
+def test_only_texts_that_may_be_needed_pass(spark):
+    texts = spark.range(-500, 1500).selectExpr("id as doc_id", "'t' as text").unionByName(spark.createDataFrame([(None, "t")], "doc_id long, text string"))
+    wanted = {-500, -1, 0, 7, 32768 % 1500, 1499}
+    got = [r["doc_id"] for r in M._passed(texts, spark.createDataFrame([(x,) for x in [*wanted, None]], "low long")).collect()]
+    assert wanted <= set(got) and len(got) == len(set(got)) <= 2 * len(wanted)
+
+
+def test_stars_need_no_round_to_confirm_them(spark, monkeypatch):
+    kept, put = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or put(self, df, name))
+    out = components(Scratch(spark, "test"), spark.createDataFrame([(1, 5), (9, 1), (2, 3)], "a long, b long"), "c").collect()
+    assert sorted(map(tuple, out)) == [(1, 1), (2, 2), (3, 2), (5, 1), (9, 1)] and kept == ["c-0"]

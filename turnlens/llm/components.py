@@ -2,7 +2,8 @@
 
 Each round is two group minima with partial aggregation and two joins back on the node. A component of n nodes ends as
 a star of n - 1 rows, so the edge table does not grow; joins on a hot centre are ordinary equi-joins that adaptive
-execution can split. Every round is written to the shared folder, which cuts the lineage.
+execution can split. Every round is written to the shared folder, which cuts the lineage. Rounds end as soon as all edges
+are stars, which one grouping by node tells: no node is below two others, and none below one is above another.
 """
 
 from __future__ import annotations
@@ -28,23 +29,22 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges, each from its smaller node a to b, are stars around the smallest nodes of their components."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("below")), F.struct(F.col("b").alias("node"), F.lit(1).alias("below")))).alias("e"))
+    times = ends.groupBy("e.node").agg(F.sum("e.below").alias("below"), F.count("*").alias("n"))
+    return times.where("below > 1 or below = 1 and n > 1").limit(1).count() == 0
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """For each node of an edge (a, b): node and component, the smallest node that it reaches. Loops are ignored."""
     edges = scratch.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-0")
-    state = _state(edges)
     for i in range(1, MOST_ROUNDS):
-        if not state[0]:
+        if _stars(edges):
             break
-        edges, before = scratch.keep(_small(_large(edges)), f"{name}-{i}"), state
-        state = _state(edges)
+        edges = scratch.keep(_small(_large(edges)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"{name}-{i}")
         if i > 1:
             scratch.drop(f"{name}-{i - 2}")
-        if state == before:
-            break
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -6,6 +6,7 @@ visited in rising order; once every slot lies below the next rank no later rank
 Here all elements of a block of documents take rank 0 together, then the open ones rank 1, and so on.
 
 Documents with equal shingle sets form a class and only its representative goes on. Bands of the signature are buckets.
+Of buckets with the same members one stands for all, as they ask the same question.
 A bucket is not paired out. First all members meet the bucket's pivot, which each bucket chooses by a hash of its own, so
 that a large group of copies meets many pivots; their full shingle sets decide. Distributed star rounds (union-find for
 edges that no task holds together) give components. Then only buckets whose members are still apart go on: members
@@ -41,6 +42,8 @@ MOST_ROWS, MISS, MOST_SLOTS = 5, 1e-7, 255
 TOGETHER = 1 << 17
 #: A pivot's set travels once for this many of its partners.
 GROUP = 256
+#: Bits of the table that tells which texts may be needed again: 4 MB, in rows of 4 KB.
+BITS = 1 << 25
 #: Members of unsettled buckets meet in blocks bounded by the elements of their sets and by their number.
 BLOCK_ELEMENTS, BLOCK_MEMBERS = 1 << 18, 1024
 
@@ -157,6 +160,17 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "f1 long, f2 long, n_shingles long, set array<long>")
 
 
+def _passed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose id may be one of ``wanted`` (low), by a table of bits, so that others are not shuffled. Its rows are
+    bounded; a bit that another id has set lets a text pass, and the join that follows drops it."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = wanted.where("low is not null").groupBy(F.bitmap_bucket_number(spot("low")).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot("low"))).alias("_bits"))
+    place = F.bitmap_bit_position(spot("doc_id"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = texts.join(F.broadcast(bits), F.bitmap_bucket_number(spot("doc_id")) == bits["_part"])
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def _verify(scratch: Scratch, pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Of the pairs (a, b, part) those whose full sets are similar. A pivot's set travels once for each part of its partners."""
     left = pairs.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -233,14 +247,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, row: s
 
     # Buckets with two classes at least. Each has a pivot of its own choice, so that a large group meets many pivots.
     spots = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = spots.groupBy("bucket").agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("bucket", "id")).alias("pivot"), F.min_by("n", F.xxhash64("bucket", "id")).alias("pivot_n")).where("members > 1")
+    marks = [F.sum(F.shiftright(F.xxhash64(F.lit(1), "id"), 32)).alias("m1"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("m2")]
+    shared = spots.groupBy("bucket").agg(F.count("*").alias("members"), F.min_by("id", F.xxhash64("bucket", "id")).alias("pivot"), F.min_by("n", F.xxhash64("bucket", "id")).alias("pivot_n"), *marks).where("members > 1")
+    # Near copies share many buckets with the same members: one of these goes on, whichever its pivot.
+    shared = shared.groupBy("members", "m1", "m2").agg(F.min(F.struct("bucket", "pivot", "pivot_n")).alias("b")).select("members", "b.*")
     spots = scratch.keep(spots.join(shared, "bucket"), "spots")
     near = (F.col("id") != F.col("pivot")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
     pairs = spots.where(near).groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.max("members").alias("members"))
     pairs = scratch.keep(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")), "pairs")
     met = scratch.keep(classes.join(spots.select("id").distinct(), "id", "left_semi").select("id", "low", *of_set), "met")
     texts = docs.select(docs["doc_id"], docs["text"])
-    found = texts.join(met.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = _passed(texts, met).join(met.select(F.col("low").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")  # Spark would look for a semi join's rows before the bits
     if met.where("low is null").limit(1).count():  # classes whose rows all lack an id
         found = found.unionByName(texts.where("doc_id is null"))
     sets = scratch.keep(_sets(found.select("text"), shingle).join(met.drop("low"), of_set).select("id", "set").dropDuplicates(["id"]), "sets")
@@ -254,9 +271,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 3, row: s
     known = scratch.keep(known.select("id", "n", "bucket", "pivot", "comp"), "known")
     scratch.drop("spots")
     met = _blocks_of(known).join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "a long, b long")
-    more = scratch.keep(edges.select("a", "b").unionByName(met), "more")
+    # Links found there join whole components: the first stars stand for the links before them.
+    more = scratch.keep(met, "more")
     scratch.drop("sets")
-    label = components(scratch, more, "second")
+    if more.limit(1).count():
+        label = components(scratch, more.unionByName(label.select(F.col("component").alias("a"), F.col("node").alias("b"))), "second")
 
     final = classes.select(*of_set, "id", "low").join(label, classes["id"] == label["node"], "left").withColumn("component", F.coalesce("component", "id"))
     final = scratch.keep(final.select(*of_set, "id", "low", "component"), "final")
