@@ -1,3 +1,6 @@
+import time
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +63,26 @@ def test_interactions():
     assert found[(0, 2)] == pytest.approx(2) and found.get((1, 2), 0) == pytest.approx(0)
 
 
+@pytest.mark.parametrize("d,order", [(0, 2), (1, 2), (2, 2), (6, 2), (5, 3), (4, 1)])
+def test_taylor_masks_are_blocks_of_subsets_on_what_precedes_them(d, order):
+    rng, rows = A.instance_rng(8, d), [np.isin(np.arange(d), c).astype(np.int8) for k in range(order) for c in combinations(range(d), k)]
+    lower = len(rows) - 1
+    for _ in range(int((50 - lower) / (lower + A.binomial(d, order) or 1)) + 1):
+        p = rng.permutation(d)
+        for places in combinations(range(d), order):
+            A._blocks(rows, d, [int(p[i]) for i in places], p[: places[0]])
+    assert (A.masks_shapley_taylor(d, 50, order, A.instance_rng(8, d)) == np.array(rows)).all()
+
+
+def test_long_turns_are_explained_in_array_passes():
+    d, weight = 120, np.arange(120) % 5 / 10 - 0.2
+    began = time.process_time()
+    x = A.masks("shapley_taylor", d, 50, 2, A.instance_rng(1))
+    found = A.explain("shapley_taylor", x, y := A.by_rows(lambda part: part @ weight, x), 2, 0.0)
+    assert A.infidelity_r2(x, y, found)[1] == pytest.approx(1) and len(found) == 1 + 120 + 60 * 119
+    assert [found[(i,)] for i in range(d)] == pytest.approx(list(weight)) and time.process_time() - began < 1.0
+
+
 def test_gradients_of_a_quadratic_add_up():
     value, base = np.array([[1.0, 2.0], [3.0, -1.0]]), np.zeros((2, 2))
     got = A.integrated_gradients(value, base, lambda v: 2 * v, 50)

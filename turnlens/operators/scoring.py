@@ -17,6 +17,8 @@ from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import attribution as A
+
 
 class Scorer(Protocol):
     def predict(self, texts: list[str]) -> np.ndarray: ...
@@ -59,7 +61,8 @@ class LexiconScorer:
 
     def on_masks(self, words: list[str], masks: np.ndarray) -> np.ndarray:
         """Logits of the words under each mask, without making the masked texts."""
-        return masks @ np.array([self.weight(w) for w in words])
+        weight = np.array([self.weight(w) for w in words])
+        return A.by_rows(lambda part: part @ weight, masks)
 
     def probabilities_on_masks(self, words: list[str], masks: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.on_masks(words, masks)))

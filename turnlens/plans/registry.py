@@ -820,7 +820,8 @@ def _ranked_terms(df):
  SELECT dia_no, turn_no, label, CAST(len(tok) AS INTEGER) AS n_features, 1.0 AS r2, features, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY dia_no, turn_no, label ORDER BY abs(score) DESC, of) - 1 AS INTEGER) AS rank FROM te JOIN ut USING (dia_no, label, turn_no)""")
 def shapley_taylor(spark, d):
     """Single words and pairs: for the linear scorer a word's term is its weight, and no pair has any."""
-    return _ranked_terms(AT.attribute(C.explanations(spark, d), S.LexiconScorer().logit, "shapley_taylor", 50, order=2))
+    scorer = S.LexiconScorer()
+    return _ranked_terms(AT.attribute(C.explanations(spark, d), scorer.logit, "shapley_taylor", 50, order=2, on_masks=scorer.on_masks))
 
 
 @query("shapley_interaction")
