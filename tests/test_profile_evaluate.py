@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -81,6 +82,20 @@ def test_csls(spark):
     assert {(r["i"], r["j"]) for r in kept.collect()} == {(0, 0), (1, 1)}
 
 
+def test_blocks_match_as_rows_do(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    r = random.Random(4)
+    rows = [(g, i, [r.gauss(0, 1) for _ in range(3)]) for g in range(2) for i in range(11)] + [(0, 3, [1.0, 0.0, 0.0]), (1, 2, [0.0, 0.0, 0.0])]
+    left = spark.createDataFrame(rows, "g int, i long, vec array<double>")
+    right = spark.createDataFrame([(g, 50 + i, v) for g, i, v in rows[:-5]], "g int, j long, vec array<double>")
+    of = lambda df, c: {(x["g"], x["i"], x["j"]): x[c] for x in df.collect()}
+    sim, blocks = M.pairwise_sim(left, right, ["g"]), M.Blocks(left, right, ["g"])
+    assert of(blocks.pairwise_sim(), "sim") == pytest.approx(of(sim, "sim")) and of(blocks.csls(), "csls") == pytest.approx(of(M.csls(sim, ["g"]), "csls"))
+    assert of(blocks.match_corpus(), "csls") == pytest.approx(of(M.match_corpus(left, right, ["g"]), "csls"))
+    null = M.Blocks(left.limit(0).unionByName(spark.createDataFrame([(0, 1, None), (0, 2, [1.0, 0.0])], left.schema)), spark.createDataFrame([(0, 9, [1.0, 0.0])], right.schema), ["g"])
+    assert of(null.pairwise_sim(), "sim") == {(0, 1, 9): None, (0, 2, 9): 1.0} and of(null.csls(), "csls") == {(0, 1, 9): None, (0, 2, 9): 0.0}
+
+
 def test_selection_breaks_ties_by_index(spark):
     e = [{"idx": i, "text": f"w{i}", "score": s} for i, s in enumerate([0.5, -0.5, 0.1, 0.5])]
     df = spark.createDataFrame([(e, 1), (e, 0), (e, None), ([], 1)], "e array<struct<idx:int,text:string,score:double>>, pred int")

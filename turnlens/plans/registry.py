@@ -651,22 +651,22 @@ def _sides(spark, d):
 
 @query("cosine_max", B.with_(EMB_SQL) + "SELECT g, i, j, round(sim, 6) AS sim FROM sm")
 def cosine_max(spark, d):
-    return M.pairwise_sim(*_sides(spark, d), ["g"]).select("g", "i", "j", r6("sim").alias("sim"))
+    return M.Blocks(*_sides(spark, d), ["g"]).pairwise_sim().select("g", "i", "j", r6("sim").alias("sim"))
 
 
 @query("csls", B.with_(EMB_SQL) + CSLS_SQL + " SELECT g, i, j, round(csls, 6) AS csls FROM cs")
 def csls(spark, d):
-    return M.csls(M.pairwise_sim(*_sides(spark, d), ["g"]), ["g"]).select("g", "i", "j", r6("csls").alias("csls"))
+    return M.Blocks(*_sides(spark, d), ["g"]).csls().select("g", "i", "j", r6("csls").alias("csls"))
 
 
 @query("rel_threshold", B.with_(EMB_SQL) + MATCH_SQL + " SELECT g, i, j, csls FROM th WHERE csls >= lim")
 def rel_threshold(spark, d):
-    return M.match_corpus(*_sides(spark, d), ["g"]).select("g", "i", "j", "csls")
+    return M.Blocks(*_sides(spark, d), ["g"]).match_corpus().select("g", "i", "j", "csls")
 
 
 @query("match_flip", B.with_(EMB_SQL) + MATCH_SQL + " SELECT g, j, string_agg(i, ',' ORDER BY csls DESC, i) AS tokens FROM th WHERE csls >= lim GROUP BY ALL")
 def match_flip(spark, d):
-    return M.match_flip(M.match_corpus(*_sides(spark, d), ["g"]), ["g"]).select("g", "j", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"))
+    return M.match_flip(M.Blocks(*_sides(spark, d), ["g"]).match_corpus(), ["g"]).select("g", "j", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("tokens"))
 
 
 @query("da_to_text", B.with_(B.T, B.TA, B.U, B.UA, B.AX) + "SELECT dia_no, label, turn_no, act_i, trim(regexp_replace(concat_ws(' ', intent, slot, value), ' +', ' ', 'g')) AS text FROM ax")
@@ -1018,7 +1018,7 @@ def turn_templates(spark, d):
 
 @query("sim_to_table", B.with_(EMB_SQL) + CSLS_SQL + " SELECT g, i, j, round_even(csls, 4) AS csls FROM cs")
 def sim_to_table(spark, d):
-    return M.sim_to_table(M.csls(M.pairwise_sim(*_sides(spark, d), ["g"]), ["g"])).select("g", "i", "j", "csls")
+    return M.sim_to_table(M.Blocks(*_sides(spark, d), ["g"]).csls()).select("g", "i", "j", "csls")
 
 
 #: The hashed embedding of a text.
