@@ -147,3 +147,14 @@ def test_extraction_is_bounded_and_repeated(spark):
         else:
             assert r["ok"] and r["acts"] == [["inform", "a", "b", f"{i}-True"]] and r["calls"] == 1 + (i % 5 == 0)
     assert nlu.parsed("<DA>[]</DA>") == [] and nlu.parsed("<DA>x</DA>") is None and nlu.parsed(None) is None
+
+
+def test_groups_are_gathered_once_for_all_passes(spark, monkeypatch):
+    model, plans, put = EM.Embedder.drawn(64, 4), [], None
+    rows = spark.createDataFrame([(i // 3, [i % 7, i], [i + 1]) for i in range(12)], "group int, one array<int>, two array<int>")
+    want, grouped, put = EM.summed(rows, model), EM.gathered(rows).persist(), type(rows).toPandas
+    monkeypatch.setattr(type(rows), "toPandas", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or put(self))
+    got = EM.summed(grouped, model)
+    assert np.allclose(got[0], want[0]) and got[1] == pytest.approx(want[1]) and got[2] == 12
+    assert plans[0].split("InMemoryTableScan")[0].count("Exchange") == 1  # gradients by parameter row
+    grouped.unpersist()

@@ -74,17 +74,28 @@ def grams(text: Column, buckets: int, gram: int) -> Column:
     return F.transform(every, lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)).cast("int"))
 
 
-def summed(pairs: DataFrame, model: Embedder) -> tuple[np.ndarray, float, int]:
-    """One pass over rows (group, one, two): the mean gradient, the mean loss and the number of pairs."""
-    dims, sent = model.vectors.shape[1], pairs.sparkSession.sparkContext.broadcast(model)
+def gathered(pairs: DataFrame) -> DataFrame:
+    """Rows (group, one, two) with each group as one row, so that passes over them need no shuffle."""
+    return pairs.groupBy("group").agg(F.collect_list(F.struct("one", "two")).alias("pairs"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, loss, n = sent.value.gradient(pdf["one"].tolist(), pdf["two"].tolist())
-        rows = np.flatnonzero(np.any(g != 0, axis=1))
-        out = [(int(i), g[i].tolist()) for i in rows]
-        return pd.DataFrame([*out, (-1, [loss, float(n), *[0.0] * (dims - 2)])], columns=["row", "g"])
 
-    each = pairs.groupBy("group").applyInPandas(run, "row int, g array<double>")
+def summed(pairs: DataFrame, model: Embedder) -> tuple[np.ndarray, float, int]:
+    """One pass over rows (group, one, two) or ``gathered`` ones: the mean gradient, the mean loss and the number of pairs. A task
+    adds up its groups and emits a row for each parameter row that they touched."""
+    dims, sent = model.vectors.shape[1], pairs.sparkSession.sparkContext.broadcast(model)
+    groups = pairs if "pairs" in pairs.columns else gathered(pairs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, head = np.zeros(sent.value.vectors.shape), [0.0, 0.0]
+        for pdf in batches:
+            for some in pdf["pairs"]:
+                g, loss, n = sent.value.gradient([p["one"] for p in some], [p["two"] for p in some])
+                total, head = total + g, [head[0] + loss, head[1] + n]
+        if head[1]:
+            out = [(int(i), total[i].tolist()) for i in np.flatnonzero(np.any(total != 0, axis=1))]
+            yield pd.DataFrame([*out, (-1, [*head, *[0.0] * (dims - 2)])], columns=["row", "g"])
+
+    each = groups.select("pairs").mapInPandas(run, "row int, g array<double>")
     found = each.groupBy("row").agg(F.array(*[F.sum(F.get("g", F.lit(i))) for i in range(dims)]).alias("g")).toPandas()
     sent.destroy()
     out, head = np.zeros(model.vectors.shape), found[found["row"] < 0]["g"].tolist()
@@ -102,7 +113,7 @@ def train(pairs: DataFrame, first: str = "utt", second: str = "acts", keys: list
     buckets = len(model.vectors)
     rows = pairs.select(grams(F.col(first), buckets, model.gram).alias("one"), grams(F.col(second), buckets, model.gram).alias("two"), digest(keys or [first, second], seed).alias("_h")).where((F.size("one") > 0) & (F.size("two") > 0)).persist()
     many = max(1, rows.count() // group)
-    grouped = rows.withColumn("group", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % many)
+    grouped = gathered(rows.withColumn("group", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % many)).persist()
     m, v, losses = np.zeros(model.vectors.shape), np.zeros(model.vectors.shape), []
     for step in range(1, steps + 1):
         g, loss, n = summed(grouped, model)
@@ -111,6 +122,7 @@ def train(pairs: DataFrame, first: str = "utt", second: str = "acts", keys: list
         losses.append(loss)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         model = replace(model, vectors=model.vectors - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
+    grouped.unpersist()
     rows.unpersist()
     return model, losses
 
