@@ -118,3 +118,67 @@ def test_weights_and_pages(spark):
     assert w == pytest.approx(2 * math.log(3))
     page = R.report_html([{"prob": 0.7, "pred": 1, "tokens": [("<b>", 0.5)], "token_text": "x", "act_text": "y"}])
     assert "&lt;b&gt;" in page and "<svg" in page
+
+
+def _merged_by_pairs(scores, least):
+    """What ``merged_phrases`` means, pair by pair."""
+    words = {p: p.split() for p in scores}
+    within = lambda a, b: f" {' '.join(a)} " in f" {' '.join(b)} "
+    holds = {p: any(q != p and within(words[q], words[p]) for q in words) for p in words}
+    held = {p: any(q != p and within(words[p], words[q]) for q in words) for p in words}
+    queue, grown = [words[p] for p in words if not holds[p]] + [words[p] for p in words if holds[p] and not held[p]], True
+    while grown:
+        grown, done = False, []
+        while queue:
+            first, rest = queue[0], queue[1:]
+            partner = next(((i, m) for i, other in enumerate(rest) if (m := R._joined(first, other, least))), None)
+            grown = grown or partner is not None
+            done.append(first if partner is None else partner[1])
+            queue = rest if partner is None else rest[: partner[0]] + rest[partner[0] + 1 :]
+        queue = done
+    return {t: max((s for p, s in scores.items() if p in t), default=1.0) for t in dict.fromkeys(" ".join(w) for w in queue)}
+
+
+def test_phrases_merge_without_trying_pairs(monkeypatch):
+    import random
+
+    r = random.Random(3)
+    for k in range(300):
+        scores = {" ".join(r.choice("abcdefgh"[: 2 + k % 7]) for _ in range(r.randrange(1, 6))): round(r.random(), 2) for _ in range(r.randrange(25))}
+        for least in (1, 2, 3):
+            assert list(R.merged_phrases(scores, least).items()) == list(_merged_by_pairs(scores, least).items())
+    tried, joined = [], R._joined
+    monkeypatch.setattr(R, "_joined", lambda *a: tried.append(1) or joined(*a))
+    apart = {f"a{i} b{i}": 1.0 for i in range(400)}
+    assert len(R.merged_phrases({**apart, "b7 q r": 2.0}, 1)) == 400 and len(tried) == 1
+
+
+def test_dialogues_with_the_same_last_acts_share_a_cloud(spark):
+    from turnlens.operators import cloud
+
+    acts = spark.createDataFrame([(d, d % 2, t, t, i, "g", "", "v") for d in range(30) for t, i in ((0, "bye"), (1, "ask"), (1, "say") if d % 3 else (1, "ask"))], "dia_no long, label int, turn_no int, act_i int, intent string, domain string, slot string, value string")
+    top = spark.createDataFrame([("act", i, "g", "", side, g, s) for i, side, g, s in (("ask", "ai", "a b", 1.0), ("ask", "ai", "b c d", 2.0), ("ask", "ai", "c d e", 1.0), ("say", "ai", "a b", 3.0), ("say", "human", "x", 1.0), ("bye", "ai", "z", 9.0))], "scope string, intent string, domain string, slot string, side string, ngram string, score double")
+    members = R.last_acts(acts)
+    clouds = R.act_clouds(members, top)
+    ask, say = ("ask", "g", ""), ("say", "g", "")
+    found = {(tuple(map(tuple, r.acts)), r.side, r.phrase, round(r.weight, 6)) for r in clouds.collect()}
+    weigh = lambda s, n: round(s * math.log(n + 1), 6)
+    assert found == {((ask,), "ai", "b c d e", weigh(2, 4)), ((ask,), "ai", "a b", weigh(1, 2)), ((ask, say), "ai", "b c d e", weigh(2, 4)), ((ask, say), "ai", "a b", weigh(4, 2)), ((ask, say), "human", "x", weigh(1, 1))}
+    each = R.last_turn_clouds(acts, top).collect()
+    assert len(each) == 10 * 2 + 20 * 3 and {r.phrase for r in each if r.dia_no == 3} == {"a b", "b c d e"}
+    texts = spark.createDataFrame([(d, d % 2, 0, 1, 0.5, "t", "a") for d in range(31)], "dia_no long, label int, turn_no int, pred int, prob double, token_text string, act_text string")
+    tokens = spark.createDataFrame([(d, d % 2, 0, 0, f"w{d}", 0.5) for d in range(31)], "dia_no long, label int, turn_no int, idx int, token string, alpha double")
+    pages = lambda df: {r.dia_no: r.html for r in df.collect()}
+    by_set = pages(R.report_pages(texts, tokens, clouds, members))
+    assert by_set == pages(R.report_pages(texts, tokens, R.last_turn_clouds(acts, top))) and len(by_set) == 31
+    assert "b c d e" in by_set[0] and "cloud human" in by_set[1] and by_set[30].endswith("\n")
+    # the first place along the spiral that is free, step by step
+    words = [(f"{'w' * (i % 9 + 1)}{i}", float(i % 13)) for i in range(60)]
+    taken = set()
+    for b in cloud.layout(words):
+        cells = lambda x, y: {(c, r) for c in range(math.floor(x / cloud.CELL), math.floor((x + b.width) / cloud.CELL) + 1) for r in range(math.floor(y / cloud.CELL), math.floor((y + b.height) / cloud.CELL) + 1)}  # noqa: E731, B023
+        angle = 0.0
+        while cells(at := 1.6 * cloud.GROWTH * angle * math.cos(angle) - b.width / 2, cloud.GROWTH * angle * math.sin(angle) - b.height / 2) & taken:
+            angle += cloud.TURN
+        assert b.x == at
+        taken |= cells(b.x, b.y)

@@ -28,10 +28,6 @@ def phrase_weight(score: Column, phrase: Column) -> Column:
     return score * F.log(F.size(F.split(phrase, " ")) + 1)
 
 
-def _within(short: list[str], long: list[str]) -> bool:
-    return f" {' '.join(short)} " in f" {' '.join(long)} "
-
-
 def _joined(a: list[str], b: list[str], least: int) -> list[str] | None:
     for n in range(min(len(a), len(b)), least - 1, -1):
         if a[-n:] == b[:n]:
@@ -41,31 +37,65 @@ def _joined(a: list[str], b: list[str], least: int) -> list[str] | None:
     return None
 
 
+def _holding(words: dict[str, list[str]]) -> tuple[set[str], set[str]]:
+    """Which phrases hold another, and which another holds. Parts of a phrase are looked up, so pairs are never tried."""
+    of: dict[tuple[str, ...], list[str]] = {}
+    for p, w in words.items():
+        of.setdefault(tuple(w), []).append(p)
+    lengths = sorted({len(w) for w in of} - {0})
+    holds, held = set(), set()
+    for own, ps in of.items():
+        parts = {part for n in lengths if n < len(own) for i in range(len(own) - n + 1) if (part := own[i : i + n]) in of}
+        if parts or len(ps) > 1:
+            holds.update(ps)
+        held.update(p for part in parts for p in of[part])
+        if len(ps) > 1:
+            held.update(ps)
+    return holds, held
+
+
+def _grown(queue: list[list[str]], least: int) -> list[list[str]]:
+    """One pass: each phrase grows together with the first one after it that its ends overlap. Phrases are found by how they
+    begin and end."""
+    begins: dict[tuple[str, ...], list[int]] = {}
+    ends: dict[tuple[str, ...], list[int]] = {}
+    for i in reversed(range(len(queue))):  # the last of a list is the first phrase
+        w = tuple(queue[i])
+        for n in range(least, len(w) + 1):
+            begins.setdefault(w[:n], []).append(i)
+            ends.setdefault(w[-n:], []).append(i)
+    gone, done = [False] * len(queue), []
+    for i, first in enumerate(queue):
+        if gone[i]:
+            continue
+        gone[i], w, partner = True, tuple(first), None
+        for n in range(least, len(w) + 1):
+            for found in (begins.get(w[-n:], []), ends.get(w[:n], [])):
+                while found and gone[found[-1]]:
+                    found.pop()
+                if found and (partner is None or found[-1] < partner):
+                    partner = found[-1]
+        if partner is None:
+            done.append(first)
+        else:
+            gone[partner] = True
+            done.append(_joined(first, queue[partner], least))
+    return done
+
+
 def merged_phrases(scores: dict[str, float], least: int) -> dict[str, float]:
     """Phrases that hold no other or that no other holds, those in between left out; then phrases whose ends overlap by
     ``least`` words at least grow together until none do. A phrase scores as the best given one that it holds, else 1."""
     if len(scores) > MOST_PHRASES:
         raise ValueError(f"{len(scores)} phrases of one scope: cut profiles to their top first")
     words = {p: p.split() for p in scores}
-    holds = {p: any(q != p and _within(words[q], words[p]) for q in words) for p in words}
-    held = {p: any(q != p and _within(words[p], words[q]) for q in words) for p in words}
-    queue = [words[p] for p in words if not holds[p]] + [words[p] for p in words if holds[p] and not held[p]]
-    grown = True
-    while grown:
-        grown, done = False, []
-        while queue:
-            first, rest = queue[0], queue[1:]
-            partner = next(((i, m) for i, other in enumerate(rest) if (m := _joined(first, other, least))), None)
-            if partner is None:
-                done.append(first)
-            else:
-                rest.pop(partner[0])
-                done.append(partner[1])
-                grown = True
-            queue = rest
+    holds, held = _holding(words)
+    queue = [words[p] for p in words if p not in holds] + [words[p] for p in words if p in holds and p not in held]
+    while len(done := _grown(queue, max(1, least))) < len(queue):
         queue = done
     texts = dict.fromkeys(" ".join(w) for w in queue)
-    return {t: max((s for p, s in scores.items() if p in t), default=1.0) for t in texts}
+    best = sorted(scores.items(), key=lambda x: -x[1])
+    return {t: next((s for p, s in best if p in t), 1.0) for t in texts}
 
 
 def phrase_filter_merge(top: DataFrame, least: int = 2) -> DataFrame:
@@ -118,23 +148,29 @@ def report_html(turns: list[dict]) -> str:
     return "\n".join(parts)
 
 
-def report_pages(texts: DataFrame, tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+def report_pages(texts: DataFrame, tokens: DataFrame, phrases: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """The pages of all dialogues: dia_no, label, n_turns and html, from texts (turn key, pred, prob, token_text, act_text),
-    tokens (turn key, idx, token, alpha) and phrases (dia_no, label, side, phrase, weight)."""
+    tokens (turn key, idx, token, alpha) and phrases (dia_no, label, side, phrase, weight). With ``members`` (dia_no, label,
+    acts) phrases have acts in place of dia_no and label, and a cloud that many dialogues show is drawn once."""
     words = tokens.groupBy("dia_no", "label", "turn_no").agg(F.array_sort(F.collect_list(F.struct("idx", "token", "alpha"))).alias("tokens"))
     turns = texts.join(words, ["dia_no", "label", "turn_no"], "left")
     turns = turns.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("turn_no", "pred", "prob", "token_text", "act_text", "tokens"))).alias("turns"))
-    own = phrases.groupBy("dia_no", "label").agg(F.array_sort(F.collect_list(F.struct("side", (-F.col("weight")).alias("order"), "phrase"))).alias("cloud"))
 
     @F.pandas_udf("string")
-    def page(turns: pd.Series, phrases: pd.Series) -> pd.Series:
-        out = []
-        for ts, cs in zip(turns, phrases):
-            shown = [{**t, "tokens": [(w["token"], w["alpha"]) for w in (t["tokens"] if t["tokens"] is not None else [])]} for t in ts]
-            out.append(report_html(shown) + "\n" + cloud_html([(c["side"], c["phrase"], -c["order"]) for c in (cs if cs is not None else [])]))
-        return pd.Series(out)
+    def page(turns: pd.Series) -> pd.Series:
+        return pd.Series([report_html([{**t, "tokens": [(w["token"], w["alpha"]) for w in (t["tokens"] if t["tokens"] is not None else [])]} for t in ts]) for ts in turns])
 
-    return turns.join(own, ["dia_no", "label"], "left").select("dia_no", "label", F.size("turns").alias("n_turns"), page("turns", "cloud").alias("html"))
+    @F.pandas_udf("string")
+    def drawn(phrases: pd.Series) -> pd.Series:
+        return pd.Series([cloud_html([(c["side"], c["phrase"], -c["order"]) for c in cs]) for cs in phrases])
+
+    key = ["dia_no", "label"] if members is None else ["acts"]
+    own = phrases.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("side", (-F.col("weight")).alias("order"), "phrase"))).alias("cloud"))
+    pages = turns.select("dia_no", "label", F.size("turns").alias("n_turns"), page("turns").alias("page"))
+    if members is not None:
+        pages = pages.join(members, ["dia_no", "label"], "left")
+    pages = pages.join(own.select(*key, drawn("cloud").alias("drawn")), key, "left")
+    return pages.select("dia_no", "label", "n_turns", F.concat("page", F.lit("\n"), F.coalesce("drawn", F.lit(""))).alias("html"))
 
 
 def cloud_html(phrases: list[tuple[str, str, float]]) -> str:
@@ -142,17 +178,31 @@ def cloud_html(phrases: list[tuple[str, str, float]]) -> str:
     return "\n".join(f'<div class="cloud {side}">{cloud.svg([(p, w) for s, p, w in phrases if s == side])}</div>' for side in dict.fromkeys(s for s, *_ in phrases))
 
 
-def last_turn_clouds(acts: DataFrame, top: DataFrame, least: int = 2) -> DataFrame:
-    """Phrase clouds (dia_no, label, side, phrase, weight) of the acts of each dialogue's last user turn. The top profiles of
-    its acts are added up; a class that no act has profiles for has no cloud."""
+def last_acts(acts: DataFrame) -> DataFrame:
+    """The acts of each dialogue's last user turn, without values and once each: dia_no, label and the array acts."""
     from pyspark.sql import Window as W
 
-    last = acts.withColumn("_last", F.max("turn_no").over(W.partitionBy("dia_no", "label"))).where("turn_no = _last").select("dia_no", "label", "intent", "domain", "slot").distinct()
-    summed = last.join(top.where("scope = 'act'"), ["intent", "domain", "slot"]).groupBy("dia_no", "label", "side", "ngram").agg(F.sum("score").alias("score"))
+    last = acts.withColumn("_last", F.max("turn_no").over(W.partitionBy("dia_no", "label"))).where("turn_no = _last AND intent IS NOT NULL AND domain IS NOT NULL AND slot IS NOT NULL")
+    return last.groupBy("dia_no", "label").agg(F.array_sort(F.collect_set(F.struct("intent", "domain", "slot"))).alias("acts"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = merged_phrases(dict(zip(pdf["ngram"], pdf["score"])), least)
-        return pd.DataFrame([(*pdf[["dia_no", "label", "side"]].iloc[0], p, float(s)) for p, s in found.items()], columns=["dia_no", "label", "side", "phrase", "score"])
 
-    merged = summed.groupBy("dia_no", "label", "side").applyInPandas(run, "dia_no long, label int, side string, phrase string, score double")
-    return merged.select("dia_no", "label", "side", "phrase", phrase_weight(F.col("score"), F.col("phrase")).alias("weight"))
+def act_clouds(members: DataFrame, top: DataFrame, least: int = 2) -> DataFrame:
+    """Phrase clouds (acts, side, phrase, weight) of every set of acts that ``last_acts`` found, once for each set. The top
+    profiles of its acts are added up; a class that no act has profiles for has no cloud."""
+    each = members.select("acts").distinct().select("acts", F.inline("acts"))
+    summed = each.join(top.where("scope = 'act'"), ["intent", "domain", "slot"]).groupBy("acts", "side", "ngram").agg(F.sum("score").alias("score"))
+    lists = summed.groupBy("acts", "side").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "ngram"))).alias("grams"))
+
+    @F.pandas_udf("array<struct<phrase:string,score:double>>")
+    def merged(grams: pd.Series) -> pd.Series:
+        return pd.Series([[{"phrase": p, "score": float(s)} for p, s in merged_phrases({g["ngram"]: -g["order"] for g in gs}, least).items()] for gs in grams])
+
+    rows = lists.select("acts", "side", F.inline(merged("grams")))
+    return rows.select("acts", "side", "phrase", phrase_weight(F.col("score"), F.col("phrase")).alias("weight"))
+
+
+def last_turn_clouds(acts: DataFrame, top: DataFrame, least: int = 2) -> DataFrame:
+    """Phrase clouds (dia_no, label, side, phrase, weight) of the acts of each dialogue's last user turn, as ``act_clouds`` has
+    them for its set of acts."""
+    members = last_acts(acts)
+    return members.join(act_clouds(members, top, least), "acts").select("dia_no", "label", "side", "phrase", "weight")

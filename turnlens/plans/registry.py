@@ -936,7 +936,9 @@ def report_html(spark, d):
     """One page for every dialogue: its probabilities, each turn's coloured tokens and texts, and the clouds of its last acts."""
     texts = R.report_text(report_rows(spark, d).withColumn("truth", F.col("label")).withColumn("label", F.col("shown"))).select("dia_no", F.col("truth").alias("label"), "turn_no", "pred", "prob", "token_text", "act_text")
     coloured = token_colour(spark, d).join(C.explained_tokens(spark, d).select(*KEY, "idx", "token"), [*KEY, "idx"])
-    return R.report_pages(texts, coloured, aggregation_class(spark, d))
+    members = R.last_acts(profiles.turn_acts(spark, d))
+    clouds = R.act_clouds(members, _class_profiles(spark, d)).withColumn("weight", r6("weight"))
+    return R.report_pages(texts, coloured, clouds, members)
 
 
 @query("session_batch", B.with_(B.T, B.U, B.UT, B.K, B.P) + """SELECT dia_no AS session_id, turn_no, round(prob, 6) AS turn_prob, round(1 / (1 + exp(-sum(kept) OVER w)), 6) AS dia_prob, CAST(count(*) OVER w AS INTEGER) AS n_turns FROM
@@ -990,10 +992,13 @@ def sentence_assign(spark, d):
     return C.explained_tokens(spark, d).join(numbered, [*KEY, "idx"]).select(*KEY, "idx", "token", "sentence")
 
 
+def _class_profiles(spark, d):
+    return PR.top_profile(profiles.profile(spark, d).withColumn("score", r6("score")))
+
+
 @query("aggregation_class")
 def aggregation_class(spark, d):
-    top = PR.top_profile(profiles.profile(spark, d).withColumn("score", r6("score")))
-    return R.last_turn_clouds(profiles.turn_acts(spark, d), top).select("dia_no", "label", "side", "phrase", r6("weight").alias("weight"))
+    return R.last_turn_clouds(profiles.turn_acts(spark, d), _class_profiles(spark, d)).select("dia_no", "label", "side", "phrase", r6("weight").alias("weight"))
 
 
 @query("global_cloud")
