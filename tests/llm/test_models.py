@@ -182,6 +182,31 @@ def test_forward_is_exact():
     assert np.isfinite(L.likelihood(m, [np.zeros(5000, int)])).all()
 
 
+def test_expected_counts_of_mixed_lengths_are_exact_by_runs_of_steps():
+    r = np.random.default_rng(4)
+    m = small_hmm(3, 5, 4)
+    seqs = [r.integers(0, 5, n) for n in (4, 1, 6, 4, 2, 6, 1, 3)]
+    got = L.Expected(3, 5)
+    got.add(m, seqs)
+    start, move, emit, log = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)), 0.0
+    for s in seqs:
+        ways = list(itertools.product(range(3), repeat=len(s)))
+        p = np.array([m.start[w[0]] * np.prod([m.move[a, b] for a, b in zip(w, w[1:])]) * np.prod([m.emit[x, k] for x, k in zip(s, w)]) for w in ways])
+        log += np.log(p.sum())
+        for w, share in zip(ways, p / p.sum()):
+            start[w[0]] += share
+            for a, b in zip(w, w[1:]):
+                move[a, b] += share / m.move[a, b]
+            for x, k in zip(s, w):
+                emit[x, k] += share
+    assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit) and np.isclose(got.log, log)
+    flat, at, _ = L.lined_up(seqs)
+    assert L.runs(at) == [(0, 8, 1), (8, 14, 1), (14, 19, 1), (19, 23, 1), (23, 27, 2)]
+    alphas, scale, emits = L.forward(m, flat, at)
+    assert [a.shape for a in alphas] == [(1, 3, 8), (1, 3, 6), (1, 3, 5), (1, 3, 4), (2, 3, 2)] and all(np.allclose(a.sum(axis=1), 1) for a in alphas)
+    assert np.isclose(np.log(scale).sum(), log) and all(e.shape == a.shape for e, a in zip(emits, alphas))
+
+
 def test_baum_welch_does_not_lower_the_likelihood():
     r = np.random.default_rng(3)
     seqs = [r.integers(0, 3, r.integers(1, 40)) + 3 * (i % 2) for i in range(60)]

@@ -64,18 +64,36 @@ def lined_up(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return flat, at, order
 
 
-def forward(model: Hmm, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward variables and scales of all steps, and each symbol's emissions."""
-    emit = model.emit[flat]
-    alpha, scale = np.empty_like(emit), np.empty(len(flat))
-    a = model.start
-    for t in range(len(at) - 1):
-        s = slice(at[t], at[t + 1])
-        a = (a[: at[t + 1] - at[t]] @ model.move if t else a) * emit[s]
-        c = a.sum(axis=1)
-        a = a / c[:, None]
-        alpha[s], scale[s] = a, c
-    return alpha, scale, emit
+def runs(at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of steps that have equally many sequences: where each begins and ends among the symbols, and its steps."""
+    alive = np.diff(at)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(alive)) + 1, [len(alive)]])
+    return [(int(at[i]), int(at[j]), int(j - i)) for i, j in zip(first[:-1], first[1:])]
+
+
+def forward(model: Hmm, flat: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Scaled forward variables of each run, [step][state][sequence]; scales of all symbols; each run's emissions. A step's
+    values lie together, so that each operation is one pass over them."""
+    states, move, by_state = len(model.start), np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+    one, scale, alphas, emits, before = np.ones(states), np.empty(len(flat)), [], [], None
+    for low, high, steps in runs(at):
+        symbols = flat[low:high].reshape(steps, -1)
+        emit = np.empty((steps, states, symbols.shape[1]))
+        for k in range(states):
+            emit[:, k] = by_state[k][symbols]
+        alpha, scales = np.empty_like(emit), scale[low:high].reshape(steps, -1)
+        for e, a, c in zip(emit, alpha, scales):
+            if before is None:
+                a[:] = model.start[:, None]
+            else:
+                np.matmul(move, before if before.shape == a.shape else before[:, : a.shape[1]], out=a)
+            a *= e
+            np.dot(one, a, out=c)
+            a /= c
+            before = a
+        alphas.append(alpha)
+        emits.append(emit)
+    return alphas, scale, emits
 
 
 def likelihood(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
@@ -97,20 +115,30 @@ class Expected:
 
     def add(self, model: Hmm, sequences: list[np.ndarray]) -> None:
         flat, at, _ = lined_up(sequences)
-        alpha, scale, emit = forward(model, flat, at)
+        alphas, scale, emits = forward(model, flat, at)
         self.log += np.log(scale).sum()
-        gamma, beta, ahead = np.empty_like(alpha), None, None
-        for t in range(len(at) - 2, -1, -1):
-            s, n = slice(at[t], at[t + 1]), at[t + 1] - at[t]
-            b = np.ones((n, len(model.start)))
+        ahead, spans = None, runs(at)
+        for (low, high, steps), alpha, emit in zip(reversed(spans), reversed(alphas), reversed(emits)):
+            emit /= scale[low:high].reshape(steps, 1, -1)
+            beta = np.empty_like(emit)
+            beta[-1] = 1.0
             if ahead is not None:
-                b[: len(ahead)] = ahead @ model.move.T
-                self.move += alpha[s][: len(ahead)].T @ ahead
-            gamma[s] = alpha[s] * b
-            ahead = emit[s] * b / scale[s][:, None]
-        for k in range(gamma.shape[1]):
-            self.emit[:, k] += np.bincount(flat, weights=gamma[:, k], minlength=len(self.emit))
-        self.start += gamma[: at[1]].sum(axis=0)
+                beta[-1][:, : ahead.shape[1]] = model.move @ ahead
+                self.move += alpha[-1][:, : ahead.shape[1]] @ ahead.T
+            ahead = emit[-1]
+            ahead *= beta[-1]
+            for e, b in zip(emit[-2::-1], beta[-2::-1]):
+                np.matmul(model.move, ahead, out=b)
+                e *= b
+                ahead = e
+            self.move += np.matmul(alpha[:-1], emit[1:].transpose(0, 2, 1)).sum(axis=0)
+            alpha *= beta
+        share = np.empty(len(flat))
+        for k in range(len(model.start)):
+            for (low, high, steps), alpha in zip(spans, alphas):
+                share[low:high].reshape(steps, -1)[:] = alpha[:, k]
+            self.emit[:, k] += np.bincount(flat, weights=share, minlength=len(self.emit))
+        self.start += alphas[0][0].sum(axis=1)
 
     def model(self, before: Hmm, shares: np.ndarray) -> Hmm:
         move = self.move * before.move + 1.0
