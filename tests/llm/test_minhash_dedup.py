@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnlens.llm import minhash_dedup as M
 from turnlens.llm.common import Scratch
@@ -123,3 +124,12 @@ def test_stars_need_no_round_to_confirm_them(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or put(self, df, name))
     out = components(Scratch(spark, "test"), spark.createDataFrame([(1, 5), (9, 1), (2, 3)], "a long, b long"), "c").collect()
     assert sorted(map(tuple, out)) == [(1, 1), (2, 2), (3, 2), (5, 1), (9, 1)] and kept == ["c-0"]
+
+
+def test_bits_follow_the_number_of_ids_and_lose_none(spark):
+    texts = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    wanted = spark.range(0, 5_000, 50).select(F.col("id").alias("low"))
+    passed = M._passed(texts, wanted)
+    held = {r["doc_id"] for r in passed.select("doc_id").collect()}
+    assert {r["low"] for r in wanted.collect()} <= held and len(held) < 500
+    assert "32768" in passed._jdf.queryExecution().toString()  # 33,554,432 bits whatever the number

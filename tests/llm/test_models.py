@@ -310,3 +310,20 @@ def test_every_baum_welch_round_covers_whole_training_texts_until_the_gain_is_sm
     assert len(seen) > 2 and all(e.emit.sum() == pytest.approx(n) for e in seen)
     gains = [(b.log - a.log) / abs(b.log) for a, b in zip(seen, seen[1:])]
     assert gains[-1] <= L.GAIN and all(g > L.GAIN for g in gains[:-1])
+
+
+def test_the_driver_gets_grams_of_toxicity_by_the_folds_that_have_them(spark, monkeypatch):
+    got, whole = [], type(spark.range(0)).toArrow
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda self: got.append(whole(self)) or got[-1])
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(40)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    T.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    grams = next(x for x in got if "key" in x.column_names)
+    assert len(set(grams["key"].to_pylist())) > 5_000
+    assert grams.nbytes < 24 * len(set(grams["key"].to_pylist()))  # a column for each fold and class took 44 a gram
+
+
+def test_sizes_of_grams_follow_from_their_bytes():
+    _, key, size = T.windows(pa.array(["a", "ab", "house", "stonehouses", "\u00e9t\u00e9"]))
+    assert T.sizes(key).tolist() == size.tolist()

@@ -1,8 +1,11 @@
+from types import SimpleNamespace
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from turnlens.llm import mixing, sharding
-from turnlens.llm.common import table
+from turnlens.llm.common import Scratch, table
+from turnlens.sources import scratch
 
 from .test_decontamination import brute as contaminated
 from .test_minhash_dedup import brute as components
@@ -107,3 +110,14 @@ def test_columns_that_clash_with_the_stages_own(spark, messy, sf):
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.where("row <> 2 or bad <> 3 or hashed <> 4 or toxic <> 1 or draws <> 5 or place <> 6").count() == 0, name
+
+
+def test_a_table_ends_with_a_collection_if_the_heap_has_grown(spark, monkeypatch):
+    called = []
+    of = lambda used: SimpleNamespace(_jvm=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: SimpleNamespace(totalMemory=lambda: used, maxMemory=lambda: 100)), System=SimpleNamespace(gc=lambda: called.append(used))))
+    for used in (10, 50, 51, 100):
+        scratch.release(of(used))
+    assert called == [51, 100]
+    monkeypatch.setattr(scratch, "release", called.append)
+    Scratch(spark, "small").keep(spark.range(3), "rows")
+    assert called[2:] == [spark]

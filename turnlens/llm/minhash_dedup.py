@@ -42,8 +42,8 @@ MOST_ROWS, MISS, MOST_SLOTS = 5, 1e-7, 255
 TOGETHER = 1 << 17
 #: A pivot's set travels once for this many of its partners.
 GROUP = 256
-#: Bits of the table that tells which texts may be needed again: 4 MB, in rows of 4 KB.
-BITS = 1 << 25
+#: Bits of the table that tells which texts may be needed again, in rows of 4 KB: so many for each id, 4 MB at most.
+BITS_EACH, BITS = 16, 1 << 25
 #: Members of unsettled buckets meet in blocks bounded by the elements of their sets and by their number.
 BLOCK_ELEMENTS, BLOCK_MEMBERS = 1 << 18, 1024
 
@@ -163,7 +163,8 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 def _passed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts whose id may be one of ``wanted`` (low), by a table of bits, so that others are not shuffled. Its rows are
     bounded; a bit that another id has set lets a text pass, and the join that follows drops it."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    size = min(BITS, 1 << max(15, (BITS_EACH * wanted.count()).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     bits = wanted.where("low is not null").groupBy(F.bitmap_bucket_number(spot("low")).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot("low"))).alias("_bits"))
     place = F.bitmap_bit_position(spot("doc_id"))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

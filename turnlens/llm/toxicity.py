@@ -81,6 +81,11 @@ def mask(k: int) -> np.uint64:
     return np.uint64((1 << 8 * k) - 1)
 
 
+def sizes(key: np.ndarray) -> np.ndarray:
+    """Bytes of each gram; none of them is zero."""
+    return np.searchsorted(np.array([1 << 8 * k for k in range(ORDER)], np.uint64), key, side="right").astype(np.int8)
+
+
 @dataclass
 class Model:
     """Per order: sorted grams with their probabilities (toxic, ordinary, both together) after their context, and sorted
@@ -130,10 +135,10 @@ class Model:
         return both[:, 0] - both[:, 1]
 
 
-def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> Model:
-    """The model from counts of the longest grams by class. Grams shorter than ORDER begin a word. Columns of one class
-    are held at a time, as the driver has little room."""
-    order, grams, level, contexts = ORDER, {}, {}, {}
+def levels(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> dict:
+    """For each length its sorted grams and their counts by class, from counts of the longest grams, which may repeat.
+    Grams shorter than ORDER begin a word."""
+    order, level = ORDER, {}
     for k in range(order, 0, -1):
         own = size == k
         g, counts = key[own], [toxic[own], plain[own]]
@@ -144,6 +149,16 @@ def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray)
         g = g[by]
         first = np.flatnonzero(np.diff(g, prepend=~g[:1]))
         level[k] = (g[first], [np.add.reduceat(c[by].astype(np.int64), first).astype(np.int32) if len(first) else np.empty(0, np.int32) for c in counts])
+    return level
+
+
+def fit(key: np.ndarray, size: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> Model:
+    return smoothed(levels(key, size, toxic, plain))
+
+
+def smoothed(level: dict) -> Model:
+    """The model from ``levels``, which this empties. Columns of one class are held at a time, as the driver has little room."""
+    order, grams, contexts = ORDER, {}, {}
     who, total = level.pop(1)
     mass = float(total[0].sum()) + float(total[1].sum()) + 256
     shared = (total[0].astype(float) + total[1] + 1) / mass
@@ -248,30 +263,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 once = np.unique(doc * len(types) + index) if len(index) else index
                 y, fold = np.asarray(part.column("y")), np.asarray(part.column("fold"))
                 kind = (2 * fold + 1 - y)[once // max(1, len(types))]
-                word, key, size = windows(types)
+                word, key, _ = windows(types)
                 code, where = np.unique(key, return_inverse=True)
-                width = np.zeros(len(code), np.int32)
-                width[where] = size
-                times = [np.bincount((once % max(1, len(types)))[kind == v], minlength=len(types)) for v in range(2 * FOLDS)]
-                sums = [np.bincount(where, weights=t[word], minlength=len(code)).astype(np.int64) for t in times]
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(width), *map(pa.array, sums)], ["key", "size", *names])
-
-    names = [f"{c}{f}" for f in range(FOLDS) for c in ("toxic", "plain")]
-    counted = rows.mapInArrow(count, "key long, size int, " + ", ".join(f"{c} long" for c in names))
-    grams = counted.groupBy("key", "size").agg(*[F.sum(c).cast("int").alias(c) for c in names]).toArrow()
+                for v in range(2 * FOLDS):
+                    times = np.bincount((once % max(1, len(types)))[kind == v], minlength=len(types))
+                    sums = np.bincount(where, weights=times[word], minlength=len(code)).astype(np.int64)
+                    own = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays([pa.array(code[own].view(np.int64)), pa.array(np.full(len(own), v, np.int8)), pa.array(sums[own])], ["key", "kind", "n"])
+
+    # One row for each fold and class that has a gram: most have one, so the driver gets a third of what a column for each would take.
+    counted = rows.mapInArrow(count, "key long, kind byte, n long")
+    grams = counted.groupBy("key", "kind").agg(F.sum("n").cast("int").alias("n")).toArrow()
     kinds = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         scratch.drop()
         return float(next(iter(kinds), 0))
-    key, size = grams["key"].to_numpy().view(np.uint64), grams["size"].to_numpy().astype(np.int8)
-    toxic, plain = (np.stack([grams[c].to_numpy() for c in names[x::2]], axis=1) for x in (0, 1))
+    key, kind, n = grams["key"].to_numpy().view(np.uint64), grams["kind"].to_numpy(), grams["n"].to_numpy()
     del grams
     pa.default_memory_pool().release_unused()
+    size = sizes(key)
+    by_class = lambda own: levels(key[own], size[own], np.where(kind[own] % 2 == 0, n[own], 0), np.where(kind[own] % 2 == 1, n[own], 0))
     parts = []
     for f in range(FOLDS):  # one after the other: the driver and its tasks hold one fold's model at a time
-        t, p = toxic.sum(axis=1) - toxic[:, f], plain.sum(axis=1) - plain[:, f]
-        own = t + p > 0
-        sent = rows.sparkSession.sparkContext.broadcast(fit(key[own], size[own], t[own], p[own]))
+        sent = rows.sparkSession.sparkContext.broadcast(smoothed(by_class(kind // 2 != f)))
 
         def look(batches, sent=sent):
             for batch in batches:
@@ -285,7 +299,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     seen = pd.concat([part for part in parts if len(part)])
     x = np.stack(seen["x"].to_numpy())
     order = np.lexsort(x.T)  # rows arrive in any order
-    return fit(key, size, toxic.sum(axis=1), plain.sum(axis=1)), Curve.fit(x[order], seen["y"].to_numpy(float)[order])
+    level = by_class(slice(None))
+    del key, kind, n, size
+    return smoothed(level), Curve.fit(x[order], seen["y"].to_numpy(float)[order])
 
 
 def score(docs: DataFrame, model: tuple[Model, Curve] | float, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
